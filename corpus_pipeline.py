@@ -4,15 +4,43 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrystone.llm import simhash
+from quarrystone.llm import fmindex, langid, mixture, records, simhash
 from quarrystone.llm.common import hold, table
+from quarrystone.llm.queries import TOKENIZER
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is known; those without letters or without a likely language go."""
+    return langid.keep_known(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
     return simhash.keep_one(docs)
 
 
-STAGES = [("near_dedup", near_dedup)]
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark window."""
+    return fmindex.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixture_of_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix of sources takes it."""
+    return mixture.mixed(docs)
+
+
+def token_records(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids in record files, and what reading them gives."""
+    return records.encode_and_read(docs, TOKENIZER)
+
+
+STAGES = [
+    ("language", language),
+    ("near_dedup", near_dedup),
+    ("decontaminate", decontaminate),
+    ("mixture", mixture_of_sources),
+    ("records", token_records),
+]
 
 #: Language models, fingerprints and a tokenizer have no SQL: tests hold the stages against brute force.
 ORACLE_SQL = None

@@ -4,19 +4,112 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import simhash
+from . import fmindex, langid, mixture, records, simhash, surrogates, unigram, urls, voronoi, warc
 from .common import table
 
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op1_pareto_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
+def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replace(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op4_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    evidence = langid.evidence_of_documents(docs).unionByName(langid.evidence_of_pages(table(spark, sf_dir, "pages")))
+    return langid.identify(evidence, docs.select("text", "lang"))
+
+
+def op5_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return fmindex.digest(fmindex.mark(docs, table(spark, sf_dir, "benchmark"), keep_text=False))
+
+
+def op6_unigram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), PIECES, keep_text=False)
+
+
+def op7_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.encode_and_read(table(spark, sf_dir, "documents"), TOKENIZER)
+
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return voronoi.top_k(rows, rows.where(F.col("vec_id") % 100 == 0))
+
+
+def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derivatives(warc.responses(table(spark, sf_dir, "pages")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op8_simhash_near_dedup,)}
+    every = (op1_pareto_mixture, op2_url_filter, op3_pii_surrogates, op4_language_fusion, op5_fm_decontamination, op6_unigram_counts, op7_token_records, op8_simhash_near_dedup, op9_voronoi_knn, op10_warc_derivatives)
+    return {f.__name__: f for f in every}
+
+
+_WORD = r"[^\x20\x09-\x0D]+"
+
+_OP1 = rf"""
+with base as (select doc_id, source, coalesce(len(regexp_extract_all(text, '{_WORD}')), 0)::bigint as size from documents),
+sums as (select source, sum(size)::bigint as source_size from base group by source),
+placed as (select *, case (row_number() over (order by source nulls last) - 1) % 3 when 0 then 5.0::double when 1 then 2.0::double else 1.0::double end as weight,
+  2.0::double * source_size as cap from sums),
+filling as (select *, row_number() over f as nth,
+  (1.5::double * (sum(source_size) over ())::double - coalesce(sum(cap) over (order by cap / weight, source nulls last rows between unbounded preceding and 1 preceding), 0::double))
+    / sum(weight) over (order by cap / weight, source nulls last rows between current row and unbounded following) as level
+  from placed window f as (order by cap / weight, source nulls last)),
+line as (select level from filling where cap > level * weight order by nth limit 1),
+goals as (select f.source, f.source_size, least(f.cap, coalesce((select level from line) * f.weight, f.cap)) as target from filling f),
+rates as (select *, case when source_size > 0 then target / source_size else 0::double end as rate from goals),
+parts as (select *, floor(rate + 1e-12)::bigint as certain, greatest(rate - floor(rate + 1e-12), 0::double) as inclusion from rates),
+ranked as (select b.*, p.source_size, p.target, p.certain, p.inclusion, p.target - p.certain * p.source_size as lack,
+  (('0x' || substr(md5('20:' || coalesce(b.doc_id::varchar, '')), 1, 12))::bigint + 0.5::double) / 281474976710656.0::double as u
+  from base b join parts p on b.source is not distinct from p.source),
+drawn as (select *, coalesce(sum(size) over (partition by source order by (u / (1 - u)) / (inclusion / (1 - inclusion)), doc_id rows between unbounded preceding and 1 preceding), 0) as before
+  from ranked where inclusion > 0),
+picked as (select doc_id, size, source_size, target, (certain + case when before + size / 2.0::double <= lack then 1 else 0 end) * size as taken from drawn
+  union all select doc_id, size, source_size, target, certain * size from ranked where not inclusion > 0)
+select doc_id, size, source_size, target, taken::bigint as taken from picked
+"""
+
+_OP5 = r"""
+with folded as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+items as (select item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark where text is not null and item_id is not null),
+wins as (select distinct item_id, n, array_to_string(w[k:k + n - 1], ' ') as g from (select item_id, w, least(10, len(w)) as n, unnest(range(1, len(w) - least(10, len(w)) + 2)) as k from items where len(w) > 0)),
+sizes as (select distinct n from wins),
+places as (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as k from folded, sizes where len(w) >= n),
+grams as (select doc_id, n, k, array_to_string(w[k:k + n - 1], ' ') as g from places),
+found as (select g.doc_id, g.k, g.n, i.item_id from grams g join wins i on g.n = i.n and g.g = i.g),
+hits as (select doc_id, count(distinct p)::bigint as n_hit from (select doc_id, unnest(range(k, k + n)) as p from found) group by doc_id),
+named as (select doc_id, count(*)::bigint as n_items, string_agg(item_id::varchar, ',' order by item_id::varchar) as ids from (select distinct doc_id, item_id from found) group by doc_id)
+select f.doc_id, len(f.w)::bigint as n_words, coalesce(h.n_hit, 0)::bigint as n_hit, coalesce(n.n_items, 0)::bigint as n_items, sha256(coalesce(n.ids, '')) as items_sha256, coalesce(h.n_hit, 0) > 0 as contaminated
+from folded f left join hits h on f.doc_id = h.doc_id left join named n on f.doc_id = n.doc_id
+"""
+
+_OP9 = """
+with v as (select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as e from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+pairs as (select q.vec_id as query_id, c.vec_id, list_inner_product(q.e::double[], c.e::double[])::bigint as score from v q join v c on q.vec_id % 100 = 0 and q.vec_id <> c.vec_id)
+select query_id, rank::int as rank, vec_id, score from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from pairs) where rank <= 10
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_pareto_mixture": _OP1, "op5_fm_decontamination": _OP5, "op9_voronoi_knn": _OP9}
