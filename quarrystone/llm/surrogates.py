@@ -15,19 +15,23 @@ MALE = ("Mr.", "Mr", "Herr", "Monsieur", "Señor", "Господин")
 FEMALE = ("Mrs.", "Mrs", "Ms.", "Ms", "Frau", "Madame", "Señora", "Госпожа")
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-#: What each type looks like; a text is searched for all of them at once, the first that fits at a place counts.
+_TITLE = "|".join(sorted((t.replace(".", r"\.") for t in MALE + FEMALE), key=len, reverse=True))
+#: What each type looks like from a place on that no letter or digit precedes; the first that fits counts. Words are taken
+#: possessively, so that a text is searched in time that grows with its length.
 PATTERNS = {
-    "email": r"[\p{L}\p{N}](?:[\p{L}\p{N}._%+-]*[\p{L}\p{N}_%+-])?@[\p{L}\p{N}](?:[\p{L}\p{N}-]*[\p{L}\p{N}])?(?:\.[\p{L}\p{N}](?:[\p{L}\p{N}-]*[\p{L}\p{N}])?)+",
+    "email": r"[\p{L}\p{N}][\p{L}\p{N}._%+-]*+@[\p{L}\p{N}][\p{L}\p{N}-]*(?:\.[\p{L}\p{N}][\p{L}\p{N}-]*)+",
     "phone": r"\+\d{1,3}[ -]?(?:\(\d{2,4}\)|\d{2,4})[ -]?\d{3,4}[ -]?\d{3,4}(?!\d)",
     "secret": r"(?i:(?<=(?:token|secret|password|api_key) {0,2}[=:] {0,2}[\"']?)[0-9a-f]{32,64}(?![0-9a-z]))",
-    "card": r"(?<![\d.])[2-6]\d{3}(?:\d{12}| \d{4} \d{4} \d{4}|-\d{4}-\d{4}-\d{4})(?!\d)",
-    "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
-    "name": r"(?<!\p{L})(?:" + "|".join(sorted((t.replace(".", r"\.") for t in MALE + FEMALE), key=len, reverse=True)) + r") \p{Lu}\p{L}+(?: \p{Lu}\p{L}+)?",
+    "card": r"(?<!\.)[2-6]\d{3}(?:\d{12}| \d{4} \d{4} \d{4}|-\d{4}-\d{4}-\d{4})(?!\d)",
+    "ssn": r"(?<!-)\d{3}-\d{2}-\d{4}(?![\d-])",
+    "ip": rf"(?<!\.)(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
+    "name": rf"(?:{_TITLE}) \p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+)?",
 }
 #: The same types by the found text alone, where a pattern looks at what stands before.
 ALONE = PATTERNS | {"secret": r"[0-9A-Fa-f]{32,64}"}
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+ANY = r"(?<![\p{L}\p{N}])(?:" + "|".join(PATTERNS.values()) + ")"
+#: What a text with any of them holds, told at little cost: an at sign, two digits side by side or around a sign, a label, a title.
+HINT = rf"@|[0-9].?[0-9]|(?i:token|secret|password|api_key)|(?:{_TITLE}) "
 
 #: Parts of made-up names, by script (fixed values).
 ONSETS = {"latin": "b d f g h k l m n p r s t v w z", "cyrillic": "б в г д з к л м н п р с т ф х ч"}
@@ -174,10 +178,12 @@ def replace(docs: DataFrame, key: str = KEY, doc_id: str = "doc_id", text: str =
     joined with their surrogates and gathered by document. Null texts stay null; repeated rows stay; an empty table gives no rows.
     """
     named = [c for c in docs.columns if c.lower() != "n_replaced"]
-    rows = without(docs, "n_replaced", "pii_hits", "pii_key").withColumn("pii_hits", F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0)))
-    some = F.coalesce(F.size("pii_hits"), F.lit(0)) > 0
-    having = rows.where(some).withColumn("pii_key", F.xxhash64(F.col(doc_id), F.col(text)))
-    mentions = hold(having.select(F.col(doc_id).alias("pii_of"), "pii_key", F.explode(F.array_distinct("pii_hits")).alias("surface")), "mentions")
+    rows = without(docs, "n_replaced")
+    some = F.coalesce(F.col(text).rlike(HINT), F.lit(False))
+    having = rows.where(some).withColumn("__pii_key", F.xxhash64(F.col(doc_id), F.col(text)))
+    hits = F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0))
+    mentions = having.select(F.col(doc_id).alias("__pii_of"), "__pii_key", F.explode_outer(F.array_distinct(hits)).alias("surface"))  # outer: searched once, not again by a filter
+    mentions = hold(mentions.where("surface is not null"), "mentions")
     surfaces = mentions.select("surface").distinct().withColumn("kind", _kind(F.col("surface")))
     valid = F.col("kind").isNotNull() & ((F.col("kind") != "card") | luhn(F.regexp_replace("surface", "[^0-9]", "")))
     surfaces = hold(surfaces.where(valid).withColumn("parts", _parts(F.col("kind"), F.col("surface"))), "surfaces")
@@ -186,12 +192,12 @@ def replace(docs: DataFrame, key: str = KEY, doc_id: str = "doc_id", text: str =
     parts = surfaces.select("surface", "kind", F.posexplode("parts").alias("nth", "part")).select("surface", "kind", "nth", F.col("part.type").alias("type"), F.col("part.canon").alias("canon"))
     dressed = parts.join(made, ["type", "canon"]).groupBy("surface", "kind").agg(F.array_sort(F.collect_list(F.struct("nth", "surrogate"))).alias("made"))
     dressed = hold(dressed.select("surface", _dressed(F.col("kind"), F.col("surface"), F.col("made.surrogate")).alias("replacement")), "dressed")
-    maps = mentions.join(dressed, "surface").groupBy("pii_of", "pii_key").agg(F.map_from_entries(F.collect_set(F.struct("surface", "replacement"))).alias("pii_map"))
-    joined = having.join(maps, having[doc_id].eqNullSafe(maps["pii_of"]) & (having["pii_key"] == maps["pii_key"]), "left").drop(maps["pii_key"])
-    pieces = F.split(F.col(text), ANY, -1)
-    value = lambda h: F.coalesce(F.element_at("pii_map", h), h)
-    whole = F.array_join(F.zip_with(pieces, "pii_hits", lambda p, h: F.concat(p, F.coalesce(value(h), F.lit("")))), "")
-    n = F.size(F.filter("pii_hits", lambda h: F.coalesce(F.map_contains_key("pii_map", h), F.lit(False)))).cast("long")
-    changed = joined.withColumn("n_replaced", n).withColumn(text, F.when(F.col("n_replaced") > 0, whole).otherwise(F.col(text)))
+    maps = mentions.join(dressed, "surface").groupBy("__pii_of", "__pii_key").agg(F.map_from_entries(F.collect_set(F.struct("surface", "replacement"))).alias("__pii_map"))
+    joined = having.join(maps, having[doc_id].eqNullSafe(maps["__pii_of"]) & (having["__pii_key"] == maps["__pii_key"]), "left").drop(maps["__pii_key"])
+    value = lambda h: F.coalesce(F.element_at("__pii_map", h), h)
+    whole = F.array_join(F.zip_with(F.split(F.col(text), ANY, -1), hits, lambda p, h: F.concat(p, F.coalesce(value(h), F.lit("")))), "")
+    n = F.size(F.filter(hits, lambda h: F.map_contains_key("__pii_map", h))).cast("long")
+    found = F.col("__pii_map").isNotNull()
+    changed = joined.withColumn("n_replaced", F.when(found, n).otherwise(F.lit(0).cast("long"))).withColumn(text, F.when(found, whole).otherwise(F.col(text)))
     same = rows.where(~some).withColumn("n_replaced", F.lit(0).cast("long"))
     return changed.select(*named, "n_replaced").unionByName(same.select(*named, "n_replaced"))
