@@ -281,4 +281,7 @@ def cut(raw: str, spans: list[tuple[int, int]]) -> str:
 
 def clean(docs: DataFrame, benchmark: DataFrame, **params) -> DataFrame:
     """The rows of docs with no hit, whole and unchanged."""
-    return mark(docs, benchmark, **params).where(F.size("spans") == 0).select(*docs.columns)
+    if not {c.lower() for c in docs.columns} & {"n_words", "spans", "items"}:
+        return mark(docs, benchmark, **params).where(F.size("spans") == 0).select(*docs.columns)
+    whole = docs.select(F.struct(*docs.columns).alias("row"), "text")  # its own columns have the names of what is found
+    return mark(whole, benchmark, keep_text=False, **params).where(F.size("spans") == 0).select("row.*")

@@ -177,8 +177,8 @@ def identify(evidence: DataFrame, labelled: DataFrame, fit_rows: int = FIT_ROWS)
 
 def keep_known(docs: DataFrame) -> DataFrame:
     """The rows of docs whose language is known, whole and unchanged."""
-    keyed = docs.withColumn("text_key", F.xxhash64("text"))
-    rows = evidence_of_documents(docs).withColumn("text_key", F.xxhash64("text"))
-    out = identify(rows, docs.select("text", "lang")).where(~F.col("accepted")).select(F.col("doc_id").alias("bad_id"), F.col("text_key").alias("bad_key")).distinct()
-    gone = keyed["doc_id"].cast("long").eqNullSafe(F.col("bad_id")) & (keyed["text_key"] == F.col("bad_key"))
+    keyed = docs.withColumn("__text_key", F.xxhash64("text"))
+    rows = evidence_of_documents(docs).withColumn("__text_key", F.xxhash64("text"))
+    out = identify(rows, docs.select("text", "lang")).where(~F.col("accepted")).select(F.col("doc_id").alias("__bad_id"), F.col("__text_key").alias("__bad_key")).distinct()
+    gone = keyed["doc_id"].cast("long").eqNullSafe(F.col("__bad_id")) & (keyed["__text_key"] == F.col("__bad_key"))
     return keyed.join(out, gone, "left_anti").select(*docs.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hold, without, word_count
+from .common import hold, word_count
 
 #: Weights of the sources in order, repeating; the mix's size as a share of all sizes; copies of a document at most.
 WEIGHTS, SHARE, MAX_COPIES = (5.0, 2.0, 1.0), 1.5, 2
@@ -99,8 +99,8 @@ def _with_rows(goals: DataFrame, sums: DataFrame) -> DataFrame:
 def mixed(docs: DataFrame, **params) -> DataFrame:
     """docs with each row as often as the mix takes it, in its own columns."""
     named = docs.columns
-    keyed = without(docs, "mix_content").withColumn("mix_content", F.xxhash64("text"))
-    often = mix(docs, **params).where("copies > 0").groupBy("doc_id", "source", "content").agg(F.max("copies").cast("int").alias("mix_copies"))
-    often = often.select(F.col("doc_id").alias("mix_id"), F.col("source").alias("mix_source"), F.col("content").alias("mix_key"), "mix_copies")
-    same = keyed["doc_id"].eqNullSafe(often["mix_id"]) & keyed["source"].eqNullSafe(often["mix_source"]) & (keyed["mix_content"] == often["mix_key"])
-    return keyed.join(often, same).withColumn("mix_turn", F.explode(F.sequence(F.lit(1), "mix_copies"))).select(*named)
+    keyed = docs.withColumn("__content", F.xxhash64("text"))
+    often = mix(docs, **params).where("copies > 0").groupBy("doc_id", "source", "content").agg(F.max("copies").cast("int").alias("__copies"))
+    often = often.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("content").alias("__key"), "__copies")
+    same = keyed["doc_id"].eqNullSafe(often["__id"]) & keyed["source"].eqNullSafe(often["__source"]) & (keyed["__content"] == often["__key"])
+    return keyed.join(often, same).withColumn("__turn", F.explode(F.sequence(F.lit(1), "__copies"))).select(*named)

@@ -219,9 +219,10 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **para
     Where that id is null or repeated, the first such row by content stays.
     """
     named = docs.columns
-    prints = fingerprints(docs, text, "fp", params.get("width", SHINGLE_WORDS), params.get("seed", SEED))
+    prints = fingerprints(docs, text, "__fp", params.get("width", SHINGLE_WORDS), params.get("seed", SEED))
     prints = hold(prints, "printed")
-    which = classes(prints.select(doc_id, "fp"), doc_id, params.get("radius", RADIUS), params.get("tiles", TILES))
-    kept = prints.join(which, "fp").where(F.col(doc_id).eqNullSafe(F.col("component_id")))
+    which = classes(prints.select(doc_id, F.col("__fp").alias("fp")), doc_id, params.get("radius", RADIUS), params.get("tiles", TILES))
+    which = which.select(F.col("fp").alias("__of"), F.col("component_id").alias("__component"))
+    kept = prints.join(which, F.col("__fp") == F.col("__of")).where(F.col(doc_id).eqNullSafe(F.col("__component")))
     once = prints.agg((F.count("*") == F.count_distinct(doc_id)).alias("once")).first()["once"]
-    return (kept if once else kept.dropDuplicates(["component_id"])).select(*named)
+    return (kept if once else kept.dropDuplicates(["__component"])).select(*named)
