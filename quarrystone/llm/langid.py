@@ -41,14 +41,19 @@ def grams(raw: bytes | None) -> Iterator[np.ndarray]:
 def fit(labelled: DataFrame, rows: int = FIT_ROWS) -> tuple[list[str], np.ndarray]:
     """Languages and the logarithm of each trigram slot's share in each, from a bounded sample of (text, lang).
 
-    At most `rows` texts of a language are counted, those first by hash, where they lie; a row of counts
-    for each language comes to the driver.
+    Counted are the `rows` different texts of a language that are first by hash. Hashes alone tell where that line lies;
+    only the texts within it move, and a row of counts for each language and task of the few that hold them comes to the driver.
     """
-    labelled = labelled.where("lang is not null and text is not null")
+    labelled = labelled.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("text").alias("h"))
     top = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
     langs = sorted(r["lang"] for r in top.collect())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
-    sample = labelled.where(F.col("lang").isin(langs)).select("lang", "text").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= rows)
+    order = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    first = labelled.where(F.col("lang").isin(langs)).select("lang", "h").distinct().withColumn("nth", order).where(F.col("nth") <= rows)
+    lines = {r["lang"]: r["line"] for r in first.groupBy("lang").agg(F.max("h").alias("line")).collect()}
+    within = F.lit(False)
+    for lang, line in lines.items():
+        within = within | ((F.col("lang") == lang) & (F.col("h") <= line))
+    sample = labelled.where(within).dropDuplicates(["lang", "h"]).coalesce(4)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, np.ndarray] = {}

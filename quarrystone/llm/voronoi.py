@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, hold
+from .common import arrow_batches, hold, widened
 
 K, SCALE = 10, 1024
 #: Pivots (a bounded sample of the data, by hash), vectors of a packed row, queries of a group.
@@ -84,6 +84,17 @@ def _packer(pivots: np.ndarray, most: int, scale: int):
     return pack
 
 
+def _assign(pivots: np.ndarray, scale: int, name: str):
+    """Adds each vector's cell; vectors that take no part have none."""
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cells = [None if v is None else int(_distances(v[None], pivots).argmin()) for v in to_integers(b.column(1), scale)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cells, pa.int32())], names=[*b.schema.names, name])
+
+    return assign
+
+
 def _bounds(query_stats: list, data_stats: list, pivots: np.ndarray, k: int) -> dict[int, list[tuple[int, float, float]]]:
     """Of each query group, its cells with their radius and the score that its queries' k-th best reaches at least.
 
@@ -177,7 +188,10 @@ def top_k(data: DataFrame, queries: DataFrame, k: int = K, vec_id: str = "vec_id
     dim = max(map(len, chosen))
     points = np.array([np.pad(p, (0, dim - len(p))) for p in chosen])
     packed = hold(data.mapInArrow(_packer(points, PACK, scale), _PACK_SQL), "vectors")
-    asked = hold(queries.dropDuplicates([vec_id]).mapInArrow(_packer(points, QUERY_GROUP, scale), _PACK_SQL), "queries")
+    once = queries.dropDuplicates([vec_id])
+    placed = once.mapInArrow(_assign(points, scale, "__cell"), widened(once, __cell="int")).where("__cell is not null")
+    placed = placed.repartitionByRange("__cell", vec_id).sortWithinPartitions("__cell", vec_id)  # a group of queries is one of neighbouring cells
+    asked = hold(placed.select(vec_id, embedding).mapInArrow(_packer(points, QUERY_GROUP, scale), _PACK_SQL), "queries")
     stats = lambda df, *by: df.select("pack", F.inline("stats")).groupBy(*by).agg(F.sum("n").alias("n"), F.max("radius").alias("radius"), F.max("norm").alias("norm")).collect()
     bounds = _bounds(stats(asked, "pack", "cell"), stats(packed, "cell"), points, k)
     sent = packed.mapInArrow(_replicate(bounds, points), "pack long, dim int, ids binary, vectors binary")
