@@ -114,3 +114,28 @@ class Stream:
 def exact_sum(values: pd.Series) -> float:
     """A group's sum, rounded once, whatever the order."""
     return math.fsum(values.dropna())
+
+
+def table_lines(df: DataFrame, table: str, columns: list[str], keys: list[str]) -> DataFrame:
+    """(table, key, line): each row as canonical JSON of fixed columns; doubles with six places, text in NFC. A missing column is an error."""
+    from .text import nfc
+
+    lacking = [c for c in columns if c not in df.columns]
+    if lacking:
+        raise ValueError(f"{table} lacks {lacking}")
+
+    def value(name: str) -> Column:
+        kind = df.schema[name].dataType
+        if isinstance(kind, T.DoubleType):
+            return F.when(F.col(name).isNotNull(), F.format_string("%.6f", F.col(name) + 0.0))
+        return F.col(name) if isinstance(kind, (T.IntegerType, T.LongType, T.BooleanType)) else nfc(F.col(name).cast("string"))
+
+    row = df.select(F.array(*[F.col(k).cast("string") for k in keys]).alias("key"), *[value(c).alias(c) for c in sorted(columns)])
+    line = F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"})
+    return row.select(F.lit(table).alias("table"), "key", line.alias("line"))
+
+
+def dump_digest(lines: DataFrame) -> DataFrame:
+    """(table, n, digest) over the lines of each table in the order of their keys; a key that stands twice makes the digest null."""
+    g = lines.groupBy("table").agg(F.array_sort(F.collect_list(F.struct("key", "line"))).alias("r"), F.count("*").alias("n"), F.count_distinct("key").alias("d"))
+    return g.select("table", "n", F.when(F.col("n") == F.col("d"), file_digest(F.concat(F.array_join("r.line", "\n"), F.lit("\n")))).alias("digest"))
