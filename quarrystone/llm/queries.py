@@ -56,7 +56,7 @@ def op9_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.derivatives(warc.responses(table(spark, sf_dir, "pages")))
+    return warc.derivatives(warc.responses(table(spark, sf_dir, "pages"))).withColumnRenamed("key", "page_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -111,5 +111,30 @@ select query_id, rank::int as rank, vec_id, score from (select *, row_number() o
 """
 
 
+def _sql_text(html: str) -> str:
+    """plain_text() as SQL."""
+    text = f"regexp_replace({html}, '{warc.HIDDEN}', ' ', 'g')"
+    text = f"regexp_replace(regexp_replace({text}, '{warc.BREAKS}', chr(10), 'g'), '{warc.TAG}', ' ', 'g')"
+    for entity, sign in warc.ENTITIES:
+        text = f"replace({text}, '{entity}', '{sign.replace(chr(39), chr(39) * 2)}')"
+    text = rf"regexp_replace(regexp_replace({text}, '[ \t\r\f\x0B]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g')"
+    return rf"regexp_replace({text}, '^[ \n]+|[ \n]+$', '', 'g')"
+
+
+def _sql_urn(*parts: str) -> str:
+    h = f"md5(concat_ws(chr(10), {', '.join(parts)}))"
+    return "'<urn:uuid:' || " + " || '-' || ".join(f"substr({h}, {k}, {n})" for k, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))) + " || '>'"
+
+
+_OP10 = rf"""
+with answers as (select page_id, {_sql_urn("'response'", "coalesce(page_id::varchar, '')", "coalesce(url, '')", "sha256(coalesce(html, ''))")} as refers_to, url as target_uri, coalesce(html, '') as h, 'sha256:' || sha256(coalesce(html, '')) as source_digest from pages),
+blocks as (select page_id, 'conversion' as type, 'text/plain' as content_type, refers_to, target_uri, source_digest, {_sql_text("h")} as block from answers
+  union all select page_id, 'metadata', 'application/json', refers_to, target_uri, source_digest, json_object('envelope', json_object('refers_to', refers_to, 'target_uri', target_uri, 'payload_digest', source_digest),
+    'headers', json_object('Content-Type', 'text/html; charset=utf-8', 'Content-Length', strlen(h)::varchar), 'title', {_sql_text("regexp_extract(h, '(?is)<title[^>]*>(.*?)</title>', 1)")},
+    'lang', regexp_extract(h, '(?i)<html[^>]*\blang\s*=\s*"([^"]*)"', 1), 'links', to_json(regexp_extract_all(h, '(?is)<a\s[^>]*?href\s*=\s*"([^"]*)"[^>]*>', 1)))::varchar from answers)
+select page_id, type, {_sql_urn("type", "refers_to")} as record_id, refers_to, target_uri, '{warc.WARC_DATE}' as date, source_digest, content_type, 'sha256:' || sha256(block) as block_digest, strlen(block)::bigint as content_length, block from blocks
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_pareto_mixture": _OP1, "op5_fm_decontamination": _OP5, "op9_voronoi_knn": _OP9}
+    return {"op1_pareto_mixture": _OP1, "op5_fm_decontamination": _OP5, "op9_voronoi_knn": _OP9, "op10_warc_derivatives": _OP10}
