@@ -19,7 +19,6 @@ what which who whom when where why how all any both each few more most other som
 
 #: Runs of ASCII word characters or of common Chinese characters; all else separates.
 SEGMENT = "[一-鿿]+|[a-z0-9_]+"
-_CJK = "^[一-鿿]"
 
 
 @F.pandas_udf(T.StringType())
@@ -58,10 +57,9 @@ def pieces(word: Column, n: int) -> Column:
 
 def tokens(text: Column) -> Column:
     """Tokens of a normalised text in order, repeats kept: ASCII runs of two characters or more, neighbouring pairs of Chinese ones; no stop words."""
-    ascii_only = F.array_except(F.array(F.lit("x")), F.array(F.lit("x"))).cast("array<string>")
-    each = F.transform(segments(text), lambda s: F.when(s.rlike(_CJK), pieces(s, 2)).when(F.length(s) >= 2, F.array(s)).otherwise(ascii_only))
-    stop = F.array(*[F.lit(w) for w in STOPWORDS])
-    return F.filter(F.flatten(each), lambda t: ~F.array_contains(stop, t))
+    long = F.regexp_extract_all(F.lower(text), F.lit("[一-鿿]{2,}|[a-z0-9_]{2,}"), F.lit(0))
+    paired = F.flatten(F.transform(long, lambda s: F.when(s >= "一", pieces(s, 2)).otherwise(F.array(s))))
+    return F.filter(F.when(text.rlike("[一-鿿]"), paired).otherwise(long), lambda t: ~t.isin(*STOPWORDS))
 
 
 def grams(text: Column) -> Column:

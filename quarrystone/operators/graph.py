@@ -2,40 +2,32 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.storage import kept
+
 #: Rounds between writes of what has been reached.
 CUT_EVERY = 4
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """df by way of a checkpoint in the folder that the session names, which all executors share."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or f"/tmp/quarrystone-checkpoints/{uuid.uuid4().hex}")
-    return df.checkpoint()
-
-
 def closure(edges: DataFrame, roots: DataFrame, source: str = "source_ref", target: str = "target_ref", most: int = 10_000) -> DataFrame:
     """(root, ref, depth): what each root reaches over edges from source to target, itself at depth 0, least depth.
 
     Each round joins the frontier with the edges and drops what was reached before, so cycles end; it stops
     when nothing new is found. Reverse closures swap source and target.
     """
-    steps = edges.select(F.col(source).alias("_s"), F.col(target).alias("_t")).where("_t is not null").distinct()
+    steps = kept(edges.select(F.col(source).alias("_s"), F.col(target).alias("_t")).where("_t is not null"))  # read in each round
     reached = roots.select(F.col("ref").alias("root"), "ref", F.lit(0).alias("depth")).distinct()
     frontier = reached
     for depth in range(1, most + 1):
         new = frontier.join(steps, frontier["ref"] == steps["_s"]).select("root", F.col("_t").alias("ref")).distinct()
-        new = _kept(new.join(reached.select("root", "ref"), ["root", "ref"], "left_anti").withColumn("depth", F.lit(depth)))
+        new = kept(new.join(reached.select("root", "ref"), ["root", "ref"], "left_anti").withColumn("depth", F.lit(depth)))
         if new.isEmpty():
             break
         reached = reached.unionByName(new)
         if depth % CUT_EVERY == 0:
-            reached = _kept(reached)
+            reached = kept(reached)
         frontier = new
     return reached
 
@@ -64,11 +56,11 @@ def dependencies(edges: DataFrame, roots: DataFrame) -> DataFrame:
 
 def cyclic(edges: DataFrame, most: int = 10_000) -> DataFrame:
     """Nodes on a cycle or upstream of one: leaves are peeled until none is left."""
-    now = _kept(edges.select(F.col("source_ref").alias("s"), F.col("target_ref").alias("t")).where("t is not null").distinct())
+    now = kept(edges.select(F.col("source_ref").alias("s"), F.col("target_ref").alias("t")).where("t is not null").distinct())
     n = now.count()
     for _ in range(most):
         inner = now.select(F.col("s").alias("k")).distinct()
-        now = _kept(now.join(inner, now["t"] == inner["k"], "left_semi"))
+        now = kept(now.join(inner, now["t"] == inner["k"], "left_semi"))
         before, n = n, now.count()
         if n == before:
             break

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import text as X
+from ..functions.storage import kept
 
 COSINE, GRAMS, UNITS, LOW = 0.7, 0.3, 1_000_000_000, 200_000_000
 #: n-grams of queries that are sent to all tasks at once.
@@ -27,13 +34,13 @@ def rank(docs: DataFrame, queries: DataFrame, k: int = 50, key: str = "id", text
     queries: query_id and a normalised text. tf is 1 + ln n, idf is ln((N + 1) / (df + 1)) + 1 with N all documents, those without
     tokens too. Cosine and the share of the query's n-grams are weighed 0.7 to 0.3 and rounded half to even
     in units of 1e-9; zeros drop out; ties go by key in byte order. Only terms of queries are joined, and only candidates are
-    compared by n-grams, as arrays. A query without tokens has no rows.
+    compared by n-grams. A query without tokens has no rows.
     """
     docs = docs.select(key, text).repartition(text)  # texts are uneven and few files may hold them
     size = F.lit(docs.count())
     q = queries.select("query_id", X.tokens(F.col("text")).alias("toks"), X.grams(F.col("text")).alias("q_grams")).where(F.size("toks") > 0)
     q_terms = q.select("query_id", F.explode("toks").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qn"))
-    t = terms(docs, key, text)
+    t = kept(terms(docs, key, text))
     df = frequencies(t)
     idf = F.log((size + 1) / (F.col("df") + 1)) + 1
     weighed = t.join(df, "term").withColumn("w", (F.log("n") + 1) * idf)
@@ -49,21 +56,61 @@ def rank(docs: DataFrame, queries: DataFrame, k: int = 50, key: str = "id", text
     return both.withColumn("score_q", score).where("score_q > 0").withColumn("rank", order).where(F.col("rank") <= k).select("query_id", "rank", key, "score_q")
 
 
+_SIGNS = "abcdefghijklmnopqrstuvwxyz0123456789_"
+_CODE = bytes(_SIGNS.find(chr(c)) + 1 if chr(c) in _SIGNS else 0 for c in range(256))
+_WIDE = len(_SIGNS) + 1
+_CJK = re.compile("[一-鿿]{2,}")
+
+
+def _codes(data: np.ndarray) -> np.ndarray:
+    """Numbers of the pairs and triples of word characters in coded text (0 separates); triples come after all pairs."""
+    x = data.astype(np.int32)
+    pair = (x[:-1] * _WIDE + x[1:])[(x[:-1] > 0) & (x[1:] > 0)]
+    triple = ((x[:-2] * _WIDE + x[1:-1]) * _WIDE + x[2:])[(x[:-2] > 0) & (x[1:-1] > 0) & (x[2:] > 0)]
+    return np.concatenate([pair, triple + _WIDE**2])
+
+
+def _cjk(text: str) -> set[str]:
+    return {s[k : k + n] for s in _CJK.findall(text) for n in (2, 3) for k in range(len(s) - n + 1)}
+
+
 def gram_ratios(docs: DataFrame, q: DataFrame, key: str, text: str) -> DataFrame:
     """(query_id, key, ratio > 0): the share of a query's n-grams that a document has.
 
-    The queries are taken in blocks of a bounded number of n-grams, counted first; each document's set is
-    intersected with those of a block where it lies.
+    The queries are taken in blocks of a bounded number of n-grams, counted first. A document's n-grams are marked in a table of all pairs and
+    triples of word characters (those of Chinese ones in a set), where a whole block is looked up at once.
     """
     total = q.agg(F.sum(F.size("q_grams"))).first()[0] or 0
     blocks, out = max(1, -(-total // BLOCK_GRAMS)), None
-    own = docs.select(key, X.grams(F.col(text)).alias("g"))
+    kind = T.StructType([q.schema["query_id"], docs.schema[key], T.StructField("ratio", T.DoubleType())])
     for b in range(blocks):
-        part = q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        block = part.agg(F.collect_list(F.struct("query_id", "q_grams")).alias("block"))  # one row
-        each = own.join(F.broadcast(block)).select(key, "g", F.inline("block"))
-        shared = F.size(F.array_intersect("q_grams", "g"))
-        part = each.select("query_id", key, F.coalesce(F.try_divide(shared, F.size("q_grams")), F.lit(0.0)).alias("ratio")).where("ratio > 0")
+        rows = [r for r in q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).select("query_id", "q_grams").collect() if r["q_grams"]]
+        codes = [_codes(np.frombuffer(g.encode().translate(_CODE), np.uint8)).max() for r in rows for g in r["q_grams"] if g.isascii()]
+        plain = [sum(g.isascii() for g in r["q_grams"]) for r in rows]
+        others = [frozenset(g for g in r["q_grams"] if not g.isascii()) for r in rows]
+        ids, sizes = [r["query_id"] for r in rows], np.array([len(r["q_grams"]) for r in rows])
+        codes, owner = np.array(codes, np.int64), np.repeat(np.arange(len(rows)), plain)
+
+        def each(batches, codes=codes, owner=owner, others=others, ids=ids, sizes=sizes):
+            here = np.zeros(_WIDE**3 + _WIDE**2, bool)
+            for b in batches:
+                found = ([], [], [])
+                for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    low = (t or "").lower()
+                    mine = _codes(np.frombuffer(low.encode("utf-8", "replace").translate(_CODE), np.uint8))
+                    here[mine] = True
+                    n = np.bincount(owner[here[codes]], minlength=len(ids))
+                    here[mine] = False
+                    if not low.isascii() and any(others):
+                        own = _cjk(low)
+                        n = n + np.array([len(own & o) for o in others])
+                    for j in np.flatnonzero(n):
+                        found[0].append(ids[j])
+                        found[1].append(k)
+                        found[2].append(n[j] / sizes[j])
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=f) for c, f in zip(found, to_arrow_schema(kind).types, strict=True)], names=kind.names)
+
+        part = docs.select(key, text).mapInArrow(each, kind)
         out = part if out is None else out.unionByName(part)
     return out
 

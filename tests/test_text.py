@@ -34,6 +34,15 @@ def test_rank_orders_ties_by_id_and_drops_zeros(spark):
     assert {r["query_id"] for r in got} == {1}
 
 
+def test_gram_ratios_equal_sets(spark):
+    docs = spark.createDataFrame([("a", "alpha_1 béta 长上下文x"), ("b", ""), ("c", "上下 lph"), ("d", None)], "id string, norm string")
+    q = spark.createDataFrame([(1, "alpha 上下文"), (2, "zz")], "query_id int, text string").select("query_id", X.grams(F.col("text")).alias("q_grams"))
+    got = {(r["query_id"], r["id"]): r["ratio"] for r in semantic.gram_ratios(docs, q, "id", "norm").collect()}
+    sets = {r["id"]: set(r["g"] or []) for r in docs.select("id", X.grams(F.col("norm")).alias("g")).collect()}
+    want = {(r["query_id"], i): len(s & set(r["q_grams"])) / len(r["q_grams"]) for r in q.collect() for i, s in sets.items() if s & set(r["q_grams"])}
+    assert got == want
+
+
 def test_structure_faults(spark):
     docs = spark.createDataFrame([("a",), ("b",)], "id string")
     terms = spark.createDataFrame([("a", "x1", 1.0), ("a", "x1", 1.0), ("z", "", -1.0)], "id string, term string, tf double")
