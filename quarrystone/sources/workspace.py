@@ -14,8 +14,8 @@ from pyspark.sql import types as T
 from ..functions.hashing import file_digest, manifest_digest
 from . import yaml
 
-#: Relative paths that begin so are no part of a tree (fixed values).
-SKIPPED = (".index", ".git", ".researchctl")
+#: Relative paths that begin so are no part of a tree; a tool's own folder is added by the caller.
+SKIPPED = (".index", ".git")
 #: Suffixes of files that the semantic corpus holds (fixed values).
 CORPUS = (".md", ".yaml", ".yml", ".txt", ".csv", ".json", ".log")
 
@@ -53,7 +53,7 @@ def parsed(text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([one(t) for t in text], columns=_META.names)
 
 
-def scan(spark: SparkSession, root: str) -> DataFrame:
+def scan(spark: SparkSession, root: str, skipped: tuple[str, ...] = SKIPPED) -> DataFrame:
     """(path, content, content_hash, size) of the files under root, by Spark's reader; path is relative."""
     base = re.sub(r"/+$", "", root)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
@@ -62,7 +62,7 @@ def scan(spark: SparkSession, root: str) -> DataFrame:
     plain = lambda c: F.regexp_replace(F.regexp_replace(c, r"^[a-z]+:/+", "/"), "%20", " ")
     rel = F.substring(plain(F.col("path")), len(re.sub(r"^[a-z]+:/+", "/", head)) + 2, 1 << 20)
     out = files.select(rel.alias("path"), "content", file_digest(F.col("content")).alias("content_hash"), F.col("length").alias("size"))
-    for s in SKIPPED:
+    for s in skipped:
         out = out.where(~F.col("path").startswith(s))
     return out
 
