@@ -44,36 +44,37 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     return rows.select("source", "source_size", F.least("cap", F.coalesce(F.col("level") * F.col("weight"), F.col("cap"))).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MAX_COPIES, seed: int = SEED, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """One row for each row of docs: doc_id, source, size, source_size, target, copies, taken (copies * size), inclusion.
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MAX_COPIES, seed: int = SEED, doc_id: str = "doc_id", text: str = "text", source: str = "source", preference: Column | None = None) -> DataFrame:
+    """One row for each row of docs: doc_id, source, size, source_size, target, inclusion, content (a hash), copies, taken (copies * size).
 
-    A document's expected copies are its source's target by its source's size: the whole part is certain; for the rest,
-    documents are ranked by the odds of a random number over the odds of their inclusion, and the first of a
+    A document's expected copies are in proportion to its preference (by default alike within a source), such that a source's words come to its
+    target, and at most `most`: the whole part is certain; for the rest, documents are ranked by the odds of a random number over the odds of their inclusion, and the first of a
     source are taken, up to the words that the source still lacks; the one that crosses that line is taken if that comes nearer.
-    So a source's words miss the target by half a document at most. The order within a source is found without sorting it whole: ranks fall into
+    So a source's words miss the target by half a document at most, unless preferences leave too few that may be taken. The order within a source is found without sorting it whole: ranks fall into
     about the root of the source's rows many buckets, whose sums lead to the bucket that crosses the line, and only that one is sorted.
-    Reruns agree. A null text has size 0 and is taken 0 times its size; a null source is a source of its own; repeated rows are
+    Reruns agree. A null text has size 0 and is taken 0 times its size; a null source is a source of its own; a null preference is 0; repeated rows are
     ranked apart in their order of content and may differ in copies only where they tie. An empty table gives no rows.
     """
+    liking = F.lit(1.0) if preference is None else F.greatest(F.coalesce(preference.cast("double"), F.lit(0.0)), F.lit(0.0))
     base = docs.select(
-        F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"), F.xxhash64(text).alias("content")
+        F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"), F.xxhash64(text).alias("content"), liking.alias("liking")
     )
     base = hold(base, "sizes")
-    sums = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
-    goals = hold(targets(sums, weights, share, most), "targets")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    whole = F.floor(rate + F.lit(1e-12))
-    goals = _with_rows(goals, sums).select(
-        F.col("source").alias("of"), "source_size", "target", whole.alias("whole"), F.greatest(rate - whole, F.lit(0.0)).alias("inclusion"),
-        (F.col("target") - whole * F.col("source_size")).alias("lack"), F.ceil(F.sqrt("rows")).alias("buckets"),
-    )
-    goals = hold(goals, "goals")
-    u = uniform(seed, "doc_id")
+    sums = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"), F.sum(F.col("liking") * F.col("size")).alias("liked"))
+    goals = targets(sums.select("source", "source_size"), weights, share, most)
+    other = sums.select(F.col("source").alias("other"), "rows", "liked")
+    goals = hold(goals.join(other, F.col("source").eqNullSafe(F.col("other"))).select(F.col("source").alias("of"), "source_size", "target", "liked", F.ceil(F.sqrt("rows")).alias("buckets")), "goals")
+    rate = F.when(F.col("liked") > 0, F.least(F.try_divide(F.col("target") * F.col("liking"), F.col("liked")), F.lit(float(most)))).otherwise(F.lit(0.0))
+    rated = base.join(goals, F.col("source").eqNullSafe(F.col("of"))).withColumn("rate", rate)
+    rated = rated.withColumn("whole", F.floor(F.col("rate") + F.lit(1e-12)))
+    rated = rated.withColumn("inclusion", F.greatest(F.col("rate") - F.col("whole"), F.lit(0.0)))
+    lacks = rated.groupBy("of", "target").agg((F.col("target") - F.sum(F.col("whole") * F.col("size"))).alias("lack"), F.avg("inclusion").alias("mean"))
+    lacks = hold(lacks.select(F.col("of").alias("in"), "lack", F.try_divide(F.col("mean"), 1 - F.col("mean")).alias("usual")), "lacks")
     odds = F.col("inclusion") / (1 - F.col("inclusion"))
-    ranked = base.join(goals, F.col("source").eqNullSafe(F.col("of"))).withColumn("u", u)
+    ranked = rated.join(lacks, F.col("of").eqNullSafe(F.col("in"))).withColumn("u", uniform(seed, "doc_id"))
     ranked = ranked.withColumn("rank", F.when(F.col("inclusion") > 0, F.try_divide(F.col("u") / (1 - F.col("u")), odds)))
-    # ranks of a source rise with u, which spreads evenly over the buckets whatever the inclusion
-    ranked = ranked.withColumn("bucket", F.least(F.floor(F.col("u") * F.col("buckets")), F.col("buckets") - 1))
+    spread = F.col("rank") * F.col("usual")  # the same order, spread over the buckets about evenly whatever the inclusion
+    ranked = ranked.withColumn("bucket", F.least(F.floor(spread / (1 + spread) * F.col("buckets")), F.col("buckets") - 1))
     sampled = F.expr("inclusion > 0")
     chosen = ranked.where(sampled)
     by_bucket = chosen.groupBy("of", "bucket").agg(F.sum("size").alias("words"), F.first("lack").alias("lack"))
@@ -91,11 +92,6 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     return both.withColumn("taken", F.col("copies") * F.col("size"))
 
 
-def _with_rows(goals: DataFrame, sums: DataFrame) -> DataFrame:
-    other = sums.select(F.col("source").alias("other"), "rows")
-    return goals.join(other, F.col("source").eqNullSafe(F.col("other"))).drop("other")
-
-
 def mixed(docs: DataFrame, **params) -> DataFrame:
     """docs with each row as often as the mix takes it, in its own columns."""
     named = docs.columns

@@ -231,6 +231,17 @@ def test_mixture(spark, texts):
         assert [r["taken"] for r in mixture.mix(_docs(spark, odd)).collect()] == [0] * len(odd)
 
 
+def test_preferences_make_inclusion_unequal(spark):
+    rows = [(k, "w " * (5 + k % 7), "ab"[k % 2]) for k in range(3000)]
+    got = mixture.mix(_docs(spark, rows), weights=(1.0, 1.0), share=0.3, preference=F.when(F.col("doc_id") % 3 == 0, 3.0).otherwise(1.0)).collect()
+    for s in "ab":
+        mine = [r for r in got if r["source"] == s]
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= 6
+        much, less = (np.mean([r["copies"] > 0 for r in mine if (r["doc_id"] % 3 == 0) == m]) for m in (True, False))
+        assert much == pytest.approx(3 * less, rel=0.25)
+        assert len({round(r["inclusion"], 9) for r in mine}) == 2
+
+
 # ---- 2
 
 
