@@ -127,7 +127,7 @@ def fuse(scored: DataFrame, langs: list[str]) -> DataFrame:
     priors = hosts.join(domains, ["domain", "suffix"]).join(ends, "suffix")
     by_suffix = _shares(F.col("suffix_n"), F.col("suffix_c"), overall)
     by_domain = _shares(F.col("domain_n"), F.col("domain_c"), by_suffix)
-    priors = hold(priors.select(F.col("host").alias("of"), _shares(F.col("host_n"), F.col("host_c"), by_domain).alias("prior")), "priors")
+    priors = hold(priors.select("host", "domain", "suffix", _shares(F.col("host_n"), F.col("host_c"), by_domain).alias("prior")), "priors")
     said = F.coalesce(F.array_position(F.array(*[F.lit(x) for x in langs] or [F.lit("")]), F.col("declared")).cast("int"), F.lit(-1))  # 0: another language
     scored = scored.withColumn("said", said)
     pairs = scored.where("guess is not null and said >= 0").groupBy("guess", "said").count().collect()  # a row for two languages
@@ -136,7 +136,7 @@ def fuse(scored: DataFrame, langs: list[str]) -> DataFrame:
         seen[r["guess"], r["said"]] = r["count"]
     seen = np.log((seen + SMOOTH / (n + 1)) / (seen.sum(1, keepdims=True) + SMOOTH))
     declares = F.array(*[F.array(*[F.lit(float(seen[k, s])) for k in range(max(1, n))]) for s in range(n + 1)])
-    rows = scored.join(priors, scored["host"] == priors["of"], "left").drop("of")
+    rows = scored.join(priors, ["host", "domain", "suffix"], "left")
     prior = F.transform(F.coalesce("prior", overall), lambda p: F.ln(p))
     declared = F.when(F.col("said") >= 0, F.element_at(declares, F.greatest(F.col("said"), F.lit(0)) + 1)).otherwise(F.array_repeat(F.lit(0.0), max(1, n)))
     text = F.transform("ll", lambda x: x * F.least(F.col("grams"), F.lit(EVIDENCE)))

@@ -184,6 +184,7 @@ def top_k(data: DataFrame, queries: DataFrame, k: int = K, vec_id: str = "vec_id
     data, queries = data.select(vec_id, embedding), queries.select(vec_id, embedding)
     finite = f"`{embedding}` is not null and forall(`{embedding}`, x -> x is not null and not isnan(x) and abs(x) < double('inf'))"
     sample = data.where(f"`{vec_id}` is not null and {finite}").orderBy(F.xxhash64(vec_id, embedding), vec_id).limit(pivots).collect()
+    sample = list({r[0]: r for r in sample}.values())  # a row for an id, as a query's own rows don't count
     chosen = [np.floor(scale * np.array(r[1], np.float64)).astype(np.int64) for r in sample] or [np.zeros(1, np.int64)]
     dim = max(map(len, chosen))
     points = np.array([np.pad(p, (0, dim - len(p))) for p in chosen])
@@ -193,7 +194,8 @@ def top_k(data: DataFrame, queries: DataFrame, k: int = K, vec_id: str = "vec_id
     placed = placed.repartitionByRange("__cell", vec_id).sortWithinPartitions("__cell", vec_id)  # a group of queries is one of neighbouring cells
     asked = hold(placed.select(vec_id, embedding).mapInArrow(_packer(points, QUERY_GROUP, scale), _PACK_SQL), "queries")
     stats = lambda df, *by: df.select("pack", F.inline("stats")).groupBy(*by).agg(F.sum("n").alias("n"), F.max("radius").alias("radius"), F.max("norm").alias("norm")).collect()
-    bounds = _bounds(stats(asked, "pack", "cell"), stats(packed, "cell"), points, k)
+    own = data.join(queries.select(F.col(vec_id).alias("__q")).distinct(), F.col(vec_id) == F.col("__q"), "left_semi").groupBy(vec_id).count().agg(F.max("count")).first()[0] or 1
+    bounds = _bounds(stats(asked, "pack", "cell"), stats(packed, "cell"), points, k + own - 1)  # a query's own rows are as many at most
     sent = packed.mapInArrow(_replicate(bounds, points), "pack long, dim int, ids binary, vectors binary")
     groups = asked.select("pack", F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
 

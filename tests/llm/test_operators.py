@@ -195,6 +195,8 @@ def test_top_k(spark):
             want |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(best)}
     assert {tuple(r) for r in got} == want and len(got) == len(want)
     assert voronoi.top_k(df.limit(0), df.limit(0)).count() == 0
+    twice = df.where("vec_id < 30").unionByName(df.where("vec_id = 0")).unionByName(df.where("vec_id = 0"))
+    assert sorted(r["vec_id"] for r in voronoi.top_k(twice, twice.where("vec_id = 0"), k=29).collect()) == list(range(1, 30))
     few = df.where("vec_id < 3")
     assert voronoi.top_k(few, few.where("vec_id = 0")).count() == 2
 
