@@ -17,8 +17,8 @@ from .graph import components
 SHINGLE_WORDS, SEED, RADIUS = 4, 42, 4
 #: Tiles at most, as long as none holds over TILE_MAX fingerprints (8 bytes each); a small table has fewer, of TILE_LEAST.
 TILES, TILE_MAX, TILE_LEAST = 48, 1 << 20, 4096
-#: Fingerprints compared at once with as many others.
-BLOCK = 256
+#: Fingerprints of a block, and blocks that a block is held against at once.
+BLOCK, AT_ONCE = 64, 64
 
 _CHUNK = 1 << 15
 
@@ -61,10 +61,17 @@ def counts(x: np.ndarray) -> np.ndarray:
     return np.stack([np.bitwise_count((x >> np.uint64(s)) & np.uint64(0xFFFF)) for s in (48, 32, 16, 0)], axis=1).astype(np.int16)
 
 
-def _apart(lo_a: np.ndarray, hi_a: np.ndarray, lo_b: np.ndarray, hi_b: np.ndarray) -> np.ndarray:
-    """Least distance that the population counts leave between boxes of counts, for each a (rows) and b (columns)."""
-    gap = np.maximum(lo_a[:, None] - hi_b[None], lo_b[None] - hi_a[:, None])
-    return np.maximum(gap, 0).sum(-1)
+def _boxes(x: np.ndarray, starts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Least and most population counts of each block, of its fingerprints' quarters, halves and wholes."""
+    q = counts(x)
+    parts = (q, q.reshape(-1, 2, 2).sum(2), q.sum(1, keepdims=True))
+    return [(np.minimum.reduceat(c, starts, axis=0), np.maximum.reduceat(c, starts, axis=0)) for c in parts]
+
+
+def _apart(one: list, row: int, many: list, first: int) -> np.ndarray:
+    """Least distance that the population counts leave between a block and each of the blocks from first on."""
+    gaps = [np.maximum(lo[row] - high[first:], low[first:] - hi[row]) for (lo, hi), (low, high) in zip(one, many, strict=True)]
+    return np.maximum.reduce([np.maximum(g, 0).sum(1) for g in gaps])
 
 
 class Forest:
@@ -100,25 +107,29 @@ def compare_tiles(a: np.ndarray, b: np.ndarray | None, radius: int = RADIUS, blo
     whole = a if b is None else np.concatenate([a, b])
     right, base = (a, 0) if b is None else (b, len(a))
     starts = [np.arange(0, len(x), block) for x in (a, right)]
-    boxes = [(f.reduceat(counts(x), s, axis=0)) for x, s in ((a, starts[0]), (right, starts[1])) for f in (np.minimum, np.maximum)]
+    left_boxes, right_boxes = _boxes(a, starts[0]), _boxes(right, starts[1])
+    grid = np.append(right, np.full(-len(right) % block, right[-1])).reshape(-1, block)  # filled up with its last one
     forest = Forest(len(whole))
     found: list[tuple[np.ndarray, np.ndarray]] = []
     waiting = 0
     for r in range(len(starts[0])):
         first = r if b is None else 0
-        near = _apart(boxes[0][r : r + 1], boxes[1][r : r + 1], boxes[2][first:], boxes[3][first:])[0]
+        near = np.flatnonzero(_apart(left_boxes, r, right_boxes, first) <= radius) + first
         left = a[starts[0][r] : starts[0][r] + block]
-        for c in np.flatnonzero(near <= radius) + first:
-            there = right[starts[1][c] : starts[1][c] + block]
-            i, j = np.nonzero(np.bitwise_count(left[:, None] ^ there[None]) <= radius)
-            if b is None and c == r:
+        for k in range(0, len(near), AT_ONCE):
+            some = near[k : k + AT_ONCE]
+            close = np.bitwise_count(left[:, None] ^ grid[some].reshape(1, -1)) <= radius
+            if not close.any():
+                continue
+            i, j = np.divmod(np.flatnonzero(close), close.shape[1])
+            i, j = i + starts[0][r], np.minimum(some[j // block] * block + j % block, len(right) - 1)
+            if b is None:
                 i, j = i[i < j], j[i < j]
-            if len(i):
-                found.append((i + starts[0][r], j + starts[1][c] + base))
-                waiting += len(i)
-                if waiting > 1 << 20:
-                    forest.join(*(np.concatenate(x) for x in zip(*found, strict=True)))
-                    found, waiting = [], 0
+            found.append((i, j + base))
+            waiting += len(i)
+            if waiting > 1 << 20:
+                forest.join(*(np.concatenate(x) for x in zip(*found, strict=True)))
+                found, waiting = [], 0
     if found:
         forest.join(*(np.concatenate(x) for x in zip(*found, strict=True)))
     moved = np.flatnonzero(forest.up != np.arange(len(whole)))
