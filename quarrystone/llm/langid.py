@@ -6,14 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_batches, hold
 from .urls import host_of
 from .warc import plain_text
 
-#: Texts of each language that the n-gram model is fitted on, at most; languages at most, the most frequent.
+#: Texts of each language that the n-gram model is fitted on, about; languages at most, the most frequent.
 FIT_ROWS, LANGUAGES = 300, 64
 #: A text's likelihood counts as that of so many n-grams at most: neighbouring n-grams aren't independent.
 EVIDENCE = 60
@@ -41,18 +41,15 @@ def grams(raw: bytes | None) -> Iterator[np.ndarray]:
 def fit(labelled: DataFrame, rows: int = FIT_ROWS) -> tuple[list[str], np.ndarray]:
     """Languages and the logarithm of each trigram slot's share in each, from a bounded sample of (text, lang).
 
-    Counted are the `rows` different texts of a language that are first by hash. Hashes alone tell where that line lies;
-    only the texts within it move, and a row of counts for each language and task of the few that hold them comes to the driver.
+    Counted are the different texts of a language whose hash lies below a line, set so that about `rows` of its texts do. Only those
+    move, and a row of counts for each language and task of the few that hold them comes to the driver.
     """
     labelled = labelled.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("text").alias("h"))
-    top = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
-    langs = sorted(r["lang"] for r in top.collect())
-    order = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    first = labelled.where(F.col("lang").isin(langs)).select("lang", "h").distinct().withColumn("nth", order).where(F.col("nth") <= rows)
-    lines = {r["lang"]: r["line"] for r in first.groupBy("lang").agg(F.max("h").alias("line")).collect()}
+    top = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    langs = sorted(r["lang"] for r in top)
     within = F.lit(False)
-    for lang, line in lines.items():
-        within = within | ((F.col("lang") == lang) & (F.col("h") <= line))
+    for r in top:
+        within = within | ((F.col("lang") == r["lang"]) & (F.col("h") <= min((1 << 63) - 1, (1 << 64) * rows // r["count"] - (1 << 63))))
     sample = labelled.where(within).dropDuplicates(["lang", "h"]).coalesce(4)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
