@@ -659,7 +659,7 @@ def bootstrap_ci(t: Substrate) -> DataFrame:
     k = F.col("o_custkey")
     o = t.table("orders").groupBy(F.col("o_orderstatus").alias("participant"), F.concat(F.lit("F"), (k % 4).cast("string")).alias("family"), F.floor((k % 100) / 4).cast("long").alias("instance"))
     o = o.agg(F.avg((F.col("o_totalprice") > 150000).cast("double")).alias("score"))
-    return scoring.interval(scoring.bootstrap(o, "f25bf832810e022df4c1a9ff893497c3e4fc83f844efeb0bee3221f7c03a96cf", replicates=400))
+    return scoring.interval(scoring.bootstrap(o, "f25bf832810e022df4c1a9ff893497c3e4fc83f844efeb0bee3221f7c03a96cf"))
 
 
 # ---- transactions

@@ -40,3 +40,12 @@ def test_entry():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_bootstrap_query_runs_all_replicates(spark, monkeypatch):
+    from quarrystone.operators import scoring
+
+    given, real = [], scoring.interval
+    monkeypatch.setattr(scoring, "interval", lambda e: given.append(e) or real(e))
+    queries.queries()["bootstrap_ci"](spark, ROOT)
+    assert given[0].select("replicate").distinct().count() == 10_000
