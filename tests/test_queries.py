@@ -49,3 +49,22 @@ def test_bootstrap_query_runs_all_replicates(spark, monkeypatch):
     monkeypatch.setattr(scoring, "interval", lambda e: given.append(e) or real(e))
     queries.queries()["bootstrap_ci"](spark, ROOT)
     assert given[0].select("replicate").distinct().count() == 10_000
+
+
+def test_gold_tokens_are_matched_whole(spark, tmp_path):
+    import shutil
+
+    root = shutil.copytree(ROOT, tmp_path / "t")
+    item = "aa bb cc dd ee ff gg hh"
+    c = duckdb.connect()
+    for name, change in (("benchmark", f"'{item}' as text"), ("documents", f"case when doc_id % 2 = 0 then '{item} ii' else 'aa bb cc dd ee ff' end as text")):
+        c.execute(f"copy (select * replace ({change}) from '{ROOT}/{name}.parquet') to '{root}/{name}.parquet' (format parquet)")
+    docs = f"'{root}/documents.parquet'"
+    for keep, some in (("= 0", True), ("= 1", False)):
+        c.execute(f"copy (select * from {docs} where doc_id % 2 {keep}) to '{root}/part.parquet' (format parquet)")
+        shutil.copy(f"{root}/part.parquet", f"{tmp_path}/{some}.parquet")
+    found = {}
+    for some in (True, False):
+        shutil.copy(f"{tmp_path}/{some}.parquet", f"{root}/documents.parquet")
+        found[some] = queries.queries()["gold_token_match_whole"](spark, str(root)).count()
+    assert found[True] and not found[False]
