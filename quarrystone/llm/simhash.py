@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -203,12 +204,12 @@ def links(distinct: DataFrame, radius: int = RADIUS, tiles: int = TILES, most: i
 
 
 def classes(prints: DataFrame, doc_id: str = "doc_id", radius: int = RADIUS, tiles: int = TILES) -> DataFrame:
-    """(fp, component_id): for each distinct fingerprint the smallest document reachable over links."""
+    """(fp, component_id, root): for each distinct fingerprint the smallest document reachable over links, and the fingerprint that stands for its component."""
     own = hold(prints.groupBy("fp").agg(F.min(doc_id).alias("least")), "classes")
     roots = hold(components(links(own, radius, tiles)), "roots").withColumnRenamed("node", "fp")
     least = roots.join(own, "fp").groupBy("root").agg(F.min("least").alias("reached"))
-    linked = roots.join(least, "root").select("fp", "reached")
-    return hold(own.join(linked, "fp", "left").select("fp", F.coalesce("reached", "least").alias("component_id")), "components")
+    linked = roots.join(least, "root").select("fp", "reached", "root")
+    return hold(own.join(linked, "fp", "left").select("fp", F.coalesce("reached", "least").alias("component_id"), F.coalesce("root", "fp").alias("root")), "components")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = SHINGLE_WORDS, seed: int = SEED, radius: int = RADIUS, tiles: int = TILES) -> DataFrame:
@@ -227,13 +228,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **params) -> DataFrame:
     """docs with one document of each component: that with the smallest doc_id, whole and unchanged.
 
-    Where that id is null or repeated, the first such row by content stays.
+    Null ids come last; of rows with the same id, or of none with any, the first by a hash of their content stays.
     """
     named = docs.columns
+    content = F.xxhash64(*[c.name for c in docs.schema if not re.search("map<|variant", c.dataType.simpleString())])  # Spark doesn't hash maps
     prints = fingerprints(docs, text, "__fp", params.get("width", SHINGLE_WORDS), params.get("seed", SEED))
-    prints = hold(prints, "printed")
+    prints = hold(prints.withColumn("__content", content).withColumn("__row", F.monotonically_increasing_id()), "printed")
     which = classes(prints.select(doc_id, F.col("__fp").alias("fp")), doc_id, params.get("radius", RADIUS), params.get("tiles", TILES))
-    which = which.select(F.col("fp").alias("__of"), F.col("component_id").alias("__component"))
-    kept = prints.join(which, F.col("__fp") == F.col("__of")).where(F.col(doc_id).eqNullSafe(F.col("__component")))
-    once = prints.agg((F.count("*") == F.count_distinct(doc_id)).alias("once")).first()["once"]
-    return (kept if once else kept.dropDuplicates(["__component"])).select(*named)
+    order = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), "__content", "__fp", "__row")
+    firsts = prints.groupBy(F.col("__fp").alias("fp")).agg(F.min(order).alias("first"))
+    firsts = firsts.join(which, "fp").groupBy("root").agg(F.min("first").alias("first")).select("first.__fp", "first.__row")
+    return prints.join(firsts, ["__fp", "__row"], "left_semi").select(*named)

@@ -62,6 +62,15 @@ def test_near_duplicates(spark, texts):
     assert simhash.near_duplicates(_docs(spark, [])).count() == 0
 
 
+def test_one_stays_of_each_group_whatever_the_ids(spark):
+    rng = np.random.default_rng(8)
+    own = [" ".join(f"w{x}" for x in rng.integers(0, 10**6, 60)) for _ in range(8)]
+    rows = [(None, t, "s") for t in own[:5]] + [(7, own[5], "s"), (7, own[6], "s"), (9, own[7], "s"), (9, own[7], "s"), (None, own[7], "s"), (3, own[7], "s")]
+    kept = [(r["doc_id"], r["text"]) for r in simhash.keep_one(_docs(spark, rows)).collect()]
+    want = [(None, t) for t in own[:5]] + [(7, own[5]), (7, own[6]), (3, own[7])]
+    assert sorted(kept, key=str) == sorted(want, key=str)
+
+
 def test_tiles_link_what_all_pairs_link():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
