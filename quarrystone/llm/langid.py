@@ -13,8 +13,8 @@ from .common import arrow_batches, hold
 from .urls import host_of
 from .warc import plain_text
 
-#: Texts of each language that the n-gram model is fitted on, about; languages at most, the most frequent.
-FIT_ROWS, LANGUAGES = 300, 64
+#: Texts of each language that the n-gram model is fitted on, about.
+FIT_ROWS = 300
 #: A text's likelihood counts as that of so many n-grams at most: neighbouring n-grams aren't independent.
 EVIDENCE = 60
 #: Rows of the level above that smooth a host's, domain's or suffix's counts, and a declaration's.
@@ -42,15 +42,16 @@ def fit(labelled: DataFrame, rows: int = FIT_ROWS) -> tuple[list[str], np.ndarra
     """Languages and the logarithm of each trigram slot's share in each, from a bounded sample of (text, lang).
 
     Counted are the different texts of a language whose hash lies below a line, set so that about `rows` of its texts do. Only those
-    move, and a row of counts for each language and task of the few that hold them comes to the driver.
+    move, and a row of counts for each language and task of the few that hold them comes to the driver. All languages are fitted; the table
+    takes 256 kB for each, on the driver and in each task.
     """
+    spark = labelled.sparkSession
     labelled = labelled.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("text").alias("h"))
-    top = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    langs = sorted(r["lang"] for r in top)
-    within = F.lit(False)
-    for r in top:
-        within = within | ((F.col("lang") == r["lang"]) & (F.col("h") <= min((1 << 63) - 1, (1 << 64) * rows // r["count"] - (1 << 63))))
-    sample = labelled.where(within).dropDuplicates(["lang", "h"]).coalesce(4)
+    every = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    langs = sorted(every)
+    lines = [(x, min((1 << 63) - 1, (1 << 64) * rows // every[x] - (1 << 63))) for x in langs]
+    line = spark.createDataFrame(lines, "lang string, line long")
+    sample = labelled.join(F.broadcast(line), "lang").where("h <= line").drop("line").dropDuplicates(["lang", "h"]).coalesce(4)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, np.ndarray] = {}
@@ -59,13 +60,16 @@ def fit(labelled: DataFrame, rows: int = FIT_ROWS) -> tuple[list[str], np.ndarra
                 for g in grams(text.encode("utf-8", "replace")):
                     found[lang] = found.get(lang, 0) + np.bincount(g, minlength=_SLOTS)
         for lang, n in found.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([n.astype("<i8").tobytes()])], names=["lang", "n"])
+            slots = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([slots.astype("<u2").tobytes()]), pa.array([n[slots].astype("<i4").tobytes()])], names=["lang", "slots", "n"])
 
-    counts = np.zeros((len(langs), _SLOTS))
-    for r in sample.select("lang", "text").mapInArrow(count, "lang string, n binary").collect():
-        counts[langs.index(r["lang"])] += np.frombuffer(r["n"], "<i8")
-    share = (counts + 0.5) / (counts + 0.5).sum(1, keepdims=True) if langs else counts
-    return langs, np.log(share).T.astype(np.float32).copy()
+    table, place = np.full((_SLOTS, len(langs)), 0.5, np.float32), {x: k for k, x in enumerate(langs)}
+    for r in sample.select("lang", "text").mapInArrow(count, "lang string, slots binary, n binary").toLocalIterator():
+        table[np.frombuffer(r["slots"], "<u2"), place[r["lang"]]] += np.frombuffer(r["n"], "<i4")
+    total = table.sum(0, dtype=np.float64)
+    np.log(table, out=table)
+    table -= np.log(total).astype(np.float32)
+    return langs, table
 
 
 def likelihoods(rows: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
@@ -113,29 +117,34 @@ def fuse(scored: DataFrame, langs: list[str]) -> DataFrame:
     guess = F.when((F.col("grams") > 0) & F.lit(n > 0), F.array_position("ll", F.array_max("ll")).cast("int") - 1)
     scored = hold(scored.withColumn("guess", guess), "likelihoods")
     known = scored.where("guess is not null")
-    counts = F.array(*[F.sum((F.col("guess") == k).cast("double")) for k in range(n)] or [F.lit(0.0)])
-    hosts = hold(known.groupBy("host", "domain", "suffix").agg(F.count("*").cast("double").alias("host_n"), counts.alias("host_c")), "hosts")
-    added = lambda c: F.array(*[F.sum(F.col(c)[k]) for k in range(max(1, n))])
-    domains = hosts.groupBy("domain", "suffix").agg(F.sum("host_n").alias("domain_n"), added("host_c").alias("domain_c"))
-    ends = hosts.groupBy("suffix").agg(F.sum("host_n").alias("suffix_n"), added("host_c").alias("suffix_c"))
-    everything = hosts.agg(F.sum("host_n").alias("n"), added("host_c").alias("c")).first()
-    total = everything["n"] or 0.0
-    overall = F.array(*[F.lit(((everything["c"][k] or 0.0) + 1) / (total + n)) for k in range(n)] or [F.lit(1.0)])
+    keys = ["host", "domain", "suffix"]
+    tally = hold(known.groupBy(*keys, "guess").agg(F.count("*").cast("double").alias("n")), "hosts")
+
+    def summed(by: list[str], name: str) -> DataFrame:
+        each = tally.groupBy(*by, "guess").agg(F.sum("n").alias("n")).groupBy(*by)
+        rows = each.agg(F.sum("n").alias(f"{name}_n"), F.map_from_entries(F.collect_list(F.struct("guess", "n"))).alias("m"))
+        places = F.sequence(F.lit(0), F.lit(max(1, n) - 1))
+        return rows.withColumn(f"{name}_c", F.transform(places, lambda k: F.coalesce(F.element_at("m", k), F.lit(0.0)))).drop("m")
+
+    hosts, domains, ends = summed(keys, "host"), summed(keys[1:], "domain"), summed(keys[2:], "suffix")
+    everything = {r["guess"]: r["n"] for r in tally.groupBy("guess").agg(F.sum("n").alias("n")).collect()}
+    total = sum(everything.values())
+    overall = F.array(*[F.lit((everything.get(k, 0.0) + 1) / (total + n)) for k in range(n)] or [F.lit(1.0)])
     priors = hosts.join(domains, ["domain", "suffix"]).join(ends, "suffix")
     by_suffix = _shares(F.col("suffix_n"), F.col("suffix_c"), overall)
     by_domain = _shares(F.col("domain_n"), F.col("domain_c"), by_suffix)
     priors = hold(priors.select("host", "domain", "suffix", _shares(F.col("host_n"), F.col("host_c"), by_domain).alias("prior")), "priors")
     said = F.coalesce(F.array_position(F.array(*[F.lit(x) for x in langs] or [F.lit("")]), F.col("declared")).cast("int"), F.lit(-1))  # 0: another language
     scored = scored.withColumn("said", said)
-    pairs = scored.where("guess is not null and said >= 0").groupBy("guess", "said").count().collect()  # a row for two languages
+    pairs = scored.where("guess is not null and said >= 0").groupBy("guess", "said").count().collect()  # a row for two languages that meet
     seen = np.zeros((max(1, n), n + 1))
     for r in pairs:
         seen[r["guess"], r["said"]] = r["count"]
     seen = np.log((seen + SMOOTH / (n + 1)) / (seen.sum(1, keepdims=True) + SMOOTH))
-    declares = F.array(*[F.array(*[F.lit(float(seen[k, s])) for k in range(max(1, n))]) for s in range(n + 1)])
-    rows = scored.join(priors, ["host", "domain", "suffix"], "left")
+    declares = scored.sparkSession.createDataFrame([(k, seen[:, k].tolist()) for k in range(n + 1)], "said int, declares array<double>")
+    rows = scored.join(priors, keys, "left").join(F.broadcast(declares), "said", "left")
     prior = F.transform(F.coalesce("prior", overall), lambda p: F.ln(p))
-    declared = F.when(F.col("said") >= 0, F.element_at(declares, F.greatest(F.col("said"), F.lit(0)) + 1)).otherwise(F.array_repeat(F.lit(0.0), max(1, n)))
+    declared = F.coalesce("declares", F.array_repeat(F.lit(0.0), max(1, n)))
     text = F.transform("ll", lambda x: x * F.least(F.col("grams"), F.lit(EVIDENCE)))
     log = F.zip_with(F.zip_with(text, declared, lambda a, b: a + b), prior, lambda a, b: a + b)
     rows = rows.withColumn("log", log).withColumn("top", F.array_max("log"))
@@ -143,7 +152,7 @@ def fuse(scored: DataFrame, langs: list[str]) -> DataFrame:
     named = F.element_at(F.array(*[F.lit(x) for x in langs] or [F.lit("")]), F.array_position("log", F.col("top")).cast("int"))
     posterior = F.when(F.col("guess").isNotNull(), 1 / norm).otherwise(F.lit(0.0))
     rows = rows.withColumn("posterior", posterior).withColumn("accepted", posterior >= LEAST)
-    return rows.withColumn("lang", F.when(F.col("guess").isNotNull(), named).otherwise("und")).drop("ll", "guess", "said", "prior", "log", "top")
+    return rows.withColumn("lang", F.when(F.col("guess").isNotNull(), named).otherwise("und")).drop("ll", "guess", "said", "prior", "declares", "log", "top")
 
 
 def _host_parts(host: Column) -> dict[str, Column]:

@@ -414,3 +414,15 @@ def test_written_warc(spark, tmp_path):
     warc.write_warc(warc.derivatives(warc.responses(pages)), str(tmp_path / "w"))
     data = b"".join(gzip.open(f).read() for f in (tmp_path / "w").glob("part-*"))
     assert data.count(b"WARC/1.0\r\n") == 2
+
+
+def test_all_languages_are_fitted(spark):
+    rng = np.random.default_rng(4)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    rows = []
+    for k in range(70):
+        own = ["".join(rng.choice(letters, 6)) for _ in range(12)]
+        rows += [(k * 10 + d, " ".join(rng.choice(own, 40)), f"l{k:02}", "s", 0, 0, 0, 0, 0, 0) for d in range(4 if k == 69 else 5)]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = langid.identify(langid.evidence_of_documents(docs), docs.select("text", "lang")).collect()
+    assert len(got) == len(rows) and all(r["accepted"] and r["lang"] == r["declared"] for r in got)
