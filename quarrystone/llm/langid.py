@@ -47,9 +47,9 @@ def fit(labelled: DataFrame, rows: int = FIT_ROWS) -> tuple[list[str], np.ndarra
     """
     spark = labelled.sparkSession
     labelled = labelled.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("text").alias("h"))
-    every = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    every = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}
     langs = sorted(every)
-    lines = [(x, min((1 << 63) - 1, (1 << 64) * rows // every[x] - (1 << 63))) for x in langs]
+    lines = [(x, min((1 << 63) - 1, (1 << 64) * rows // max(1, every[x]) - (1 << 63))) for x in langs]
     line = spark.createDataFrame(lines, "lang string, line long")
     sample = labelled.join(F.broadcast(line), "lang").where("h <= line").drop("line").dropDuplicates(["lang", "h"]).coalesce(4)
 

@@ -426,3 +426,10 @@ def test_all_languages_are_fitted(spark):
     docs = spark.createDataFrame(rows, DOCS)
     got = langid.identify(langid.evidence_of_documents(docs), docs.select("text", "lang")).collect()
     assert len(got) == len(rows) and all(r["accepted"] and r["lang"] == r["declared"] for r in got)
+
+
+def test_copies_do_not_thin_the_fitted_sample(spark):
+    texts = [(f"ab{k} cd{k}", "en") for k in range(30)] * 200 + [("le la les", "fr")]
+    langs, table = langid.fit(spark.createDataFrame(texts, "text string, lang string"), 60)
+    heard = np.concatenate(list(langid.grams(b"ab1 cd1")))
+    assert langs == ["en", "fr"] and (table[heard, 0] - table[:, 0].min() > np.log(2 * 30)).any()
