@@ -123,3 +123,12 @@ def test_dump_digest(spark):
     assert twice["digest"] is None
     with pytest.raises(ValueError):
         table_lines(df, "docs", ["nope"], ["id"])
+
+
+def test_answers_are_rendered_whole(spark):
+    from quarrystone.plans.envelope import Envelope
+
+    answer = Envelope("query_history", spark.range(120).repartition(3))
+    assert len(render.as_dict(answer)["results"]) == 120 and render.as_text(answer).count("  - ") == 120 and render.as_html(answer).count("<td>") == 120
+    some = render.as_dict(answer, 50)
+    assert len(some["results"]) == 50 and some["total"] == 120 and "50 of 120 rows" in render.as_text(answer, 50)
