@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_batches, hold
 from .urls import host_of
-from .warc import plain_text
+from .warc import LANG, attribute, plain_text
 
 #: Texts of each language that the n-gram model is fitted on, about.
 FIT_ROWS = 300
@@ -169,7 +169,7 @@ def evidence_of_documents(docs: DataFrame) -> DataFrame:
 
 def evidence_of_pages(pages: DataFrame) -> DataFrame:
     """Pages as evidence: their visible text, the language of their markup, and their host with its domain and suffix."""
-    declared = F.lower(F.regexp_extract("html", r'(?i)<html[^>]*\blang\s*=\s*"([A-Za-z]+)', 1))
+    declared = F.lower(F.regexp_extract(attribute(F.col("html"), LANG), "^[A-Za-z]+", 0))
     rows = pages.select(F.lit(None).cast("long").alias("doc_id"), F.col("page_id").cast("long").alias("page_id"), plain_text(F.col("html")).alias("text"), F.when(declared != "", declared).alias("declared"), host_of(F.col("url")).alias("host"))
     return rows.withColumns(_host_parts(F.col("host")))
 

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import html as markup
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Entities that plain text resolves, in this order (fixed values).
+#: Entities that the narrow form of plain text resolves, in this order (fixed values).
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
 
 #: Elements whose content isn't text, comments and declarations; blocks that end a line; any other tag.
@@ -15,16 +20,56 @@ TAG = r"</?[A-Za-z!][^>]*>"
 WARC_DATE = "1970-01-01T00:00:00Z"
 
 
-def plain_text(html: Column) -> Column:
-    """The text of a page: hidden parts out, a line for each block, entities resolved, white space joined, no empty lines; null stays null."""
+_BLANK = re.compile("&nbsp;?|&#0*160;|&#[xX]0*[aA]0;")
+#: A value of an attribute in any of its three forms; a link with its text, up to its end, the next link or the page's.
+VALUE = r"""(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+ANCHOR = rf"(?is)<a\s(?:[^>]*?\s)?href\s*=\s*{VALUE}[^>]*>(.*?)(?=</a\s*>|<a\s|\z)"
+LANG = rf"(?i)<html\s(?:[^>]*?\s)?lang\s*=\s*{VALUE}"
+
+
+def resolved(text: str) -> str:
+    """text with all entities of HTML and numeric references resolved; a no-break space becomes a space."""
+    return markup.unescape(_BLANK.sub(" ", text)) if "&" in text else text
+
+
+@F.pandas_udf(T.StringType())
+def _resolved(texts: pd.Series) -> pd.Series:
+    return texts.map(resolved, na_action="ignore")
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _all_resolved(lists: pd.Series) -> pd.Series:
+    return lists.map(lambda x: [resolved(t) for t in x], na_action="ignore")
+
+
+def _bare(html: Column) -> Column:
     text = F.regexp_replace(html, HIDDEN, " ")
-    text = F.regexp_replace(F.regexp_replace(text, BREAKS, "\n"), TAG, " ")
-    for entity, sign in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(sign))
+    return F.regexp_replace(F.regexp_replace(text, BREAKS, "\n"), TAG, " ")
+
+
+def _joined(text: Column) -> Column:
     text = F.regexp_replace(F.regexp_replace(text, r"[ \t\r\f\x0B]+", " "), r" ?\n[ \n]*", "\n")
     return F.regexp_replace(text, r"^[ \n]+|[ \n]+$", "")
 
 
+def plain_text(html: Column, whole: bool = True) -> Column:
+    """The text of a page: hidden parts out, a line for each block, entities resolved, white space joined, no empty lines; null stays null.
+
+    Not whole, only ENTITIES are resolved.
+    """
+    text = _bare(html)
+    if whole:
+        return _joined(_resolved(text))
+    for entity, sign in ENTITIES:
+        text = F.replace(text, F.lit(entity), F.lit(sign))
+    return _joined(text)
+
+
+def attribute(text: Column, pattern: str) -> Column:
+    """The value in the first match of a pattern with VALUE."""
+    return F.concat(*[F.regexp_extract(text, pattern, k) for k in (1, 2, 3)])
+
+
 def urn(*parts: Column) -> Column:
     """A record id fixed by its parts, in the form of a UUID."""
     h = F.md5(F.concat_ws("\n", *parts))
@@ -48,27 +93,34 @@ def responses(pages: DataFrame, page_id: str = "page_id", url: str = "url", html
     )
 
 
-def derivatives(answers: DataFrame) -> DataFrame:
+def derivatives(answers: DataFrame, whole: bool = True) -> DataFrame:
     """Two rows for each response, a metadata record and a conversion record.
 
     Both carry a record id of their own, the response's as refers_to, its uri, date and digest. The metadata
-    block is JSON: the envelope (refers-to, target, digest), the source's headers, title, declared language, and links with
-    their text in order. The conversion block is the plain text. Each has the digest and the length of its own block. An
+    block is JSON: the envelope (refers-to, target, digest), the source's headers, title, declared language, and links
+    (their texts, in the same order, as link_texts). The conversion block is the plain text. Each has the digest and the length of its own block. An
     empty payload gives an empty text and no links; a null uri stays null; repeated responses give repeated records.
+    Not whole, only ENTITIES are resolved, only values in double quotes are read, and links have no texts.
     """
     page = F.col("payload")
-    title = plain_text(F.regexp_extract(page, r"(?is)<title[^>]*>(.*?)</title>", 1))
-    anchors = F.regexp_extract_all(page, F.lit(r'(?is)<a\s[^>]*?href\s*=\s*"([^"]*)"[^>]*>'), F.lit(1))
+    title = plain_text(F.regexp_extract(page, r"(?is)<title[^>]*>(.*?)</title>", 1), whole)
+    if whole:
+        lang, found = attribute(page, LANG), F.regexp_extract_all(page, F.lit(ANCHOR), F.lit(0))
+        texts = F.transform(_all_resolved(F.transform(found, lambda m: _bare(F.regexp_extract(m, ANCHOR, 4)))), _joined)
+        links = [F.transform(found, lambda m: attribute(m, ANCHOR)).alias("links"), texts.alias("link_texts")]
+    else:
+        lang = F.regexp_extract(page, r'(?i)<html[^>]*\blang\s*=\s*"([^"]*)"', 1)
+        links = [F.regexp_extract_all(page, F.lit(r'(?is)<a\s[^>]*?href\s*=\s*"([^"]*)"[^>]*>'), F.lit(1)).alias("links")]
     metadata = F.to_json(
         F.struct(
             F.struct(F.col("record_id").alias("refers_to"), F.col("target_uri").alias("target_uri"), F.col("payload_digest").alias("payload_digest")).alias("envelope"),
             F.col("headers").alias("headers"),
-            title.alias("title"), F.regexp_extract(page, r'(?i)<html[^>]*\blang\s*=\s*"([^"]*)"', 1).alias("lang"), anchors.alias("links"),
+            title.alias("title"), lang.alias("lang"), *links,
         )
     )
     kinds = F.array(
         F.struct(F.lit("metadata").alias("type"), F.lit("application/json").alias("content_type"), metadata.alias("block")),
-        F.struct(F.lit("conversion").alias("type"), F.lit("text/plain").alias("content_type"), plain_text(page).alias("block")),
+        F.struct(F.lit("conversion").alias("type"), F.lit("text/plain").alias("content_type"), plain_text(page, whole).alias("block")),
     )
     rows = answers.select("key", "record_id", "target_uri", "date", "payload_digest", F.explode(kinds).alias("r"))
     return rows.select(

@@ -433,3 +433,14 @@ def test_copies_do_not_thin_the_fitted_sample(spark):
     langs, table = langid.fit(spark.createDataFrame(texts, "text string, lang string"), 60)
     heard = np.concatenate(list(langid.grams(b"ab1 cd1")))
     assert langs == ["en", "fr"] and (table[heard, 0] - table[:, 0].min() > np.log(2 * 30)).any()
+
+
+def test_derivatives_are_whole(spark):
+    html = "<html lang='fr'><body><p>&copy; 2024 &middot; caf&eacute; &#8364; &amp;lt;</p><a href='/one'>First <b>link</b></a><a class=k href=/two>2&nbsp;&eacute;</a></body></html>"
+    pages = spark.createDataFrame([(1, "http://h/p", html)], "page_id long, url string, html string")
+    got = {r["type"]: r["block"] for r in warc.derivatives(warc.responses(pages)).collect()}
+    doc = json.loads(got["metadata"])
+    assert doc["lang"] == "fr" and doc["links"] == ["/one", "/two"] and doc["link_texts"] == ["First link", "2 é"]
+    assert got["conversion"].startswith("© 2024 · café € &lt;\n")
+    row = langid.evidence_of_pages(pages).first()
+    assert row["declared"] == "fr" and row["text"] == got["conversion"]
