@@ -21,18 +21,19 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, arrow_batches, scratch_path
+from .common import LOWER, arrow_batches, hold, scratch_path
 
 END_ID = 1
-#: Words whose ids a worker remembers at most; beyond it forgets all and starts anew.
-REMEMBERED = 1 << 20
+#: Bytes of words and ids that a worker remembers, about; beyond it forgets all and starts anew. Words of more than LONG bytes aren't remembered.
+REMEMBERED, LONG = 256 << 20, 64
 
 _HEAD, _DOC, _ROW = struct.Struct("<QI"), struct.Struct("<qB"), np.dtype([("offset", "<u8"), ("before", "<u8"), ("tokens", "<u8")])
 _NULL, _WIDE = 1, 2
-#: ASCII signs that end a word as a token of their own, whatever the letter or digit before them.
-_TAIL = re.compile(r"[!-&(-/:;=?@\[-`{}~]+$")
+#: How the tokenizer splits a lower-case word in ASCII.
+_ASCII = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 
 
 def masked(data: bytes) -> int:
@@ -57,10 +58,12 @@ def indexed(rows: list[tuple[int, int, int]]) -> bytes:
 
 
 class Coder:
-    """Ids of whole texts as bytes, by a tokenizer that never joins what white space parts and lower-cases.
+    """Ids of whole texts as bytes, the same as the tokenizer gives for the text at once.
 
-    Each distinct word is encoded once and remembered. A text with the opening of a special
-    token's string goes to the tokenizer whole.
+    The tokenizer composes letters, lower-cases and splits at white space before it joins pieces, so nothing reaches
+    across ASCII white space, and a text's ids are those of its words in turn. Words go to the tokenizer whole and as
+    they stand; only those all in ASCII, where its rule has no more than four cases, are lower-cased and split here.
+    Short words are remembered.
     """
 
     def __init__(self, path: str):
@@ -74,46 +77,47 @@ class Coder:
         self.wide = self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16
         self.kind = np.dtype("<u4" if self.wide else "<u2")
         self.known: dict[bytes, bytes] = {}
+        self.bytes = 0
 
-    def _plain(self, texts: list[str]) -> list[bytes]:
-        got = []
-        for k in range(0, len(texts), 4096):
-            got += [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts[k : k + 4096], add_special_tokens=False)]
-        return got
+    def _plain(self, words: list[bytes]) -> list[bytes]:
+        got, held, size = [], [], 0
+        for w in words:
+            held.append(w.decode("utf-8", "replace"))
+            size += len(w)
+            if len(held) == 4096 or size > 1 << 20:
+                got += [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(held, add_special_tokens=False)]
+                held, size = [], 0
+        return got + [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(held, add_special_tokens=False)]
+
+    def _keep(self, words: list[bytes], ids: list[bytes]) -> None:
+        self.known.update(zip(words, ids, strict=True))
+        self.bytes += sum(map(len, words)) + sum(map(len, ids)) + 160 * len(words)  # what the two objects and their place take
 
     def _learn(self, words: set[bytes]) -> None:
-        if len(self.known) + len(words) > REMEMBERED:
-            self.known.clear()
-        parts: dict[bytes, list[bytes]] = {}
+        whole, parts = [], {}
         for w in words:
-            text = w.decode("utf-8", "replace")
-            m = _TAIL.search(text)
-            if m and m.start() and text[m.start() - 1].isalnum():
-                parts[w] = [text[: m.start()].encode(), m.group().encode()]
+            if w.isascii() and b"<|" not in w:
+                parts[w] = _ASCII.findall(w.translate(LOWER))
             else:
-                parts[w] = [w]
-        new = list({p for ps in parts.values() for p in ps if p not in self.known})
-        self.known.update(zip(new, self._plain([p.decode("utf-8", "replace") for p in new]), strict=True))
-        for w, ps in parts.items():
-            if w not in self.known:
-                self.known[w] = b"".join([self.known[p] for p in ps])
+                whole.append(w)
+        new = list({p for ps in parts.values() for p in ps if p not in self.known} | set(whole))
+        self._keep(new, self._plain(new))
+        more = [w for w in parts if w not in self.known]
+        self._keep(more, [b"".join([self.known[p] for p in parts[w]]) for w in more])
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         out: list[bytes] = []
         for t in texts:
             t = t or b""
-            if b"<|" in t:
-                out += self._plain([t.decode("utf-8", "replace")])
-                continue
-            words = t.translate(LOWER).split()
+            words = (t.translate(LOWER) if t.isascii() and b"<|" not in t else t).split()
+            if self.bytes > REMEMBERED:
+                self.known.clear()
+                self.bytes = 0
             new = set(words).difference(self.known)
-            if new:
-                self._learn(new)
-            try:
-                out.append(b"".join([self.known[w] for w in words]))
-            except KeyError:  # the memory was emptied while this text was learned
-                self._learn(set(words))
-                out.append(b"".join([self.known[w] for w in words]))
+            long = {w for w in new if len(w) > LONG}
+            if len(new) > len(long):
+                self._learn(new - long)
+            out.append(b"".join([self.known[w] for w in words] if not long else [self._plain([w])[0] if w in long else self.known[w] for w in words]))
         return out
 
 
@@ -126,14 +130,30 @@ def _place(root: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(root)
 
 
-def _writer(root: str, path: str, end_id: int):
+def encoded(docs: DataFrame, tokenizer: str, end_id: int = END_ID, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, wide (whether an id takes four bytes instead of two) and ids (little-endian, with the end id), a row for each row of docs, without a shuffle."""
+    arrow_batches(docs.sparkSession)
+    docs = docs.select(doc_id, text)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code = coder(tokenizer)
+        end = np.array([end_id], code.kind).tobytes()
+        for b in batches:
+            texts = b.column(1)
+            texts = texts.cast(pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary())
+            ids = [x + end for k in range(0, b.num_rows, 64) for x in code.encode(texts.slice(k, 64).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([code.wide] * b.num_rows), pa.array(ids, pa.binary())], names=["doc_id", "wide", "ids"])
+
+    return docs.mapInArrow(each, f"doc_id {docs.schema[0].dataType.simpleString()}, wide boolean, ids binary")
+
+
+def _writer(root: str):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         task = TaskContext.get()
         shard = task.partitionId()
         store, base = _place(root)
-        code, end = None, b""
         out, rows, at, before = None, [], 0, 0
         name = f"{base}/shard-{shard:06d}"
         mine = f"{base}/.attempt-{task.taskAttemptId()}"
@@ -141,19 +161,14 @@ def _writer(root: str, path: str, end_id: int):
             if not b.num_rows:
                 continue
             if out is None:
-                code = coder(path)
-                end = np.array([end_id], code.kind).tobytes()
                 store.create_dir(base, recursive=True)
                 out = store.open_output_stream(f"{mine}.rec", buffer_size=1 << 20)
-            texts = b.column(1)
-            texts = texts.cast(pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary())
-            for k in range(0, b.num_rows, 64):
-                for doc_id, ids in zip(b.column(0).slice(k, 64).to_pylist(), code.encode(texts.slice(k, 64).to_pylist()), strict=True):
-                    frame = framed(doc_id, ids + end, code.wide)
-                    out.write(frame)
-                    tokens = len(ids) // code.kind.itemsize + 1
-                    rows.append((at, before, tokens))
-                    at, before = at + len(frame), before + tokens
+            for doc_id, wide, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                frame = framed(doc_id, ids := ids.as_py(), wide)
+                out.write(frame)
+                tokens = len(ids) // (4 if wide else 2)
+                rows.append((at, before, tokens))
+                at, before = at + len(frame), before + tokens
         if out is None:
             return
         out.close()
@@ -170,15 +185,15 @@ def _writer(root: str, path: str, end_id: int):
 def write_records(docs: DataFrame, root: str, tokenizer: str, end_id: int = END_ID, doc_id: str = "doc_id", text: str = "text") -> list[dict]:
     """Writes every text of docs under root, in ascending doc_id order over the shards, and a manifest; returns its shards.
 
-    Texts are dealt out by ranges of doc_id, sorted and encoded where they land; each file is
+    Texts are encoded where they lie, and only ids are dealt out by ranges of doc_id and sorted; each file is
     written under the attempt's name and moved into place, so a lost executor's tasks may run again.
     A null text is empty and holds only the end id; null doc_ids come first; repeated doc_ids keep all their
-    rows. An empty table writes a manifest without shards.
+    rows, in an order fixed by their ids and spread over several shards if they are many. An empty table writes a manifest without shards.
     """
     spark = docs.sparkSession
-    arrow_batches(spark)
-    sorted_docs = docs.select(doc_id, text).repartitionByRange(doc_id).sortWithinPartitions(doc_id, text)
-    stats = sorted_docs.mapInArrow(_writer(root, tokenizer, end_id), "shard long, docs long, tokens long, bytes long")
+    ids = hold(encoded(docs, tokenizer, end_id, doc_id, text).withColumn("mix", F.xxhash64("ids")), "ids")
+    sorted_ids = ids.repartitionByRange("doc_id", "mix").sortWithinPartitions("doc_id", "mix", "ids").drop("mix")
+    stats = sorted_ids.mapInArrow(_writer(root), "shard long, docs long, tokens long, bytes long")
     start, shards = 0, []
     for r in sorted(stats.collect()):  # one row a file
         shards.append(r.asDict() | {"start": start})

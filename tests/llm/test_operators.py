@@ -156,15 +156,19 @@ def test_records_round_trip(spark, texts, tmp_path):
     shards = records.write_records(_docs(spark, rows), f"file://{tmp_path}/r", queries.TOKENIZER)
     got = records.read_records(spark, f"file://{tmp_path}/r", shards).collect()
     plain = Tokenizer.from_file(queries.TOKENIZER)
+    got = sorted(map(tuple, got), key=lambda r: r[1])
     want, start = [], 0
-    for i, t in sorted(((i, t) for i, t, _ in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode())):
+    for i, t, _ in rows:
         ids = plain.encode(t or "", add_special_tokens=False).ids + [1]
-        want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
-        start += len(ids)
-    assert sorted(map(tuple, got), key=lambda r: r[1]) == want
+        want.append((i, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+    assert sorted(((i, n, c) for i, _, n, c in got), key=str) == sorted(want, key=str)
+    assert [i for i, *_ in got] == sorted((i for i, *_ in got), key=lambda i: (i is not None, i or 0))
+    for _, at, n, _ in got:
+        assert at == start
+        start += n
     again = list(records.shuffled(f"{tmp_path}/r", 4))
     assert len(again) == len(rows) and sum(len(ids) for _, ids in again) == start
-    assert [i for i, _ in again] != [w[0] for w in want]
+    assert [i for i, _ in again] != [g[0] for g in got]
     assert json.loads((tmp_path / "r/manifest.json").read_text())["tokens"] == start
     assert records.encode_and_read(_docs(spark, []), queries.TOKENIZER).count() == 0
 
@@ -180,10 +184,23 @@ def test_a_damaged_record_is_told(spark, tmp_path):
     assert records.unmasked(records.masked(b"abc")) == zlib.crc32(b"abc")
 
 
+def test_texts_of_any_letters_are_encoded_as_the_library_does():
+    rng = np.random.default_rng(7)
+    every = np.array([x for x in range(0x110000) if not 0xD800 <= x < 0xE000])
+    near = np.array([ord(x) for x in "'.,!?;:-()<|> \t\ns tdrevmlHWTYJKAE12\u0301\u0307\u0308\u030c\u030a\u0331\u0130\u03a3\u03c2\u095e\u09dd\u0a5a\u0f57\x85\xa0\x1c\u2003"])
+    one = lambda n: "".join(map(chr, np.where(rng.random(n) < 0.3, rng.choice(every, n), rng.choice(near, n)).tolist()))
+    texts = [one(int(n)) for n in rng.integers(1, 40, 20000)] + ["Merhaba \u0130. d\u00fcnya", "\u095e! H\u0331e", "<|endoftext|>it's <|ENDOFTEXT|>'S", "x" * 5000 + " \u4e2d" * 3, "\u4e2d" * 3000]
+    plain = Tokenizer.from_file(queries.TOKENIZER)
+    got = records.Coder(queries.TOKENIZER).encode([t.encode() for t in texts])
+    for t, ids, want in zip(texts, got, plain.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(ids, "<u2").tolist() == want.ids, ascii(t)
+
+
 def test_forgetting_words_changes_nothing(monkeypatch):
-    monkeypatch.setattr(records, "REMEMBERED", 5)
+    monkeypatch.setattr(records, "REMEMBERED", 500)
+    monkeypatch.setattr(records, "LONG", 6)
     c, plain = records.Coder(queries.TOKENIZER), Tokenizer.from_file(queries.TOKENIZER)
-    for t in ("a b c d", "e f g h i j k a b", "A, b. c! d?", "l m n a"):
+    for t in ("a b c d", "e f g h i j k a b", "A, b. c! d?", "l m n a", "longest-word a b", "a verylongword, b"):
         assert np.frombuffer(c.encode([t.encode()])[0], c.kind).tolist() == plain.encode(t, add_special_tokens=False).ids
 
 
