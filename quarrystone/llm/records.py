@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, arrow_batches, hold, scratch_path
+from .common import LOWER, arrow_batches, scratch_path
 
 END_ID = 1
 #: Bytes of words and ids that a worker remembers, about; beyond it forgets all and starts anew. Words of more than LONG bytes aren't remembered.
@@ -130,30 +130,14 @@ def _place(root: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(root)
 
 
-def encoded(docs: DataFrame, tokenizer: str, end_id: int = END_ID, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, wide (whether an id takes four bytes instead of two) and ids (little-endian, with the end id), a row for each row of docs, without a shuffle."""
-    arrow_batches(docs.sparkSession)
-    docs = docs.select(doc_id, text)
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = coder(tokenizer)
-        end = np.array([end_id], code.kind).tobytes()
-        for b in batches:
-            texts = b.column(1)
-            texts = texts.cast(pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary())
-            ids = [x + end for k in range(0, b.num_rows, 64) for x in code.encode(texts.slice(k, 64).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([code.wide] * b.num_rows), pa.array(ids, pa.binary())], names=["doc_id", "wide", "ids"])
-
-    return docs.mapInArrow(each, f"doc_id {docs.schema[0].dataType.simpleString()}, wide boolean, ids binary")
-
-
-def _writer(root: str):
+def _writer(root: str, path: str, end_id: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         task = TaskContext.get()
         shard = task.partitionId()
         store, base = _place(root)
+        code, end = None, b""
         out, rows, at, before = None, [], 0, 0
         name = f"{base}/shard-{shard:06d}"
         mine = f"{base}/.attempt-{task.taskAttemptId()}"
@@ -161,14 +145,19 @@ def _writer(root: str):
             if not b.num_rows:
                 continue
             if out is None:
+                code = coder(path)
+                end = np.array([end_id], code.kind).tobytes()
                 store.create_dir(base, recursive=True)
                 out = store.open_output_stream(f"{mine}.rec", buffer_size=1 << 20)
-            for doc_id, wide, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                frame = framed(doc_id, ids := ids.as_py(), wide)
-                out.write(frame)
-                tokens = len(ids) // (4 if wide else 2)
-                rows.append((at, before, tokens))
-                at, before = at + len(frame), before + tokens
+            texts = b.column(1)
+            texts = texts.cast(pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary())
+            for k in range(0, b.num_rows, 64):
+                for doc_id, ids in zip(b.column(0).slice(k, 64).to_pylist(), code.encode(texts.slice(k, 64).to_pylist()), strict=True):
+                    frame = framed(doc_id, ids + end, code.wide)
+                    out.write(frame)
+                    tokens = len(ids) // code.kind.itemsize + 1
+                    rows.append((at, before, tokens))
+                    at, before = at + len(frame), before + tokens
         if out is None:
             return
         out.close()
@@ -185,15 +174,15 @@ def _writer(root: str):
 def write_records(docs: DataFrame, root: str, tokenizer: str, end_id: int = END_ID, doc_id: str = "doc_id", text: str = "text") -> list[dict]:
     """Writes every text of docs under root, in ascending doc_id order over the shards, and a manifest; returns its shards.
 
-    Texts are encoded where they lie, and only ids are dealt out by ranges of doc_id and sorted; each file is
+    Texts are dealt out by ranges of doc_id, sorted and encoded where they land (their ids take no less room than compressed texts); each file is
     written under the attempt's name and moved into place, so a lost executor's tasks may run again.
     A null text is empty and holds only the end id; null doc_ids come first; repeated doc_ids keep all their
-    rows, in an order fixed by their ids and spread over several shards if they are many. An empty table writes a manifest without shards.
+    rows, in an order fixed by their texts and spread over several shards if they are many. An empty table writes a manifest without shards.
     """
     spark = docs.sparkSession
-    ids = hold(encoded(docs, tokenizer, end_id, doc_id, text).withColumn("mix", F.xxhash64("ids")), "ids")
-    sorted_ids = ids.repartitionByRange("doc_id", "mix").sortWithinPartitions("doc_id", "mix", "ids").drop("mix")
-    stats = sorted_ids.mapInArrow(_writer(root), "shard long, docs long, tokens long, bytes long")
+    arrow_batches(spark)
+    mixed = docs.select(doc_id, text).withColumn("__mix", F.xxhash64(text))
+    stats = mixed.repartitionByRange(doc_id, "__mix").sortWithinPartitions(doc_id, "__mix", text).select(doc_id, text).mapInArrow(_writer(root, tokenizer, end_id), "shard long, docs long, tokens long, bytes long")
     start, shards = 0, []
     for r in sorted(stats.collect()):  # one row a file
         shards.append(r.asDict() | {"start": start})
