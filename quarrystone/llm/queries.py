@@ -16,7 +16,7 @@ PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_pareto_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixture.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixture.mix(table(spark, sf_dir, "documents"), preference=mixture.by_length(F.col("text"))).select("doc_id", "size", "source_size", "target", "taken", "inclusion")
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,16 +82,23 @@ filling as (select *, row_number() over f as nth,
   from placed window f as (order by cap / weight, source nulls last)),
 line as (select level from filling where cap > level * weight order by nth limit 1),
 goals as (select f.source, f.source_size, least(f.cap, coalesce((select level from line) * f.weight, f.cap)) as target from filling f),
-rates as (select *, case when source_size > 0 then target / source_size else 0::double end as rate from goals),
-parts as (select *, floor(rate + 1e-12)::bigint as certain, greatest(rate - floor(rate + 1e-12), 0::double) as inclusion from rates),
-ranked as (select b.*, p.source_size, p.target, p.certain, p.inclusion, p.target - p.certain * p.source_size as lack,
-  (('0x' || substr(md5('20:' || coalesce(b.doc_id::varchar, '')), 1, 12))::bigint + 0.5::double) / 281474976710656.0::double as u
-  from base b join parts p on b.source is not distinct from p.source),
+banded as (select *, pow(2.0::double, (length(bin(size)) // 2)::double) as liking from base),
+cells as (select source, liking, sum(size)::bigint as words from banded group by source, liking),
+stops as (select c.*, g.source_size, g.target, (g.target - 2.0::double * coalesce(sum(words) over (partition by c.source order by liking desc rows between unbounded preceding and 1 preceding), 0)::double)
+    / nullif(sum(words * liking) over (partition by c.source order by liking rows between unbounded preceding and current row), 0) as level
+  from cells c join goals g on c.source is not distinct from g.source),
+settled as (select *, first_value(case when level * liking <= 2 then level end ignore nulls) over (partition by source order by liking desc rows between unbounded preceding and unbounded following) as line from stops),
+parts as (select source, liking, source_size, target, words, greatest(least(coalesce(line * liking, 2.0::double), 2.0::double), 0::double) as rate from settled),
+odds as (select *, floor(rate + 1e-12)::bigint as certain, greatest(rate - floor(rate + 1e-12), 0::double) as inclusion from parts),
+lacks as (select source, any_value(target) - sum(certain * words)::double as lack from odds group by source),
+ranked as (select b.*, p.source_size, p.target, p.certain, p.inclusion, l.lack,
+  (('0x' || substr(md5('20:' || b.doc_id::varchar), 1, 12))::bigint + 0.5::double) / 281474976710656.0::double as u
+  from banded b join odds p on b.source is not distinct from p.source and b.liking = p.liking join lacks l on b.source is not distinct from l.source),
 drawn as (select *, coalesce(sum(size) over (partition by source order by (u / (1 - u)) / (inclusion / (1 - inclusion)), doc_id rows between unbounded preceding and 1 preceding), 0) as before
   from ranked where inclusion > 0),
-picked as (select doc_id, size, source_size, target, (certain + case when before + size / 2.0::double <= lack then 1 else 0 end) * size as taken from drawn
-  union all select doc_id, size, source_size, target, certain * size from ranked where not inclusion > 0)
-select doc_id, size, source_size, target, taken::bigint as taken from picked
+picked as (select doc_id, size, source_size, target, inclusion, (certain + case when before + size / 2.0::double <= lack then 1 else 0 end) * size as taken from drawn
+  union all select doc_id, size, source_size, target, inclusion, certain * size from ranked where not inclusion > 0)
+select doc_id, size, source_size, target, taken::bigint as taken, inclusion from picked
 """
 
 _OP5 = r"""

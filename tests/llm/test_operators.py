@@ -270,6 +270,35 @@ def test_preferences_make_inclusion_unequal(spark):
         assert len({round(r["inclusion"], 9) for r in mine}) == 2
 
 
+def test_documents_are_included_as_often_as_their_inclusion_says(spark):
+    rng = np.random.default_rng(4)
+    rows = [(k, "w " * int(n), "ab"[k % 2]) for k, n in enumerate(rng.choice([1, 3, 6, 20, 70, 300], 12000))]
+    docs = _docs(spark, rows)
+    got = mixture.mix(docs, weights=(1.0, 1.0), share=0.4, preference=mixture.by_length(F.col("text"))).toPandas()
+    assert (got.groupby("source").taken.sum() - got.groupby("source").target.first()).abs().max() <= 150
+    cells = got.groupby(["source", "size"]).agg(rows=("size", "count"), inclusion=("inclusion", "first"), spread=("inclusion", "nunique"), copies=("copies", "mean"))
+    assert len(set(cells.inclusion.round(9))) >= 6 and (cells.spread == 1).all()
+    whole = np.floor(cells.copies + 1e-9).clip(upper=1) * (cells.inclusion == 0)
+    error = np.sqrt(cells.inclusion * (1 - cells.inclusion) / cells.rows)
+    assert ((cells.copies - whole - cells.inclusion).abs() <= 5 * error + 0.02).all()  # the fixed size adds a little
+    for s, part in got.groupby("source"):  # and expected words come to the target
+        expected = ((part.inclusion + (part.copies - part.inclusion).round().where(part.inclusion == 0, 0)) * part["size"]).sum()
+        assert expected == pytest.approx(part.target.iloc[0], rel=1e-6), s
+
+
+def test_repeated_rows_are_taken_as_often_as_the_mix_takes_them(spark):
+    same = [(1, "w " * 10, "a")] * 7
+    for rows in (same, same + [(2, "w " * 10, "a")] * 4, [(None, "w " * 3, "a")] * 5 + [(None, "x " * 3, "a")] * 5 + same):
+        docs = _docs(spark, rows).withColumn("lang", F.concat("lang", (F.rand(3) * 3).cast("int").cast("string")))
+        docs = spark.createDataFrame(docs.collect(), docs.schema)
+        want = {(r["doc_id"], r["content"]): r["n"] for r in mixture.mix(docs).groupBy("doc_id", "content").agg(F.sum("copies").alias("n")).collect()}
+        out = mixture.mixed(docs)
+        got = {(r["doc_id"], r["content"]): r["n"] for r in out.groupBy("doc_id", F.xxhash64("text").alias("content")).agg(F.count("*").alias("n")).collect()}
+        assert got == want and out.schema == docs.schema
+        often, before = ({tuple(r)[:-1]: r["count"] for r in d.groupBy("doc_id", "text", "lang").count().collect()} for d in (out, docs))
+        assert all(often.get(k, 0) <= 2 * n for k, n in before.items()) and set(often) <= set(before)
+
+
 # ---- 2
 
 

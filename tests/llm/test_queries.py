@@ -45,7 +45,7 @@ def test_pipeline(spark):
             marked = queries.fmindex.digest(queries.fmindex.mark(docs, spark.read.parquet(f"{ROOT}/benchmark.parquet")))
             assert {k[0] for k in kept} == {r["doc_id"] for r in marked.where("not contaminated").collect()}
         if name == "mixture":
-            mix = queries.mixture.mix(docs).where("copies > 0").collect()
+            mix = queries.mixture.mix(docs, preference=queries.mixture.by_length(docs["text"])).where("copies > 0").collect()
             assert {r["doc_id"]: r["copies"] for r in mix} == {r["doc_id"]: r["count"] for r in out.groupBy("doc_id").count().collect()}
         docs = out
 
