@@ -359,10 +359,58 @@ def test_surrogates(spark):
 
 
 def test_surrogates_stay_distinct(spark):
-    # names of one gender and script have few forms; more entities than those chosen at random clash, and are made again
-    names = spark.range(3000).select(F.lit("name female latin").alias("type"), F.concat(F.lit("n"), "id").alias("canon"))
-    got = surrogates.assign(names, "k").collect()
-    assert len(got) == 3000 == len({r["surrogate"] for r in got})
+    # names of one gender and script have few short forms, fewer than the entities here; those that clash are made again, and longer
+    names = spark.range(150_000).select(F.lit("name female Latin").alias("type"), F.concat(F.lit("n"), "id").alias("canon"))
+    few = spark.range(26).select(F.lit("local a.b").alias("type"), F.char(F.col("id") + 97).alias("canon"))
+    ssn = spark.range(3000).select(F.lit("ssn").alias("type"), (F.col("id") + 900000000).cast("string").alias("canon"))
+    got = surrogates.assign(names.unionByName(few).unionByName(ssn), "k").toPandas()
+    assert len(got) == 153_026 and not got.duplicated(["type", "canon"]).any() and not got.duplicated(["type", "surrogate"]).any()
+    assert not set(zip(got.type, got.canon, strict=True)) & set(zip(got.type, got.surrogate, strict=True))
+    again = {tuple(r) for r in surrogates.assign(few.unionByName(few.limit(0)), "k").collect()}
+    assert again == {tuple(r) for r in got[got.type == "local a.b"].itertuples(index=False)}
+
+
+def test_surrogates_keep_country_script_case_and_form(spark):
+    pairs = [
+        ("+49 30 123 4567", r"\+49 \d\d \d{3} \d{4}"), ("+351 21 123 4567", r"\+351 \d\d \d{3} \d{4}"), ("+49 30 123 456", r"\+49 \d\d \d{3} \d{3}"), ("+33 61 22 34 56 78", r"\+33( \d\d){5}"),
+        ("030 1234567", r"0\d\d \d{7}"), ("(212) 555-0123", r"\([2-9]\d\d\) \d{3}-\d{4}"), ("Ann.Bee@Mail.com", r"[A-Z][a-z]{2}\.[A-Z][a-z]{2}@[A-Z][a-z]{3}\.example"), ("ann@site.org", r"[a-z]{3}@[a-z]{4}\.example"),
+        ("Κύριος Παπαδόπουλος", r"Κύριος [Α-Ω][α-ω]+"), ("μαρία@όνομα.gr", r"[α-ω]{5}@[α-ω]{5}\.example"), ("السيدة فاطمة", "السيدة [\u0620-\u064a]+"), ("श्री कुमार", "श्री [\u0900-\u097f]+"), ("Herr 王小明", "Herr [\u4e00-\u9fff]+"),
+        ("Dr. Jane Roe", r"Dr\. [A-Z][a-z]+ [A-Z][a-z]+"), ("Mr. Jean-Luc Picard", r"Mr\. [A-Z][a-z]+-[A-Z][a-z]+ [A-Z][a-z]+"), ("Mrs O'Neil", r"Mrs [A-Z][a-z]+'[A-Z][a-z]+"), ("3782 822463 10005", r"37\d\d \d{6} \d{5}"), ("MR@SITE.ORG", r"[A-Z]{2}@[A-Z]{4}\.EXAMPLE"),
+    ]
+    got = {r["doc_id"]: r["text"] for r in surrogates.replace(_docs(spark, [(k, f"see {a}, and", "s") for k, (a, _) in enumerate(pairs)]), "k").collect()}
+    for k, (a, form) in enumerate(pairs):
+        out = got[k].removeprefix("see ").removesuffix(", and")
+        assert re.fullmatch(form, out) and out != a, (a, out)
+
+
+def test_surrogates_by_brute_force(spark):
+    """Distinct entities stay distinct and equal ones equal over random texts, whatever their spelling, and nothing else changes."""
+    rng = np.random.default_rng(11)
+    locals_, sites = ["ann", "bob.c", "d", "e"], ["mail.com", "mail.org", "x.de", "y.de"]
+    people = [f"{t} {g} {f}" for t in ("Mr.", "Frau", "Dr.") for g in ("Jo", "Kim") for f in ("Lee", "Ray")]
+    made = [*(f"{a}@{b}" for a in locals_ for b in sites), *people, *(f"10.0.0.{k}" for k in range(9)), *(f"+4930{k:07d}" for k in range(9))]
+    texts = [" ; ".join(x.upper() if "@" in x and rng.random() < 0.4 else x for x in rng.choice(made, 12)) for _ in range(60)]
+    got = {r["doc_id"]: (r["text"], r["n_replaced"]) for r in surrogates.replace(_docs(spark, [(k, t, "s") for k, t in enumerate(texts)]), "k").collect()}
+    seen = {}
+    for k, t in enumerate(texts):
+        before, after = t.split(" ; "), got[k][0].split(" ; ")
+        assert got[k][1] == len(before) == len(after)
+        for a, b in zip(before, after, strict=True):
+            if a[0].isalpha() and "@" not in a:  # names: the parts are the entities
+                assert a.split()[0] == b.split()[0]
+                gender = "either" if a.startswith("Dr") else a.split()[0]
+                seen.setdefault(("given", gender, a.split()[1]), set()).add(b.split()[1])
+                seen.setdefault(("family", a.split()[2]), set()).add(b.split()[2])
+            elif "@" in a:
+                seen.setdefault(("email", a.lower()), set()).add(b.lower())
+                seen.setdefault(("domain", a.lower().split("@")[1]), set()).add(b.lower().split("@")[1])
+                assert a.isupper() == b.isupper()
+            else:
+                seen.setdefault((a[:2], a), set()).add(b)
+    assert all(len(v) == 1 for v in seen.values())
+    for kind in {k[0] for k in seen}:
+        values = [(k[:-1], next(iter(v))) for k, v in seen.items() if k[0] == kind]
+        assert len(values) == len(set(values)) and not {v for _, v in values} & {k[-1] for k in seen if k[0] == kind}
 
 
 # ---- 4
