@@ -32,8 +32,9 @@ REMEMBERED, LONG = 256 << 20, 64
 
 _HEAD, _DOC, _ROW = struct.Struct("<QI"), struct.Struct("<qB"), np.dtype([("offset", "<u8"), ("before", "<u8"), ("tokens", "<u8")])
 _NULL, _WIDE = 1, 2
-#: How the tokenizer splits a lower-case word in ASCII.
-_ASCII = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+#: Words of ASCII and the letters of Latin-1 are composed, and lower-case one sign to one; this is how the tokenizer splits them then.
+_LATIN = re.compile("[\x00-\x7f\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
+_SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z0-9\xdf-\xf6\xf8-\xff]+")
 
 
 def masked(data: bytes) -> int:
@@ -62,7 +63,7 @@ class Coder:
 
     The tokenizer composes letters, lower-cases and splits at white space before it joins pieces, so nothing reaches
     across ASCII white space, and a text's ids are those of its words in turn. Words go to the tokenizer whole and as
-    they stand; only those all in ASCII, where its rule has no more than four cases, are lower-cased and split here.
+    they stand; only those of ASCII and Latin-1 letters, where its rule has few cases, are lower-cased and split here.
     Short words are remembered.
     """
 
@@ -96,8 +97,9 @@ class Coder:
     def _learn(self, words: set[bytes]) -> None:
         whole, parts = [], {}
         for w in words:
-            if w.isascii() and b"<|" not in w:
-                parts[w] = _ASCII.findall(w.translate(LOWER))
+            text = w.decode("utf-8", "replace")
+            if b"<|" not in w and _LATIN.fullmatch(text):
+                parts[w] = [p.encode() for p in _SPLIT.findall(text.lower())]
             else:
                 whole.append(w)
         new = list({p for ps in parts.values() for p in ps if p not in self.known} | set(whole))

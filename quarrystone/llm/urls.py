@@ -20,6 +20,10 @@ ROUNDS, DEPTH, BINS, RATE = 40, 3, 32, 0.2
 #: Rows of mean rate that smooth a suffix's rate.
 SMOOTH = 5.0
 SUFFIXES = 3
+#: Hosts are dealt into so many folds; a url is judged by what the other folds' hosts say.
+FOLDS = 5
+#: Rates of so many suffixes are broadcast (some 20 MB); more are joined on the suffix and a salt, so that a hot one is dealt out.
+BROADCAST_ROWS, SALTS = 200_000, 32
 
 #: Host terms of the seed labels, where no labelled table is given.
 SEED_TERMS = ("pills", "casino", "bets", "adult", "spam", "ads")
@@ -49,21 +53,21 @@ FEATURES = ("length", "host_length", "path_length", "depth", "labels", "digits",
 
 
 def lexical(url: str | None, host: str) -> list[float]:
-    """Numbers of a url, in the order of FEATURES; null counts as empty."""
-    url = url or ""
-    rest = url.partition("://")[2]
-    path = rest[len(host) :].partition("?")[0].partition("#")[0]
-    query = rest.partition("?")[2].partition("#")[0]
-
-    def entropy(s: str) -> float:
-        if not s:
-            return 0.0
-        p = np.array([s.count(c) for c in set(s)]) / len(s)
+    """Numbers of a url, in the order of FEATURES; null counts as empty. Lengths, shares and entropies are those of its bytes."""
+    raw, name = (url or "").encode("utf-8", "replace"), host.encode("utf-8", "replace")
+    rest = raw.partition(b"://")[2]
+    path = rest[len(name) :].partition(b"?")[0].partition(b"#")[0]
+    query = rest.partition(b"?")[2].partition(b"#")[0]
+    counts = [np.bincount(np.frombuffer(x, np.uint8), minlength=256) for x in (raw, name)]
+
+    def entropy(n: np.ndarray) -> float:
+        p = n[n > 0] / max(1, n.sum())
         return float(-(p * np.log2(p)).sum())
 
-    digits = lambda s: sum(c in "0123456789" for c in s) / max(1, len(s))
-    parts = host.split(".")
-    return [len(url), len(host), len(path), sum(1 for x in path.split("/") if x), len(parts), digits(url), digits(host), host.count("-"), entropy(url), entropy(host), sum(1 for x in query.split("&") if x), max(map(len, parts))]
+    digits = [float(n[48:58].sum() / max(1, n.sum())) for n in counts]
+    labels = name.split(b".")
+    filled = lambda parts: sum(1 for x in parts if x)
+    return [len(raw), len(name), len(path), filled(path.split(b"/")), len(labels), *digits, int(counts[1][45]), *map(entropy, counts), filled(query.split(b"&")), max(map(len, labels))]
 
 
 class Trees:
@@ -117,21 +121,33 @@ def suffixes(host: str) -> Column:
     return F.array(*[F.array_join(F.slice(parts, F.greatest(F.size(parts) - k + 1, F.lit(1)), k), ".") for k in range(1, SUFFIXES + 1)])
 
 
+def _fold(host: str) -> Column:
+    return F.pmod(F.xxhash64(host), F.lit(FOLDS)).cast("int")
+
+
 def _rates(labelled: DataFrame) -> DataFrame:
-    """(suffix, n, bad) over all labelled rows, for suffixes of each length; hot ones are summed before the shuffle."""
-    rows = labelled.select(F.explode(F.array_distinct("suffixes")).alias("suffix"), F.col("label").cast("long").alias("label"))
-    return rows.groupBy("suffix").agg(F.count("label").alias("n"), F.sum("label").alias("bad"))
+    """(level, suffix, n, bad) over all labelled rows: for suffixes of each length, labels and bad ones in each fold; hot ones are summed before the shuffle."""
+    levels = F.transform(F.col("suffixes"), lambda s, k: F.struct(k.alias("level"), s.alias("suffix")))
+    rows = labelled.select("fold", F.col("label").cast("long").alias("label"), F.inline(levels))
+    in_fold = lambda value: F.array(*[F.sum(F.when(F.col("fold") == f, value).otherwise(F.lit(0))).cast("long") for f in range(FOLDS)])
+    return rows.groupBy("level", "suffix").agg(in_fold(F.lit(1)).alias("n"), in_fold(F.col("label")).alias("bad"))
 
 
-def _with_rates(rows: DataFrame, rates: DataFrame, mean: float, own: str | None) -> DataFrame:
-    """rows with a smoothed rate for each suffix; own: a column with the row's own label, left out of its rates."""
+def _with_rates(rows: DataFrame, rates: DataFrame, sizes: dict[int, int], means: list[float]) -> DataFrame:
+    """rows with the smoothed rate of each of its host's suffixes over the hosts of other folds than its own."""
+    others = lambda column, fold: F.aggregate(column, F.lit(0).cast("long"), lambda s, x: s + x) - F.get(column, fold)
+    mean = F.get(F.array(*[F.lit(float(m)) for m in means]), F.col("fold"))
     for k in range(SUFFIXES):
-        part = rates.select(F.col("suffix").alias(f"s{k}"), F.col("n").alias(f"n{k}"), F.col("bad").alias(f"b{k}"))
-        rows = rows.withColumn(f"s{k}", F.col("suffixes")[k]).join(part, f"s{k}", "left")
-        n, bad = F.coalesce(f"n{k}", F.lit(0)), F.coalesce(f"b{k}", F.lit(0))
-        if own:
-            n, bad = n - F.col(own).isNotNull().cast("int"), bad - F.coalesce(own, F.lit(0))
-        rows = rows.withColumn(f"rate{k}", (bad + SMOOTH * mean) / (n + SMOOTH)).drop(f"s{k}", f"n{k}", f"b{k}")
+        part = rates.where(F.col("level") == k).select(F.col("suffix").alias("__s"), F.col("n").alias("__n"), F.col("bad").alias("__b"))
+        rows = rows.withColumn("__suffix", F.get("suffixes", F.lit(k)))
+        if sizes.get(k, 0) <= BROADCAST_ROWS:
+            rows = rows.join(F.broadcast(part), F.col("__suffix") == F.col("__s"), "left")
+        else:
+            part = part.withColumn("__t", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+            rows = rows.withColumn("__salt", F.pmod(F.xxhash64("url"), F.lit(SALTS)))
+            rows = rows.join(part, (F.col("__suffix") == F.col("__s")) & (F.col("__salt") == F.col("__t")), "left").drop("__salt", "__t")
+        n, bad = (F.coalesce(others(F.col(c), F.col("fold")), F.lit(0)) for c in ("__n", "__b"))
+        rows = rows.withColumn(f"rate{k}", (bad + SMOOTH * mean) / (n + SMOOTH)).drop("__suffix", "__s", "__n", "__b")
     return rows
 
 
@@ -143,32 +159,39 @@ def judge(pages: DataFrame, labelled: DataFrame | None = None, rules=RULES, page
     """One row for each row of pages: page_id, host, path, rule, verdict, score (the trees' probability of block).
 
     labelled (url, label 1 to block) trains the trees; without it, hosts that hold a seed term are labelled 1 and all others 0.
-    Rates of host suffixes are counted over all labelled rows; the trees are fitted on at most fit_rows of
+    Hosts are dealt into folds, and each url is judged by trees and suffix rates of the other folds, so no label of its own host has a say: the verdict is a
+    held-out one for labelled urls too. Rates are counted over all labelled rows; the trees are fitted on at most fit_rows of
     each class, those first by hash. With one class only, the trees block nothing. A null url or one without "://" has an empty
-    host and path and is judged by the trees. Repeated rows all stay; an empty table gives no rows.
+    host and path and is judged by the trees. Repeated rows all stay; an empty table gives no rows; very long urls are read whole.
     """
     spark = pages.sparkSession
-    arrow_batches(spark, 4096)
+    arrow_batches(spark)
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url")).withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
     if labelled is None:
         known = rows.select("url", "host", seed_label(F.col("host")).alias("label"))
     else:
         known = labelled.where("label is not null").select("url", host_of(F.col("url")).alias("host"), F.col("label").cast("int").alias("label"))
-    known = known.withColumn("suffixes", suffixes("host"))
+    known = known.withColumn("suffixes", suffixes("host")).withColumn("fold", _fold("host"))
     rates = hold(_rates(known), "rates")
-    n, bad = known.agg(F.count("label"), F.sum("label")).first()
-    mean = (bad or 0) / n if n else 0.0
+    sizes = {r["level"]: r["count"] for r in rates.groupBy("level").count().collect()}
+    whole = {r["fold"]: (r["n"], r["bad"]) for r in known.groupBy("fold").agg(F.count("label").alias("n"), F.sum("label").alias("bad")).collect()}
+    means = [sum(b for f, (_, b) in whole.items() if f != g) / max(1, sum(n for f, (n, _) in whole.items() if f != g)) for g in range(FOLDS)]
     sample = [known.where(F.col("label") == c).orderBy(F.xxhash64("url", F.lit(7)), "url").limit(fit_rows) for c in (0, 1)]
-    fit = _with_rates(sample[0].unionByName(sample[1]), rates, mean, "label").collect()
+    fit = _with_rates(sample[0].unionByName(sample[1]), rates, sizes, means).collect()
     fit.sort(key=lambda r: (r["label"], r["url"] or ""))
-    features = lambda part: np.array([lexical(r["url"], r["host"]) + [r[f"rate{k}"] for k in range(SUFFIXES)] for r in part], np.float64).reshape(len(part), -1)
-    trees = Trees(features(fit), np.array([r["label"] for r in fit])) if 0 < mean < 1 else None
-    scored = _with_rates(rows.withColumn("suffixes", suffixes("host")), rates, mean, None).drop("suffixes")
+    features = lambda part: np.array([lexical(r["url"], r["host"]) + [r[f"rate{k}"] for k in range(SUFFIXES)] for r in part], np.float64).reshape(len(part), len(FEATURES) + SUFFIXES)
+    x, y, folds = features(fit), np.array([r["label"] for r in fit]), np.array([r["fold"] for r in fit])
+    trees = [Trees(x[folds != f], y[folds != f]) if len({*y[folds != f].tolist()}) == 2 else None for f in range(FOLDS)]
+    scored = _with_rates(rows.withColumn("suffixes", suffixes("host")).withColumn("fold", _fold("host")), rates, sizes, means).drop("suffixes")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                p = 1 / (1 + np.exp(-trees.score(features(b.to_pylist())))) if trees else np.zeros(b.num_rows)
+                part = b.to_pylist()
+                x, folds, p = features(part), np.array([r["fold"] for r in part]), np.zeros(len(part))
+                for f, model in enumerate(trees):
+                    if model and (folds == f).any():
+                        p[folds == f] = 1 / (1 + np.exp(-model.score(x[folds == f])))
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p)], names=[*b.schema.names, "score"])
 
     scored = scored.mapInArrow(each, widened(scored, score="double"))

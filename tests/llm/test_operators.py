@@ -328,6 +328,42 @@ def test_trees_hold_out(spark):
     assert np.mean([got[k] == ("block" if y else "allow") for k, (_, y) in enumerate(rows[400:])]) > 0.97
 
 
+def test_rates_by_brute_force_leave_out_the_own_fold(spark, monkeypatch):
+    rows = [(f"http://{h}/{k}", int(h.startswith("b"))) for k, h in enumerate(["a.x.com", "b.x.com", "b.y.com", "c.y.org", "b.y.org", "x", "a.x.com", "b.x.com"] * 3)]
+    known = spark.createDataFrame(rows, "url string, label int").withColumn("host", urls.host_of(F.col("url")))
+    known = known.withColumn("suffixes", urls.suffixes("host")).withColumn("fold", urls._fold("host"))
+    held = [r.asDict() for r in known.collect()]
+    means = [0.1, 0.2, 0.3, 0.4, 0.5]
+    want = {}
+    for r in held:
+        for k, s in enumerate(r["suffixes"]):
+            other = [q["label"] for q in held if q["fold"] != r["fold"] and q["suffixes"][k] == s]
+            want[r["url"], k] = (sum(other) + urls.SMOOTH * means[r["fold"]]) / (len(other) + urls.SMOOTH)
+    for rows_at_most in (urls.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(urls, "BROADCAST_ROWS", rows_at_most)
+        got = urls._with_rates(known, urls._rates(known), {0: 9, 1: 9, 2: 9}, means).collect()
+        assert len(got) == len(held)
+        for r in got:
+            assert [r[f"rate{k}"] for k in range(3)] == pytest.approx([want[r["url"], k] for k in range(3)])
+
+
+def test_no_label_of_a_url_s_own_host_has_a_say(spark):
+    pages = spark.createDataFrame([(k, f"http://h{k % 30}.example.com/{k}") for k in range(300)], "page_id long, url string")
+    label = lambda of: pages.select("url", of.cast("int").alias("label"))
+    bad = F.regexp_extract("url", r"h(\d+)", 1).cast("int") % 3 == 0
+    got, turned = ({r["page_id"]: r["score"] for r in urls.judge(pages, label(x), rules=()).collect()} for x in (bad, F.when(F.col("url").contains("//h7."), ~bad).otherwise(bad)))
+    assert all(got[k] == turned[k] for k in range(7, 300, 30)) and got != turned
+    long = spark.createDataFrame([(1, "http://a.b/" + "x" * 300_000), (2, "http://" + "y." * 2000 + "c/"), (3, "")], "page_id long, url string")
+    assert {r["verdict"] for r in urls.judge(long).collect()} == {"allow"}
+
+
+def test_entropy_and_counts_of_a_url():
+    got = dict(zip(urls.FEATURES, urls.lexical("http://a-1.b.org/x/yy?q=1&r=2#f", "a-1.b.org"), strict=True))
+    text = "http://a-1.b.org/x/yy?q=1&r=2#f"
+    entropy = -sum(text.count(c) / len(text) * np.log2(text.count(c) / len(text)) for c in set(text))
+    assert got == pytest.approx({"length": len(text), "host_length": 9, "path_length": 5, "depth": 2, "labels": 3, "digits": 3 / len(text), "host_digits": 1 / 9, "hyphens": 1, "entropy": entropy, "host_entropy": got["host_entropy"], "parameters": 2, "longest_label": 3})
+
+
 # ---- 3
 
 
