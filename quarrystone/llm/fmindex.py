@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,8 +16,8 @@ from .common import arrow_batches
 
 #: Words of a window; an item of fewer words is one window.
 WINDOW = 10
-#: Benchmark text that is searched for in one pass; more goes in further passes over the same rows.
-BLOCK_BYTES = 32 << 20
+#: Benchmark text that is searched for in one pass; more goes in further passes over the same rows. Built, it takes about 20 times as much.
+BLOCK_BYTES = 4 << 20
 #: A shard is indexed once it holds so many bytes of text.
 SHARD_BYTES = 64 << 20
 #: Of the suffix positions in a run, one in so many is kept.
@@ -126,22 +127,33 @@ class FMIndex:
 
 
 class Phrases:
-    """The windows of a block of benchmark items, over the block's own vocabulary."""
+    """The windows of a block of benchmark items, over the block's own vocabulary, each once, with the items that hold it."""
 
-    def __init__(self, items: list[tuple[int, bytes]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW):
         self.vocabulary: dict[bytes, int] = {}
-        found: dict[tuple, set[int]] = {}
+        self.names = sorted({i for i, _ in items})
+        place = {i: k for k, i in enumerate(self.names)}
+        by_length: dict[int, list[tuple[int, np.ndarray]]] = {}
         for item, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)]
-            width = min(window, len(ids))
-            for k in range(len(ids) - width + 1 if ids else 0):
-                found.setdefault(tuple(ids[k : k + width]), set()).add(item)
-        lengths = sorted({len(w) for w in found})
-        self.shortest = lengths[0] if lengths else 0
-        self.by_length = [(n, np.array([w for w in found if len(w) == n], np.int64)) for n in lengths]
-        self.items = [sorted(found[w]) for n in lengths for w in found if len(w) == n]
-
-    def find(self, texts: list[bytes | None]) -> tuple[list[int], list[list[tuple[int, int]]], list[list[int]]]:
+            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)], np.int32)
+            if len(ids):
+                by_length.setdefault(min(window, len(ids)), []).append((place[item], ids))
+        self.shortest = min(by_length, default=0)
+        self.by_length: list[tuple[int, np.ndarray]] = []
+        self.first, self.owners = [np.zeros(1, np.int64)], []  # of each window over all lengths, its items
+        for n in sorted(by_length):
+            windows = np.concatenate([np.lib.stride_tricks.sliding_window_view(ids, n) for _, ids in by_length[n]])
+            owner = np.repeat([i for i, _ in by_length[n]], [len(ids) - n + 1 for _, ids in by_length[n]]).astype(np.int32)
+            order = np.lexsort([owner, *windows.T[::-1]])
+            windows, owner = windows[order], owner[order]
+            new = np.append(True, (windows[1:] != windows[:-1]).any(1))
+            keep = new | np.append(True, owner[1:] != owner[:-1])
+            self.by_length.append((n, windows[new]))
+            self.first.append(self.first[-1][-1] + np.cumsum(np.bincount((np.cumsum(new) - 1)[keep])))
+            self.owners.append(owner[keep])
+        self.first, self.owners = np.concatenate(self.first), np.concatenate([*self.owners, np.zeros(0, np.int32)])
+
+    def find(self, texts: list[bytes | None]) -> tuple[list[int], list[list[tuple[int, int]]], list[list[str]]]:
         """For each text of a shard: its number of words, the merged spans of words hit, and the items found."""
         get, sizes, runs, where = self.vocabulary.get, [], [], []
         for t, raw in enumerate(texts):
@@ -156,9 +168,9 @@ class Phrases:
                     runs.append(np.append(ids[a:b], 0))
                     where.append((t, a, b - a + 1))
         spans: list[list[tuple[int, int]]] = [[] for _ in texts]
-        items: list[list[int]] = [[] for _ in texts]
+        items: list[set[str]] = [set() for _ in texts]
         if not runs or not self.by_length:
-            return sizes, spans, items
+            return sizes, spans, [[] for _ in texts]
         text = np.concatenate(runs)
         doc, first, long = (np.array(x) for x in zip(*where, strict=True))
         doc_at = np.repeat(doc, long)
@@ -174,7 +186,7 @@ class Phrases:
                 start = index.locate(rows[k : k + (1 << 20)].copy())
                 change[: len(text)] += np.bincount(start, minlength=len(text))
                 change -= np.bincount(start + length, minlength=len(text) + 1)
-                pairs.append(np.unique(doc_at[start] * len(self.items) + which[k : k + (1 << 20)] + base))
+                pairs.append(np.unique(doc_at[start] * (len(self.first) - 1) + which[k : k + (1 << 20)] + base))
             base += len(phrases)
         hit = np.flatnonzero(np.cumsum(change)[:-1] > 0)
         if len(hit):
@@ -182,17 +194,17 @@ class Phrases:
             for a, b in zip(np.concatenate([[0], cut]), np.concatenate([cut, [len(hit)]]), strict=True):
                 spans[doc_at[hit[a]]].append((int(word_at[hit[a]]), int(word_at[hit[b - 1]]) + 1))
         for pair in np.unique(np.concatenate(pairs)).tolist():
-            d, w = divmod(pair, len(self.items))
-            items[d] += self.items[w]
-        return sizes, spans, [sorted(set(x)) for x in items]
+            d, w = divmod(pair, len(self.first) - 1)
+            items[d].update(self.names[i] for i in self.owners[self.first[w] : self.first[w + 1]])
+        return sizes, spans, [sorted(x) for x in items]
 
 
 _SPANS = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
 
 
-def _blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes: int) -> Iterator[tuple[bool, list[tuple[int, bytes]]]]:
+def _blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes: int) -> Iterator[tuple[bool, list[tuple[str, bytes]]]]:
     """Whether it's the last block, and its items."""
-    rows = benchmark.where(F.col(item_id).isNotNull() & F.col(text).isNotNull()).select(F.col(item_id).cast("long").alias("i"), F.col(text).cast("binary").alias("t"))
+    rows = benchmark.where(F.col(item_id).isNotNull() & F.col(text).isNotNull()).select(F.col(item_id).cast("string").alias("i"), F.col(text).cast("binary").alias("t"))
     size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = max(1, -(-size // block_bytes))
     for k in range(n):
@@ -201,18 +213,19 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes: int) ->
 
 
 def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, keep_text: bool = True) -> DataFrame:
-    """docs (without its text, if that isn't to be kept) with n_words, spans (merged runs of words hit: from, to) and items (ids whose windows occur).
+    """docs (without its text, if that isn't to be kept) with n_words, spans (merged runs of words hit: from, to) and items (ids, as strings, whose windows occur).
 
     Each task gathers its rows into shards, builds a shard's index over the runs of words that the
     items know (no window can touch another word), and searches all windows in it: nothing is
     shuffled, and hot documents stay where they are. The benchmark is measured first and collected in
-    blocks of at most about block_bytes, one pass each. Null texts have no words; items without id or text take no part.
+    blocks of at most about block_bytes, one pass each. Null texts have no words; items without id or text take no part; an
+    id that stands twice is one item with the windows of both. An empty table of either gives no rows, or rows without hits.
     """
     spark = docs.sparkSession
     arrow_batches(spark)
     named = [c for c in docs.columns if c.lower() not in ("n_words", "spans", "items")]
     place = named.index(text)
-    out = docs.select(*named, F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<struct<`from`:bigint,`to`:bigint>>)").alias("spans"), F.expr("cast(array() as array<bigint>)").alias("items"))
+    out = docs.select(*named, F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<struct<`from`:bigint,`to`:bigint>>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"))
     kind = out.schema
     for last, block in _blocks(benchmark, item_id, item_text, block_bytes):
         phrases = spark.sparkContext.broadcast(Phrases(block, window))
@@ -227,7 +240,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
                     n, spans, items = zip(*[next(found) for _ in range(b.num_rows)], strict=True)
                     spans = [_union(x, y) for x, y in zip(b.column(len(named) + 1).to_pylist(), spans, strict=True)]
                     items = [sorted({*x, *y}) for x, y in zip(b.column(len(named) + 2).to_pylist(), items, strict=True)]
-                    made = [pa.array(n, pa.int64()), pa.array([[{"from": a, "to": z} for a, z in s] for s in spans], _SPANS), pa.array(items, pa.list_(pa.int64()))]
+                    made = [pa.array(n, pa.int64()), pa.array([[{"from": a, "to": z} for a, z in s] for s in spans], _SPANS), pa.array(items, pa.list_(pa.string()))]
                     cols = [*b.columns[: len(named)], *made]
                     yield pa.RecordBatch.from_arrays([c for k, c in enumerate(cols) if k not in away], names=[c for k, c in enumerate(b.schema.names) if k not in away])
 
@@ -264,7 +277,7 @@ def _union(old: list[dict], new: list[tuple[int, int]]) -> list[tuple[int, int]]
 def digest(marked: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """One row a document: n_words, n_hit, n_items, items_sha256 (of the ids as strings, sorted and joined by commas), contaminated."""
     hit = F.expr("aggregate(spans, 0L, (s, x) -> s + x.to - x.from)")
-    names = F.expr("array_join(array_sort(transform(items, x -> cast(x as string))), ',')")
+    names = F.array_join(F.array_sort("items"), ",")
     return marked.select(doc_id, "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
 
 
@@ -279,8 +292,26 @@ def cut(raw: str, spans: list[tuple[int, int]]) -> str:
     return b"".join([*out, data[last:]]).decode("utf-8", "replace")
 
 
+@F.pandas_udf(T.StringType())
+def _cut(text: pd.Series, spans: pd.Series) -> pd.Series:
+    return pd.Series([cut(t, [(s["from"], s["to"]) for s in at]) if len(at) else t for t, at in zip(text, spans, strict=True)], dtype=object)
+
+
+def scrub(docs: DataFrame, benchmark: DataFrame, text: str = "text", **params) -> DataFrame:
+    """docs with the removal spans cut out of their texts, and n_removed (words cut); rows without a hit, null texts among them, are as they were.
+
+    A text may hold a window again where what stood around a span meets: scrub again, or drop what clean() drops.
+    """
+    named = [c for c in docs.columns if c.lower() != "n_removed"]
+    whole = docs.select(F.struct(*named).alias("row"), F.col(text).alias("text"))
+    marked = mark(whole, benchmark, **params)
+    removed = F.expr("aggregate(spans, 0L, (s, x) -> s + x.to - x.from)").alias("n_removed")
+    left = F.when(F.size("spans") > 0, _cut(F.col("text"), F.col("spans"))).otherwise(F.col("text"))
+    return marked.select(*[left.alias(c) if c == text else F.col(f"row.{c}").alias(c) for c in named], removed)
+
+
 def clean(docs: DataFrame, benchmark: DataFrame, **params) -> DataFrame:
-    """The rows of docs with no hit, whole and unchanged."""
+    """The rows of docs with no hit, whole and unchanged; null texts have none and stay, repeated rows are judged alike, an empty table stays empty."""
     if not {c.lower() for c in docs.columns} & {"n_words", "spans", "items"}:
         return mark(docs, benchmark, **params).where(F.size("spans") == 0).select(*docs.columns)
     whole = docs.select(F.struct(*docs.columns).alias("row"), "text")  # its own columns have the names of what is found

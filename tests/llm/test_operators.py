@@ -144,6 +144,31 @@ def test_fm_index_counts_and_locates():
         assert sorted(index.locate(np.arange(a, b)).tolist()) == want
 
 
+def test_items_may_have_any_ids_and_scrubbing_removes_their_windows(spark):
+    items = [("q/1", "one two three four five six seven eight nine ten eleven"), ("q/1", "short item"), (None, "x"), ("ü,2", "ten eleven"), ("e", None)]
+    texts = ["Say: one two three four five six seven eight nine ten eleven, twelve", "a short-item here", None, "", "clean"]
+    docs, bench = _docs(spark, [(k, t, "s") for k, t in enumerate(texts)]), spark.createDataFrame(items, "item_id string, text string")
+    marked = {r["doc_id"]: r["items"] for r in fmindex.mark(docs.drop("spans"), bench).collect()}
+    assert marked == {0: ["q/1", "ü,2"], 1: ["q/1"], 2: [], 3: [], 4: []}
+    got = {r["doc_id"]: (r["text"], r["n_removed"], r["spans"]) for r in fmindex.scrub(docs, bench).collect()}
+    assert got == {0: ("Say: , twelve", 11, 7), 1: ("a  here", 2, 7), 2: (None, 0, 7), 3: ("", 0, 7), 4: ("clean", 0, 7)}
+    assert fmindex.scrub(docs.limit(0), bench).count() == 0
+
+
+def test_windows_take_memory_in_proportion_to_the_items():
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    words = [b"w%d" % k for k in range(5000)]
+    items = [(str(k), b" ".join(words[j] for j in rng.integers(0, 5000, 400))) for k in range(500)]
+    tracemalloc.start()
+    phrases = fmindex.Phrases(items)
+    held, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    size = sum(len(t) for _, t in items)
+    assert held < 20 * size and peak < 60 * size and len(phrases.by_length[0][1]) == 500 * 391
+
+
 def test_cut_removes_spans():
     assert fmindex.cut("Keep this, DROP that now. Ünd keep", [(2, 5)]) == "Keep this, . Ünd keep"
 
