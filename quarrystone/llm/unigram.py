@@ -19,8 +19,8 @@ _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 MARK = "▁"
 #: An unknown character scores so much less than the worst piece.
 UNKNOWN_PENALTY = 10.0
-#: Words whose counts a worker remembers at most.
-REMEMBERED = 1 << 20
+#: Letters of words whose counts a worker remembers, about; beyond it forgets all and starts anew. Words of more than LONG letters aren't remembered.
+REMEMBERED, LONG = 64 << 20, 64
 
 
 def piece_vocabulary(path: str) -> list[tuple[str, float]]:
@@ -51,6 +51,7 @@ class Counter:
         self.automaton.make_automaton()
         self.unknown = min(s for _, s in vocabulary) - UNKNOWN_PENALTY
         self.known: dict[str, int] = {}
+        self.held = 0
 
     def pieces(self, word: str) -> int:
         """Pieces of a word; the automaton gives those that end at a place from the longest on."""
@@ -83,9 +84,13 @@ class Counter:
             if w:
                 c = known.get(w)
                 if c is None:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    c = known[w] = self.pieces(MARK + w)
+                    c = self.pieces(MARK + w)
+                    if len(w) <= LONG:
+                        if self.held > REMEMBERED:
+                            known.clear()
+                            self.held = 0
+                        known[w] = c
+                        self.held += len(w) + 100  # what an entry takes besides
                 total += c
         return total
 
@@ -98,7 +103,9 @@ def counter(path: str) -> Counter:
 def count_tokens(docs: DataFrame, vocabulary: str, text: str = "text", out: str = "n_tokens", keep_text: bool = True) -> DataFrame:
     """docs (without its text, if that isn't to be kept) with the number of unigram pieces of each whole text, in one pass without a shuffle.
 
-    A null or empty text has none. Words are counted apart, as the tokenizer splits at white space, and remembered.
+    A null or empty text has none. Words are counted apart, as the tokenizer splits at white space, and short ones are remembered; a long text
+    without a space is one word and takes memory in proportion to its length. Texts are counted as they stand: a tokenizer that normalises them first
+    needs normalised texts here. Repeated rows stay; an empty table gives no rows.
     """
     arrow_batches(docs.sparkSession)
     docs = without(docs, out)
