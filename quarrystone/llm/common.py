@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Where scratch tables go when the session names no checkpoint folder (tests, a laptop).
+#: Where scratch tables go when the session is local and names no checkpoint folder (tests, a laptop).
 LOCAL_SCRATCH = "/tmp/quarrystone-scratch"
 
 #: A word: what stands between ASCII white space.
@@ -22,17 +22,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def arrow_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Hands Python workers small Arrow batches: texts and packed tiles can be large, and a batch is held whole."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def arrow_batches(spark: SparkSession) -> None:
+    """Hands Python workers small Arrow batches: texts and packed tiles can be large, and a batch is held whole. All operators here use the same setting."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. A local session that has none gets a local one; a cluster must name one."""
     sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or LOCAL_SCRATCH
-    return f"{base.rstrip('/')}/quarrystone/{sc.applicationId}"
+    base = sc.getConf().get("spark.checkpoint.dir")
+    if not base and not (sc.master.startswith("local") and not sc.master.startswith("local-cluster")):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{(base or LOCAL_SCRATCH).rstrip('/')}/quarrystone/{sc.applicationId}"
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
