@@ -15,8 +15,9 @@ from .warc import LANG, attribute, plain_text
 
 #: Texts of each language that the n-gram model is fitted on, about.
 FIT_ROWS = 300
-#: A text's likelihood counts as that of so many n-grams at most: neighbouring n-grams aren't independent.
-EVIDENCE = 60
+#: A text's likelihood counts as that of so many n-grams at most, as neighbouring n-grams aren't independent: which of these is fitted on
+#: labelled texts that the model hasn't seen, by their mean log posterior. The second holds where there are none.
+EVIDENCE, UNFITTED = (8, 15, 30, 60, 120, 240, 480), 60
 #: Rows of the level above that smooth a host's, domain's or suffix's counts, and a declaration's.
 SMOOTH = 4.0
 #: Below this posterior, or without any letter, a document is rejected.
@@ -38,20 +39,28 @@ def grams(raw: bytes | None) -> Iterator[np.ndarray]:
         yield ((x[:-2] * 40503 + x[1:-1] * 10007 + x[2:] * 101) * np.uint32(2654435761)) >> np.uint32(16)
 
 
-def fit(labelled: DataFrame, rows: int = FIT_ROWS) -> tuple[list[str], np.ndarray]:
-    """Languages and the logarithm of each trigram slot's share in each, from a bounded sample of (text, lang).
+class Model:
+    """Languages, the logarithm of each trigram slot's share in each, and how many n-grams a text counts for at most."""
 
-    Counted are the different texts of a language whose hash lies below a line, set so that about `rows` of its texts do. Only those
-    move, and a row of counts for each language and task of the few that hold them comes to the driver. All languages are fitted; the table
-    takes 256 kB for each, on the driver and in each task.
+    def __init__(self, langs: list[str], table: np.ndarray, evidence: int = UNFITTED):
+        self.langs, self.table, self.evidence = langs, table, evidence
+
+
+def fit(labelled: DataFrame, rows: int = FIT_ROWS) -> Model:
+    """A model of all languages in labelled, from a bounded sample of (text, lang).
+
+    Counted are the different texts of a language whose hash lies below a line, set so that about `rows` of its texts do. A model of those in the lower half
+    tells by the others how much evidence a text is, and is then completed by them. Only these texts move, and a row of counts for each language and task of
+    the few that hold them comes to the driver. The table takes 256 kB for each language, on the driver and in each task.
     """
     spark = labelled.sparkSession
     labelled = labelled.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("text").alias("h"))
     every = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}
-    langs = sorted(every)
-    lines = [(x, min((1 << 63) - 1, (1 << 64) * rows // max(1, every[x]) - (1 << 63))) for x in langs]
-    line = spark.createDataFrame(lines, "lang string, line long")
-    sample = labelled.join(F.broadcast(line), "lang").where("h <= line").drop("line").dropDuplicates(["lang", "h"]).coalesce(4)
+    langs, least, most = sorted(every), -(1 << 63), (1 << 63) - 1
+    step = {x: (1 << 64) * rows // max(1, every[x]) for x in langs}
+    line = spark.createDataFrame([(x, min(most, least + min(1 << 64, step[x]) // 2), min(most, least + step[x])) for x in langs], "lang string, line long, last long")
+    sample = labelled.join(F.broadcast(line), "lang").where("h <= last").dropDuplicates(["lang", "h"])
+    sample = hold(sample.select("lang", "text", (F.col("h") <= F.col("line")).alias("fits")).coalesce(4), "labelled")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, np.ndarray] = {}
@@ -63,19 +72,38 @@ def fit(labelled: DataFrame, rows: int = FIT_ROWS) -> tuple[list[str], np.ndarra
             slots = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([slots.astype("<u2").tobytes()]), pa.array([n[slots].astype("<i4").tobytes()])], names=["lang", "slots", "n"])
 
-    table, place = np.full((_SLOTS, len(langs)), 0.5, np.float32), {x: k for k, x in enumerate(langs)}
-    for r in sample.select("lang", "text").mapInArrow(count, "lang string, slots binary, n binary").toLocalIterator():
-        table[np.frombuffer(r["slots"], "<u2"), place[r["lang"]]] += np.frombuffer(r["n"], "<i4")
-    total = table.sum(0, dtype=np.float64)
-    np.log(table, out=table)
-    table -= np.log(total).astype(np.float32)
-    return langs, table
+    counts, place = np.full((_SLOTS, len(langs)), 0.5, np.float32), {x: k for k, x in enumerate(langs)}
+
+    def added(part: DataFrame) -> np.ndarray:
+        for r in part.select("lang", "text").mapInArrow(count, "lang string, slots binary, n binary").toLocalIterator():
+            counts[np.frombuffer(r["slots"], "<u2"), place[r["lang"]]] += np.frombuffer(r["n"], "<i4")
+        return np.log(counts) - np.log(counts.sum(0, dtype=np.float64)).astype(np.float32)
+
+    model = Model(langs, added(sample.where("fits")))
+    if langs:
+        model.evidence = _evidence(sample.where("not fits").select("lang", "text"), model)
+        model.table = added(sample.where("not fits"))
+    return model
+
 
+def _evidence(unseen: DataFrame, model: Model) -> int:
+    """Of EVIDENCE, that under which labelled texts that the model hasn't seen are likeliest."""
+    scored = likelihoods(unseen, model).where("grams > 0")
+    at = F.array_position(F.array(*[F.lit(x) for x in model.langs]), F.col("lang")).cast("int") - 1
 
-def likelihoods(rows: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
+    def log_posterior(most: int) -> Column:
+        ll = F.transform("ll", lambda x: x * F.least(F.col("grams"), F.lit(most)))
+        norm = F.aggregate(ll, F.lit(0.0), lambda s, x: s + F.exp(x - F.array_max(ll)))
+        return F.get(ll, at) - F.array_max(ll) - F.ln(norm)
+
+    found = scored.agg(*[F.round(F.avg(log_posterior(e)), 9) for e in EVIDENCE]).first()
+    return UNFITTED if found[0] is None else max(zip(found, (-e for e in EVIDENCE), strict=True))[1] * -1
+
+
+def likelihoods(rows: DataFrame, model: Model) -> DataFrame:
     """rows with text replaced by grams (how many) and ll (mean log-likelihood in each language), in one pass."""
     arrow_batches(rows.sparkSession)
-    langs, table = model
+    langs, table = model.langs, model.table
     named = [c for c in rows.columns if c != "text"]
     rows = rows.select(*named, "text")
     shared = rows.sparkSession.sparkContext.broadcast(table)  # 256 kB a language
@@ -105,7 +133,7 @@ def _shares(total: Column, counts: Column, above: Column) -> Column:
     return F.zip_with(counts, above, lambda c, p: (c + SMOOTH * p) / (total + SMOOTH))
 
 
-def fuse(scored: DataFrame, langs: list[str]) -> DataFrame:
+def fuse(scored: DataFrame, langs: list[str], evidence: int = UNFITTED) -> DataFrame:
     """scored (grams, ll, declared, host, domain, suffix) with lang, posterior and accepted.
 
     The log of each language's posterior is the text's tempered log-likelihood, plus the log of how often
@@ -145,7 +173,7 @@ def fuse(scored: DataFrame, langs: list[str]) -> DataFrame:
     rows = scored.join(priors, keys, "left").join(F.broadcast(declares), "said", "left")
     prior = F.transform(F.coalesce("prior", overall), lambda p: F.ln(p))
     declared = F.coalesce("declares", F.array_repeat(F.lit(0.0), max(1, n)))
-    text = F.transform("ll", lambda x: x * F.least(F.col("grams"), F.lit(EVIDENCE)))
+    text = F.transform("ll", lambda x: x * F.least(F.col("grams"), F.lit(evidence)))
     log = F.zip_with(F.zip_with(text, declared, lambda a, b: a + b), prior, lambda a, b: a + b)
     rows = rows.withColumn("log", log).withColumn("top", F.array_max("log"))
     norm = F.aggregate("log", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("top")))
@@ -162,15 +190,15 @@ def _host_parts(host: Column) -> dict[str, Column]:
 
 
 def evidence_of_documents(docs: DataFrame) -> DataFrame:
-    """Documents as evidence: their source is the host, their lang what they declare; they have no address."""
+    """Documents as evidence: their source is the host, their lang what they declare, which may be wrong; they have no address."""
     host = F.coalesce(F.col("source").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast("long").alias("page_id"), "text", F.col("lang").alias("declared"), host.alias("host")).withColumns({"domain": F.lit(""), "suffix": F.lit("")})
+    return docs.select("doc_id", "text", F.col("lang").alias("declared"), host.alias("host")).withColumns({"domain": F.lit(""), "suffix": F.lit("")})
 
 
 def evidence_of_pages(pages: DataFrame) -> DataFrame:
     """Pages as evidence: their visible text, the language of their markup, and their host with its domain and suffix."""
     declared = F.lower(F.regexp_extract(attribute(F.col("html"), LANG), "^[A-Za-z]+", 0))
-    rows = pages.select(F.lit(None).cast("long").alias("doc_id"), F.col("page_id").cast("long").alias("page_id"), plain_text(F.col("html")).alias("text"), F.when(declared != "", declared).alias("declared"), host_of(F.col("url")).alias("host"))
+    rows = pages.select("page_id", plain_text(F.col("html")).alias("text"), F.when(declared != "", declared).alias("declared"), host_of(F.col("url")).alias("host"))
     return rows.withColumns(_host_parts(F.col("host")))
 
 
@@ -183,13 +211,17 @@ def identify(evidence: DataFrame, labelled: DataFrame, fit_rows: int = FIT_ROWS)
     """
     model = fit(labelled, fit_rows)
     scored = likelihoods(evidence, model)
-    return fuse(scored if model[0] else scored.withColumn("grams", F.lit(0).cast("long")), model[0])
+    return fuse(scored if model.langs else scored.withColumn("grams", F.lit(0).cast("long")), model.langs, model.evidence)
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose language is known, whole and unchanged."""
+    """The rows of docs whose language is known, whole and unchanged.
+
+    Null and empty texts, and those without letters, go; a null or repeated doc_id is told from others by its text, and rows alike in both are
+    judged apart only by what they declare: all go if one does. An empty table stays empty.
+    """
     keyed = docs.withColumn("__text_key", F.xxhash64("text"))
     rows = evidence_of_documents(docs).withColumn("__text_key", F.xxhash64("text"))
     out = identify(rows, docs.select("text", "lang")).where(~F.col("accepted")).select(F.col("doc_id").alias("__bad_id"), F.col("__text_key").alias("__bad_key")).distinct()
-    gone = keyed["doc_id"].cast("long").eqNullSafe(F.col("__bad_id")) & (keyed["__text_key"] == F.col("__bad_key"))
+    gone = keyed["doc_id"].eqNullSafe(F.col("__bad_id")) & (keyed["__text_key"] == F.col("__bad_key"))
     return keyed.join(out, gone, "left_anti").select(*docs.columns)

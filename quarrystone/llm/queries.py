@@ -29,7 +29,7 @@ def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    evidence = langid.evidence_of_documents(docs).unionByName(langid.evidence_of_pages(table(spark, sf_dir, "pages")))
+    evidence = langid.evidence_of_documents(docs).unionByName(langid.evidence_of_pages(table(spark, sf_dir, "pages")), allowMissingColumns=True)
     return langid.identify(evidence, docs.select("text", "lang"))
 
 

@@ -248,6 +248,12 @@ def test_top_k(spark):
     assert voronoi.top_k(df.limit(0), df.limit(0)).count() == 0
     twice = df.where("vec_id < 30").unionByName(df.where("vec_id = 0")).unionByName(df.where("vec_id = 0"))
     assert sorted(r["vec_id"] for r in voronoi.top_k(twice, twice.where("vec_id = 0"), k=29).collect()) == list(range(1, 30))
+    small = pytest.MonkeyPatch()
+    small.setattr(voronoi, "PACK", 16)
+    small.setattr(voronoi, "AT_ONCE", 2)
+    small.setattr(voronoi, "QUERY_GROUP", 2)
+    assert {tuple(r) for r in voronoi.top_k(df, df.where("vec_id % 100 = 0"), pivots=20).collect()} == want
+    small.undo()
     few = df.where("vec_id < 3")
     assert voronoi.top_k(few, few.where("vec_id = 0")).count() == 2
 
@@ -497,6 +503,57 @@ def test_host_priors_and_declarations_decide_short_texts(spark):
     assert (got[100], got[101], got[102]) == ("fr", "en", "fr")
 
 
+def test_fusion_by_brute_force(spark):
+    """Posteriors over random evidence, with wrong and unknown declarations, hot and new hosts, against the formula in plain loops."""
+    rng = np.random.default_rng(6)
+    langs, rows = ["de", "en", "fr"], []
+    for k in range(300):
+        true = int(rng.integers(3))
+        said = langs[true] if rng.random() < 0.6 else str(rng.choice([*langs, "xx"]))
+        d = int(rng.integers(6))
+        host, domain, suffix = f"h{rng.integers(3)}.d{d}.s{d % 2}", f"d{d}.s{d % 2}", f"s{d % 2}"
+        n = int(rng.choice([0, 1, 5, 200]))
+        ll = [float(x) for x in np.where(np.arange(3) == true, -4.0, -4.3) + rng.normal(0, 0.2, 3)]
+        rows.append((k, host, domain, suffix, said if rng.random() < 0.8 else None, n, ll))
+    df = spark.createDataFrame(rows, "doc_id long, host string, domain string, suffix string, declared string, grams long, ll array<double>")
+    got = {r["doc_id"]: r for r in langid.fuse(df, langs, evidence=30).collect()}
+    guess = {r[0]: int(np.argmax(r[6])) for r in rows if r[5] > 0}
+    tally = lambda column, value: np.array([sum(g == c for k, g in guess.items() if rows[k][column] == value) for c in range(3)], float)
+    everything = np.array([sum(g == c for g in guess.values()) for c in range(3)], float)
+    overall = (everything + 1) / (everything.sum() + 3)
+    smooth = lambda n, above: (n + langid.SMOOTH * above) / (n.sum() + langid.SMOOTH)
+    place = lambda said: None if said is None else langs.index(said) + 1 if said in langs else 0
+    seen = np.zeros((3, 4))
+    for k, g in guess.items():
+        if rows[k][4] is not None:
+            seen[g, place(rows[k][4])] += 1
+    seen = np.log((seen + langid.SMOOTH / 4) / (seen.sum(1, keepdims=True) + langid.SMOOTH))
+    decided = 0
+    for k, host, domain, suffix, said, n, ll in rows:
+        if not n:
+            assert (got[k]["lang"], got[k]["posterior"], got[k]["accepted"]) == ("und", 0, False)
+            continue
+        prior = smooth(tally(1, host), smooth(tally(2, domain), smooth(tally(3, suffix), overall)))
+        log = np.array(ll) * min(n, 30) + np.log(prior) + (0 if said is None else seen[:, place(said)])
+        p = np.exp(log - log.max()) / np.exp(log - log.max()).sum()
+        assert got[k]["lang"] == langs[int(p.argmax())] and got[k]["posterior"] == pytest.approx(p.max(), rel=1e-9)
+        decided += int(p.argmax()) != guess[k]
+    assert decided > 5  # declarations and hosts have a say
+
+
+def test_text_outweighs_wrong_declarations(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("length(text) > 200")
+    wrong = docs.withColumn("lang", F.when(F.col("doc_id") % 3 == 0, F.when(F.col("lang") == "en", "de").otherwise("en")).otherwise(F.col("lang")))
+    truth = {r["doc_id"]: r["lang"] for r in docs.collect()}
+    model = langid.fit(docs.select("text", "lang"))
+    assert model.evidence in langid.EVIDENCE
+    none = langid.identify(langid.evidence_of_documents(docs.withColumn("lang", F.lit(None).cast("string"))), docs.select("text", "lang"))
+    for rows in (langid.identify(langid.evidence_of_documents(wrong), docs.select("text", "lang")), none):
+        assert np.mean([truth[r["doc_id"]] == r["lang"] for r in rows.collect()]) > 0.97
+    named = docs.withColumn("doc_id", F.concat(F.lit("id"), "doc_id"))  # ids of any type
+    assert langid.keep_known(named).count() > 0.95 * docs.count()
+
+
 def test_pages_as_evidence(spark):
     html = '<html lang="DE-at"><head><style>p{}</style></head><body><p>Und das</p></body></html>'
     pages = spark.createDataFrame([(1, "http://a.b.example.at/x", html), (2, None, None)], "page_id long, url string, html string")
@@ -585,7 +642,8 @@ def test_all_languages_are_fitted(spark):
 
 def test_copies_do_not_thin_the_fitted_sample(spark):
     texts = [(f"ab{k} cd{k}", "en") for k in range(30)] * 200 + [("le la les", "fr")]
-    langs, table = langid.fit(spark.createDataFrame(texts, "text string, lang string"), 60)
+    model = langid.fit(spark.createDataFrame(texts, "text string, lang string"), 60)
+    langs, table = model.langs, model.table
     heard = np.concatenate(list(langid.grams(b"ab1 cd1")))
     assert langs == ["en", "fr"] and (table[heard, 0] - table[:, 0].min() > np.log(2 * 30)).any()
 
