@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,8 @@ K, SCALE = 10, 1024
 PIVOTS, PACK, QUERY_GROUP = 64, 8192, 4096
 #: Queries scored at once against a packed row.
 BLOCK = 256
+#: Packed rows that one task holds against a group of queries: a group stands once for every so many.
+AT_ONCE = 32
 
 _PACK = pa.schema([
     ("pack", pa.int64()), ("dim", pa.int32()), ("ids", pa.binary()), ("cells", pa.binary()), ("vectors", pa.binary()),
@@ -120,8 +123,8 @@ def _bounds(query_stats: list, data_stats: list, pivots: np.ndarray, k: int) ->
     return out
 
 
-def _replicate(bounds: dict, pivots: np.ndarray):
-    """Of each packed row, for each query group, the vectors whose upper bound p_i.s + r_i |s| reaches a cell's least score."""
+def _replicate(bounds: dict, pivots: np.ndarray, salts: int):
+    """Of each packed row, for each query group, the vectors whose upper bound p_i.s + r_i |s| reaches a cell's least score, with a salt that deals packed rows out."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -135,8 +138,9 @@ def _replicate(bounds: dict, pivots: np.ndarray):
                     i, reach, least = (np.array(c) for c in zip(*cells, strict=True))
                     need = (inner[:, i] + reach[None] * norm[:, None] >= least[None]).any(1)
                     if need.any():
-                        cols = [[group], [row["dim"]], [ids[need].tobytes()], [x[need].tobytes()]]
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["pack", "dim", "ids", "vectors"])
+                        salt = zlib.crc32(row["pack"].to_bytes(8, "little")) % salts
+                        cols = [[group], [salt], [row["dim"]], [ids[need].tobytes()], [x[need].tobytes()]]
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["pack", "salt", "dim", "ids", "vectors"])
 
     return each
 
@@ -174,7 +178,7 @@ def top_k(data: DataFrame, queries: DataFrame, k: int = K, vec_id: str = "vec_id
     Both sides are assigned to the cells of their nearest pivots and packed; summaries of the cells
     (rows, radius, norm) give each group of queries the score that its k-th best must reach, and a
     data row goes only to the groups where its own bound reaches that. Groups are solved packed row by
-    packed row, so no cell is held whole, and each query's k best of the parts are ranked at the end.
+    packed row, a group in as many tasks as its packed rows need, so no cell is held whole and no group is a hot key, and each query's k best of the parts are ranked at the end.
     vec_id is a key: rows with the query's own vec_id aren't its candidates, repeated query rows count once, other
     repeated rows stand each for itself. A shorter vector counts as zero where it has no component.
     Vectors null or with null or non-finite components, and null ids, take no part. Empty tables give no rows.
@@ -196,8 +200,9 @@ def top_k(data: DataFrame, queries: DataFrame, k: int = K, vec_id: str = "vec_id
     stats = lambda df, *by: df.select("pack", F.inline("stats")).groupBy(*by).agg(F.sum("n").alias("n"), F.max("radius").alias("radius"), F.max("norm").alias("norm")).collect()
     own = data.join(queries.select(F.col(vec_id).alias("__q")).distinct(), F.col(vec_id) == F.col("__q"), "left_semi").groupBy(vec_id).count().agg(F.max("count")).first()[0] or 1
     bounds = _bounds(stats(asked, "pack", "cell"), stats(packed, "cell"), points, k + own - 1)  # a query's own rows are as many at most
-    sent = packed.mapInArrow(_replicate(bounds, points), "pack long, dim int, ids binary, vectors binary")
-    groups = asked.select("pack", F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
+    salts = max(1, -(-packed.count() // AT_ONCE))
+    sent = packed.mapInArrow(_replicate(bounds, points, salts), "pack long, salt int, dim int, ids binary, vectors binary")
+    groups = asked.select("pack", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -206,6 +211,6 @@ def top_k(data: DataFrame, queries: DataFrame, k: int = K, vec_id: str = "vec_id
                 q, x = (np.frombuffer(row[v], "<i8").reshape(-1, row[d]) for v, d in (("q_vectors", "q_dim"), ("vectors", "dim")))
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in best(q_ids, q, ids, x, k)], names=["query_id", "vec_id", "score"])
 
-    parts = sent.join(groups, "pack").mapInArrow(solve, "query_id long, vec_id long, score long")
+    parts = sent.join(groups, ["pack", "salt"]).mapInArrow(solve, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return parts.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
