@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from html.entities import html5
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -56,16 +57,11 @@ def op9_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.derivatives(warc.responses(table(spark, sf_dir, "pages")), whole=False).withColumnRenamed("key", "page_id")
-
-
-def op10_warc_derivatives_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op10_warc_derivatives with all entities, quoting forms and link texts; that query's SQL holds it to the narrow form."""
     return warc.derivatives(warc.responses(table(spark, sf_dir, "pages"))).withColumnRenamed("key", "page_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_pareto_mixture, op2_url_filter, op3_pii_surrogates, op4_language_fusion, op5_fm_decontamination, op6_unigram_counts, op7_token_records, op8_simhash_near_dedup, op9_voronoi_knn, op10_warc_derivatives, op10_warc_derivatives_whole)
+    every = (op1_pareto_mixture, op2_url_filter, op3_pii_surrogates, op4_language_fusion, op5_fm_decontamination, op6_unigram_counts, op7_token_records, op8_simhash_near_dedup, op9_voronoi_knn, op10_warc_derivatives)
     return {f.__name__: f for f in every}
 
 
@@ -123,27 +119,60 @@ select query_id, rank::int as rank, vec_id, score from (select *, row_number() o
 """
 
 
-def _sql_text(html: str) -> str:
-    """plain_text() as SQL."""
-    text = f"regexp_replace({html}, '{warc.HIDDEN}', ' ', 'g')"
-    text = f"regexp_replace(regexp_replace({text}, '{warc.BREAKS}', chr(10), 'g'), '{warc.TAG}', ' ', 'g')"
-    for entity, sign in warc.ENTITIES:
-        text = f"replace({text}, '{entity}', '{sign.replace(chr(39), chr(39) * 2)}')"
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _sql_entities() -> str:
+    """All named entities as a map, a no-break space as a space. The rule that reads the beginning of an unknown name without a semicolon has no place here."""
+    pairs = [(name, " " if sign == "\xa0" else sign) for name, sign in html5.items()]
+    return f"map([{', '.join(_quoted('&' + k) for k, _ in pairs)}], [{', '.join(_quoted(v) for _, v in pairs)}])"
+
+
+def _sql_resolved(text: str) -> str:
+    number = "try_cast(case when lower(x[3]) = 'x' then '0x' || regexp_extract(x, '[0-9A-Fa-f]+', 0) else regexp_extract(x, '[0-9]+', 0) end as int)".replace("regexp_extract(x, '[0-9A-Fa-f]+'", "regexp_extract(x[4:], '[0-9A-Fa-f]+'")
+    sign = f"case when x[1] <> '&' then x when x[2] = '#' then case when {number} = 160 then ' ' else coalesce(chr({number}), x) end else coalesce(ents[x], x) end"
+    return f"array_to_string(list_transform(regexp_extract_all({text}, '&#[xX][0-9A-Fa-f]+;?|&#[0-9]+;?|&[0-9A-Za-z]+;?|[^&]+|&'), lambda x: {sign}), '')"
+
+
+def _sql_joined(text: str) -> str:
     text = rf"regexp_replace(regexp_replace({text}, '[ \t\r\f\x0B]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g')"
     return rf"regexp_replace({text}, '^[ \n]+|[ \n]+$', '', 'g')"
 
 
+def _sql_bare(html: str) -> str:
+    text = f"regexp_replace({html}, '{warc.HIDDEN}', ' ', 'g')"
+    return f"regexp_replace(regexp_replace({text}, '{warc.BREAKS}', chr(10), 'g'), '{warc.TAG}', ' ', 'g')"
+
+
+def _sql_text(html: str) -> str:
+    """plain_text() as SQL."""
+    return _sql_joined(_sql_resolved(_sql_bare(html)))
+
+
+def _sql_value(text: str, pattern: str) -> str:
+    return " || ".join(f"regexp_extract({text}, '{pattern}', {k})" for k in (1, 2, 3))
+
+
 def _sql_urn(*parts: str) -> str:
     h = f"md5(concat_ws(chr(10), {', '.join(parts)}))"
     return "'<urn:uuid:' || " + " || '-' || ".join(f"substr({h}, {k}, {n})" for k, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))) + " || '>'"
 
 
+_VALUE = warc.VALUE.replace("'", "''")
+_ANCHOR = rf"(?is)<a\s(?:[^>]*?\s)?href\s*=\s*{_VALUE}[^>]*>(.*?)</a\s*>"
+_LANG = warc.LANG.replace("'", "''")
+
 _OP10 = rf"""
-with answers as (select page_id, {_sql_urn("'response'", "coalesce(page_id::varchar, '')", "coalesce(url, '')", "sha256(coalesce(html, ''))")} as refers_to, url as target_uri, coalesce(html, '') as h, 'sha256:' || sha256(coalesce(html, '')) as source_digest from pages),
-blocks as (select page_id, 'conversion' as type, 'text/plain' as content_type, refers_to, target_uri, source_digest, {_sql_text("h")} as block from answers
+with ents as (select {_sql_entities()} as ents),
+answers as (select page_id, {_sql_urn("'response'", "coalesce(page_id::varchar, '')", "coalesce(url, '')", "sha256(coalesce(html, ''))")} as refers_to, url as target_uri, coalesce(html, '') as h,
+  regexp_replace(coalesce(html, ''), '{warc.HIDDEN}', ' ', 'g') as shown, 'sha256:' || sha256(coalesce(html, '')) as source_digest, ents from pages, ents),
+found as (select *, regexp_extract_all(shown, '{_ANCHOR}', 0) as anchors from answers),
+blocks as (select page_id, 'conversion' as type, 'text/plain; charset=utf-8' as content_type, refers_to, target_uri, source_digest, {_sql_text("h")} as block from found
   union all select page_id, 'metadata', 'application/json', refers_to, target_uri, source_digest, json_object('envelope', json_object('refers_to', refers_to, 'target_uri', target_uri, 'payload_digest', source_digest),
-    'headers', json_object('Content-Type', 'text/html; charset=utf-8', 'Content-Length', strlen(h)::varchar), 'title', {_sql_text("regexp_extract(h, '(?is)<title[^>]*>(.*?)</title>', 1)")},
-    'lang', regexp_extract(h, '(?i)<html[^>]*\blang\s*=\s*"([^"]*)"', 1), 'links', to_json(regexp_extract_all(h, '(?is)<a\s[^>]*?href\s*=\s*"([^"]*)"[^>]*>', 1)))::varchar from answers)
+    'headers', json_object('Content-Type', 'text/html; charset=utf-8', 'Content-Length', strlen(h)::varchar), 'title', {_sql_text("regexp_extract(shown, '(?is)<title[^>]*>(.*?)</title>', 1)")},
+    'lang', {_sql_value("shown", _LANG)}, 'links', to_json(list_transform(anchors, lambda m: {_sql_resolved("(" + _sql_value("m", _ANCHOR) + ")")})),
+    'link_texts', to_json(list_transform(anchors, lambda m: {_sql_text(f"regexp_extract(m, '{_ANCHOR}', 4)")})))::varchar from found)
 select page_id, type, {_sql_urn("type", "refers_to")} as record_id, refers_to, target_uri, '{warc.WARC_DATE}' as date, source_digest, content_type, 'sha256:' || sha256(block) as block_digest, strlen(block)::bigint as content_length, block from blocks
 """
 

@@ -2,21 +2,29 @@
 
 from __future__ import annotations
 
+import gzip
+import hashlib
 import html as markup
+import io
 import re
+import zlib
+from collections.abc import Iterator
+from typing import BinaryIO
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Entities that the narrow form of plain text resolves, in this order (fixed values).
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+from .common import arrow_batches
 
-#: Elements whose content isn't text, comments and declarations; blocks that end a line; any other tag.
-HIDDEN = r"(?is)<(?:script\b.*?</script|style\b.*?</style|!--.*?--)\s*>"
+#: Elements whose content isn't text and comments, up to their end or the page's; blocks that end a line; any other tag.
+HIDDEN = r"(?is)<(?:script\b.*?(?:</script\s*>|\z)|style\b.*?(?:</style\s*>|\z)|!--.*?(?:-->|\z))"
 BREAKS = r"(?i)</?(?:p|br|div|h[1-6]|li|ul|ol|tr|table|article|section|nav|header|footer|title|head|body|html)\b[^>]*>"
 TAG = r"</?[A-Za-z!][^>]*>"
+#: The date of pages that carry none.
 WARC_DATE = "1970-01-01T00:00:00Z"
 
 
@@ -52,17 +60,9 @@ def _joined(text: Column) -> Column:
     return F.regexp_replace(text, r"^[ \n]+|[ \n]+$", "")
 
 
-def plain_text(html: Column, whole: bool = True) -> Column:
-    """The text of a page: hidden parts out, a line for each block, entities resolved, white space joined, no empty lines; null stays null.
-
-    Not whole, only ENTITIES are resolved.
-    """
-    text = _bare(html)
-    if whole:
-        return _joined(_resolved(text))
-    for entity, sign in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(sign))
-    return _joined(text)
+def plain_text(html: Column) -> Column:
+    """The text of a page: hidden parts out, a line for each block, entities resolved, white space joined, no empty lines; null stays null."""
+    return _joined(_resolved(_bare(html)))
 
 
 def attribute(text: Column, pattern: str) -> Column:
@@ -80,47 +80,47 @@ def digest(block: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(block, 256))
 
 
-def responses(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """Pages as response records: key, record_id, target_uri, date, headers (of the source's answer), payload, payload_digest."""
+def responses(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", date: Column | None = None, headers: Column | None = None) -> DataFrame:
+    """Pages as response records: key, record_id, target_uri, date, headers (of the source's answer), payload, payload_digest.
+
+    Where pages carry no date or headers, the date is WARC_DATE and the headers are the type and length of what is there. Records of a WARC file come by read_warc().
+    """
     payload = F.coalesce(F.col(html), F.lit(""))
     key = F.col(page_id).cast("string")
+    own = F.create_map(F.lit("Content-Type"), F.lit("text/html; charset=utf-8"), F.lit("Content-Length"), F.octet_length(payload).cast("string"))
     return pages.select(
         F.col(page_id).alias("key"),
         urn(F.lit("response"), F.coalesce(key, F.lit("")), F.coalesce(F.col(url), F.lit("")), F.sha2(payload, 256)).alias("record_id"),
-        F.col(url).alias("target_uri"), F.lit(WARC_DATE).alias("date"),
-        F.create_map(F.lit("Content-Type"), F.lit("text/html; charset=utf-8"), F.lit("Content-Length"), F.octet_length(payload).cast("string")).alias("headers"),
+        F.col(url).alias("target_uri"), F.coalesce(*([] if date is None else [date]), F.lit(WARC_DATE)).alias("date"),
+        F.coalesce(*([] if headers is None else [headers]), own).alias("headers"),
         payload.alias("payload"), digest(payload).alias("payload_digest"),
     )
 
 
-def derivatives(answers: DataFrame, whole: bool = True) -> DataFrame:
+def derivatives(answers: DataFrame) -> DataFrame:
     """Two rows for each response, a metadata record and a conversion record.
 
     Both carry a record id of their own, the response's as refers_to, its uri, date and digest. The metadata
     block is JSON: the envelope (refers-to, target, digest), the source's headers, title, declared language, and links
     (their texts, in the same order, as link_texts). The conversion block is the plain text. Each has the digest and the length of its own block. An
-    empty payload gives an empty text and no links; a null uri stays null; repeated responses give repeated records.
-    Not whole, only ENTITIES are resolved, only values in double quotes are read, and links have no texts.
+    empty payload gives an empty text and no links; a null uri stays null; repeated responses give repeated records. Pages are read
+    whole, however long; an unclosed script, style or comment ends with its page. An empty table gives no rows; other columns are ignored.
     """
     page = F.col("payload")
-    title = plain_text(F.regexp_extract(page, r"(?is)<title[^>]*>(.*?)</title>", 1), whole)
-    if whole:
-        lang, found = attribute(page, LANG), F.regexp_extract_all(page, F.lit(ANCHOR), F.lit(0))
-        texts = F.transform(_all_resolved(F.transform(found, lambda m: _bare(F.regexp_extract(m, ANCHOR, 4)))), _joined)
-        links = [F.transform(found, lambda m: attribute(m, ANCHOR)).alias("links"), texts.alias("link_texts")]
-    else:
-        lang = F.regexp_extract(page, r'(?i)<html[^>]*\blang\s*=\s*"([^"]*)"', 1)
-        links = [F.regexp_extract_all(page, F.lit(r'(?is)<a\s[^>]*?href\s*=\s*"([^"]*)"[^>]*>'), F.lit(1)).alias("links")]
+    shown = F.regexp_replace(page, HIDDEN, " ")  # no links, titles or languages of scripts and comments
+    found = F.regexp_extract_all(shown, F.lit(ANCHOR), F.lit(0))
+    texts = F.transform(_all_resolved(F.transform(found, lambda m: _bare(F.regexp_extract(m, ANCHOR, 4)))), _joined)
+    title = plain_text(F.regexp_extract(shown, r"(?is)<title\b[^>]*>(.*?)(?:</title\s*>|\z)", 1))
     metadata = F.to_json(
         F.struct(
             F.struct(F.col("record_id").alias("refers_to"), F.col("target_uri").alias("target_uri"), F.col("payload_digest").alias("payload_digest")).alias("envelope"),
             F.col("headers").alias("headers"),
-            title.alias("title"), lang.alias("lang"), *links,
+            title.alias("title"), attribute(shown, LANG).alias("lang"), _all_resolved(F.transform(found, lambda m: attribute(m, ANCHOR))).alias("links"), texts.alias("link_texts"),
         )
     )
     kinds = F.array(
         F.struct(F.lit("metadata").alias("type"), F.lit("application/json").alias("content_type"), metadata.alias("block")),
-        F.struct(F.lit("conversion").alias("type"), F.lit("text/plain").alias("content_type"), plain_text(page, whole).alias("block")),
+        F.struct(F.lit("conversion").alias("type"), F.lit("text/plain; charset=utf-8").alias("content_type"), plain_text(page).alias("block")),
     )
     rows = answers.select("key", "record_id", "target_uri", "date", "payload_digest", F.explode(kinds).alias("r"))
     return rows.select(
@@ -131,16 +131,128 @@ def derivatives(answers: DataFrame, whole: bool = True) -> DataFrame:
 
 
 def as_warc(records: DataFrame) -> DataFrame:
-    """record: each derivative as the text of a WARC/1.0 record, ready for a text sink."""
-    line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
+    """record: each derivative as the bytes of a WARC/1.0 record, with the two line ends that close it. Line ends in a uri are escaped."""
+    line = lambda name, value: F.concat(F.lit(f"{name}: "), F.regexp_replace(F.regexp_replace(value, "\r", "%0D"), "\n", "%0A"), F.lit("\r\n"))
+    maybe = lambda name, value: F.coalesce(line(name, value), F.lit(""))
     head = F.concat(
-        F.lit("WARC/1.0\r\n"), line("WARC-Type", F.col("type")), line("WARC-Record-ID", F.col("record_id")), line("WARC-Refers-To", F.col("refers_to")),
-        F.coalesce(line("WARC-Target-URI", F.col("target_uri")), F.lit("")), line("WARC-Date", F.col("date")), line("WARC-Block-Digest", F.col("block_digest")),
+        F.lit("WARC/1.0\r\n"), line("WARC-Type", F.col("type")), line("WARC-Record-ID", F.col("record_id")), maybe("WARC-Refers-To", F.col("refers_to")),
+        maybe("WARC-Target-URI", F.col("target_uri")), maybe("WARC-Refers-To-Target-URI", F.col("target_uri")), line("WARC-Date", F.col("date")), maybe("WARC-Refers-To-Date", F.col("date")),
+        line("WARC-Block-Digest", F.col("block_digest")), maybe("X-Source-Payload-Digest", F.col("source_digest")),
         line("Content-Type", F.col("content_type")), line("Content-Length", F.col("content_length").cast("string")),
     )
-    return records.select(F.concat(head, F.lit("\r\n"), F.col("block"), F.lit("\r\n\r\n")).alias("record"))
+    return records.select(F.concat(head, F.lit("\r\n"), F.col("block"), F.lit("\r\n\r\n")).cast("binary").alias("record"))
 
 
-def write_warc(records: DataFrame, path: str) -> None:
-    """Gzipped WARC files under path, one a partition, by Spark's own committed writer."""
-    as_warc(records).write.option("lineSep", "\r\n").option("compression", "gzip").text(path)
+def write_warc(records: DataFrame, path: str) -> int:
+    """Gzipped WARC files under path, one a partition, each record a gzip member of its own; returns how many records.
+
+    A file is written under its attempt's name and moved into place, so a lost executor's tasks may run again. An empty table writes no file.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        task = TaskContext.get()
+        store, base = fs.FileSystem.from_uri(path)
+        out, n = None, 0
+        mine = f"{base}/.attempt-{task.taskAttemptId()}"
+        for b in batches:
+            for record in b.column(0):
+                if out is None:
+                    store.create_dir(base, recursive=True)
+                    out = store.open_output_stream(mine, buffer_size=1 << 20)
+                out.write(gzip.compress(record.as_py(), 6, mtime=0))
+                n += 1
+        if out is not None:
+            out.close()
+            store.move(mine, f"{base}/part-{task.partitionId():05d}.warc.gz")
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    arrow_batches(records.sparkSession)
+    return as_warc(records).mapInArrow(write, "n long").agg(F.sum("n")).first()[0] or 0
+
+
+def _body(headers: dict[str, str], body: bytes) -> str:
+    """The payload of an answer as text: chunks joined, content codings undone, decoded by its charset (UTF-8, if that is none or unknown)."""
+    low = {k.lower(): v for k, v in headers.items()}
+    if "chunked" in low.get("transfer-encoding", "").lower():
+        joined, rest = [], body
+        while rest:
+            size, _, rest = rest.partition(b"\r\n")
+            n = int(size.split(b";")[0].strip() or b"0", 16)
+            if not n:
+                break
+            joined.append(rest[:n])
+            rest = rest[n + 2 :]
+        body = b"".join(joined)
+    coding = low.get("content-encoding", "").lower().strip()
+    if coding in ("gzip", "x-gzip", "deflate"):
+        body = zlib.decompressobj(47 if coding != "deflate" else 15).decompress(body)
+    charset = re.search(r"charset\s*=\s*[\"']?([\w.:-]+)", low.get("content-type", ""), re.I)
+    try:
+        return body.decode(charset.group(1) if charset else "utf-8", "replace")
+    except LookupError:
+        return body.decode("utf-8", "replace")
+
+
+def records_of(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers (names in lower case) and block of each record of a WARC stream; one that ends amid a record, or has no version line, is an error."""
+    while True:
+        line = stream.readline()
+        while line in (b"\r\n", b"\n"):
+            line = stream.readline()
+        if not line:
+            return
+        if not line.startswith(b"WARC/"):
+            raise ValueError("no WARC record begins here")
+        head: dict[str, str] = {}
+        name = ""
+        while (line := stream.readline()) not in (b"\r\n", b"\n"):
+            if not line:
+                raise ValueError("a WARC record ends in its header")
+            text = line.decode("utf-8", "replace").rstrip("\r\n")
+            if text[:1] in " \t" and name:
+                head[name] += " " + text.strip()
+            else:
+                name, _, value = (x.strip() for x in text.partition(":"))
+                head[name := name.lower()] = value
+        block = stream.read(size := int(head["content-length"]))
+        if len(block) != size:
+            raise ValueError("a WARC record ends in its block")
+        yield head, block
+
+
+def read_warc(spark: SparkSession, path: str) -> DataFrame:
+    """The response records of WARC files (plain or gzipped) under path as responses() gives them: key (the record's id), record_id, target_uri, date, headers of the answer, payload, payload_digest.
+
+    Files are dealt out whole and read as streams, a record at a time. The digest is the record's own where it states one. Other records, and answers that
+    aren't HTTP, give no rows. The path must be one that pyarrow opens.
+    """
+    arrow_batches(spark)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
+    files = files.repartition(max(1, files.count()), "path")
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for uri in b.column(0).to_pylist():
+                store, name = fs.FileSystem.from_uri(uri)
+                with store.open_input_stream(name, compression=None) as raw:
+                    for row in _answers(gzip.open(raw) if name.endswith(".gz") else io.BufferedReader(raw)):
+                        yield pa.RecordBatch.from_pylist([row], schema=_ANSWER)
+
+    return files.mapInArrow(each, "key string, record_id string, target_uri string, date string, headers map<string,string>, payload string, payload_digest string")
+
+
+def _answers(stream: BinaryIO) -> Iterator[dict]:
+    for head, block in records_of(stream):
+        if head.get("warc-type") != "response" or not block.startswith(b"HTTP/"):
+            continue
+        top, _, body = block.partition(b"\r\n\r\n")
+        pairs = [line.decode("utf-8", "replace").partition(":") for line in top.split(b"\r\n")[1:]]
+        headers = {k.strip(): v.strip() for k, _, v in pairs if k.strip()}
+        text = _body(headers, body)
+        stated = head.get("warc-payload-digest") or "sha256:" + hashlib.sha256(text.encode()).hexdigest()
+        yield {"key": head["warc-record-id"], "record_id": head["warc-record-id"], "target_uri": head.get("warc-target-uri"), "date": head.get("warc-date", WARC_DATE), "headers": list(headers.items()), "payload": text, "payload_digest": stated}
+
+
+_ANSWER = pa.schema([(n, pa.map_(pa.string(), pa.string()) if n == "headers" else pa.string()) for n in ("key", "record_id", "target_uri", "date", "headers", "payload", "payload_digest")])

@@ -614,18 +614,90 @@ def test_derivatives(spark):
     for r in rows:
         assert r["block_digest"] == "sha256:" + hashlib.sha256(r["block"].encode()).hexdigest() and r["content_length"] == len(r["block"].encode())
         assert r["source_digest"] == "sha256:" + hashlib.sha256((html if r["key"] == 1 else "").encode()).hexdigest()
-    record = next(r["record"] for r in warc.as_warc(warc.derivatives(warc.responses(pages))).collect() if "A & B\nOne" in r["record"])
+    record = next(bytes(r["record"]).decode() for r in warc.as_warc(warc.derivatives(warc.responses(pages))).collect() if b"A & B\nOne" in r["record"])
     head, block = record.split("\r\n\r\n", 1)
     assert f"WARC-Refers-To: {text['refers_to']}" in head and block == text["block"] + "\r\n\r\n"
 
 
-def test_written_warc(spark, tmp_path):
+def _members(data):
+    """The gzip members of a file, each decompressed."""
+    while data:
+        d = zlib.decompressobj(31)
+        yield d.decompress(data)
+        data = d.unused_data
+
+
+def _strict(record):
+    """Headers and block of one record's bytes, with nothing left over."""
+    head, _, rest = record.partition(b"\r\n\r\n")
+    lines = head.decode().split("\r\n")
+    assert lines[0] == "WARC/1.0"
+    headers = dict(x.split(": ", 1) for x in lines[1:])
+    n = int(headers["Content-Length"])
+    assert rest[n:] == b"\r\n\r\n"
+    return headers, rest[:n]
+
+
+def test_written_warc_read_back_strictly(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "http://h/p", "<p>x</p>\r\n\r\n"), (2, "http://h/\r\nX: y", "é <a href=/q>z</a>"), (3, None, None)], "page_id long, url string, html string")
+    made = warc.derivatives(warc.responses(pages))
+    assert warc.write_warc(made, str(tmp_path / "w")) == 6 and warc.write_warc(made.limit(0), str(tmp_path / "none")) == 0
+    want = {r["record_id"]: r for r in made.collect()}
+    got = [_strict(m) for f in (tmp_path / "w").glob("part-*.warc.gz") for m in _members(f.read_bytes())]
+    assert len(got) == 6 and {h["WARC-Record-ID"] for h, _ in got} == set(want)
+    for headers, block in got:
+        r = want[headers["WARC-Record-ID"]]
+        assert headers["WARC-Refers-To"] == r["refers_to"] and headers["WARC-Type"] == r["type"] and headers["X-Source-Payload-Digest"] == r["source_digest"]
+        assert headers["WARC-Block-Digest"] == "sha256:" + hashlib.sha256(block).hexdigest() == r["block_digest"] and block.decode() == r["block"]
+        assert ("WARC-Target-URI" in headers) == (r["target_uri"] is not None)
+    assert not list((tmp_path / "w").glob(".attempt*"))
+
+
+def test_response_records_are_read_with_their_headers(spark, tmp_path):
     import gzip
 
-    pages = spark.createDataFrame([(1, "http://h/p", "<p>x</p>")], "page_id long, url string, html string")
-    warc.write_warc(warc.derivatives(warc.responses(pages)), str(tmp_path / "w"))
-    data = b"".join(gzip.open(f).read() for f in (tmp_path / "w").glob("part-*"))
-    assert data.count(b"WARC/1.0\r\n") == 2
+    def record(kind, n, block, **more):
+        head = {"WARC-Type": kind, "WARC-Record-ID": f"<urn:uuid:{n}>", "WARC-Date": f"2024-01-0{n}T00:00:00Z", "WARC-Target-URI": f"http://h/{n}", "Content-Length": len(block), **more}
+        return b"WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items()).encode() + b"\r\n" + block + b"\r\n\r\n"
+
+    latin = "<html lang='fr'><p>caf\u00e9</p>".encode("latin-1")
+    packed = gzip.compress(b"<p>packed</p>")
+    chunked = b"3\r\n<p>\r\n5;x=y\r\nab</p\r\n1\r\n>\r\n0\r\n\r\n"
+    answers = [
+        record("warcinfo", 1, b"software: x\r\n"),
+        record("response", 2, b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=ISO-8859-1\r\nServer: s\r\n\r\n" + latin, **{"WARC-Payload-Digest": "sha1:ABC"}),
+        record("response", 3, b"HTTP/1.1 200 OK\r\nContent-Encoding: gzip\r\n\r\n" + packed),
+        record("response", 4, b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked),
+        record("request", 5, b"GET / HTTP/1.1\r\n\r\n"),
+    ]
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a/one.warc.gz").write_bytes(b"".join(gzip.compress(a) for a in answers[:3]))
+    (tmp_path / "a/two.warc").write_bytes(b"".join(answers[3:]))
+    rows = {r["record_id"]: r for r in warc.read_warc(spark, str(tmp_path / "a")).collect()}
+    assert {k: r["payload"] for k, r in rows.items()} == {"<urn:uuid:2>": "<html lang='fr'><p>caf\u00e9</p>", "<urn:uuid:3>": "<p>packed</p>", "<urn:uuid:4>": "<p>ab</p>"}
+    assert rows["<urn:uuid:2>"]["headers"] == {"Content-Type": "text/html; charset=ISO-8859-1", "Server": "s"} and rows["<urn:uuid:2>"]["payload_digest"] == "sha1:ABC"
+    assert rows["<urn:uuid:3>"]["date"] == "2024-01-03T00:00:00Z" and rows["<urn:uuid:3>"]["target_uri"] == "http://h/3"
+    made = {(r["refers_to"], r["type"]): json.loads(r["block"]) if r["type"] == "metadata" else r["block"] for r in warc.derivatives(warc.read_warc(spark, str(tmp_path / "a"))).collect()}
+    assert made["<urn:uuid:2>", "conversion"] == "caf\u00e9" and made["<urn:uuid:2>", "metadata"]["headers"]["Server"] == "s" and made["<urn:uuid:2>", "metadata"]["envelope"]["payload_digest"] == "sha1:ABC"
+    import io
+
+    with pytest.raises(ValueError, match="ends in its block"):
+        list(warc.records_of(io.BytesIO(answers[1][:-30])))
+
+
+def test_pages_that_are_not_closed_and_references_of_all_kinds(spark):
+    pages = [
+        ("<p>a<script>var x = '<a href=no>';", "a", []), ("a<!-- b <a href='no'>c", "a", []), ("<style>p{}", "", []), ("x<SCRIPT src=a></SCRIPT >y", "x y", []),
+        ("<a href='/x?a=1&amp;b=2' class=k>one<a href=/y>two", "one two", [("/x?a=1&b=2", "one"), ("/y", "two")]), ("&eacute;&#233;&#xE9;&notit;&#0;&bogus;&#128;", "\u00e9\u00e9\u00e9\u00acit;\ufffd&bogus;\u20ac", []),
+        ("<area href=no><a name=x>n</a><a data-href=no href=\"q\">  q\n r </a>", "n q\nr", [("q", "q\nr")]), ("word " * 200_000, ("word " * 200_000).strip(), []), ("", "", []), (None, "", []),
+    ]
+    df = spark.createDataFrame([(k, "u", h) for k, (h, _, _) in enumerate(pages)], "page_id long, url string, html string")
+    got = {(r["key"], r["type"]): r["block"] for r in warc.derivatives(warc.responses(df)).collect()}
+    for k, (html, text, links) in enumerate(pages):
+        doc = json.loads(got[k, "metadata"])
+        assert got[k, "conversion"] == text, html[:60]
+        assert list(zip(doc["links"], doc["link_texts"], strict=True)) == links, html[:60]
+    assert warc.derivatives(warc.responses(df.limit(0))).count() == 0
 
 
 def test_all_languages_are_fitted(spark):
