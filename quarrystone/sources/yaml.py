@@ -4,9 +4,20 @@ from __future__ import annotations
 
 import json
 import re
-
-_INT, _FLOAT = re.compile(r"[-+]?\d+"), re.compile(r"[-+]?\d+\.\d+")
-_WORDS = {"": None, "null": None, "~": None, "true": True, "false": False}
+from collections.abc import Iterator
+
+#: What plain scalars stand for, tried in order (fixed values: the forms that files here use).
+FORMS = (
+    (re.compile(r"(?:null|~)?", re.I), lambda t: None),
+    (re.compile(r"true|false", re.I), lambda t: t.lower() == "true"),
+    (re.compile(r"\[\]|\{\}"), json.loads),
+    (re.compile(r"[-+]?[0-9]+"), int),
+    (re.compile(r"[-+]?[0-9]+\.[0-9]+"), float),
+    (re.compile(r"\"[^\"]*\"|'[^']*'"), lambda t: t[1:-1]),
+)
+#: A key with its colon; a quoted scalar; a comment, which begins a line or follows a blank.
+_KEY = re.compile(r"(?P<key>\"[^\"]*\"|'[^']*'|[^\s\"'#-][^:#]*?|-[^\s:#][^:#]*?)\s*:(?=\s|$)\s*")
+_SCALAR = re.compile(r"(?P<quoted>\"[^\"]*\"|'[^']*')?(?P<plain>(?:[^\s#]|(?<=\S)#|\s+(?!#|\s|$))*)")
 
 
 class YamlError(ValueError):
@@ -14,76 +25,62 @@ class YamlError(ValueError):
 
 
 def scalar(raw: str):
-    raw = raw.strip()
-    if raw.lower() in _WORDS:
-        return _WORDS[raw.lower()]
-    if raw in ("[]", "{}"):
-        return json.loads(raw)
-    if len(raw) > 1 and raw[0] == raw[-1] and raw[0] in "\"'":
-        return raw[1:-1]
-    return int(raw) if _INT.fullmatch(raw) else float(raw) if _FLOAT.fullmatch(raw) else raw
-
-
-def _uncommented(line: str) -> str:
-    quote = ""
-    for k, c in enumerate(line):
-        if quote:
-            quote = "" if c == quote else quote
-        elif c in "\"'":
-            quote = c
-        elif c == "#":
-            return line[:k]
-    return line
+    text = raw.strip()
+    return next((made(text) for form, made in FORMS if form.fullmatch(text)), text)
 
 
-def loads(text: str, strict: bool = False):
-    """The document of a text; an empty one is {}. strict: a repeated key is an error, else its last value counts."""
-    rows = []  # (indent, in a list, key or None, rest); "- a: 1" opens an item and a map within it
-    for line in map(_uncommented, text.split("\n")):
-        if line.strip():
-            rows.append((len(line) - len(line.lstrip(" ")), line.strip()))
-    at = 0
-
-    def block(indent: int):
-        nonlocal at
-        items: list | None = [] if rows[at][1].startswith("- ") or rows[at][1] == "-" else None
-        entries: dict = {}
-        while at < len(rows) and rows[at][0] == indent:
-            content = rows[at][1]
-            if (content.startswith("- ") or content == "-") != (items is not None):
-                break
-            if items is None:
-                pair(content, entries, indent)
-                continue
-            inner = content[1:].strip()
-            if not inner:
+def _tokens(text: str) -> Iterator[tuple[int, str, str]]:
+    """(column, kind, text) of a text's marks, line by line: item, key, value."""
+    for line in text.splitlines():
+        at = len(line) - len(line.lstrip(" "))
+        while at < len(line) and line[at] != "#":
+            if re.match(r"-(?:\s|$)", line[at:]):
+                yield at, "item", ""
                 at += 1
-                items.append(block(rows[at][0]) if deeper(indent) else None)
-            elif ":" in inner and inner[0] not in "\"'":
-                entry: dict = {}
-                pair(inner, entry, indent)
-                if deeper(indent):
-                    more = block(rows[at][0])
-                    if isinstance(more, dict):
-                        entry.update(more)
-                items.append(entry)
+            elif key := _KEY.match(line, at):
+                yield at, "key", key["key"]
+                at = key.end()
             else:
-                at += 1
-                items.append(scalar(inner))
-        return entries if items is None else items
+                value = _SCALAR.match(line, at)
+                yield at, "value", (value["quoted"] or "") + value["plain"]
+                at = value.end()
+            at += len(line[at:]) - len(line[at:].lstrip())
 
-    def deeper(indent: int) -> bool:
-        return at < len(rows) and rows[at][0] > indent
 
-    def pair(content: str, into: dict, indent: int) -> None:
-        nonlocal at
-        key, _, rest = (x.strip() for x in content.partition(":"))
-        if strict and key in into:
-            raise YamlError(f"{key} stands twice")
-        at += 1
-        into[key] = scalar(rest) if rest else block(rows[at][0]) if deeper(indent) else None
-
-    return block(rows[0][0]) if rows else {}
+def loads(text: str, strict: bool = False):
+    """The document of a text; an empty one is {}. strict: a repeated key is an error, else its last value counts.
+
+    Marks are taken as they come. An item or a key belongs to the innermost open list or map that began at its column; where there is none,
+    it opens one in the place that waits for a value: the document's, or that of the last item or key.
+    """
+    document: list = [None]
+    place: tuple | None = (document, 0)  # what waits for a value
+    open_: list[tuple[int, list | dict]] = []
+    for column, kind, token in _tokens(text):
+        if kind == "value":
+            if place is None:
+                raise YamlError(f"{token!r} stands where no value can")
+            place[0][place[1]], place = scalar(token), None
+            continue
+        wanted = list if kind == "item" else dict
+        while open_ and (open_[-1][0] > column or (open_[-1][0] == column and not isinstance(open_[-1][1], wanted) and wanted is dict)):
+            open_.pop()
+        if not open_ or open_[-1][0] < column or not isinstance(open_[-1][1], wanted):
+            if place is None:
+                raise YamlError(f"nothing is open at column {column}")
+            place[0][place[1]] = wanted()
+            open_.append((column, place[0][place[1]]))
+        into = open_[-1][1]
+        if isinstance(into, list):
+            into.append(None)
+            place = (into, len(into) - 1)
+        else:
+            name = token[1:-1] if token[:1] in "\"'" else token
+            if strict and name in into:
+                raise YamlError(f"{name} stands twice")
+            into[name] = None
+            place = (into, name)
+    return {} if document[0] is None else document[0]
 
 
 def _plain(v) -> str:

@@ -101,3 +101,24 @@ def test_manifest_breaches(spark):
         ("object_unique", "o1"), ("object_kind", "o2"), ("object_time", "o2"), ("fact_subject", "f2"), ("fact_version", "f2"), ("fact_time", "f3"), ("fact_lifecycle", "f4"),
         ("relation_target", "o9"), ("atom_artifact", "a1"), ("atom_kind", "a2"), ("query_semantic_target", "q1"), ("query_locator", "q1"), ("external_digest", "x"),
     }
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("a:\n- 1\n- x: 2\n  y: []\nb: c", {"a": [1, {"x": 2, "y": []}], "b": "c"}),
+        ("- - 1\n  - 2\n-\n  k: v\n- ~", [[1, 2], {"k": "v"}, None]),
+        ("at: 2024-01-01T00:00:00Z # when\nurl: http://h/#part\nq: 'a # b: c'\nn: -3\nf: 1.50\nt: TRUE\ne:", {"at": "2024-01-01T00:00:00Z", "url": "http://h/#part", "q": "a # b: c", "n": -3, "f": 1.5, "t": True, "e": None}),
+        ("a:\n  b:\n    c: 1\n  d: 2\ne:\n  - f:\n      g: 3\n    h: 4\n", {"a": {"b": {"c": 1}, "d": 2}, "e": [{"f": {"g": 3}, "h": 4}]}),
+        ("- http://x\n- a-b\n- -1\n# all\n\n-   two  words ", ["http://x", "a-b", -1, "two  words"]),
+        ('"quoted key": 1\n', {"quoted key": 1}),
+    ],
+)
+def test_yaml_forms(text, want):
+    assert yaml.loads(text) == want and yaml.loads(yaml.dumps(want)) == want
+
+
+def test_yaml_faults():
+    for text in ("a: 1\n  b: 2", "a: 1\nplain", "- 1\n    - 2"):
+        with pytest.raises(yaml.YamlError):
+            yaml.loads(text)
