@@ -50,9 +50,12 @@ def _all_resolved(lists: pd.Series) -> pd.Series:
     return lists.map(lambda x: [resolved(t) for t in x], na_action="ignore")
 
 
-def _bare(html: Column) -> Column:
-    text = F.regexp_replace(html, HIDDEN, " ")
-    return F.regexp_replace(F.regexp_replace(text, BREAKS, "\n"), TAG, " ")
+def _shown(html: Column) -> Column:
+    return F.regexp_replace(html, HIDDEN, " ")
+
+
+def _bare(shown: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(shown, BREAKS, "\n"), TAG, " ")
 
 
 def _joined(text: Column) -> Column:
@@ -62,7 +65,7 @@ def _joined(text: Column) -> Column:
 
 def plain_text(html: Column) -> Column:
     """The text of a page: hidden parts out, a line for each block, entities resolved, white space joined, no empty lines; null stays null."""
-    return _joined(_resolved(_bare(html)))
+    return _joined(_resolved(_bare(_shown(html))))
 
 
 def attribute(text: Column, pattern: str) -> Column:
@@ -106,23 +109,28 @@ def derivatives(answers: DataFrame) -> DataFrame:
     empty payload gives an empty text and no links; a null uri stays null; repeated responses give repeated records. Pages are read
     whole, however long; an unclosed script, style or comment ends with its page. An empty table gives no rows; other columns are ignored.
     """
-    page = F.col("payload")
-    shown = F.regexp_replace(page, HIDDEN, " ")  # no links, titles or languages of scripts and comments
-    found = F.regexp_extract_all(shown, F.lit(ANCHOR), F.lit(0))
-    texts = F.transform(_all_resolved(F.transform(found, lambda m: _bare(F.regexp_extract(m, ANCHOR, 4)))), _joined)
-    title = plain_text(F.regexp_extract(shown, r"(?is)<title\b[^>]*>(.*?)(?:</title\s*>|\z)", 1))
+    answers = answers.select("key", "record_id", "target_uri", "date", "headers", "payload", "payload_digest")
+    parts = answers.withColumn("shown", _shown(F.col("payload")))  # no links, titles or languages of scripts and comments; searched once, used by all below
+    shown = F.col("shown")
+    parts = parts.withColumns({"found": F.regexp_extract_all(shown, F.lit(ANCHOR), F.lit(0)), "text": _bare(shown), "lang": attribute(shown, LANG)})
+    parts = parts.withColumn("title", _bare(F.regexp_extract(shown, r"(?is)<title\b[^>]*>(.*?)(?:</title\s*>|\z)", 1))).drop("shown")
+    values, texts = F.transform("found", lambda m: attribute(m, ANCHOR)), F.transform("found", lambda m: _bare(F.regexp_extract(m, ANCHOR, 4)))
+    parts = parts.withColumn("resolved", _all_resolved(F.concat(F.array("text", "title"), values, texts)))  # in one array: one way to Python and back
+    n = F.size("found")
+    parts = parts.withColumn("joined", F.transform(F.concat(F.slice("resolved", 1, 2), F.slice("resolved", n + 3, n)), _joined))
+    title, texts, links = F.get("joined", F.lit(1)), F.slice("joined", 3, n), F.slice("resolved", 3, n)
     metadata = F.to_json(
         F.struct(
             F.struct(F.col("record_id").alias("refers_to"), F.col("target_uri").alias("target_uri"), F.col("payload_digest").alias("payload_digest")).alias("envelope"),
             F.col("headers").alias("headers"),
-            title.alias("title"), attribute(shown, LANG).alias("lang"), _all_resolved(F.transform(found, lambda m: attribute(m, ANCHOR))).alias("links"), texts.alias("link_texts"),
+            title.alias("title"), F.col("lang").alias("lang"), links.alias("links"), texts.alias("link_texts"),
         )
     )
     kinds = F.array(
         F.struct(F.lit("metadata").alias("type"), F.lit("application/json").alias("content_type"), metadata.alias("block")),
-        F.struct(F.lit("conversion").alias("type"), F.lit("text/plain; charset=utf-8").alias("content_type"), plain_text(page).alias("block")),
+        F.struct(F.lit("conversion").alias("type"), F.lit("text/plain; charset=utf-8").alias("content_type"), F.get("joined", F.lit(0)).alias("block")),
     )
-    rows = answers.select("key", "record_id", "target_uri", "date", "payload_digest", F.explode(kinds).alias("r"))
+    rows = parts.select("key", "record_id", "target_uri", "date", "payload_digest", F.explode(kinds).alias("r"))
     return rows.select(
         "key", F.col("r.type").alias("type"), urn(F.col("r.type"), F.col("record_id")).alias("record_id"), F.col("record_id").alias("refers_to"), "target_uri", "date",
         F.col("payload_digest").alias("source_digest"), F.col("r.content_type").alias("content_type"), digest(F.col("r.block")).alias("block_digest"),
