@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from itertools import count
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.storage import kept
@@ -11,7 +13,7 @@ from ..functions.storage import kept
 CUT_EVERY = 4
 
 
-def closure(edges: DataFrame, roots: DataFrame, source: str = "source_ref", target: str = "target_ref", most: int = 10_000) -> DataFrame:
+def closure(edges: DataFrame, roots: DataFrame, source: str = "source_ref", target: str = "target_ref") -> DataFrame:
     """(root, ref, depth): what each root reaches over edges from source to target, itself at depth 0, least depth.
 
     Each round joins the frontier with the edges and drops what was reached before, so cycles end; it stops
@@ -20,7 +22,7 @@ def closure(edges: DataFrame, roots: DataFrame, source: str = "source_ref", targ
     steps = kept(edges.select(F.col(source).alias("_s"), F.col(target).alias("_t")).where("_t is not null"))  # read in each round
     reached = roots.select(F.col("ref").alias("root"), "ref", F.lit(0).alias("depth")).distinct()
     frontier = reached
-    for depth in range(1, most + 1):
+    for depth in count(1):
         new = frontier.join(steps, frontier["ref"] == steps["_s"]).select("root", F.col("_t").alias("ref")).distinct()
         new = kept(new.join(reached.select("root", "ref"), ["root", "ref"], "left_anti").withColumn("depth", F.lit(depth)))
         if new.isEmpty():
@@ -54,11 +56,11 @@ def dependencies(edges: DataFrame, roots: DataFrame) -> DataFrame:
     return edges.join(nodes.select("root", F.col("ref").alias("source_ref")), "source_ref").select("root", "source_ref", "relation", "target_ref").distinct()
 
 
-def cyclic(edges: DataFrame, most: int = 10_000) -> DataFrame:
+def cyclic(edges: DataFrame) -> DataFrame:
     """Nodes on a cycle or upstream of one: leaves are peeled until none is left."""
     now = kept(edges.select(F.col("source_ref").alias("s"), F.col("target_ref").alias("t")).where("t is not null").distinct())
     n = now.count()
-    for _ in range(most):
+    while True:
         inner = now.select(F.col("s").alias("k")).distinct()
         now = kept(now.join(inner, now["t"] == inner["k"], "left_semi"))
         before, n = n, now.count()
@@ -87,3 +89,54 @@ def same_graph(a: DataFrame, b: DataFrame) -> bool:
     """Whether two tables hold the same rows equally often; no credit for parts."""
     b = b.select(*a.columns)
     return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
+# ---- trails of source references
+
+
+def _bare_path(path: Column) -> Column:
+    """A path without slashes at its end: as it is, with one or without, a path means the same."""
+    return F.regexp_replace(path, "/+$", "")
+
+
+def trace(refs: DataFrame, entities: DataFrame, starts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes (root, entity_id, entity_type, depth, relation_type) and edges (root, owner, ref_path, relation_type, is_available, is_stale) of what each start rests on.
+
+    A start (ref) is an entity's id, else its path; one that is neither has no rows. References (owner, ref_path, source_type, outcome) lead on to the entity
+    that has their path, else to the path itself, but only those that are available: verified, or drifted since their pin. Each node is met once. An
+    edge is named after its owner's type: an entity's own, where the owner was met as a start or has one, else what the reference says it is.
+    """
+    ids = entities.select(F.col("id").alias("entity_id"), "entity_type", "path")
+    by_id = starts.join(ids, starts["ref"] == ids["entity_id"]).select("ref", "entity_id", F.lit(0).alias("rank"))
+    by_path = starts.join(ids, starts["ref"] == ids["path"]).select("ref", "entity_id", F.lit(1).alias("rank"))
+    found = by_id.unionByName(by_path).groupBy("ref").agg(F.min(F.struct("rank", "entity_id"))["entity_id"].alias("root"))
+    named = ids.groupBy(F.col("path").alias("p")).agg(F.max("entity_id").alias("of_path"))
+    hop = refs.join(named, refs["ref_path"] == named["p"], "left").withColumn("child", F.coalesce("of_path", "ref_path")).drop("p", "of_path")
+    hop = hop.withColumns({"is_stale": F.col("outcome") == "SOURCE_CHANGED_SINCE_PIN", "is_available": F.col("outcome").isin("ok", "SOURCE_CHANGED_SINCE_PIN")})
+    reached = closure(hop.where("is_available").select(F.col("owner").alias("source_ref"), F.col("child").alias("target_ref")), found.select(F.col("root").alias("ref")).distinct())
+    guessed = hop.where("is_available").groupBy("child").agg(F.min(F.when(F.col("source_type") == "directory", "raw").otherwise("organized")).alias("guess"))
+    kinds = ids.groupBy("entity_id").agg(F.min("entity_type").alias("entity_type"))
+    nodes = reached.select("root", F.col("ref").alias("entity_id"), "depth").join(kinds, "entity_id", "left").join(guessed, F.col("entity_id") == F.col("child"), "left")
+    kind = F.when(F.col("depth") == 0, F.col("entity_type")).otherwise(F.coalesce("guess", "entity_type"))
+    nodes = nodes.select("root", "entity_id", kind.alias("entity_type"), "depth", F.when(F.col("depth") == 0, "start").otherwise("child").alias("relation_type"))
+    label = F.when(F.col("entity_type").startswith("report"), "based_on").when(F.col("entity_type") == "organized", "organized_from").otherwise("uses")
+    edges = nodes.join(hop, nodes["entity_id"] == hop["owner"]).select("root", "owner", "ref_path", label.alias("relation_type"), "is_available", "is_stale")
+    return nodes, edges
+
+
+def trace_status(starts: DataFrame, entities: DataFrame, edges: DataFrame) -> DataFrame:
+    """(ref, status) of each start: error for one that is no entity, fail_closed where a reference on its trail is broken, warning where one has drifted, else success."""
+    known = entities.select(F.col("id").alias("k"), F.col("id").alias("root")).unionByName(entities.select(F.col("path").alias("k"), F.col("id").alias("root")))
+    roots = starts.join(known, starts["ref"] == known["k"], "left").groupBy("ref").agg(F.min("root").alias("root"))
+    flags = edges.groupBy(F.col("root").alias("r")).agg(F.bool_or(~F.col("is_available")).alias("broken"), F.bool_or("is_stale").alias("stale"))
+    status = F.when(F.col("root").isNull(), "error").when(F.col("broken"), "fail_closed").when(F.col("stale"), "warning").otherwise("success")
+    return roots.join(flags, F.col("root") == F.col("r"), "left").select("ref", status.alias("status"))
+
+
+def physical_impact(refs: DataFrame, starts: DataFrame) -> DataFrame:
+    """(root, entity_id, path): owners (owner, owner_path) whose references (ref_path) lead to a start, by owner and by path, over any number of steps; paths match whole, whatever slashes end them."""
+    up = refs.select(_bare_path(F.col("ref_path")).alias("source_ref"), F.col("owner").alias("target_ref"))
+    own = refs.where("owner_path is not null").select(F.col("owner").alias("source_ref"), _bare_path(F.col("owner_path")).alias("target_ref"))
+    reached = closure(up.unionByName(own).distinct(), starts.select(_bare_path(F.col("ref")).alias("ref"))).where("depth > 0")
+    owners = refs.groupBy("owner").agg(F.min("owner_path").alias("path"))
+    return reached.join(owners, reached["ref"] == owners["owner"]).select("root", F.col("owner").alias("entity_id"), "path")

@@ -118,8 +118,8 @@ def bootstrap(scores: DataFrame, seed: str, order: list[str] | None = None, repl
                     rows.append((r.replicate, r.family, r.size, Stream(key).uniform(r.size)))
             yield pd.DataFrame(rows, columns=["replicate", "family", "size", "k"])
 
-    spark = scores.sparkSession
-    cells = spark.range(replicates).select(F.col("id").cast("int").alias("replicate")).crossJoin(F.broadcast(sizes)).select("replicate", "family", F.col("size").cast("int").alias("size"))
+    cells = sizes.select("family", F.col("size").cast("int").alias("size"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
+    cells = cells.repartition("replicate").select("replicate", "family", "size")
     draws = cells.mapInPandas(draw, "replicate int, family string, size int, k int")
     fam = draws.join(ranked.select("participant", "family", "k", "score"), ["family", "k"]).groupBy("participant", "replicate", "family").agg(F.avg("score").alias("f"))
     return fam.groupBy("participant", "replicate").agg(F.avg("f").alias("estimate"))

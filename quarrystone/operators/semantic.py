@@ -6,7 +6,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -28,32 +28,52 @@ def frequencies(term_rows: DataFrame) -> DataFrame:
     return term_rows.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def rank(docs: DataFrame, queries: DataFrame, k: int = 50, key: str = "id", text: str = "norm") -> DataFrame:
+def _sum(values: Column) -> Column:
+    """A group's sum to 18 places, the same in whatever order its rows come."""
+    return F.sum(values.cast("decimal(38,18)")).cast("double")
+
+
+def _idf(size: Column, df: Column) -> Column:
+    return F.log((size + 1) / (df + 1)) + 1
+
+
+def norms(term_rows: DataFrame, df: DataFrame, size: Column, key: str = "id") -> DataFrame:
+    """(key, norm): the length of each document's vector of weights; documents without tokens have none."""
+    w = term_rows.join(df, "term").withColumn("w", (F.log("n") + 1) * _idf(size, F.col("df")))
+    return w.groupBy(key).agg(F.sqrt(_sum(F.col("w") * F.col("w"))).alias("norm"))
+
+
+def cosines(term_rows: DataFrame, df: DataFrame, norm_rows: DataFrame, asked: DataFrame, size: Column, key: str = "id") -> DataFrame:
+    """(query_id, key, cosine) of queries (query_id, toks) and the documents that share a term with them: only terms of queries are joined."""
+    q = asked.select("query_id", F.explode("toks").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qn"))
+    q = kept(q.join(df, "term", "left").withColumn("df", F.coalesce("df", F.lit(0))).withColumn("qw", (F.log("qn") + 1) * _idf(size, F.col("df"))))
+    q_norms = q.groupBy("query_id").agg(F.sqrt(_sum(F.col("qw") * F.col("qw"))).alias("q_norm"))
+    w = term_rows.join(q, "term").withColumn("x", (F.log("n") + 1) * _idf(size, F.col("df")) * F.col("qw"))
+    dots = w.groupBy("query_id", key).agg(_sum(F.col("x")).alias("dot"))
+    both = dots.join(norm_rows, key).join(q_norms, "query_id")
+    return both.select("query_id", key, F.coalesce(F.try_divide(F.col("dot"), F.col("norm") * F.col("q_norm")), F.lit(0.0)).alias("cosine"))
+
+
+def rank(docs: DataFrame, queries: DataFrame, k: int = 50, key: str = "id", text: str = "norm", index: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
     """query_id, rank, key, score_q: the k best documents of each query.
 
     queries: query_id and a normalised text. tf is 1 + ln n, idf is ln((N + 1) / (df + 1)) + 1 with N all documents, those without
     tokens too. Cosine and the share of the query's n-grams are weighed 0.7 to 0.3 and rounded half to even
-    in units of 1e-9; zeros drop out; ties go by key in byte order. Only terms of queries are joined, and only candidates are
-    compared by n-grams. A query without tokens has no rows.
+    in units of 1e-9; zeros drop out; ties go by key in byte order. Only terms of queries are joined; n-grams are compared with every document, and each task
+    passes on the k best of its documents for each query. A query without tokens has no rows.
+    index: the terms, frequencies and norms of docs, if they are at hand; else they are made here.
     """
-    docs = docs.select(key, text).repartition(text)  # texts are uneven and few files may hold them
+    docs = docs.select(key, text)
     size = F.lit(docs.count())
-    q = queries.select("query_id", X.tokens(F.col("text")).alias("toks"), X.grams(F.col("text")).alias("q_grams")).where(F.size("toks") > 0)
-    q_terms = q.select("query_id", F.explode("toks").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qn"))
-    t = kept(terms(docs, key, text))
-    df = frequencies(t)
-    idf = F.log((size + 1) / (F.col("df") + 1)) + 1
-    weighed = t.join(df, "term").withColumn("w", (F.log("n") + 1) * idf)
-    norms = weighed.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    q_weighed = q_terms.join(df, "term", "left").withColumn("df", F.coalesce("df", F.lit(0))).withColumn("qw", (F.log("qn") + 1) * idf)
-    q_norms = q_weighed.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("q_norm"))
-    dots = weighed.join(q_weighed.select("query_id", "term", "qw"), "term").groupBy("query_id", key).agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
-    cosine = dots.join(norms, key).join(q_norms, "query_id").select("query_id", key, F.coalesce(F.try_divide(F.col("dot"), F.col("norm") * F.col("q_norm")), F.lit(0.0)).alias("cosine"))
-    grams = gram_ratios(docs, q.select("query_id", "q_grams"), key, text)
-    both = grams.join(cosine, ["query_id", key], "left")
-    score = F.rint((COSINE * F.coalesce("cosine", F.lit(0.0)) + GRAMS * F.col("ratio")) * UNITS).cast("long")
+    q = kept(queries.select("query_id", X.tokens(F.col("text")).alias("toks"), X.grams(F.col("text")).alias("q_grams")).where(F.size("toks") > 0))
+    if index is None:
+        t = kept(terms(docs.repartition(text), key, text))  # texts are uneven and few files may hold them
+        df = kept(frequencies(t))
+        index = t, df, norms(t, df, size, key)
+    close = cosines(*index, q.select("query_id", "toks"), size, key)
+    best = scored(docs, q.select("query_id", "q_grams"), close, k, key, text)
     order = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score_q"), key))
-    return both.withColumn("score_q", score).where("score_q > 0").withColumn("rank", order).where(F.col("rank") <= k).select("query_id", "rank", key, "score_q")
+    return best.withColumn("rank", order).where(F.col("rank") <= k).select("query_id", "rank", key, "score_q")
 
 
 _SIGNS = "abcdefghijklmnopqrstuvwxyz0123456789_"
@@ -74,28 +94,33 @@ def _cjk(text: str) -> set[str]:
     return {s[k : k + n] for s in _CJK.findall(text) for n in (2, 3) for k in range(len(s) - n + 1)}
 
 
-def gram_ratios(docs: DataFrame, q: DataFrame, key: str, text: str) -> DataFrame:
-    """(query_id, key, ratio > 0): the share of a query's n-grams that a document has.
+def scored(docs: DataFrame, q: DataFrame, close: DataFrame, k: int, key: str, text: str) -> DataFrame:
+    """(query_id, key, score_q > 0): of each task's documents the k best for each query (all that tie with the k-th), by cosine and the share of the query's n-grams that they have.
 
     The queries are taken in blocks of a bounded number of n-grams, counted first. A document's n-grams are marked in a table of all pairs and
     triples of word characters (those of Chinese ones in a set), where a whole block is looked up at once.
     """
     total = q.agg(F.sum(F.size("q_grams"))).first()[0] or 0
     blocks, out = max(1, -(-total // BLOCK_GRAMS)), None
-    kind = T.StructType([q.schema["query_id"], docs.schema[key], T.StructField("ratio", T.DoubleType())])
+    kind = T.StructType([q.schema["query_id"], docs.schema[key], T.StructField("score_q", T.LongType())])
+    arrow = to_arrow_schema(kind)
+    block_of = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
     for b in range(blocks):
-        rows = [r for r in q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).select("query_id", "q_grams").collect() if r["q_grams"]]
+        rows = [r for r in q.where(block_of == b).select("query_id", "q_grams").collect() if r["q_grams"]]
         codes = [_codes(np.frombuffer(g.encode().translate(_CODE), np.uint8)).max() for r in rows for g in r["q_grams"] if g.isascii()]
         plain = [sum(g.isascii() for g in r["q_grams"]) for r in rows]
         others = [frozenset(g for g in r["q_grams"] if not g.isascii()) for r in rows]
         ids, sizes = [r["query_id"] for r in rows], np.array([len(r["q_grams"]) for r in rows])
         codes, owner = np.array(codes, np.int64), np.repeat(np.arange(len(rows)), plain)
+        place = {i: j for j, i in enumerate(ids)}
 
-        def each(batches, codes=codes, owner=owner, others=others, ids=ids, sizes=sizes):
+        def each(batches, codes=codes, owner=owner, others=others, ids=ids, sizes=sizes, place=place):
             here = np.zeros(_WIDE**3 + _WIDE**2, bool)
+            keys: list = []
+            scores = np.zeros((0, len(ids)), np.int64)
             for b in batches:
-                found = ([], [], [])
-                for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                rows = []
+                for t, near in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                     low = (t or "").lower()
                     mine = _codes(np.frombuffer(low.encode("utf-8", "replace").translate(_CODE), np.uint8))
                     here[mine] = True
@@ -104,29 +129,52 @@ def gram_ratios(docs: DataFrame, q: DataFrame, key: str, text: str) -> DataFrame
                     if not low.isascii() and any(others):
                         own = _cjk(low)
                         n = n + np.array([len(own & o) for o in others])
-                    for j in np.flatnonzero(n):
-                        found[0].append(ids[j])
-                        found[1].append(k)
-                        found[2].append(n[j] / sizes[j])
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=f) for c, f in zip(found, to_arrow_schema(kind).types, strict=True)], names=kind.names)
-
-        part = docs.select(key, text).mapInArrow(each, kind)
+                    cosine = np.zeros(len(ids))
+                    for pair in near or ():
+                        cosine[place[pair["query_id"]]] = pair["cosine"]
+                    rows.append(np.rint((COSINE * cosine + GRAMS * (n / sizes)) * UNITS).astype(np.int64))
+                if not rows or not ids:
+                    continue
+                keys += b.column(0).to_pylist()
+                scores = np.concatenate([scores, rows])
+                if len(keys) > 4 * k + 4096:
+                    keep = np.flatnonzero((scores >= _line(scores, k)).any(1))
+                    keys, scores = [keys[j] for j in keep], scores[keep]
+            if keys and ids:
+                at, of = np.nonzero((scores >= _line(scores, k)) & (scores > 0))
+                for j in range(0, len(at), 4096):
+                    cols = [[ids[c] for c in of[j : j + 4096]], [keys[c] for c in at[j : j + 4096]], scores[at[j : j + 4096], of[j : j + 4096]]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, type=f) for c, f in zip(cols, arrow.types, strict=True)], names=kind.names)
+
+        near = close.where(block_of == b).groupBy(F.col(key).alias("_near")).agg(F.collect_list(F.struct("query_id", "cosine")).alias("near"))  # no more than a block's queries
+        part = docs.join(near, F.col(key) == F.col("_near"), "left").select(key, text, "near").mapInArrow(each, kind)
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def _line(scores: np.ndarray, k: int) -> np.ndarray:
+    """The k-th best score of each column, or 1 where there are fewer rows."""
+    return np.partition(scores, len(scores) - k, axis=0)[len(scores) - k].clip(1) if len(scores) > k else np.ones(scores.shape[1], np.int64)
+
+
 def low_confidence(ranked: DataFrame) -> DataFrame:
     """query_id, best, low: whether no result of a query reaches 0.2."""
     return ranked.groupBy("query_id").agg(F.max("score_q").alias("best")).withColumn("low", F.col("best") < LOW)
 
 
 def token_match(table: DataFrame, queries: DataFrame, value: str = "value", subject: str = "subject") -> DataFrame:
-    """(query_id, subject): subjects of rows whose value has every token of the query; a query without tokens matches none."""
+    """(query_id, subject): subjects of rows whose value has every token of the query; a query without tokens matches none.
+
+    Each query goes to the values that hold its rarest token, and is held against those whole.
+    """
     q = queries.select("query_id", F.array_distinct(X.plain_tokens(F.col("text"))).alias("q")).where(F.size("q") > 0)
-    q = q.withColumn("n", F.size("q"))
-    v = table.select(subject, F.explode(F.array_distinct(X.plain_tokens(F.col(value)))).alias("t"), F.xxhash64(value).alias("row"))
-    hits = v.distinct().join(q.select("query_id", "n", F.explode("q").alias("t")), "t").groupBy("query_id", subject, "row", "n").agg(F.count("*").alias("m"))
-    return hits.where("m = n").select("query_id", subject).distinct()
+    v = kept(table.select(subject, F.array_distinct(X.plain_tokens(F.col(value))).alias("v"), F.xxhash64(value).alias("row")).distinct())
+    words = v.select("row", subject, F.explode("v").alias("t"))
+    rarity = words.groupBy("t").agg(F.count("*").alias("df"))
+    rare = q.select("query_id", "q", F.explode("q").alias("t")).join(rarity, "t").groupBy("query_id").agg(F.min_by("t", F.struct("df", "t")).alias("t"), F.first("q").alias("q"))
+    hits = words.join(rare, "t").select("query_id", "q", "row", F.col(subject).alias("_of"))
+    held = hits.join(v, (hits["row"] == v["row"]) & hits["_of"].eqNullSafe(v[subject]))
+    return held.where(F.size(F.array_except("q", "v")) == 0).select("query_id", subject).distinct()
 
 
 def structure_faults(term_rows: DataFrame, gram_rows: DataFrame, docs: DataFrame, metadata: dict, key: str = "id") -> DataFrame:

@@ -66,5 +66,5 @@ def test_gold_tokens_are_matched_whole(spark, tmp_path):
     found = {}
     for some in (True, False):
         shutil.copy(f"{tmp_path}/{some}.parquet", f"{root}/documents.parquet")
-        found[some] = queries.queries()["gold_token_match_whole"](spark, str(root)).count()
+        found[some] = queries.queries()["gold_token_match"](spark, str(root)).count()
     assert found[True] and not found[False]
