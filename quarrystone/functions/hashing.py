@@ -11,20 +11,55 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def file_digest(content: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(content, 256))
 
 
+def ordered_digest(rows: DataFrame, by: list[str], order: list[str], line: str, out: str = "digest", unique: bool = False, end: str = "") -> DataFrame:
+    """(by, n, out): the digest of each group's lines in the byte order of `order`, a line feed between them and `end` after the last.
+
+    A group's lines go through one task, as a digest has to, but sorted by Spark and digested as they stream by, so that none is ever held whole. unique: a group in which an
+    order stands twice has no digest.
+    """
+    kind = T.StructType([*(rows.schema[c] for c in by), T.StructField("n", T.LongType()), T.StructField(out, T.StringType())])
+    names, width = kind.names, len(by)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, before, n, twice, made = None, None, 0, False, hashlib.sha256()
+
+        def done() -> pa.RecordBatch:
+            made.update(end.encode())
+            values = [*group, n, None if unique and twice else "sha256:" + made.hexdigest()]
+            return pa.RecordBatch.from_arrays([pa.array([v], f) for v, f in zip(values, to_arrow_schema(kind).types, strict=True)], names=names)
+
+        for b in batches:
+            columns = [c.to_pylist() for c in b.columns]
+            for row in zip(*columns, strict=True):
+                if group != row[:width]:
+                    if group is not None:
+                        yield done()
+                    group, before, n, twice, made = row[:width], None, 0, False, hashlib.sha256()
+                made.update((("\n" if n else "") + (row[-1] or "")).encode())
+                key = row[width:-1]
+                n, twice, before = n + 1, twice or key == before, key
+        if group is not None:
+            yield done()
+
+    dealt = rows.select(*by, *order, F.col(line).alias("_line")).repartition(*by).sortWithinPartitions(*by, *order, "_line")
+    return dealt.mapInArrow(each, kind)
+
+
 def manifest_digest(files: DataFrame, group: str, path: str, content_hash: str, out: str = "digest") -> DataFrame:
     """(group, n, out): the digest of each group's lines "path:hash" in byte order of the path, a line feed between them."""
     line = F.concat(F.col(path), F.lit(":"), F.regexp_replace(content_hash, "^sha256:", ""))
-    rows = F.array_sort(F.collect_list(F.struct(F.col(path).alias("p"), line.alias("line"))))
-    return files.groupBy(group).agg(rows.alias("rows")).select(group, F.size("rows").cast("long").alias("n"), file_digest(F.array_join("rows.line", "\n")).alias(out))
+    return ordered_digest(files.select(group, F.col(path).alias("_path"), line.alias("_text")), [group], ["_path"], "_text", out)
 
 
 def canonical(value) -> str:
@@ -137,5 +172,4 @@ def table_lines(df: DataFrame, table: str, columns: list[str], keys: list[str])
 
 def dump_digest(lines: DataFrame) -> DataFrame:
     """(table, n, digest) over the lines of each table in the order of their keys; a key that stands twice makes the digest null."""
-    g = lines.groupBy("table").agg(F.array_sort(F.collect_list(F.struct("key", "line"))).alias("r"), F.count("*").alias("n"), F.count_distinct("key").alias("d"))
-    return g.select("table", "n", F.when(F.col("n") == F.col("d"), file_digest(F.concat(F.array_join("r.line", "\n"), F.lit("\n")))).alias("digest"))
+    return ordered_digest(lines.select("table", F.to_json("key").alias("key"), "line"), ["table"], ["key"], "line", unique=True, end="\n")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.hashing import manifest_digest, ordered_digest
+
 #: Which condition an answer carries when several hold (fixed values).
 PRECEDENCE = ("AMBIGUOUS_VERSION", "HASH_MISMATCH", "SOURCE_MISSING", "CANONICAL_SEMANTIC_DRIFT", "DEF_NOT_FOUND", "NOT_FOUND")
 
@@ -74,27 +78,33 @@ def without_sidecar(paths: DataFrame, live: DataFrame, suffix: str = ".sources.y
     return want.join(live.select(F.col("path").alias("sidecar")), "sidecar", "left_anti").select("path", "sidecar")
 
 
-def reconcile(documents: DataFrame, refs: DataFrame, live: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """(code, subject, hard): every issue of an index against its tree."""
+def reconcile(documents: DataFrame, refs: DataFrame, live: DataFrame, snapshots: DataFrame, reports: DataFrame | None = None) -> DataFrame:
+    """(code, subject, hard): every issue of an index against its tree; with reports (path), those without a sidecar too."""
     row = lambda df, code, subject, hard: df.select(F.lit(code).alias("code"), F.col(subject).alias("subject"), F.lit(hard).alias("hard"))
     verified = verify(refs, live, snapshots).where("outcome <> 'ok'")
     changed = documents.alias("d").join(live.alias("l"), "path").where("d.content_hash <> l.content_hash")
-    return (
+    bare = [] if reports is None else [row(without_sidecar(reports, live), "SIDECAR_MISSING", "path", False)]
+    issues = (
         row(changed, "DRIFT_DETECTED", "path", True)
         .unionByName(verified.select(F.col("outcome").alias("code"), F.col("owner").alias("subject"), (~F.col("drifted")).alias("hard")))
         .unionByName(row(duplicates(documents, "id"), "DUPLICATE_ID", "id", True))
         .unionByName(row(missing(documents, live), "SOURCE_MISSING", "path", True))
         .unionByName(row(orphans(live, documents), "ORPHAN", "path", False))
     )
+    return reduce(DataFrame.unionByName, bare, issues)
 
 
 def condition(targets: DataFrame) -> DataFrame:
     """targets (ref and flags ambiguous, mismatch, missing, tampered, found) with the one condition that answers it.
 
-    In order: AMBIGUOUS_VERSION, HASH_MISMATCH, SOURCE_MISSING, CANONICAL_SEMANTIC_DRIFT (to be reviewed), then not found.
+    In order: a lock that is held (column locked, if there is one), AMBIGUOUS_VERSION, for targets that cite sources the worst of their outcomes (column source_error, if there is one), HASH_MISMATCH,
+    SOURCE_MISSING, CANONICAL_SEMANTIC_DRIFT (to be reviewed), an index that has drifted from its tree (column drifted, if there is one), then not found.
     """
+    flag = lambda name: F.coalesce(F.col(name), F.lit(False)) if name in targets.columns else F.lit(False)
+    source = F.col("source_error") if "source_error" in targets.columns else F.lit(None).cast("string")
     named = F.when(F.col("ref").startswith("definition:") | F.contains("ref", F.lit("@v")), "DEF_NOT_FOUND").otherwise("NOT_FOUND")
-    error = F.when(F.col("ambiguous"), PRECEDENCE[0]).when(F.col("mismatch"), PRECEDENCE[1]).when(F.col("missing"), PRECEDENCE[2]).when(F.col("tampered"), PRECEDENCE[3]).when(~F.col("found"), named)
+    error = F.when(flag("locked"), "TX_LOCKED").when(flag("ambiguous"), PRECEDENCE[0]).when(source.isNotNull(), source)
+    error = error.when(flag("mismatch"), PRECEDENCE[1]).when(flag("missing"), PRECEDENCE[2]).when(flag("tampered"), PRECEDENCE[3]).when(flag("drifted"), "DRIFT_DETECTED").when(~flag("found"), named)
     status = F.when(error.isNull(), "success").when(error == PRECEDENCE[3], "review_required").otherwise("fail_closed")
     return targets.select("ref", status.alias("status"), error.alias("error_semantic"))
 
@@ -147,3 +157,32 @@ def chain_faults(events: DataFrame, order: str, digest: str, previous: str) -> D
     w = Window.partitionBy("entity_id").orderBy(order)
     before = F.lag(digest).over(w)
     return events.withColumn("expected", before).where(~F.col(previous).eqNullSafe(F.col("expected")))
+
+
+def path_snapshot(files: DataFrame, under: str) -> DataFrame:
+    """(n, digest) of the files whose path lies under a folder, by their paths from there on; another folder with the same files has the same digest."""
+    inside = files.where(F.col("path").startswith(under.rstrip("/") + "/"))
+    rel = inside.select(F.lit("all").alias("all"), F.substring("path", len(under.rstrip("/")) + 2, 1 << 20).alias("rel"), "content_hash")
+    return manifest_digest(rel, "all", "rel", "content_hash").drop("all")
+
+
+def exists_at(wanted: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """wanted (git_commit, path) with what a commit has there: file, directory (files below it), or null."""
+    s = snapshots.select("git_commit", "path", F.lit(1).alias("_f"))
+    parents = snapshots.select("git_commit", F.explode(_folders(F.col("path"))).alias("path")).distinct().withColumn("_d", F.lit(1))
+    j = wanted.withColumn("path", F.regexp_replace("path", "/+$", "")).join(s, ["git_commit", "path"], "left").join(parents, ["git_commit", "path"], "left")
+    return j.select("git_commit", "path", F.when(F.col("_f").isNotNull(), "file").when(F.col("_d").isNotNull(), "directory").alias("kind"))
+
+
+def _folders(path):
+    parts = F.split(path, "/")
+    return F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/"))).otherwise(F.array().cast("array<string>"))
+
+
+def directory_at(snapshots: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(git_commit, directory, n, digest): the digest of the directory's files as a commit has them; wanted: git_commit, path."""
+    w = wanted.select("git_commit", F.regexp_replace("path", "/+$", "").alias("directory")).distinct()
+    inside = snapshots.select("git_commit", "path", "content_hash", F.explode(_folders(F.col("path"))).alias("directory")).join(w, ["git_commit", "directory"])
+    rel = F.expr("substring(path, length(directory) + 2)")
+    lines = inside.select("git_commit", "directory", rel.alias("rel"), F.concat(rel, F.lit(":"), F.regexp_replace("content_hash", "^sha256:", "")).alias("line"))
+    return ordered_digest(lines, ["git_commit", "directory"], ["rel"], "line")

@@ -100,3 +100,56 @@ def match_rows(rows: DataFrame, objects: DataFrame) -> DataFrame:
     hits = by("entity_id", "o_entity", 0).unionByName(by("path", "o_path", 1))
     one = hits.groupBy("row_id", "rank").agg(F.count_distinct("o_ref").alias("n"), F.min("o_ref").alias("ref")).groupBy("row_id").agg(F.min(F.struct("rank", "n", "ref")).alias("b"))
     return rows.join(one, "row_id", "left").select("row_id", F.when(F.col("b.n") == 1, F.col("b.ref")).alias("ref"), F.when(F.col("b").isNull(), "NOT_FOUND").when(F.col("b.n") > 1, "AMBIGUOUS_VERSION").alias("condition"))
+
+
+def with_documents(entities: DataFrame, documents: DataFrame) -> DataFrame:
+    """Entities (id, entity_type, path) with the hash and commit of their document, if they have one."""
+    d = documents.groupBy(F.col("id").alias("_d")).agg(F.min(F.struct("content_hash", "git_commit")).alias("doc"))
+    return entities.join(d, entities["id"] == d["_d"], "left").select("id", "entity_type", "path", F.col("doc.content_hash").alias("content_hash"), F.col("doc.git_commit").alias("git_commit"))
+
+
+def named_paths(paths: DataFrame, entities: DataFrame, path: str = "path") -> DataFrame:
+    """paths with name: the id of the entity that has the path, else the path itself."""
+    ids = entities.where("path is not null").groupBy(F.col("path").alias("_p")).agg(F.max("id").alias("_id"))
+    return paths.join(ids, paths[path] == ids["_p"], "left").withColumn("name", F.coalesce("_id", F.col(path))).drop("_p", "_id")
+
+
+def citing(refs: DataFrame, paths: DataFrame) -> DataFrame:
+    """refs whose path is one of paths, whatever slashes end either; paths match whole, never by pattern."""
+    bare = lambda c: F.regexp_replace(c, "/+$", "")
+    p = paths.select(bare(F.col("path")).alias("_p")).distinct()
+    return refs.join(p, bare(refs["ref_path"]) == p["_p"], "left_semi")
+
+
+def unique(locators: DataFrame, objects: DataFrame) -> DataFrame:
+    """(locator, ref): the object with that ref, else the only one with that entity_id, version_ref or path; several or none are null. Any number of locators in one join for each name."""
+    o = objects.select("ref", "entity_id", "version_ref", "path")
+    by = lambda column, rank: locators.join(o.select(F.col(column).alias("k"), F.col("ref").alias("found")), F.col("locator") == F.col("k")).select("locator", "found", F.lit(rank).alias("rank"))
+    hits = by("ref", 0)
+    for column in ("entity_id", "version_ref", "path"):
+        hits = hits.unionByName(by(column, 1))
+    best = hits.groupBy("locator").agg(F.min(F.when(F.col("rank") == 0, F.col("found"))).alias("own"), F.count_distinct("found").alias("n"), F.min("found").alias("any"))
+    return locators.join(best, "locator", "left").select("locator", F.coalesce("own", F.when(F.col("n") == 1, F.col("any"))).alias("ref"))
+
+
+def bindings(table: DataFrame, subjects: DataFrame | None = None) -> DataFrame:
+    """(subject, value): the versions that subjects are bound to."""
+    bound = table.where("predicate = 'bound_version'")
+    if subjects is not None:
+        bound = bound.join(subjects.select(F.col("ref").alias("_s")).distinct(), F.col("subject") == F.col("_s"), "left_semi")
+    return bound.select("subject", F.col("value").cast("string").alias("value")).distinct()
+
+
+def envelope(targets: DataFrame, versions: DataFrame, table: DataFrame, pinned: DataFrame, downstream: DataFrame) -> DataFrame:
+    """(entity_id, section, item, value): all that there is about each target (entity_id): its versions, facts about them or it, the pins of what those rest on, and what depends on it.
+
+    versions: entity_id, version_ref, content_hash. table: facts. pinned: ref, pinned_hash. downstream: entity_id, ref, depth.
+    """
+    t = targets.select("entity_id").distinct()
+    v = versions.join(t, "entity_id").select("entity_id", "version_ref", "content_hash")
+    about = v.select("entity_id", F.col("version_ref").alias("s")).unionByName(t.select("entity_id", F.col("entity_id").alias("s"))).distinct()
+    f = table.join(about, F.col("subject") == F.col("s")).select("entity_id", "fact_id", "predicate", F.col("value").cast("string").alias("value"))
+    p = f.where("predicate = 'authority_source'").join(pinned, F.col("value") == F.col("ref")).select("entity_id", "ref", "pinned_hash")
+    row = lambda df, section, item, value: df.select("entity_id", F.lit(section).alias("section"), F.col(item).cast("string").alias("item"), F.col(value).cast("string").alias("value"))
+    parts = row(v, "version", "version_ref", "content_hash").unionByName(row(f, "fact", "fact_id", "value")).unionByName(row(p.distinct(), "pin", "ref", "pinned_hash"))
+    return parts.unionByName(row(downstream.join(t, "entity_id"), "downstream", "ref", "depth"))

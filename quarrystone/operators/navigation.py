@@ -50,3 +50,20 @@ def index_page(sections: dict[str, DataFrame]) -> DataFrame:
         part = head.unionByName(df.select(F.lit(k).alias("section"), F.lit(1).alias("part"), F.concat(F.lit("- "), "entry").alias("line")))
         out = part if out is None else out.unionByName(part)
     return out.orderBy("section", "part", "line").select("line")
+
+
+#: The heading of experiments whose spec names no hypothesis (a fixed value of the page).
+UNASSIGNED = "未分配假设"
+
+
+def hypothesis_index(specs: DataFrame, runs: DataFrame) -> DataFrame:
+    """(hypothesis, experiment, status, n_runs): experiments under their spec's hypothesis, with how many runs refer to them; those without one, or without a spec, are unassigned."""
+    r = runs.groupBy(F.split("experiment_ref", "@")[0].alias("of")).agg(F.count("*").alias("n_runs"))
+    j = specs.join(r, specs["experiment"] == r["of"], "full")
+    hypothesis = F.coalesce(F.nullif(F.col("hypothesis"), F.lit("")), F.lit(UNASSIGNED))
+    return j.select(hypothesis.alias("hypothesis"), F.coalesce("experiment", "of").alias("experiment"), F.coalesce("status", F.lit("active")).alias("status"), F.coalesce("n_runs", F.lit(0).cast("long")).alias("n_runs"))
+
+
+def write_page(page: DataFrame, path: str) -> None:
+    """The page as one text file in a folder; a page is of a size that a reader can read."""
+    page.coalesce(1).write.mode("overwrite").text(path)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.hashing import file_digest, manifest_digest
+from ..functions.storage import kept
 from . import yaml
 
 #: Relative paths that begin so are no part of a tree; a tool's own folder is added by the caller.
@@ -83,6 +84,15 @@ def corpus(documents: DataFrame, files: DataFrame) -> DataFrame:
     return j.where(F.is_valid_utf8(F.col("content").cast("string"))).select("id", F.col("content").cast("string").alias("text"))
 
 
+def preceding(rows: DataFrame, key: str) -> DataFrame:
+    """rows with before: the key that comes just before in the order of all keys. Ranges of keys are ordered apart, and each range's first follows the last of the range before."""
+    ranged = kept(rows.repartitionByRange(key).withColumn("_range", F.spark_partition_id()))
+    lasts = ranged.groupBy("_range").agg(F.max(key).alias("_last"))  # a row a range
+    follows = lasts.select("_range", F.lag("_last").over(Window.orderBy("_range")).alias("_follows"))
+    out = ranged.withColumn("before", F.lag(key).over(Window.partitionBy("_range").orderBy(key))).join(F.broadcast(follows), "_range")
+    return out.withColumn("before", F.coalesce("before", "_follows")).drop("_range", "_follows")
+
+
 class Index:
     """Tables of a tree. Each is a projection of one scan; nothing is read twice by hand."""
 
@@ -155,7 +165,7 @@ class Index:
     def relations(self) -> DataFrame:
         edge = lambda df, s, r, t, v=None: df.select(F.col(s).alias("source"), F.lit(r).alias("relation"), t.alias("target"), (F.lit(None).cast("string") if v is None else v).alias("target_version"))
         reports = self.documents.where("doc_type = 'report_historical'").select("id")
-        before = reports.withColumn("before", F.lag("id").over(Window.orderBy("id"))).where("before is not null")
+        before = preceding(reports, "id").where("before is not null")
         return (
             edge(self.organized.select("id", F.explode("meta.names").alias("n")), "id", "organized_from", F.col("n"))
             .unionByName(edge(self.runs.where("raw_ref_path <> ''"), "run_id", "uses", F.col("raw_ref_path")))

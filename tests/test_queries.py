@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from quarrystone.plans import queries
+from quarrystone.plans import queries, rules  # noqa: F401
 
 ROOT = "/root/testdata/sf0.001"
 
