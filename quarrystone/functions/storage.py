@@ -4,15 +4,32 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir. A local session that has none gets a folder of its own; a cluster must name one."""
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir")
+    if not base and not (sc.master.startswith("local") and not sc.master.startswith("local-cluster")):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return (base or f"/tmp/quarrystone-checkpoints/{sc.applicationId}").rstrip("/")
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, removed when the application ends."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}")
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return where.toString()
 
 
 def kept(df: DataFrame) -> DataFrame:
     """df by way of a checkpoint: computed once, its lineage cut, read again if an executor is lost.
 
-    The folder is the session's spark.checkpoint.dir; where that is unset, as in tests, one of its own.
+    Checkpoints lie in the shared folder; Spark removes those that nothing refers to any longer where spark.cleaner.referenceTracking.cleanCheckpoints is set.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or f"/tmp/quarrystone-checkpoints/{uuid.uuid4().hex}")
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

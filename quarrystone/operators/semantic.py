@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -178,21 +179,34 @@ def token_match(table: DataFrame, queries: DataFrame, value: str = "value", subj
 
 
 def structure_faults(term_rows: DataFrame, gram_rows: DataFrame, docs: DataFrame, metadata: dict, key: str = "id") -> DataFrame:
-    """(rule, n): rules of an index's tables that don't hold: keys, grammar, finite tf above zero, one row a key, known documents, all documents counted."""
-    dup = lambda df, *k: df.groupBy(*k).count().where("count > 1").agg(F.count("*").alias("n"))
+    """(rule, n): rules of an index's tables that don't hold, and by how many rows: keys, grammar, finite tf above zero, one row a key; known documents, all documents counted."""
+    return failed(structure_rules(term_rows, gram_rows, key) | invariant_rules(term_rows, gram_rows, docs, metadata, key))
+
+
+def structure_rules(term_rows: DataFrame, gram_rows: DataFrame, key: str = "id") -> dict[str, DataFrame]:
+    """Of each rule that the tables keep by themselves, how many rows break it (n)."""
     n = F.count("*").alias("n")
-    known = docs.select(F.col(key).alias("known"))
-    rules = {
-        "term_empty": term_rows.where(F.coalesce(F.col("term"), F.lit("")) == "").agg(n),
+    dup = lambda df, *k: df.groupBy(*k).count().where("count > 1").agg(n)
+    empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) == ""
+    return {
+        "term_empty": term_rows.where(empty("term")).agg(n),
+        "key_empty": term_rows.select(key).unionByName(gram_rows.select(key)).where(empty(key)).agg(n),
         "tf_illegal": term_rows.where(~F.coalesce((F.col("tf") > 0) & (F.col("tf") < float("inf")), F.lit(False))).agg(n),
         "term_repeated": dup(term_rows, "term", key),
-        "gram_length": gram_rows.where(~F.length("gram").isin(2, 3)).agg(n),
+        "gram_length": gram_rows.where(~F.coalesce(F.length("gram").isin(2, 3), F.lit(False))).agg(n),
         "gram_repeated": dup(gram_rows, "gram", key),
-        "dangling": term_rows.select(key).union(gram_rows.select(key)).distinct().join(known, F.col(key) == F.col("known"), "left_anti").agg(n),
-        "count": docs.agg((F.count("*") != F.lit(int(metadata.get("corpus_size", -1)))).cast("long").alias("n")),
     }
-    out = None
-    for name, df in rules.items():
-        row = df.select(F.lit(name).alias("rule"), F.col("n"))
-        out = row if out is None else out.unionByName(row)
-    return out.where("n > 0")
+
+
+def invariant_rules(term_rows: DataFrame, gram_rows: DataFrame, docs: DataFrame, metadata: dict, key: str = "id") -> dict[str, DataFrame]:
+    """The same of rules that hold the tables against the documents."""
+    known = docs.select(F.col(key).alias("known"))
+    counted = int(metadata.get("document_count", -1))
+    return {
+        "dangling": term_rows.select(key).union(gram_rows.select(key)).distinct().join(known, F.col(key) == F.col("known"), "left_anti").agg(F.count("*").alias("n")),
+        "count": docs.agg((F.count("*") != F.lit(counted)).cast("long").alias("n")),
+    }
+
+
+def failed(rules: dict[str, DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, [df.select(F.lit(name).alias("rule"), "n") for name, df in rules.items()]).where("n > 0")

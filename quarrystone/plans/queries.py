@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import hashing
 from ..functions import text as X
+from ..functions.storage import scratch
 from ..operators import graph, history, impact, integrity, lookup, navigation, scoring, semantic, transactions
+from ..sources import semantic_index
 from .substrate import Substrate, sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -218,12 +220,42 @@ def word_runs(t: Substrate) -> DataFrame:
     return r.select("doc_id", F.size("r").cast("long").alias("n"), F.size(F.array_distinct("r")).cast("long").alias("distinct_n"))
 
 
-@registered("", "select 'none' as rule, 0::bigint as n where false")
+@registered(
+    "docs",
+    f""", {_TOKENS}, {_GRAMS}, g as (select id, unnest(g) as gram from grams)
+select * from (select 'term_empty' as rule, count(*) as n from terms where id like '%3' union all select 'tf_illegal', count(*) from terms where id like '%7' union all select 'term_repeated', count(*) from terms where id like '%5'
+  union all select 'gram_length', count(*) from g where id like '%9' union all select 'gram_repeated', count(*) from g where id like '%1' union all select 'dangling', count(distinct id) from (select id from terms union select id from g) where id like '%4'
+  union all select 'count', 1) where n > 0""",
+)
 def semantic_structure(t: Substrate) -> DataFrame:
+    """An index with planted faults: each rule finds its own."""
     docs = _norm(t.documents.select("id", "text"))
-    terms = semantic.terms(docs).withColumn("tf", F.log("n") + 1)
+    ends = lambda d: F.col("id").endswith(d)
+    terms = semantic.terms(docs).withColumn("tf", F.when(ends("7"), F.lit(float("inf"))).otherwise(F.log("n") + 1))
     grams = docs.select("id", F.explode(X.grams(F.col("norm"))).alias("gram"))
-    return semantic.structure_faults(terms, grams, docs, {"corpus_size": docs.count()})
+    terms = terms.unionByName(terms.where(ends("5")))
+    blank = terms.where(ends("3")).groupBy("id", "term").agg(F.first("tf").alias("tf")).select(F.lit("").alias("term"), F.concat("id", F.lit(":"), "term").alias("id"), "tf")
+    terms = terms.where(~ends("3")).select("term", "id", "tf").unionByName(blank)
+    grams = grams.unionByName(grams.where(ends("1"))).withColumn("gram", F.when(ends("9"), F.concat("gram", F.lit("abc"))).otherwise(F.col("gram")))
+    known = docs.where(~ends("4")).select("id").unionByName(blank.select("id"))
+    return semantic.structure_faults(terms, grams, known, {"document_count": 0})
+
+
+@registered("docs", f", {_RANK} select query_id, rank::int as rank, id, score_q from ranked")
+def semantic_indexed(t: Substrate) -> DataFrame:
+    """The ranking by way of a written index: built, checked against its tree, opened, asked."""
+    asks = t.table("benchmark").where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), "text")
+    asks = X.normalised(asks).select("query_id", F.col("norm").alias("text"))
+    target, base = scratch(t.spark, "semantic"), {"complete": True, "drift": False, "fingerprint": "sha256:" + "0" * 64, "last_event": "EV-000001"}
+    semantic_index.write(_norm(t.documents.select("id", "text")).select("id", "norm"), target, base, "2024-01-01T00:00:00Z")
+    return semantic_index.open_index(t.spark, target, base).rank(asks)
+
+
+@registered("", "select item_id as query_id, 0 as n from benchmark where false")
+def semantic_without_tokens(t: Substrate) -> DataFrame:
+    """Queries of stop words and single signs only have no rows, and are no error."""
+    asks = t.table("benchmark").select(F.col("item_id").alias("query_id"), F.lit("the a of - x ?").alias("text"))
+    return semantic.rank(_norm(t.documents.select("id", "text")), asks).groupBy("query_id").agg(F.count("*").cast("int").alias("n"))
 
 
 # ---- integrity

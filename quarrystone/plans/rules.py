@@ -245,12 +245,12 @@ def sources_closed(t: Substrate) -> DataFrame:
 
 @registered(
     "docs live",
-    """, reports as (select path, doc_id from docs where doc_type in ('src1', 'src2', 'src3')), sides as (select path || '.sources.yaml' as path from reports where doc_id % 4 > 0)
+    """, reports as (select path, doc_id from docs where doc_type in ('src1', 'src2', 'src3')), sides as (select path || '.sources.yaml' as path from reports where doc_id % 3 > 0)
 select path, path || '.sources.yaml' as sidecar from reports where path || '.sources.yaml' not in (select path from sides)""",
 )
 def missing_sidecars(t: Substrate) -> DataFrame:
     reports = t.documents.where("doc_type in ('src1', 'src2', 'src3')").select("path", "doc_id")
-    sides = reports.where("doc_id % 4 > 0").select(_text(F.col("path"), ".sources.yaml").alias("path"), F.lit("h").alias("content_hash"))
+    sides = reports.where("doc_id % 3 > 0").select(_text(F.col("path"), ".sources.yaml").alias("path"), F.lit("h").alias("content_hash"))
     return integrity.without_sidecar(reports.select("path"), t.live.unionByName(sides))
 
 
