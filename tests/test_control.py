@@ -132,3 +132,92 @@ def test_answers_are_rendered_whole(spark):
     assert len(render.as_dict(answer)["results"]) == 120 and render.as_text(answer).count("  - ") == 120 and render.as_html(answer).count("<td>") == 120
     some = render.as_dict(answer, 50)
     assert len(some["results"]) == 50 and some["total"] == 120 and "50 of 120 rows" in render.as_text(answer, 50)
+
+
+def _definition(root):
+    old = {"schema_version": 1, "entity_id": "H1", "version_ref": "H1@v1", "previous": None, "body": {"scope": "some"}}
+    (root / "definitions/H1/H1@v1.yaml").write_text(yaml.dumps(old))
+    return {"definitions/H1/H1@v1.yaml": control.document_digest(old)}
+
+
+def _revise(root, n=2, key="r"):
+    body = {"scope": f"all {n}"}
+    doc = {"schema_version": 1, "entity_id": "H1", "version_ref": f"H1@v{n}", "previous": f"H1@v{n - 1}", "body": body}
+    approval = {"valid": True, "definition": "H1", "previous": f"H1@v{n - 1}", "proposed_definition_hash": control.document_digest(doc), "change_type": ["scope_change"]}
+    return control.revise_definition(str(root), f"{key}{n}", "ann", "AUTH-2", approval, "H1", f"H1@v{n - 1}", body, ["scope_change"], "2024-01-01T00:00:00Z", "c")
+
+
+@pytest.mark.parametrize("kind", ["freeze", "revise"])
+def test_a_crash_at_any_write_is_undone_or_finished(spark, root, monkeypatch, tmp_path_factory, kind):
+    import shutil
+
+    from quarrystone.plans import wal
+
+    pins, seen, real = _definition(root), set(), wal.write_whole
+    for stop in range(40):
+        place = tmp_path_factory.mktemp("crash") / "w"
+        shutil.copytree(root, place)
+        left = [stop]
+
+        def broken(path, data, replace=True, left=left):
+            if left[0] == 0:
+                raise OSError("the power is gone")
+            left[0] -= 1
+            real(path, data, replace)
+
+        monkeypatch.setattr(wal, "write_whole", broken)
+        try:
+            _freeze(place) if kind == "freeze" else _revise(place)
+            crashed = False
+        except OSError:
+            crashed = True
+        monkeypatch.setattr(wal, "write_whole", real)
+        done, issues = control.tx_reconcile(spark, str(place), pins)
+        assert issues.collect() == [] and all(d["outcome"] in ("aborted", "committed") for d in done)
+        assert control.may_reset(str(place)) and not list((place / ".index/tx").glob("*.plan.yaml"))
+        again = _freeze(place) if kind == "freeze" else _revise(place)  # the same request is answered by what was finished, or runs
+        assert again["outcome"] == ("replay" if not crashed or any(d["outcome"] == "committed" for d in done) or (place / "events/EV-000001.commit").exists() and again["outcome"] == "replay" else "committed")
+        seen |= {d["outcome"] for d in done}
+        if not crashed:
+            break
+    assert not crashed and seen == {"aborted", "committed"}
+
+
+def test_what_others_wrote_is_never_overwritten(spark, root, monkeypatch):
+    from quarrystone.plans import wal
+
+    real = wal.write_whole
+    monkeypatch.setattr(wal, "write_whole", lambda path, data, replace=True: (_ for _ in ()).throw(OSError()) if path.name == "CURRENT.md" else real(path, data, replace))
+    with pytest.raises(OSError):
+        _freeze(root)
+    monkeypatch.setattr(wal, "write_whole", real)
+    (root / "reports/CURRENT.md").write_text("someone's words")
+    assert [r["action"] for r in wal.actions(spark, root).collect()] == ["hold"]
+    done, issues = control.tx_reconcile(spark, str(root))
+    assert done[0]["outcome"] == "needs_reconcile" and done[0]["why"].startswith("CURRENT_CONFLICT") and (root / "reports/CURRENT.md").read_text() == "someone's words"
+    assert {(r["check"], r["code"]) for r in issues.collect()} >= {("recovery", "NEEDS_RECONCILE"), ("receipt", "NEEDS_RECONCILE")}
+    assert not control.may_reset(str(root))
+    with pytest.raises(control.Refused, match="TX_INCOMPLETE"):
+        _freeze(root, "k9")
+
+
+def test_tampering_is_told_by_its_check(spark, root):
+    pins = _definition(root)
+    _freeze(root)
+    for n in (2, 3):
+        _revise(root, n)
+    (root / ".index/tx/TX-000001.marker").unlink()
+    assert control.tx_reconcile(spark, str(root), pins)[1].collect() == [] and (root / ".index/tx/TX-000001.marker").exists()  # rebuilt from its receipt
+    found = lambda: {(r["check"], r["subject"], r["code"]) for r in control.tx_reconcile(spark, str(root), pins)[1].collect()}
+    pointer = (root / "definitions/H1/APPROVED.yaml").read_text()
+    (root / "definitions/H1/APPROVED.yaml").write_text(pointer.replace("H1@v3", "H1@v2"))
+    assert found() == {("pointer", "H1", "DEF_POINTER_DIVERGED")}
+    (root / "definitions/H1/APPROVED.yaml").unlink()
+    assert found() == {("pointer", "H1", "PROVENANCE_BROKEN")}
+    (root / "definitions/H1/APPROVED.yaml").write_text(pointer)
+    text = (root / "definitions/H1/H1@v2.yaml").read_text()
+    (root / "definitions/H1/H1@v2.yaml").write_text(text.replace("all 2", "all 9"))
+    assert {("receipt", "EV-000002", "NEEDS_RECONCILE"), ("receipt", "EV-000003", "NEEDS_RECONCILE")} <= found()  # and what rests on it
+    (root / "definitions/H1/H1@v2.yaml").write_text(text)
+    (root / "definitions/H1/H1@v1.yaml").write_text((root / "definitions/H1/H1@v1.yaml").read_text().replace("some", "none"))
+    assert ("bootstrap", "definitions/H1/H1@v1.yaml", "DEF_POINTER_DIVERGED") in found()
