@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import dependents
+
 
 def next_ids(ids: DataFrame, column: str, width: int = 6) -> DataFrame:
     """(prefix, next_id): of each prefix the number after the highest, padded; ids without a number don't count."""
@@ -81,6 +83,35 @@ def fold(state: DataFrame, mutations: DataFrame) -> DataFrame:
     return j.select(F.coalesce("ref", "m_ref").alias("ref"), F.coalesce("new_status", "status").alias("status"), F.coalesce("new_hash", "content_hash").alias("content_hash"))
 
 
+# Kinds of mutations and the set that each puts its target into; those of the index change its state (fixed values).
+MARKS = {
+    "external_update": ("changed",), "semantic_change": ("changed",), "raw_invalidation": ("invalid", "changed"), "create_version": ("changed",), "duplicate_version": ("ambiguous",),
+    "delete_file": ("missing",), "tamper_file": ("mismatched",), "runtime_deviation": ("mismatched",), "create_file": ("orphan",), "semantic_tamper": ("tampered",),
+}
+INDEX = {"create_file": "stale", "touch_file": "stale", "corrupt_index": "stale", "delete_tree": "missing"}
+
+
+def marks(mutations: DataFrame, objects: DataFrame, relations: DataFrame) -> DataFrame:
+    """(ref, mark) after mutations (step, kind, target): what each of the kinds marks, and as stale whatever depends on an invalidated object at any distance.
+
+    A version is marked ambiguous by its entity. A target that is no object (but for new files, versions and trees) is marked unknown instead.
+    """
+    table = F.create_map(*[x for k, v in MARKS.items() for x in (F.lit(k), F.array(*[F.lit(m) for m in v]))])
+    known = objects.select(F.col("ref").alias("k")).union(objects.select("entity_id")).distinct()
+    m = mutations.where(F.col("kind").isin(*MARKS)).join(known, F.col("target") == F.col("k"), "left")
+    free = F.col("kind").isin("create_file", "create_version")
+    given = m.select(F.col("target").alias("ref"), F.explode(F.when(free | F.col("k").isNotNull(), F.element_at(table, F.col("kind"))).otherwise(F.array(F.lit("unknown")))).alias("mark"))
+    sick = m.where("kind = 'raw_invalidation' and k is not null").select(F.col("target").alias("ref")).distinct()
+    return given.unionByName(dependents(relations, sick).select("ref", F.lit("stale").alias("mark"))).distinct()
+
+
+def index_state(mutations: DataFrame) -> DataFrame:
+    """(state): present, stale or missing, by the last mutation that changes it; index brings it back, and a tree that is deleted counts if it is the index's own."""
+    table = F.create_map(*[x for k, v in INDEX.items() for x in (F.lit(k), F.lit(v))])
+    state = F.when(F.col("kind") == "index", "present").when((F.col("kind") != "delete_tree") | (F.col("target") == ".index"), F.element_at(table, F.col("kind")))
+    return mutations.select("step", state.alias("state")).where("state is not null").agg(F.coalesce(F.max_by("state", "step"), F.lit("present")).alias("state"))
+
+
 def transitions(states: DataFrame, legal: list[tuple[str, str]]) -> DataFrame:
     """Steps (entity_id, step, state) that no legal edge allows."""
     before = F.lag("state").over(Window.partitionBy("entity_id").orderBy("step"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import hashing
-from ..operators import graph, impact, integrity, ledger, lookup, navigation, orders, scoring
+from ..operators import checks, graph, impact, integrity, ledger, lookup, navigation, orders, scoring, transactions
 from ..sources import workspace
 from .queries import _VERIFIED, registered
 from .substrate import Substrate, sql
@@ -544,3 +544,87 @@ def bootstrap_known_answer(t: Substrate) -> DataFrame:
     every = estimates.unionByName(scoring.paired(estimates, "A", "B"))
     ends = scoring.interval(every)
     return ends.select("participant", F.round("low", 9).alias("low"), F.round("high", 9).alias("high"))
+
+
+# ---- scenarios: each conversation is one, each turn a checkpoint
+
+_GOLD = """with g as (select conv_id as scenario, turn as n, conv_id || ':' || turn as capture, conv_id * 10 + turn as k, (conv_id * 10 + turn) % 4 = 0 as closed from conversations),
+p as (select *, case when k % 19 = 0 then 'none' when k % 23 = 0 then 'twice' when k % 17 = 0 then 'unfit' else 'ok' end as given from g),
+k as (select scenario, capture, k, closed, given, unnest(case when given in ('none', 'twice') then ['prediction_present'] when given = 'unfit' then ['prediction_present', 'prediction_contract']
+  when closed then ['prediction_present', 'prediction_contract', 'expected_condition', 'closed'] else ['prediction_present', 'prediction_contract', 'expected_condition', 'result_set_exact', 'stale_set_exact', 'as_of_exact', 'version_binding_exact', 'asserted_facts_exact', 'routing_policy'] end) as kind from p),
+checks as (select scenario, capture, kind, case kind when 'prediction_present' then given in ('ok', 'unfit') when 'prediction_contract' then given = 'ok' when 'expected_condition' then k % 5 > 0 when 'closed' then k % 3 > 0 when 'result_set_exact' then k % 6 <> 5
+    when 'stale_set_exact' then k % 6 <> 5 when 'as_of_exact' then k % 7 > 0 when 'routing_policy' then k % 11 > 0 else k % 13 > 0 end as passed,
+  case kind when 'result_set_exact' then case when k % 6 = 5 then 1 else 2 end when 'stale_set_exact' then case when k % 6 = 5 then 0 else 1 end end as tp, case kind when 'result_set_exact' then case when k % 6 = 5 then 1 else 0 end when 'stale_set_exact' then case when k % 6 = 5 then 1 else 0 end end as fp,
+  case kind when 'result_set_exact' then case when k % 6 = 5 then 1 else 0 end when 'stale_set_exact' then case when k % 6 = 5 then 1 else 0 end end as fn from k
+  union all select 'none', 'none:' || r_regionkey, 'unexpected', false, null, null, null from region)"""
+
+
+def _scenarios(t: Substrate) -> tuple[DataFrame, DataFrame]:
+    """Checkpoints, and what an engine of many faults answers, as JSON."""
+    c = t.table("conversations")
+    k = F.col("conv_id") * 10 + F.col("turn")
+    capture = _text(F.col("conv_id"), ":", F.col("turn"))
+    rows = c.select(F.col("conv_id").cast("string").alias("scenario"), capture.alias("capture"), k.alias("k"))
+    text = lambda *parts: _text(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    closed = F.col("k") % 4 == 0
+    ref = lambda n: text("r", F.col("k"), f".{n}")
+    body = F.when(closed, F.lit('{"expected_condition":{"status":"fail_closed","error_semantic":"NOT_FOUND","behavior":"fail_closed"}}')).otherwise(
+        text('{"expected_condition":{"status":"success","error_semantic":null,"behavior":"answer"},"results":[{"ref":"', ref(1), '"},{"ref":"', ref(2), '"}],"stale_set":["', ref(2), '"],"as_of":"t', F.col("k"), '","version_bindings":[{"subject":"s","value":"', F.col("k"), '"}],"asserted_facts":[{"predicate":"bound_version","subject":"s","value":"', F.col("k"), '"}],"route_sequence":["exact"]}')
+    )
+    gold = rows.select("scenario", "capture", body.alias("body"))
+    when = lambda n, rest, yes, no: F.when(F.col("k") % n == rest, yes).otherwise(no)
+    result = lambda r, stale: text('{"ref":"', r, '","entity_id":null,"version_ref":null,"path":null,"content_hash":null,"git_commit":null,"status":null,"is_stale":', stale, ',"relation_type":null,"section":null,"is_available":true}')
+    two = text(result(ref(1), "false"), ",", result(F.when(F.col("k") % 6 == 5, ref(9)).otherwise(ref(2)), "true"))
+    results = F.when(closed, when(3, 0, result(ref(1), "false"), F.lit(""))).otherwise(two)
+    status = when(5, 0, F.lit('"status":"error","error_semantic":"X"'), F.when(closed, '"status":"fail_closed","error_semantic":"NOT_FOUND"').otherwise('"status":"success","error_semantic":null'))
+    facts = F.when(closed, "").otherwise(text('{"subject":"s","value":"', F.col("k") + (F.col("k") % 13 == 0).cast("int"), '","predicate":"bound_version"}'))
+    said = text('{"schema_version":"prediction/v1","capture_id":"', F.col("capture"), '",', status, ',"warnings":[],"errors":[],"results":[', results, '],"provenance_graph":null,"asserted_facts":[', facts, '],"evidence":[],"retrieval_mode":null,"ranking_authority":null,"route_sequence":[', when(11, 0, F.lit('"lexical"'), F.lit('"exact"')), '],"as_of":"t', F.col("k") + (F.col("k") % 7 == 0).cast("int"), '"', when(17, 0, F.lit(',"more":1'), F.lit("")), "}")
+    given = rows.where("k % 19 <> 0").select("scenario", "capture", said.alias("body"), F.explode(when(23, 0, F.array(F.lit(1), F.lit(2)), F.array(F.lit(1)))).alias("times")).drop("times")
+    stray = t.table("region").select(F.lit("none").alias("scenario"), _text("none:", F.col("r_regionkey")).alias("capture"), F.lit("{}").alias("body"))
+    return gold, given.unionByName(stray)
+
+
+@registered("", _GOLD + " select * from checks")
+def scenario_checks(t: Substrate) -> DataFrame:
+    return checks.judge(*_scenarios(t))
+
+
+@registered(
+    "",
+    _GOLD
+    + """, civ as (select conv_id::varchar as scenario from conversations where conv_id % 8 = 1), v as (select scenario, count(*) as n from civ group by scenario)
+select c.scenario, bool_and(passed) and coalesce(any_value(v.n), 0) = 0 as passed, (bool_and(passed) and coalesce(any_value(v.n), 0) = 0)::int::double as score, coalesce(any_value(v.n), 0) as civ_count,
+  0 as impact_tp, 0 as impact_fp, 0 as impact_fn, coalesce(sum(tp) filter (where kind = 'stale_set_exact'), 0) as stale_tp, coalesce(sum(fp) filter (where kind = 'stale_set_exact'), 0) as stale_fp, coalesce(sum(fn) filter (where kind = 'stale_set_exact'), 0) as stale_fn,
+  bool_and(passed) filter (where kind = 'version_binding_exact') as version_correct, null::boolean as graph_exact_match, bool_and(passed) filter (where kind = 'closed') as fail_closed_correct
+from checks c left join v on c.scenario = v.scenario group by c.scenario""",
+)
+def scenario_outcomes(t: Substrate) -> DataFrame:
+    civ = t.table("conversations").where("conv_id % 8 = 1").select(F.col("conv_id").cast("string").alias("scenario"))
+    return checks.outcomes(checks.judge(*_scenarios(t)), civ)
+
+
+_KINDS = ("external_update", "semantic_change", "raw_invalidation", "create_version", "duplicate_version", "delete_file", "tamper_file", "create_file", "delete_tree", "touch_file", "corrupt_index", "semantic_tamper", "runtime_deviation")
+
+
+@registered(
+    "",
+    """with m as (select event_id as step, event_id % 13 as k, case when event_id % 13 in (3, 7) then 'new:' || event_id when event_id % 13 = 8 then 'raw' when event_id % 5 = 0 then 'customer:0' else 'nation:' || (event_id % 25) end as target from events),
+marked as (select target as ref, k, case k when 0 then 'changed' when 1 then 'changed' when 2 then 'invalid' when 3 then 'changed' when 4 then 'ambiguous' when 5 then 'missing' when 6 then 'mismatched' when 7 then 'orphan' when 11 then 'tampered' when 12 then 'mismatched' end as mark from m)
+select distinct ref, case when ref = 'customer:0' then 'unknown' else mark end as mark from marked where mark is not null
+union select ref, 'changed' from marked where k = 2 and ref <> 'customer:0'
+union select 'customer:' || c_custkey, 'stale' from customer where 'nation:' || c_nationkey in (select ref from marked where k = 2) union select 'supplier:' || s_suppkey, 'stale' from supplier where 'nation:' || s_nationkey in (select ref from marked where k = 2)
+union select 'order:' || o_orderkey, 'stale' from orders join customer on o_custkey = c_custkey where 'nation:' || c_nationkey in (select ref from marked where k = 2)
+union select 'order:' || l_orderkey, 'stale' from lineitem join supplier on l_suppkey = s_suppkey where 'nation:' || s_nationkey in (select ref from marked where k = 2)""",
+)
+def mutation_marks(t: Substrate) -> DataFrame:
+    k = F.col("event_id") % 13
+    target = F.when(k.isin(3, 7), _text("new:", F.col("event_id"))).when(k == 8, "raw").when(F.col("event_id") % 5 == 0, "customer:0").otherwise(_text("nation:", F.col("event_id") % 25))
+    m = t.table("events").select(F.col("event_id").alias("step"), F.element_at(F.array(*[F.lit(x) for x in _KINDS]), (k + 1).cast("int")).alias("kind"), target.alias("target"))
+    return transactions.marks(m, t.objects.where("ref <> 'customer:0'"), t.relations)
+
+
+@registered("", "select case when arg_max(event_id % 13, event_id) filter (where event_id % 13 in (7, 9, 10)) is null then 'present' else 'stale' end as state from events")
+def mutation_index_state(t: Substrate) -> DataFrame:
+    k = F.col("event_id") % 13
+    m = t.table("events").select(F.col("event_id").alias("step"), F.element_at(F.array(*[F.lit(x) for x in _KINDS]), (k + 1).cast("int")).alias("kind"), F.lit("raw").alias("target"))
+    return transactions.index_state(m)
