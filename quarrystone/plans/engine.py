@@ -35,6 +35,12 @@ class State:
     tampered: frozenset[str] = field(default_factory=frozenset)
     orphans: frozenset[str] = field(default_factory=frozenset)
     stale: frozenset[str] = field(default_factory=frozenset)
+    #: Tells why the index doesn't stand for its tree, or None; asked before each operation that reads it.
+    freshness: Callable[[], str | None] | None = None
+    #: Builds the index anew and returns its watermark.
+    rebuild: Callable[[], dict] | None = None
+    #: Recovers interrupted transactions and returns the issues (check, subject, code) that are left.
+    transactions: Callable[[], DataFrame] | None = None
 
 
 class Engine:
@@ -47,10 +53,16 @@ class Engine:
         o = self.state.objects
         return lookup.unique_object(o, locator.removeprefix("definition:"))
 
+    def _set(self, refs: frozenset[str]) -> DataFrame:
+        return self.state.objects.sparkSession.createDataFrame([(r,) for r in sorted(refs)], "ref string")
+
     def _rows(self, objects: DataFrame) -> DataFrame:
-        s = self.state
-        flag = lambda refs: F.col("ref").isin(*refs) if refs else F.lit(False)
-        return objects.withColumns({"is_stale": flag(s.stale), "is_available": ~flag(s.missing)})
+        return lookup.overlay(objects, self._set(self.state.stale), self._set(self.state.missing))
+
+    def _gate(self) -> list[str]:
+        """An index that doesn't stand for its tree answers nothing."""
+        code = self.state.freshness() if self.state.freshness else None
+        return [code] if code else []
 
     def _errors(self, locator: str) -> list[str]:
         """The condition that a locator's answer carries, by precedence; one row decides."""
@@ -63,7 +75,7 @@ class Engine:
         return [{"CANONICAL_SEMANTIC_DRIFT": "DRIFT_DETECTED", "DEF_NOT_FOUND": "NOT_FOUND"}.get(code, code)] if code else []
 
     def _answer(self, name: str, results: DataFrame, locator: str | None = None, **more) -> Envelope:
-        errors = self._errors(locator) if locator is not None else []
+        errors = self._gate() or (self._errors(locator) if locator is not None else [])
         return Envelope(name, results, errors=errors, **more)
 
     def _subject(self, locator: str) -> DataFrame:
@@ -110,10 +122,10 @@ class Engine:
         o = self.state.objects
         rows = edges.join(o, edges["target_ref"] == o["ref"]).select("entity_id", F.lit(None).cast("string").alias("version_ref"), "path", "content_hash", F.lit("based_on").alias("relation_type"), "ref")
         s = self.state
-        rows = rows.withColumn("is_stale", F.col("ref").isin(*s.stale) if s.stale else F.lit(False))
+        rows = lookup.overlay(rows, self._set(s.stale), self._set(frozenset())).drop("is_available")
         below = graph.closure(s.relations, self._object(locator).select("ref"))
-        broken = bool(s.missing) and not below.where(F.col("ref").isin(*s.missing)).isEmpty()
-        return Envelope("query_sources", rows, errors=["SOURCE_MISSING"] if broken else self._errors(locator))
+        broken = bool(s.missing) and not below.join(self._set(s.missing), "ref", "left_semi").isEmpty()
+        return Envelope("query_sources", rows, errors=self._gate() or (["SOURCE_MISSING"] if broken else self._errors(locator)))
 
     def _trace(self, name: str, locator: str) -> Envelope:
         roots = self._object(locator).select("ref")
@@ -130,15 +142,15 @@ class Engine:
     def query_history(self, as_of: str | None = None) -> Envelope:
         facts = lookup.facts(self.state.facts, as_of=as_of)
         rows = self.state.objects.join(facts.select(F.col("subject").alias("_s")), F.col("ref") == F.col("_s"), "left_semi")
-        return Envelope("query_history", rows)
+        return self._answer("query_history", rows)
 
     def query_as_of_state(self, as_of: str) -> Envelope:
         seen = history.snapshot(self.state.objects, self.state.facts, self.state.relations, as_of)["objects"]
-        return Envelope("query_as_of_state", seen.withColumn("git_commit", F.lit(None).cast("string")))
+        return self._answer("query_as_of_state", seen.withColumn("git_commit", F.lit(None).cast("string")))
 
     def _text(self, name: str, text: str) -> Envelope:
         asked = self.state.objects.sparkSession.createDataFrame([(0, text)], "query_id long, text string")
-        return Envelope(name, semantic.token_match(self.state.facts, asked), authority="advisory")
+        return self._answer(name, semantic.token_match(self.state.facts, asked), authority="advisory")
 
     def query_text_lexical(self, text: str) -> Envelope:
         return self._text("query_text_lexical", text)
@@ -163,12 +175,22 @@ class Engine:
         return Envelope("reconcile_integrity", rows, warnings=[c for c, _ in issues])
 
     def tx_reconcile(self) -> Envelope:
-        rows = transactions.materialise(self.state.log) if self.state.log is not None else self.state.facts
-        return Envelope("tx_reconcile", rows.limit(0))
+        """What is left to a person after recovery; without transactions to look at, what the log repeats."""
+        s = self.state
+        if s.transactions is not None:
+            rows = s.transactions()
+        elif s.log is not None:
+            rows = integrity.duplicates(s.log, "event_id").selectExpr("'log' as check", "event_id as subject", "'DUPLICATE_ID' as code")
+        else:
+            rows = s.objects.sparkSession.createDataFrame([], "check string, subject string, code string")
+        return Envelope("tx_reconcile", rows, warnings=sorted({r["code"] for r in rows.select("code").distinct().collect()}))
 
     def index(self) -> Envelope:
+        """Builds the index, if the state can, and brings it back to being present; one row tells what it stands for."""
+        mark = self.state.rebuild() if self.state.rebuild else {}
         self.state.index_state = "present"
-        return Envelope("index", self.state.objects.limit(0))
+        rows = self.state.objects.sparkSession.createDataFrame([("present", mark.get("fingerprint"), mark.get("last_event"))], "index_state string, fingerprint string, last_event string")
+        return Envelope("index", rows, watermark=mark)
 
     def freeze_report(self, key: str, fingerprint: str, done: DataFrame) -> Envelope:
         """What a freeze request comes to, against the log of those done (key, fingerprint, committed); a held lock refuses it."""

@@ -103,3 +103,22 @@ def test_stream_equals_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("select sum(n) from hours").first()[0] == 300
+
+
+def test_an_index_that_does_not_stand_for_its_tree_answers_nothing(engine):
+    built = []
+    engine.state.freshness = lambda: None if built else "INDEX_STALE"
+    engine.state.rebuild = lambda: built.append(1) or {"fingerprint": "sha256:x", "last_event": None}
+    for name, given in (("query_entity", ("run:1",)), ("query_sources", ("run:1",)), ("query_history", ()), ("query_text_lexical", ("loss",)), ("impact", ("H1@v2", "scope_change")), ("trace_graph", ("rep:1",))):
+        answer = engine.operations[name](*given)
+        assert (answer.status, answer.error_semantic) == ("fail_closed", "INDEX_STALE") and answer.results.isEmpty(), name
+    assert engine.index().results.first()["fingerprint"] == "sha256:x"
+    assert _refs(engine.query_entity("run:1")) == ["run:1"]
+
+
+def test_transactions_are_looked_at(engine, spark):
+    assert engine.tx_reconcile().status == "success"
+    engine.state.log = spark.createDataFrame([("E1",), ("E1",), ("E2",)], "event_id string")
+    assert [(r["subject"], r["code"]) for r in engine.tx_reconcile().results.collect()] == [("E1", "DUPLICATE_ID")]
+    engine.state.transactions = lambda: spark.createDataFrame([("marker", "TX-1", "PROVENANCE_BROKEN")], "check string, subject string, code string")
+    assert engine.tx_reconcile().status == "warning" and engine.tx_reconcile().results.count() == 1
