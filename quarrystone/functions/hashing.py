@@ -118,6 +118,21 @@ def frame(name: str, payload: bytes) -> bytes:
     return struct.pack(">H", len(name)) + name.encode("ascii") + struct.pack(">I", len(payload)) + payload
 
 
+def tree_digest(entries: dict[str, tuple[int, bytes]]) -> str:
+    """The digest of a tree's framed records (path, mode, content) in the byte order of paths in NFC. Paths are relative and plain; no file lies under another; modes are 644 or 755."""
+    named = {unicodedata.normalize("NFC", p): e for p, e in entries.items()}
+    paths = sorted(named, key=str.encode)
+    bad = [p for p in paths if not p or p.startswith("/") or set(p.split("/")) & {"", ".", ".."} or named[p][0] not in (0o644, 0o755)]
+    under = [b for a, b in zip(sorted(named), sorted(named)[1:], strict=False) if b.startswith(a + "/")]
+    if bad or under or len(named) < len(entries):
+        raise ValueError(f"a path or mode that a tree can't hold: {[*bad, *under] or 'two paths are the same in NFC'}")
+    made = hashlib.sha256()
+    for p in paths:
+        mode, content = named[p]
+        made.update(frame("path", p.encode()) + frame("mode", struct.pack(">H", mode)) + frame("content", content))
+    return "sha256:" + made.hexdigest()
+
+
 class Stream:
     """32-bit words of an HMAC counter stream, with unbiased integers and weighted choices from them."""
 

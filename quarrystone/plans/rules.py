@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hashing
 from ..operators import checks, graph, impact, integrity, ledger, lookup, navigation, orders, scoring, transactions
-from ..sources import workspace
+from ..sources import framed, manifest, workspace
 from .queries import _VERIFIED, registered
 from .substrate import Substrate, sql
 
@@ -628,3 +628,118 @@ def mutation_index_state(t: Substrate) -> DataFrame:
     k = F.col("event_id") % 13
     m = t.table("events").select(F.col("event_id").alias("step"), F.element_at(F.array(*[F.lit(x) for x in _KINDS]), (k + 1).cast("int")).alias("kind"), F.lit("raw").alias("target"))
     return transactions.index_state(m)
+
+
+# ---- entities of an index, framed files, sealed manifests, dumps
+
+
+def _definitions(t: Substrate) -> workspace.Index:
+    """Turns as versions of definitions that are based on the version before and, by declaration, on a part; some can't be read. Customers are runs that use the first version of one."""
+    v = t.versions
+    body = _text("entity_id: ", F.col("entity_id"), "\nversion_ref: ", F.col("version_ref"), "\nbased_on: ", F.coalesce("previous", F.lit("none")), "\ndependencies:\n  uses:\n    - ref: part:", F.col("version"), "@v1\n    - plain\n", F.when(F.col("version") % 5 == 4, "entity_id: again\n").otherwise(""))
+    files = v.select(_text("definitions/", F.regexp_replace("entity_id", ":", "-"), "/", F.regexp_replace("version_ref", ":", "-"), ".yaml").alias("path"), body.alias("text"))
+    c = F.col("c_custkey")
+    runs = t.table("customer").select(_text("runs/R", c, "/manifest.yaml").alias("path"), _text("status: completed\nrelations:\n  caused_by: conv:", c % 20, "@v0\n").alias("text"))
+    more = t.table("region").select(_text("organized/n", F.col("r_regionkey"), ".md").alias("path"), _text("version_ref: TS-", F.col("r_regionkey"), "@r1\nreferences:\n  - conv:1@v0\n").alias("text"))
+    every = files.unionByName(runs).unionByName(more)
+    return workspace.Index(every.select("path", F.col("text").cast("binary").alias("content"), F.sha2("text", 256).alias("content_hash"), F.octet_length("text").cast("long").alias("size")))
+
+
+_ENTITIES = """with e as (select case when turn % 5 = 4 then 'conv-' || conv_id else 'conv:' || conv_id end as entity_id, case when turn % 5 = 4 then 'conv-' || conv_id || '@v' || turn else 'conv:' || conv_id || '@v' || turn end as version_ref, 'definition' as kind,
+  'definitions/conv-' || conv_id || '/conv-' || conv_id || '@v' || turn || '.yaml' as path, case when turn % 5 = 4 then 'IMPACT_INVALID' end as condition, conv_id, turn from conversations
+  union all select 'R' || c_custkey, 'R' || c_custkey, 'run', 'runs/R' || c_custkey || '/manifest.yaml', null, c_custkey % 20, null from customer
+  union all select 'n' || r_regionkey, 'TS-' || r_regionkey || '@r1', 'organized', 'organized/n' || r_regionkey || '.md', null, 1, null from region)"""
+
+
+@registered("", _ENTITIES + " select entity_id, version_ref, kind, path, condition from e")
+def impact_entities(t: Substrate) -> DataFrame:
+    return _definitions(t).impact_entities.drop("body")
+
+
+@registered(
+    "",
+    _ENTITIES
+    + """ select version_ref, 'based_on' as relation, 'conv:' || conv_id || '@v' || (turn - 1) as ref from e where kind = 'definition' and condition is null and turn > 0
+union all select version_ref, 'uses', 'part:' || turn || '@v1' from e where kind = 'definition' and condition is null union all select version_ref, 'caused_by', 'conv:' || conv_id || '@v0' from e where kind = 'run'
+union all select version_ref, 'references', 'conv:1@v0' from e where kind = 'organized'""",
+)
+def declared_references(t: Substrate) -> DataFrame:
+    return _definitions(t).impact_entities.select("version_ref", F.explode(impact.declared(F.col("body"))).alias("d")).select("version_ref", "d.relation", "d.ref")
+
+
+_BEGIN, _END, _SCHEMA = "<<<node\n", "\nnode>>>\n", "node/v1"
+
+
+def _framed(t: Substrate) -> DataFrame:
+    """Turns as framed files, with a fault of each kind planted by number; those of turn 1 stand twice under one reference."""
+    v, k = t.versions, F.regexp_extract("entity_id", "([0-9]+)$", 1).cast("long") * 10 + F.col("version")
+    text = F.coalesce("text", F.lit(""))
+    digest = F.when(k % 11 == 0, "sha256:0").otherwise(_text("sha256:", F.sha2(text, 256)))
+    version = F.when((k % 7 == 0) & (F.col("version") > 0), 0).otherwise(F.col("version"))
+    path = F.col("path")
+    said = F.when(k % 13 == 0, "elsewhere").otherwise(path)
+    status = F.when(k % 17 == 0, "gone").otherwise("valid")
+    head = _text('{"content_hash":"', digest, '","current":true,"entity_id":"', F.col("entity_id"), '","git_commit":"c0","path":"', said, '","relations":{"depends_on":["', F.coalesce("previous", F.lit("none:x")), '"],"derived_from":[],"evidence":[],"sources":[]},"schema_version":"node/v1","status":"', status, '","version":"v', version, '"}')
+    body = F.when(k % 19 == 0, text).otherwise(_text(_BEGIN, head, _END, text))
+    return v.select("path", body.cast("binary").alias("content"))
+
+
+@registered(
+    "",
+    """with v as (select conv_id, turn, conv_id * 10 + turn as k, 'conversations/' || conv_id || '/v' || turn as path, 'conv:' || conv_id || '@v' || case when (conv_id * 10 + turn) % 7 = 0 and turn > 0 then 0 else turn end as ref from conversations),
+f as (select path, case when k % 13 = 0 then 'INVALID_FRONTMATTER' when k % 11 = 0 then 'HASH_MISMATCH' when k % 17 = 0 then 'INVALID_FRONTMATTER' end as fault, ref from v where k % 19 <> 0),
+n as (select ref, count(*) as n from f where fault is null group by ref)
+select path, coalesce(fault, case when n.n > 1 then 'AMBIGUOUS' end) as fault, case when fault is null then f.ref end as ref from f left join n on f.ref = n.ref and fault is null""",
+)
+def framed_nodes(t: Substrate) -> DataFrame:
+    return framed.nodes(_framed(t), _BEGIN.encode(), _END.encode(), _SCHEMA).select("path", "fault", "ref")
+
+
+@registered("", "select 'conv:' || conv_id || '@v' || turn as source_ref, 'depends_on' as relation, 'conv:' || conv_id || '@v' || (turn + 90) as target_ref from conversations where turn % 3 = 0")
+def unverified_edges(t: Substrate) -> DataFrame:
+    v = t.versions
+    ahead = F.when(F.col("version") % 3 == 0, F.col("version") + 90).otherwise(0)
+    edges = v.select(F.col("version_ref").alias("source_ref"), F.lit("depends_on").alias("relation"), _text(F.col("entity_id"), "@v", ahead).alias("target_ref"))
+    logical = v.select(F.col("version_ref").alias("source_ref"), F.lit("cites").alias("relation"), F.lit("external:x").alias("target_ref"))
+    nodes = v.select(F.concat(F.lit("definition:"), "version_ref").alias("ref"), "path").select(F.regexp_replace("ref", "^definition:", "").alias("ref"), "path")
+    plain = lambda c: F.regexp_replace(c, ":", "-")  # noqa: E731  a reference with a colon is a logical one
+    both = edges.unionByName(logical)
+    out = framed.unverified(both.withColumns({"source_ref": plain("source_ref"), "target_ref": F.when(F.col("relation") == "cites", F.col("target_ref")).otherwise(plain("target_ref"))}), nodes.withColumn("ref", plain("ref")), t.live.select("path"))
+    return out.withColumns({"source_ref": F.regexp_replace("source_ref", "-", ":"), "target_ref": F.regexp_replace("target_ref", "-", ":")})
+
+
+@registered(
+    "",
+    """with e as (select conv_id as c, turn as n, conv_id || '@' || turn as ref from conversations)
+select 'object_unique' as rule, ref as key from e where n = 3 union all select 'object_kind', ref from e where n % 7 = 2 union all select 'object_time', ref from e where n % 5 = 1 union all select 'object_time', ref from e where n = 3 and n % 5 = 1
+union all select 'fact_subject', 'f' || ref from e where n % 4 = 3 union all select 'fact_time', 'f' || ref from e where n % 6 = 5 union all select 'relation_target', ref from e where n % 8 = 7
+union all select 'atom_kind', 'a' || ref from e where n % 3 = 2 union all select 'external_digest', 'x' || r_regionkey from region where r_regionkey % 2 = 1""",
+)
+def manifest_breaches(t: Substrate) -> DataFrame:
+    """A sealed manifest with planted breaches: each rule finds its own."""
+    c = t.table("conversations")
+    n, ref = F.col("turn"), _text(F.col("conv_id"), "@", F.col("turn"))
+    when = lambda m, r, yes, no: F.when(n % m == r, yes).otherwise(no)
+    time = F.lit("2024-01-01T00:00:00Z")
+    objects = c.select(ref.alias("ref"), when(7, 2, F.lit(""), F.lit("run")).alias("kind"), F.lit("e").alias("entity_id"), F.lit(None).cast("string").alias("version_ref"), F.lit("p").alias("path"), F.lit("valid").alias("status"), when(5, 1, F.lit("2024-01-01"), time).alias("lifecycle_start"))
+    objects = objects.unionByName(c.where("turn = 3").select(ref.alias("ref"), F.lit("run").alias("kind"), F.lit("e").alias("entity_id"), F.lit(None).cast("string").alias("version_ref"), F.lit("p").alias("path"), F.lit("valid").alias("status"), time.alias("lifecycle_start")))
+    facts = c.select(_text("f", ref).alias("fact_id"), when(4, 3, F.lit("nobody"), ref).alias("subject"), F.lit("content").alias("predicate"), F.lit("v").alias("value"), when(6, 5, F.lit("soon"), time).alias("occurred_at"))
+    relations = c.select(ref.alias("source_ref"), F.lit("uses").alias("relation"), when(8, 7, F.lit("nothing"), ref).alias("target_ref"))
+    relations = relations.withColumn("target_ref", F.when(F.col("target_ref") == "nothing", F.concat(F.lit("!"), "source_ref")).otherwise(F.col("target_ref")))
+    atoms = c.select(_text("a", ref).alias("atom_id"), ref.alias("artifact_ref"), when(3, 2, F.lit("song"), F.lit("command")).alias("kind"))
+    queries = c.limit(0).select(ref.alias("query_id"), F.lit("x").alias("operation"), ref.alias("target_ref"), ref.alias("participant_locator"), ref.alias("as_of"))
+    externals = t.table("region").select(_text("x", F.col("r_regionkey")).alias("ref"), F.when(F.col("r_regionkey") % 2 == 1, "md5:1").otherwise(_text("sha256:", F.sha2("r_name", 256))).alias("pinned_content_hash"))
+    events = c.limit(0).select(ref.alias("event_id"))
+    found = manifest.breaches(objects, facts, relations, atoms, queries, externals, events)
+    return found.withColumn("key", F.regexp_replace("key", "^!", ""))
+
+
+@registered(
+    "",
+    """with r as (select 'nation' as "table", '["' || n_nationkey || '"]' as key, '{"n_name":"' || n_name || '","n_nationkey":' || n_nationkey || ',"n_regionkey":' || n_regionkey || '}' as line from nation
+  union all select 'supplier', '["' || s_suppkey || '"]', '{"s_acctbal":"' || printf('%.6f', s_acctbal) || '","s_name":"' || s_name || '","s_suppkey":' || s_suppkey || '}' from supplier)
+select "table", count(*) as n, 'sha256:' || sha256(string_agg(line, chr(10) order by key) || chr(10)) as digest from r group by "table" """,
+)
+def logical_dump(t: Substrate) -> DataFrame:
+    lines = hashing.table_lines(t.table("nation"), "nation", ["n_nationkey", "n_name", "n_regionkey"], ["n_nationkey"])
+    return hashing.dump_digest(lines.unionByName(hashing.table_lines(t.table("supplier"), "supplier", ["s_suppkey", "s_name", "s_acctbal"], ["s_suppkey"])))

@@ -93,6 +93,20 @@ def preceding(rows: DataFrame, key: str) -> DataFrame:
     return out.withColumn("before", F.coalesce("before", "_follows")).drop("_range", "_follows")
 
 
+@F.pandas_udf(T.StringType())
+def yaml_json(text: pd.Series) -> pd.Series:
+    """YAML maps as JSON; null for what can't be read, repeats a key or is no map."""
+
+    def one(t):
+        try:
+            d = yaml.loads(t or "", strict=True)
+        except (ValueError, IndexError):
+            return None
+        return json.dumps(d, ensure_ascii=False) if isinstance(d, dict) else None
+
+    return text.map(one)
+
+
 class Index:
     """Tables of a tree. Each is a projection of one scan; nothing is read twice by hand."""
 
@@ -173,6 +187,20 @@ class Index:
             .unionByName(edge(before, "id", "supersedes", F.col("before")))
         )
 
+    @property
+    def impact_entities(self) -> DataFrame:
+        """entity_id, version_ref, kind, path, body (JSON), condition: what a changed definition may affect: versions of definitions, runs, and files directly under organized.
+
+        A document says who it is; else its place does. One that can't be read is IMPACT_INVALID, and an answer over such a table has to be refused.
+        """
+        part = lambda pattern, kind, own: self._at(pattern).select("path", F.lit(kind).alias("kind"), own.alias("own"), yaml_json(F.col("text")).alias("body"))
+        stem = F.regexp_replace(F.regexp_extract("path", r"([^/]+)$", 1), r"\.(?:md|yaml)$", "")
+        rows = part(r"^definitions/[^/]+/(?!APPROVED|BOOTSTRAP)[^/]+\.yaml$", "definition", stem).unionByName(part(r"^runs/[^/]+/manifest\.yaml$", "run", F.split("path", "/")[1])).unionByName(part(r"^organized/[^/]+\.(?:md|yaml)$", "organized", stem))
+        said = lambda *names: F.coalesce(*[F.nullif(F.get_json_object("body", f"$.{n}"), F.lit("")) for n in names])
+        entity = F.when(F.col("kind") == "definition", F.coalesce(said("entity_id"), F.split("path", "/")[1])).otherwise(F.coalesce(said("run_id", "entity_id"), F.col("own")))
+        rows = rows.withColumn("entity_id", entity).withColumn("version_ref", F.coalesce(said("version_ref"), F.when(F.col("kind") == "definition", F.col("own")).otherwise(F.col("entity_id"))))
+        return rows.select("entity_id", "version_ref", "kind", "path", "body", F.when(F.col("body").isNull(), "IMPACT_INVALID").alias("condition"))
+
     @property
     def live(self) -> DataFrame:
         """(path, content_hash) of files and of raw directories."""
