@@ -8,16 +8,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, arrow_batches, hold, widened, without
+from .common import LOWER, arrow_batches, hold, scratch_path, widened, without
 from .graph import components
 
 #: Production parameters.
 SHINGLE_WORDS, SEED, RADIUS = 4, 42, 4
 #: Tiles at most, as long as none holds over TILE_MAX fingerprints (8 bytes each); a small table has fewer, of TILE_LEAST.
 TILES, TILE_MAX, TILE_LEAST = 48, 1 << 20, 4096
+#: Tasks that pairs of tiles are dealt to, at most.
+TASKS = 20_000
 #: Fingerprints of a block, and blocks that a block is held against at once.
 BLOCK, AT_ONCE = 64, 64
 
@@ -137,40 +140,51 @@ def compare_tiles(a: np.ndarray, b: np.ndarray | None, radius: int = RADIUS, blo
     return whole[moved], whole[forest.up[moved]]
 
 
-def _pack(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """A partition of sorted fingerprints as rows of one tile each, with the bounds of its population counts."""
-    from pyspark import TaskContext
+def _packer(folder: str, most: int):
+    """Writes a partition of sorted fingerprints as tiles, a file each under folder, and gives each tile's number and the bounds of its population counts."""
 
-    part, held, made = TaskContext.get().partitionId(), [], 0
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-    def tile(x: np.ndarray) -> pa.RecordBatch:
-        nonlocal made
-        c = counts(x)
-        made += 1
-        cols = {"tile": [part * (1 << 24) + made], "lo": [c.min(0).tolist()], "hi": [c.max(0).tolist()], "fps": [x.tobytes()]}
-        cols |= {"least": [int(c.sum(1).min())], "most": [int(c.sum(1).max())]}
-        return pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) for f in _TILE], schema=_TILE)
+        task = TaskContext.get()
+        store, base = fs.FileSystem.from_uri(folder)
+        held, made = [], 0
 
-    for b in batches:
-        held.append(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
-        while sum(map(len, held)) >= most:
-            x = np.concatenate(held)
-            yield tile(x[:most])
-            held = [x[most:]]
-    if sum(map(len, held)):
-        yield tile(np.concatenate(held))
+        def tile(x: np.ndarray) -> pa.RecordBatch:
+            nonlocal made
+            c = counts(x)
+            made += 1
+            number = task.partitionId() * (1 << 24) + made
+            store.create_dir(base, recursive=True)
+            mine = f"{base}/.attempt-{task.taskAttemptId()}"
+            with store.open_output_stream(mine) as f:
+                f.write(x.tobytes())
+            store.move(mine, f"{base}/{number}")  # a rerun of a lost task writes the same bytes
+            cols = {"tile": [number], "lo": [c.min(0).tolist()], "hi": [c.max(0).tolist()], "least": [int(c.sum(1).min())], "most": [int(c.sum(1).max())]}
+            return pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) for f in _TILE], schema=_TILE)
+
+        for b in batches:
+            held.append(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
+            while sum(map(len, held)) >= most:
+                x = np.concatenate(held)
+                yield tile(x[:most])
+                held = [x[most:]]
+        if sum(map(len, held)):
+            yield tile(np.concatenate(held))
+
+    return pack
 
 
-_TILE = pa.schema([("tile", pa.int64()), ("least", pa.int32()), ("most", pa.int32()), ("lo", pa.list_(pa.int32())), ("hi", pa.list_(pa.int32())), ("fps", pa.binary())])
-_TILE_SQL = "tile long, least int, most int, lo array<int>, hi array<int>, fps binary"
+_TILE = pa.schema([("tile", pa.int64()), ("least", pa.int32()), ("most", pa.int32()), ("lo", pa.list_(pa.int32())), ("hi", pa.list_(pa.int32()))])
+_TILE_SQL = "tile long, least int, most int, lo array<int>, hi array<int>"
 
 
 def links(distinct: DataFrame, radius: int = RADIUS, tiles: int = TILES, most: int = TILE_MAX) -> DataFrame:
     """(a, b): links among distinct fingerprints (column fp) that connect all pairs within radius.
 
-    The fingerprints are sorted by population counts and cut into tiles, one packed row each. Pairs
-    of tiles whose counts lie within the radius are joined, dealt out evenly, and compared in numpy.
-    A tile is sent to each tile near it, so what moves is 8 bytes a fingerprint times at most the number of tiles.
+    The fingerprints are sorted by population counts and cut into tiles, a file each in the shared folder. Pairs
+    of tiles whose counts lie within the radius are found from their bounds, a pair dealt to each task, and compared in numpy:
+    only numbers of tiles are shuffled, and a task reads its two tiles, of at most 8 MB each.
     """
     spark = distinct.sparkSession
     arrow_batches(spark)
@@ -179,25 +193,27 @@ def links(distinct: DataFrame, radius: int = RADIUS, tiles: int = TILES, most: i
     order = [F.bit_count("fp"), quarter[0] + quarter[1], quarter[0], quarter[2], F.col("fp")]
     ranged = distinct.select("fp", *[k.alias(f"k{i}") for i, k in enumerate(order[:-1])])
     keys = ["k0", "k1", "k2", "k3", "fp"]
-    packed = hold(
-        ranged.repartitionByRange(tiles, *keys).sortWithinPartitions(*keys).select("fp").mapInArrow(lambda it: _pack(it, most), _TILE_SQL),
-        "tiles",
-    )
-    head = packed.drop("fps")
+    folder = scratch_path(spark, "tiles")
+    head = hold(ranged.repartitionByRange(tiles, *keys).sortWithinPartitions(*keys).select("fp").mapInArrow(_packer(folder, most), _TILE_SQL), "bounds")
     left = head.withColumn("at", F.explode(F.expr("sequence(least, most)")))
     right = head.withColumn("at", F.explode(F.expr(f"sequence(least - {radius}, most + {radius})")))
     gap = "aggregate(zip_with(zip_with(x.lo, y.hi, (p, q) -> p - q), zip_with(y.lo, x.hi, (p, q) -> p - q), (p, q) -> greatest(p, q, 0)), 0, (s, g) -> s + g)"
     pairs = left.alias("x").join(right.alias("y"), F.expr(f"x.at = y.at and {gap} <= {radius}"))
     pairs = pairs.select(F.least("x.tile", "y.tile").alias("p"), F.greatest("x.tile", "y.tile").alias("q")).distinct()
-    own = packed.select(F.col("tile").alias("p"), F.col("fps").alias("x"))
-    other = packed.select(F.col("tile").alias("q"), F.col("fps").alias("y"))
-    work = pairs.join(own, "p").join(other, "q").repartition(4 * tiles, "p", "q")
+    pairs = hold(pairs, "pairs")
+    work = pairs.repartition(max(1, min(pairs.count(), TASKS)), "p", "q")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = fs.FileSystem.from_uri(folder)
+
+        def tile(number: int) -> np.ndarray:
+            with store.open_input_stream(f"{base}/{number}") as f:
+                return np.frombuffer(f.read(), np.uint64)
+
         for b in batches:
             for row in b.to_pylist():
-                x, y = (np.frombuffer(row[k], np.uint64) for k in ("x", "y"))
-                u, v = compare_tiles(x, None if row["p"] == row["q"] else y, radius)
+                x, y = tile(row["p"]), None if row["p"] == row["q"] else tile(row["q"])
+                u, v = compare_tiles(x, y, radius)
                 yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["a", "b"])
 
     return work.mapInArrow(each, "a long, b long")
