@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import hmac
 import struct
 from collections.abc import Iterator
@@ -110,12 +109,15 @@ def bootstrap(scores: DataFrame, seed: str, order: list[str] | None = None, repl
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         u32 = lambda n: struct.pack(">I", n)
+        keyed, first = (lambda key, message: hmac.digest(key, message, "sha256")), frame("counter", struct.pack(">Q", 0))
         for b in batches:
             rows = []
-            for r in b.itertuples():
-                for d in range(r.size):
-                    key = hmac.new(root, frame("replicate", u32(r.replicate)) + frame("family_id", r.family.encode("ascii")) + frame("draw_index", u32(d)), hashlib.sha256).digest()
-                    rows.append((r.replicate, r.family, r.size, Stream(key).uniform(r.size)))
+            for replicate, family, size in zip(b["replicate"].tolist(), b["family"].tolist(), b["size"].tolist(), strict=True):
+                head, line = frame("replicate", u32(replicate)) + frame("family_id", family.encode("ascii")), (1 << 32) // size * size
+                for d in range(size):
+                    key = keyed(root, head + frame("draw_index", u32(d)))
+                    word = int.from_bytes(keyed(key, first)[:4], "big")  # a stream's first word nearly always does
+                    rows.append((replicate, family, size, 0 if size == 1 else word % size if word < line else Stream(key).uniform(size)))
             yield pd.DataFrame(rows, columns=["replicate", "family", "size", "k"])
 
     cells = sizes.select("family", F.col("size").cast("int").alias("size"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))

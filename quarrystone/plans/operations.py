@@ -132,7 +132,7 @@ def engine_query_history(t: Substrate) -> DataFrame:
 
 @registered(
     "objects",
-    """ select ref, null as status, 'success' as answer from objects where lifecycle_start <= '1993-06-01' union all select 'conv:' || conv_id || '@v' || turn, null, 'success' from conversations""",
+    """ select ref, null::varchar as status, 'success' as answer from objects where lifecycle_start <= '1993-06-01' union all select 'conv:' || conv_id || '@v' || turn, null::varchar, 'success' from conversations""",
 )
 def engine_query_as_of_state(t: Substrate) -> DataFrame:
     return _only(_engine(t).query_as_of_state("1993-06-01"), "ref", "status")

@@ -534,7 +534,7 @@ def index_relations(t: Substrate) -> DataFrame:
 # ---- the vector whose answers are known
 
 
-@registered("", "select * from (values ('A', 0.55, 0.85), ('B', 0.1, 0.3), ('A-B', 0.25, 0.75)) as v(participant, low, high)")
+@registered("", "select * from (values ('A', 0.55::double, 0.85::double), ('B', 0.1::double, 0.3::double), ('A-B', 0.25::double, 0.75::double)) as v(participant, low, high)")
 def bootstrap_known_answer(t: Substrate) -> DataFrame:
     """Eight families with two instances each and five repetitions; the contract fixes the input, the seed and the intervals."""
     bits = {"A": ("11111", "01010"), "B": ("00000", "01010")}
@@ -554,8 +554,8 @@ k as (select scenario, capture, k, closed, given, unnest(case when given in ('no
   when closed then ['prediction_present', 'prediction_contract', 'expected_condition', 'closed'] else ['prediction_present', 'prediction_contract', 'expected_condition', 'result_set_exact', 'stale_set_exact', 'as_of_exact', 'version_binding_exact', 'asserted_facts_exact', 'routing_policy'] end) as kind from p),
 checks as (select scenario, capture, kind, case kind when 'prediction_present' then given in ('ok', 'unfit') when 'prediction_contract' then given = 'ok' when 'expected_condition' then k % 5 > 0 when 'closed' then k % 3 > 0 when 'result_set_exact' then k % 6 <> 5
     when 'stale_set_exact' then k % 6 <> 5 when 'as_of_exact' then k % 7 > 0 when 'routing_policy' then k % 11 > 0 else k % 13 > 0 end as passed,
-  case kind when 'result_set_exact' then case when k % 6 = 5 then 1 else 2 end when 'stale_set_exact' then case when k % 6 = 5 then 0 else 1 end end as tp, case kind when 'result_set_exact' then case when k % 6 = 5 then 1 else 0 end when 'stale_set_exact' then case when k % 6 = 5 then 1 else 0 end end as fp,
-  case kind when 'result_set_exact' then case when k % 6 = 5 then 1 else 0 end when 'stale_set_exact' then case when k % 6 = 5 then 1 else 0 end end as fn from k
+  case kind when 'result_set_exact' then case when k % 6 = 5 then 1 else 2 end when 'stale_set_exact' then case when k % 6 = 5 then 0 else 1 end end::bigint as tp, case kind when 'result_set_exact' then case when k % 6 = 5 then 1 else 0 end when 'stale_set_exact' then case when k % 6 = 5 then 1 else 0 end end::bigint as fp,
+  case kind when 'result_set_exact' then case when k % 6 = 5 then 1 else 0 end when 'stale_set_exact' then case when k % 6 = 5 then 1 else 0 end end::bigint as fn from k
   union all select 'none', 'none:' || r_regionkey, 'unexpected', false, null, null, null from region)"""
 
 
@@ -594,7 +594,7 @@ def scenario_checks(t: Substrate) -> DataFrame:
     _GOLD
     + """, civ as (select conv_id::varchar as scenario from conversations where conv_id % 8 = 1), v as (select scenario, count(*) as n from civ group by scenario)
 select c.scenario, bool_and(passed) and coalesce(any_value(v.n), 0) = 0 as passed, (bool_and(passed) and coalesce(any_value(v.n), 0) = 0)::int::double as score, coalesce(any_value(v.n), 0) as civ_count,
-  0 as impact_tp, 0 as impact_fp, 0 as impact_fn, coalesce(sum(tp) filter (where kind = 'stale_set_exact'), 0) as stale_tp, coalesce(sum(fp) filter (where kind = 'stale_set_exact'), 0) as stale_fp, coalesce(sum(fn) filter (where kind = 'stale_set_exact'), 0) as stale_fn,
+  0::bigint as impact_tp, 0::bigint as impact_fp, 0::bigint as impact_fn, coalesce(sum(tp) filter (where kind = 'stale_set_exact'), 0)::bigint as stale_tp, coalesce(sum(fp) filter (where kind = 'stale_set_exact'), 0)::bigint as stale_fp, coalesce(sum(fn) filter (where kind = 'stale_set_exact'), 0)::bigint as stale_fn,
   bool_and(passed) filter (where kind = 'version_binding_exact') as version_correct, null::boolean as graph_exact_match, bool_and(passed) filter (where kind = 'closed') as fail_closed_correct
 from checks c left join v on c.scenario = v.scenario group by c.scenario""",
 )
