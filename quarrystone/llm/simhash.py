@@ -19,8 +19,8 @@ from .graph import components
 SHINGLE_WORDS, SEED, RADIUS = 4, 42, 4
 #: Tiles at most, as long as none holds over TILE_MAX fingerprints (8 bytes each); a small table has fewer, of TILE_LEAST.
 TILES, TILE_MAX, TILE_LEAST = 48, 1 << 20, 4096
-#: Tasks that pairs of tiles are dealt to, at most.
-TASKS = 20_000
+#: Pairs of fingerprints that a task is held against, about, where there are more than four tasks a tile (some 100 seconds); bytes of tiles that a worker keeps.
+TASK_WORK, TILES_KEPT = 10**11, 64 << 20
 #: Fingerprints of a block, and blocks that a block is held against at once.
 BLOCK, AT_ONCE = 64, 64
 
@@ -160,7 +160,7 @@ def _packer(folder: str, most: int):
             with store.open_output_stream(mine) as f:
                 f.write(x.tobytes())
             store.move(mine, f"{base}/{number}")  # a rerun of a lost task writes the same bytes
-            cols = {"tile": [number], "lo": [c.min(0).tolist()], "hi": [c.max(0).tolist()], "least": [int(c.sum(1).min())], "most": [int(c.sum(1).max())]}
+            cols = {"tile": [number], "size": [len(x)], "lo": [c.min(0).tolist()], "hi": [c.max(0).tolist()], "least": [int(c.sum(1).min())], "most": [int(c.sum(1).max())]}
             return pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) for f in _TILE], schema=_TILE)
 
         for b in batches:
@@ -175,15 +175,35 @@ def _packer(folder: str, most: int):
     return pack
 
 
-_TILE = pa.schema([("tile", pa.int64()), ("least", pa.int32()), ("most", pa.int32()), ("lo", pa.list_(pa.int32())), ("hi", pa.list_(pa.int32()))])
-_TILE_SQL = "tile long, least int, most int, lo array<int>, hi array<int>"
+_TILE = pa.schema([("tile", pa.int64()), ("size", pa.int64()), ("least", pa.int32()), ("most", pa.int32()), ("lo", pa.list_(pa.int32())), ("hi", pa.list_(pa.int32()))])
+_TILE_SQL = "tile long, size long, least int, most int, lo array<int>, hi array<int>"
+
+
+_KEPT: dict[tuple[str, int], np.ndarray] = {}
+
+
+def _reader(folder: str):
+    """Reads tiles by number, and keeps those read last for the worker's next pairs and tasks."""
+    store, base = fs.FileSystem.from_uri(folder)
+
+    def tile(number: int) -> np.ndarray:
+        x = _KEPT.pop((folder, number), None)
+        if x is None:
+            with store.open_input_stream(f"{base}/{number}") as f:
+                x = np.frombuffer(f.read(), np.uint64)
+        _KEPT[folder, number] = x
+        while sum(v.nbytes for v in _KEPT.values()) > TILES_KEPT and len(_KEPT) > 2:
+            del _KEPT[next(iter(_KEPT))]
+        return x
+
+    return tile
 
 
 def links(distinct: DataFrame, radius: int = RADIUS, tiles: int = TILES, most: int = TILE_MAX) -> DataFrame:
     """(a, b): links among distinct fingerprints (column fp) that connect all pairs within radius.
 
     The fingerprints are sorted by population counts and cut into tiles, a file each in the shared folder. Pairs
-    of tiles whose counts lie within the radius are found from their bounds, a pair dealt to each task, and compared in numpy:
+    of tiles whose counts lie within the radius are found from their bounds, dealt out by how much there is to compare, and compared in numpy:
     only numbers of tiles are shuffled, and a task reads its two tiles, of at most 8 MB each.
     """
     spark = distinct.sparkSession
@@ -199,17 +219,14 @@ def links(distinct: DataFrame, radius: int = RADIUS, tiles: int = TILES, most: i
     right = head.withColumn("at", F.explode(F.expr(f"sequence(least - {radius}, most + {radius})")))
     gap = "aggregate(zip_with(zip_with(x.lo, y.hi, (p, q) -> p - q), zip_with(y.lo, x.hi, (p, q) -> p - q), (p, q) -> greatest(p, q, 0)), 0, (s, g) -> s + g)"
     pairs = left.alias("x").join(right.alias("y"), F.expr(f"x.at = y.at and {gap} <= {radius}"))
-    pairs = pairs.select(F.least("x.tile", "y.tile").alias("p"), F.greatest("x.tile", "y.tile").alias("q")).distinct()
+    pairs = pairs.select(F.least("x.tile", "y.tile").alias("p"), F.greatest("x.tile", "y.tile").alias("q"), (F.col("x.size") * F.col("y.size")).alias("work")).distinct()
     pairs = hold(pairs, "pairs")
-    work = pairs.repartition(max(1, min(pairs.count(), TASKS)), "p", "q")
+    many, total = pairs.agg(F.count("*"), F.sum("work")).first()
+    tasks = max(1, min(many, max(4 * tiles, -(-(total or 0) // TASK_WORK))))
+    work = pairs.select("p", "q").repartition(tasks, "p", "q").sortWithinPartitions("p", "q")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, base = fs.FileSystem.from_uri(folder)
-
-        def tile(number: int) -> np.ndarray:
-            with store.open_input_stream(f"{base}/{number}") as f:
-                return np.frombuffer(f.read(), np.uint64)
-
+        tile = _reader(folder)
         for b in batches:
             for row in b.to_pylist():
                 x, y = tile(row["p"]), None if row["p"] == row["q"] else tile(row["q"])
