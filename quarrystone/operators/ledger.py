@@ -60,6 +60,7 @@ def freeze_faults(events: DataFrame, receipts: DataFrame, files: DataFrame) -> D
     j = e.join(r, e["e_event_id"] == r["r_event_id"], "full")
     j = _live(_live(j, files, "e_report_path", "report_now"), files, "e_manifest_path", "manifest_now")
     outputs = digest_of(report_hash=F.col("r_report_hash"), manifest_hash=F.col("r_manifest_hash"), current_after_hash=F.col("r_current_after_hash"))
+    # Faults in the order in which they are told (fixed values).
     fault = first_broken([
         ("event-missing", F.col("e_event_id").isNull()),
         ("receipt-missing", F.col("r_event_id").isNull()),
@@ -90,6 +91,7 @@ def revision_faults(events: DataFrame, receipts: DataFrame, definitions: DataFra
     outputs = digest_of(**{k: F.col(f"r_{k}") for k in ("event_hash", "definition_hash", "approved_after_hash", "approved_ref_after")})
     subject, previous = F.col("e_subject"), F.col("e_previous")
     file_name = F.regexp_extract("e_definition_path", "([^/]+)$", 1)
+    # Faults in the order in which they are told (fixed values).
     rules = [
         ("event-missing", F.col("e_event_id").isNull()),
         ("receipt-missing", F.col("r_event_id").isNull()),

@@ -96,7 +96,7 @@ def _cjk(text: str) -> set[str]:
 
 
 def scored(docs: DataFrame, q: DataFrame, close: DataFrame, k: int, key: str, text: str) -> DataFrame:
-    """(query_id, key, score_q > 0): of each task's documents the k best for each query (all that tie with the k-th), by cosine and the share of the query's n-grams that they have.
+    """(query_id, key, score_q > 0): of each task's documents the k best for each query, by cosine and the share of the query's n-grams that they have.
 
     The queries are taken in blocks of a bounded number of n-grams, counted first. A document's n-grams are marked in a table of all pairs and
     triples of word characters (those of Chinese ones in a set), where a whole block is looked up at once.
@@ -117,10 +117,9 @@ def scored(docs: DataFrame, q: DataFrame, close: DataFrame, k: int, key: str, te
 
         def each(batches, codes=codes, owner=owner, others=others, ids=ids, sizes=sizes, place=place):
             here = np.zeros(_WIDE**3 + _WIDE**2, bool)
-            keys: list = []
-            scores = np.zeros((0, len(ids)), np.int64)
+            best, keys, rows = Best(k, len(ids)), [], []
             for b in batches:
-                rows = []
+                keys += b.column(0).to_pylist() if ids else []
                 for t, near in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                     low = (t or "").lower()
                     mine = _codes(np.frombuffer(low.encode("utf-8", "replace").translate(_CODE), np.uint8))
@@ -133,19 +132,17 @@ def scored(docs: DataFrame, q: DataFrame, close: DataFrame, k: int, key: str, te
                     cosine = np.zeros(len(ids))
                     for pair in near or ():
                         cosine[place[pair["query_id"]]] = pair["cosine"]
-                    rows.append(np.rint((COSINE * cosine + GRAMS * (n / sizes)) * UNITS).astype(np.int64))
-                if not rows or not ids:
-                    continue
-                keys += b.column(0).to_pylist()
-                scores = np.concatenate([scores, rows])
-                if len(keys) > 4 * k + 4096:
-                    keep = np.flatnonzero((scores >= _line(scores, k)).any(1))
-                    keys, scores = [keys[j] for j in keep], scores[keep]
-            if keys and ids:
-                at, of = np.nonzero((scores >= _line(scores, k)) & (scores > 0))
-                for j in range(0, len(at), 4096):
-                    cols = [[ids[c] for c in of[j : j + 4096]], [keys[c] for c in at[j : j + 4096]], scores[at[j : j + 4096], of[j : j + 4096]]]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, type=f) for c, f in zip(cols, arrow.types, strict=True)], names=kind.names)
+                    if ids:
+                        rows.append(np.rint((COSINE * cosine + GRAMS * (n / sizes)) * UNITS).astype(np.int64))
+                if len(keys) >= 4096:
+                    best.add(keys, np.array(rows))
+                    keys, rows = [], []
+            if keys:
+                best.add(keys, np.array(rows))
+            of, at = np.nonzero(best.scores.T > 0)
+            for j in range(0, len(at), 4096):
+                cols = [[ids[c] for c in of[j : j + 4096]], [best.keys[c] for c in best.at[at[j : j + 4096], of[j : j + 4096]]], best.scores[at[j : j + 4096], of[j : j + 4096]]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=f) for c, f in zip(cols, arrow.types, strict=True)], names=kind.names)
 
         near = close.where(block_of == b).groupBy(F.col(key).alias("_near")).agg(F.collect_list(F.struct("query_id", "cosine")).alias("near"))  # no more than a block's queries
         part = docs.join(near, F.col(key) == F.col("_near"), "left").select(key, text, "near").mapInArrow(each, kind)
@@ -153,9 +150,22 @@ def scored(docs: DataFrame, q: DataFrame, close: DataFrame, k: int, key: str, te
     return out
 
 
-def _line(scores: np.ndarray, k: int) -> np.ndarray:
-    """The k-th best score of each column, or 1 where there are fewer rows."""
-    return np.partition(scores, len(scores) - k, axis=0)[len(scores) - k].clip(1) if len(scores) > k else np.ones(scores.shape[1], np.int64)
+class Best:
+    """Of the rows added so far the k best of each column, ties to the smaller key; k rows of scores are held, and the keys that they name."""
+
+    def __init__(self, k: int, columns: int):
+        self.k, self.keys, self.scores, self.at = k, [], np.zeros((0, columns), np.int64), np.zeros((0, columns), np.int64)
+
+    def add(self, keys: list, scores: np.ndarray) -> None:
+        names = self.keys + keys
+        order = np.empty(len(names), np.int64)
+        order[sorted(range(len(names)), key=names.__getitem__)] = np.arange(len(names))
+        new = np.broadcast_to(np.arange(len(self.keys), len(names))[:, None], scores.shape)
+        scores, at = np.concatenate([self.scores, scores]), np.concatenate([self.at, new])
+        first = np.lexsort((order[at], -scores), axis=0)[: self.k]
+        self.scores, at = np.take_along_axis(scores, first, 0), np.take_along_axis(at, first, 0)
+        named, self.at = np.unique(at, return_inverse=True)
+        self.at, self.keys = self.at.reshape(at.shape), [names[n] for n in named]
 
 
 def low_confidence(ranked: DataFrame) -> DataFrame:

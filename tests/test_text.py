@@ -37,9 +37,10 @@ def test_rank_orders_ties_by_id_and_drops_zeros(spark):
 def test_gram_ratios_equal_sets(spark):
     docs = spark.createDataFrame([("a", "alpha_1 béta 长上下文x"), ("b", ""), ("c", "上下 lph"), ("d", None)], "id string, norm string")
     q = spark.createDataFrame([(1, "alpha 上下文"), (2, "zz")], "query_id int, text string").select("query_id", X.grams(F.col("text")).alias("q_grams"))
-    got = {(r["query_id"], r["id"]): r["ratio"] for r in semantic.gram_ratios(docs, q, "id", "norm").collect()}
+    far = spark.createDataFrame([], "query_id int, id string, cosine double")  # no cosines: the score is the ratio's part
+    got = {(r["query_id"], r["id"]): r["score_q"] for r in semantic.scored(docs, q, far, 9, "id", "norm").collect()}
     sets = {r["id"]: set(r["g"] or []) for r in docs.select("id", X.grams(F.col("norm")).alias("g")).collect()}
-    want = {(r["query_id"], i): len(s & set(r["q_grams"])) / len(r["q_grams"]) for r in q.collect() for i, s in sets.items() if s & set(r["q_grams"])}
+    want = {(r["query_id"], i): round(0.3 * (len(s & set(r["q_grams"])) / len(r["q_grams"])) * 1e9) for r in q.collect() for i, s in sets.items() if s & set(r["q_grams"])}
     assert got == want
 
 
@@ -49,3 +50,18 @@ def test_structure_faults(spark):
     grams = spark.createDataFrame([("a", "abcd")], "id string, gram string")
     got = {r["rule"] for r in semantic.structure_faults(terms, grams, docs, {"corpus_size": 3}).collect()}
     assert got == {"term_empty", "tf_illegal", "term_repeated", "gram_length", "dangling", "count"}
+
+
+def test_best_of_many_rows_with_ties():
+    import numpy as np
+
+    from quarrystone.operators.semantic import Best
+
+    rng = np.random.default_rng(3)
+    scores, keys = rng.integers(0, 6, (500, 7)), [f"k{n:03d}" for n in rng.permutation(500)]
+    best = Best(20, 7)
+    for k in range(0, 500, 64):
+        best.add(keys[k : k + 64], scores[k : k + 64])
+    for c in range(7):
+        want = sorted(((-int(s), k) for s, k in zip(scores[:, c], keys, strict=True)))[:20]
+        assert [(-int(best.scores[r, c]), best.keys[best.at[r, c]]) for r in range(20)] == want
