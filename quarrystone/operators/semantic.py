@@ -66,9 +66,10 @@ def rank(docs: DataFrame, queries: DataFrame, k: int = 50, key: str = "id", text
     """
     docs = docs.select(key, text)
     size = F.lit(docs.count())
+    docs = docs.repartition(key)  # texts are uneven and few files may hold them; cosines come by the same key
     q = kept(queries.select("query_id", X.tokens(F.col("text")).alias("toks"), X.grams(F.col("text")).alias("q_grams")).where(F.size("toks") > 0))
     if index is None:
-        t = kept(terms(docs.repartition(text), key, text))  # texts are uneven and few files may hold them
+        t = kept(terms(docs, key, text))
         df = kept(frequencies(t))
         index = t, df, norms(t, df, size, key)
     close = cosines(*index, q.select("query_id", "toks"), size, key)
