@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fmindex, langid, mixture, records, simhash, surrogates, unigram, urls, voronoi, warc
+from . import fim, fmindex, langid, mixture, records, simhash, surrogates, unigram, urls, voronoi, warc
 from .common import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -60,8 +60,12 @@ def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.derivatives(warc.responses(table(spark, sf_dir, "pages"))).withColumnRenamed("key", "page_id")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digest(fim.transform(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_pareto_mixture, op2_url_filter, op3_pii_surrogates, op4_language_fusion, op5_fm_decontamination, op6_unigram_counts, op7_token_records, op8_simhash_near_dedup, op9_voronoi_knn, op10_warc_derivatives)
+    every = (op1_pareto_mixture, op2_url_filter, op3_pii_surrogates, op4_language_fusion, op5_fm_decontamination, op6_unigram_counts, op7_token_records, op8_simhash_near_dedup, op9_voronoi_knn, op10_warc_derivatives, op11_fill_in_middle)
     return {f.__name__: f for f in every}
 
 
@@ -177,5 +181,16 @@ select page_id, type, {_sql_urn("type", "refers_to")} as record_id, refers_to, t
 """
 
 
+_OP11 = """
+with cut as (select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') as w, sha256('1:' || doc_id::varchar) as s from documents),
+drawn as (select *, len(w)::bigint as n, ('0x' || substr(s, 1, 8))::bigint as h1, ('0x' || substr(s, 9, 8))::bigint as h2, ('0x' || substr(s, 17, 8))::bigint as h3, ('0x' || substr(s, 25, 8))::bigint as h4 from cut),
+formed as (select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+  case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h3 % 100 >= 90 then 'plain' when h4 % 100 < 20 then 'spm' else 'psm' end as form from drawn),
+parts as (select *, array_to_string(w[1:a], '') as p, array_to_string(w[a + 1:b], '') as m, array_to_string(w[b + 1:], '') as x from formed)
+select doc_id, n, form, case when form <> 'plain' then length(p)::bigint end as prefix_chars, case when form <> 'plain' then length(m)::bigint end as middle_chars,
+  sha256(case form when 'plain' then text when 'psm' then '<P>' || p || '<S>' || x || '<M>' || m else '<S>' || x || '<P>' || p || '<M>' || m end) as output_sha256, sha256(text) as restored_sha256 from parts
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_pareto_mixture": _OP1, "op5_fm_decontamination": _OP5, "op9_voronoi_knn": _OP9, "op10_warc_derivatives": _OP10}
+    return {"op11_fill_in_middle": _OP11, "op1_pareto_mixture": _OP1, "op5_fm_decontamination": _OP5, "op9_voronoi_knn": _OP9, "op10_warc_derivatives": _OP10}
