@@ -52,9 +52,13 @@ def test_bootstrap_query_runs_all_replicates(spark, monkeypatch):
 
 
 def test_gold_tokens_are_matched_whole(spark, tmp_path):
+    import os
     import shutil
 
-    root = shutil.copytree(ROOT, tmp_path / "t")
+    root = tmp_path / "t"
+    root.mkdir()
+    for name in os.listdir(ROOT):  # the tables may be read-only: files are made anew, without their modes
+        shutil.copyfile(f"{ROOT}/{name}", root / name)
     item = "aa bb cc dd ee ff gg hh"
     c = duckdb.connect()
     for name, change in (("benchmark", f"'{item}' as text"), ("documents", f"case when doc_id % 2 = 0 then '{item} ii' else 'aa bb cc dd ee ff' end as text")):
@@ -62,9 +66,9 @@ def test_gold_tokens_are_matched_whole(spark, tmp_path):
     docs = f"'{root}/documents.parquet'"
     for keep, some in (("= 0", True), ("= 1", False)):
         c.execute(f"copy (select * from {docs} where doc_id % 2 {keep}) to '{root}/part.parquet' (format parquet)")
-        shutil.copy(f"{root}/part.parquet", f"{tmp_path}/{some}.parquet")
+        shutil.copyfile(f"{root}/part.parquet", f"{tmp_path}/{some}.parquet")
     found = {}
     for some in (True, False):
-        shutil.copy(f"{tmp_path}/{some}.parquet", f"{root}/documents.parquet")
+        shutil.copyfile(f"{tmp_path}/{some}.parquet", f"{root}/documents.parquet")
         found[some] = queries.queries()["gold_token_match"](spark, str(root)).count()
     assert found[True] and not found[False]

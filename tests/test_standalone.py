@@ -17,7 +17,7 @@ from importlib.abc import MetaPathFinder
 class Gone(MetaPathFinder):
     def find_spec(self, name, path=None, target=None):
         if name == "corpus_pipeline" or name.startswith("quarrystone.llm"):
-            raise ModuleNotFoundError(name)
+            raise ModuleNotFoundError(name, name=name)
 
 sys.meta_path.insert(0, Gone())
 import __spark_entry__ as e
@@ -32,6 +32,12 @@ def test_entry_without_the_subpackage():
     assert done.returncode == 0, done.stderr
 
 
+def test_a_missing_library_is_told():
+    code = CODE.replace('"corpus_pipeline" or name.startswith("quarrystone.llm")', '"ahocorasick"')
+    done = subprocess.run([sys.executable, "-c", code], cwd=TOP, capture_output=True, text=True, timeout=120)
+    assert done.returncode and "ahocorasick" in done.stderr
+
+
 def test_nothing_outside_names_the_subpackage():
     for f in (TOP / "quarrystone").rglob("*.py"):
         if "llm" not in f.relative_to(TOP).parts:
