@@ -9,10 +9,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fim, fmindex, langid, mixture, records, simhash, surrogates, unigram, urls, voronoi, warc
+from . import bpe, fim, fmindex, langid, mixture, records, simhash, surrogates, unigram, urls, voronoi, warc
 from .common import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+BYTES = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
@@ -64,8 +65,13 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.digest(fim.transform(table(spark, sf_dir, "documents")))
 
 
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = bpe.encode(table(spark, sf_dir, "documents"), BYTES, public_tokenizers.PATTERN)
+    return bpe.digest(bpe.decode(encoded, BYTES, public_tokenizers.PATTERN))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_pareto_mixture, op2_url_filter, op3_pii_surrogates, op4_language_fusion, op5_fm_decontamination, op6_unigram_counts, op7_token_records, op8_simhash_near_dedup, op9_voronoi_knn, op10_warc_derivatives, op11_fill_in_middle)
+    every = (op1_pareto_mixture, op2_url_filter, op3_pii_surrogates, op4_language_fusion, op5_fm_decontamination, op6_unigram_counts, op7_token_records, op8_simhash_near_dedup, op9_voronoi_knn, op10_warc_derivatives, op11_fill_in_middle, op12_byte_bpe)
     return {f.__name__: f for f in every}
 
 
