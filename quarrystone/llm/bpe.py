@@ -9,6 +9,7 @@ only add to it, and after an edit it is the old one again as soon as it agrees w
 from __future__ import annotations
 
 import base64
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,7 +25,7 @@ from .common import arrow_batches
 #: Code points of a text that are split at once, at least.
 STRETCH = 1 << 20
 #: Bytes of pieces and ids that a worker remembers, about, and pairs of tokens; beyond it forgets all. Pieces of more than LONG bytes aren't remembered.
-REMEMBERED, PAIRS, LONG = 96 << 20, 1 << 20, 64
+REMEMBERED, PAIRS, LONG = 192 << 20, 1 << 20, 64
 #: Code points behind a piece that its end may depend on, or more.
 AHEAD = 4
 
@@ -35,40 +36,73 @@ class Vocabulary:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.tokens = {r: t for t, r in ranks.items()}
-        self.longest = max(map(len, ranks))
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.sizes = {r: len(t) for t, r in ranks.items()}
+        self.longest, self.never = max(map(len, ranks)), max(ranks.values()) + 1
+        self.halves: dict[int, tuple[int, int]] = {}
+        self.pairs: dict[int, bool] = {}
+        self.spines: dict[int, tuple[list, list]] = {}
         self.found = ahocorasick.Automaton()
         for t, r in ranks.items():
-            if len(t) == 1 or self.merged(t) == [r]:  # merging never gives another one, but as a whole piece
+            parts = self.merged(t, len(t) > 1)
+            if len(parts) <= 2 and t == b"".join(self.tokens[p] for p in parts) and self.merges(parts, r):  # merging never gives another one, but as a whole piece
                 self.found.add_word(t.decode("latin-1"), (r, len(t)))
         self.found.make_automaton()
 
-    def merged(self, word: bytes) -> list[int]:
-        """The encoding of a short byte string by its definition: the pair of least rank is merged, the first of equal ones, until none is left."""
+    def merges(self, parts: list[int], rank: int) -> bool:
+        """Whether the last two parts of a token merge to it, which is kept; a byte is whole as it stands."""
+        if len(parts) == 2:
+            self.halves[rank] = (parts[0], parts[1])
+        return parts == [rank] or len(parts) == 2
+
+    def merged(self, word: bytes, stop: bool = False) -> list[int]:
+        """The encoding of a short byte string by its definition: the pair of least rank is merged, the first of equal ones, until none is left; with stop, until two parts are."""
         parts = [word[k : k + 1] for k in range(len(word))]
-        while len(parts) > 1:
-            rank, k = min((self.ranks.get(parts[k] + parts[k + 1], len(self.ranks) << 8), k) for k in range(len(parts) - 1))
-            if rank == len(self.ranks) << 8:
+        ranks = [self.ranks.get(word[k : k + 2], self.never) for k in range(len(word) - 1)]
+        while ranks and not (stop and len(ranks) == 1):
+            least = min(ranks)
+            if least == self.never:
                 break
+            k = ranks.index(least)
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            del ranks[k]
+            if k < len(ranks):
+                ranks[k] = self.ranks.get(parts[k] + parts[k + 1], self.never)
+            if k:
+                ranks[k - 1] = self.ranks.get(parts[k - 1] + parts[k], self.never)
         return [self.ranks[p] for p in parts]
 
-    def together(self, a: int, b: int) -> bool:
-        """Whether b may follow a."""
-        known = self.pairs.get((a, b))
+    def spine(self, token: int) -> tuple[list[tuple[bytes, int, int]], list[tuple[bytes, int, int]]]:
+        """What stands at the token's right end while it is being merged, and at its left end: bytes, and the ranks at which it comes and goes."""
+        known = self.spines.get(token)
         if known is None:
-            if len(self.pairs) >= PAIRS:
-                self.pairs.clear()
-            known = self.pairs[a, b] = self.merged(self.tokens[a] + self.tokens[b]) == [a, b]
+            known = ([], [])
+            for side, out in ((1, known[0]), (0, known[1])):
+                at, until = token, self.never
+                while at is not None:
+                    out.append((self.tokens[at], at, until))
+                    at, until = self.halves.get(at, (None, None))[side], at
+            self.spines[token] = known
         return known
 
+    def together(self, a: int, b: int) -> bool:
+        """Whether b may follow a: while the bytes of both are merged, no part at the end of a meets one at the beginning of b that it merges with sooner than either goes into its own token."""
+        ranks, never = self.ranks, self.never
+        for x, x_from, x_until in self.spine(a)[0]:
+            for y, y_from, y_until in self.spine(b)[1]:
+                rank = ranks.get(x + y, never)
+                if rank < never:
+                    when = max(rank, x_from, y_from)
+                    if when < x_until and (when < y_until or rank == y_until):  # of equal pairs the left one is merged first
+                        return False
+        return True
+
 
 class Prefixes:
     """A byte string with the last token of each of its prefixes; it may grow and be edited."""
 
     def __init__(self, vocabulary: Vocabulary, data: bytes = b""):
-        self.vocabulary, self.text, self.last, self.worked = vocabulary, "", [-1], 0
-        self.append(data)
+        self.vocabulary, self.text, self.last, self.worked = vocabulary, data.decode("latin-1"), [-1], 0
+        self._fill(0, None, 0)
 
     def append(self, more: bytes) -> None:
         start = len(self.text)
@@ -85,26 +119,36 @@ class Prefixes:
     def _fill(self, start: int, old: list[int] | None, base: int) -> None:
         """Adds the last tokens of all prefixes beyond start; old is what stood from base on."""
         v, last, alike = self.vocabulary, self.last, 0
-        for end, (token, size) in v.found.iter(self.text, max(0, start - v.longest)):
-            if end + 1 != len(last):  # already known
-                continue
-            before = end + 1 - size
-            if before and not v.together(last[before], token):
+        pairs, add, at = v.pairs, last.append, len(last) - 1  # at: the last byte of the prefix that is looked for
+        for end, (token, size) in v.found.iter(self.text, start - v.longest) if start > v.longest else v.found.iter(self.text):
+            if end != at:  # already known
                 continue
-            last.append(token)
-            self.worked += 1
-            if old is not None and end + 1 > base:
-                alike = alike + 1 if old[end + 1 - base] == token else 0
+            if size <= at:
+                key = last[at + 1 - size] << 32 | token
+                fits = pairs.get(key)
+                if fits is None:
+                    if len(pairs) >= PAIRS:
+                        pairs.clear()
+                    fits = pairs[key] = v.together(key >> 32, token)
+                if not fits:
+                    continue
+            add(token)
+            at += 1
+            if old is not None and at > base:
+                alike = alike + 1 if old[at - base] == token else 0
                 if alike >= v.longest:
-                    last += old[end + 2 - base :]
-                    return
+                    last += old[at + 1 - base :]
+                    break
+        self.worked += at - start
 
     def ids(self) -> list[int]:
-        out, at = [], len(self.text)
+        out, at, last, sizes = [], len(self.text), self.last, self.vocabulary.sizes
         while at:
-            out.append(self.last[at])
-            at -= len(self.vocabulary.tokens[out[-1]])
-        return out[::-1]
+            token = last[at]
+            out.append(token)
+            at -= sizes[token]
+        out.reverse()
+        return out
 
 
 class Coder:
@@ -118,7 +162,8 @@ class Coder:
     def piece(self, text: str) -> bytes:
         data = text.encode("utf-8", "replace")
         whole = self.vocabulary.ranks.get(data)  # a piece that is a token is that token, however merging would go
-        return np.array(Prefixes(self.vocabulary, data).ids() if whole is None else [whole], "<i4").tobytes()
+        ids = Prefixes(self.vocabulary, data).ids() if whole is None else [whole]
+        return struct.pack(f"<{len(ids)}i", *ids)
 
     def split(self, text: str, at: int = 0) -> Iterator[list[str]]:
         """The pieces from a piece's start on, in lists. A text is split stretch by stretch; a stretch's pieces whose ends may depend on what follows are left to the next."""

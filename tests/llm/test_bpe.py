@@ -34,6 +34,25 @@ def test_texts_as_the_library_encodes_them(name):
         assert chars.sum() == len(t) and tokens.sum() == len(ids)
 
 
+@pytest.mark.parametrize("name", FILES)
+def test_pairs_go_together_as_merging_says(name):
+    v, rng = bpe.coder(public_tokenizers.path(name), public_tokenizers.PATTERN).vocabulary, random.Random(5)
+    every = list(v.tokens)
+    runs = [r for t, r in v.ranks.items() if len(set(t)) <= 2]
+    for k in range(60_000):
+        a, b = (rng.choice(runs if k % 3 == 0 else every[:2000] if k % 3 == 1 else every) for _ in range(2))
+        assert v.together(a, b) == (v.merged(v.tokens[a] + v.tokens[b]) == [a, b]), (a, b)
+    assert all(v.merged(t) == [r] for t, r in v.ranks.items())
+
+
+def test_tokens_that_merging_never_gives():
+    ranks = {bytes([k]): k for k in range(256)} | {b"ab": 256, b"bc": 257, b"abc": 258, b"zabcd": 259}  # zabcd has no merge
+    code = bpe.Coder(ranks, public_tokenizers.PATTERN)
+    for t in ("abc", "zabcd", "zabcdzabcd", "aabcbc", "abab"):
+        whole = code.vocabulary.ranks.get(t.encode())
+        assert code.encode(t)[0].tolist() == ([whole] if whole is not None else code.vocabulary.merged(t.encode()))
+
+
 def test_long_texts_are_split_by_stretches(monkeypatch):
     code, rng = bpe.coder(public_tokenizers.path(FILES[0]), public_tokenizers.PATTERN), random.Random(2)
     monkeypatch.setattr(bpe, "STRETCH", 16)
