@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fim, fmindex, langid, mixture, records, simhash, surrogates, unigram, urls, voronoi, warc
+from . import bpe, fim, fmindex, langid, mixture, negatives, records, simhash, surrogates, unigram, urls, voronoi, warc
 from .common import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -70,8 +70,13 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.decode(encoded, BYTES, public_tokenizers.PATTERN))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_pareto_mixture, op2_url_filter, op3_pii_surrogates, op4_language_fusion, op5_fm_decontamination, op6_unigram_counts, op7_token_records, op8_simhash_near_dedup, op9_voronoi_knn, op10_warc_derivatives, op11_fill_in_middle, op12_byte_bpe)
+    every = (op1_pareto_mixture, op2_url_filter, op3_pii_surrogates, op4_language_fusion, op5_fm_decontamination, op6_unigram_counts, op7_token_records, op8_simhash_near_dedup, op9_voronoi_knn, op10_warc_derivatives, op11_fill_in_middle, op12_byte_bpe, op13_hard_negatives)
     return {f.__name__: f for f in every}
 
 
@@ -198,5 +203,17 @@ select doc_id, n, form, case when form <> 'plain' then length(p)::bigint end as
 """
 
 
+_OP13 = """
+with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double))::double[] as e from embeddings
+  where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+pairs as (select q.vec_id as anchor_id, c.vec_id, q.label = c.label as same, list_inner_product(q.e, c.e)::bigint as score from v q join v c on q.vec_id % 100 = 0 and q.vec_id <> c.vec_id),
+ranked as (select *, row_number() over (partition by anchor_id order by score desc, vec_id) as place from pairs where same),
+found as (select p.anchor_id, p.vec_id as positive_id, n.vec_id as negative_id, p.score as positive_score, n.score as negative_score,
+  row_number() over (partition by p.anchor_id, p.vec_id order by n.score desc, n.vec_id) as rank
+  from ranked p join pairs n on p.place <= 5 and not n.same and p.anchor_id = n.anchor_id and 100 * n.score between 30 * p.score and 90 * p.score)
+select anchor_id, positive_id, rank::int as rank, negative_id, positive_score, negative_score from found where rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op11_fill_in_middle": _OP11, "op1_pareto_mixture": _OP1, "op5_fm_decontamination": _OP5, "op9_voronoi_knn": _OP9, "op10_warc_derivatives": _OP10}
+    return {"op13_hard_negatives": _OP13, "op11_fill_in_middle": _OP11, "op1_pareto_mixture": _OP1, "op5_fm_decontamination": _OP5, "op9_voronoi_knn": _OP9, "op10_warc_derivatives": _OP10}
