@@ -197,6 +197,16 @@ def structure_faults(term_rows: DataFrame, gram_rows: DataFrame, docs: DataFrame
 def structure_rules(term_rows: DataFrame, gram_rows: DataFrame, key: str = "id") -> dict[str, DataFrame]:
     """Of each rule that the tables keep by themselves, how many rows break it (n)."""
     n = F.count("*").alias("n")
+    if "grams" in gram_rows.columns:  # a document's set in a row
+        length = F.size(F.filter("grams", lambda g: ~F.coalesce(F.length(g).isin(2, 3), F.lit(False))))
+        once = gram_rows.groupBy(key).agg(F.sum(length).alias("odd"), F.sum(F.size("grams") - F.size(F.array_distinct("grams"))).alias("more"), n)
+        grams = {"gram_length": once.where("odd > 0").agg(F.sum("odd").alias("n")), "gram_repeated": once.where("more > 0 or n > 1").agg(F.sum(F.col("more") + F.col("n") - 1).alias("n"))}
+        grams = {name: df.select(F.coalesce("n", F.lit(0)).cast("long").alias("n")) for name, df in grams.items()}
+    else:
+        grams = {
+            "gram_length": gram_rows.where(~F.coalesce(F.length("gram").isin(2, 3), F.lit(False))).agg(n),
+            "gram_repeated": gram_rows.groupBy("gram", key).count().where("count > 1").agg(n),
+        }
     dup = lambda df, *k: df.groupBy(*k).count().where("count > 1").agg(n)
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) == ""
     return {
@@ -204,8 +214,7 @@ def structure_rules(term_rows: DataFrame, gram_rows: DataFrame, key: str = "id")
         "key_empty": term_rows.select(key).unionByName(gram_rows.select(key)).where(empty(key)).agg(n),
         "tf_illegal": term_rows.where(~F.coalesce((F.col("tf") > 0) & (F.col("tf") < float("inf")), F.lit(False))).agg(n),
         "term_repeated": dup(term_rows, "term", key),
-        "gram_length": gram_rows.where(~F.coalesce(F.length("gram").isin(2, 3), F.lit(False))).agg(n),
-        "gram_repeated": dup(gram_rows, "gram", key),
+        **grams,
     }
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import semantic
+from ..operators import pruned, semantic
 
 #: What an index says of itself, and the form of each (fixed values).
 METADATA = {
@@ -22,8 +22,16 @@ METADATA = {
     "document_count": "0|[1-9][0-9]*",
     "build_complete": "1",
 }
-#: Tables and their columns: those of the index proper, and the frequencies, norms and texts that a ranking takes from it (fixed values).
-TABLES = {"terms": ["term", "id", "tf", "n"], "ngrams": ["gram", "id"], "frequencies": ["term", "df"], "norms": ["id", "norm"], "documents": ["id", "norm"]}
+#: Tables and their columns: those of the index proper, and the frequencies, norms, blocks of postings and texts that a ranking takes from it (fixed values).
+#: ngrams holds a document's set of n-grams in a row.
+TABLES = {
+    "terms": ["term", "id", "tf", "n"],
+    "ngrams": ["id", "grams"],
+    "frequencies": ["term", "df"],
+    "norms": ["id", "norm"],
+    "postings": ["term", "slice", "block", "top", "n", "docs"],
+    "documents": ["id", "norm"],
+}
 NOT_BUILT, CORRUPT, STALE = "SEMANTIC_INDEX_NOT_BUILT", "SEMANTIC_INDEX_CORRUPT", "SEMANTIC_INDEX_STALE"
 
 
@@ -50,14 +58,16 @@ def write(docs: DataFrame, target: str, base: dict, built_at: str) -> dict:
         raise SemanticError(STALE, "the index that this one is built from isn't fresh")
     spark = docs.sparkSession
     version = f"{target}/version-{uuid.uuid4().hex}"
-    docs.select("id", "norm").write.parquet(f"{version}/documents")
+    docs.select("id", "norm").repartition("id").write.parquet(f"{version}/documents")  # texts are uneven and few files may hold them
     docs = spark.read.parquet(f"{version}/documents")
     semantic.terms(docs).select("term", "id", (F.log("n") + 1).alias("tf"), "n").write.parquet(f"{version}/terms")
-    docs.select(F.explode(X.grams(F.col("norm"))).alias("gram"), "id").write.parquet(f"{version}/ngrams")
+    docs.select("id", X.grams(F.col("norm")).alias("grams")).write.parquet(f"{version}/ngrams")
     terms = spark.read.parquet(f"{version}/terms")
     semantic.frequencies(terms).write.parquet(f"{version}/frequencies")
     many = docs.count()
-    semantic.norms(terms, spark.read.parquet(f"{version}/frequencies"), F.lit(many)).write.parquet(f"{version}/norms")
+    df = spark.read.parquet(f"{version}/frequencies")
+    semantic.norms(terms, df, F.lit(many)).write.parquet(f"{version}/norms")
+    pruned.postings(terms, df, spark.read.parquet(f"{version}/norms"), spark.read.parquet(f"{version}/ngrams"), F.lit(many)).write.parquet(f"{version}/postings")
     values = ("semantic-tfidf/v1", base["fingerprint"], base.get("last_event") or "none", built_at, str(many), "1")
     metadata = dict(zip(METADATA, values, strict=True))
     spark.createDataFrame(list(metadata.items()), "key string, value string").coalesce(1).write.parquet(f"{version}/semantic_metadata")
@@ -90,9 +100,8 @@ class SemanticIndex:
         return f"{row['rule']}: {row['n']} rows" if row else None
 
     def rank(self, queries: DataFrame, k: int = 50) -> DataFrame:
-        """The k best documents of each query (query_id and a normalised text), as semantic.rank() gives them."""
-        t = self.tables
-        return semantic.rank(t["documents"], queries, k, index=(t["terms"], t["frequencies"], t["norms"]))
+        """The k best documents of each query (query_id and a normalised text), as semantic.rank() gives them; only blocks of postings that can hold one are read."""
+        return pruned.Search(self.tables, queries, k).rank()
 
 
 def _read(spark: SparkSession, version: str) -> SemanticIndex:

@@ -48,7 +48,7 @@ def test_each_code_in_order(spark, docs, tmp_path):
     assert code("none") == S.NOT_BUILT
     for name, table, change in (
         ("tf", "terms", lambda t: t.withColumn("tf", -F.col("tf"))), ("twice", "terms", lambda t: t.union(t)), ("empty", "terms", lambda t: t.withColumn("term", F.lit(""))),
-        ("gram", "ngrams", lambda t: t.withColumn("gram", F.lit("abcd"))), ("meta", "semantic_metadata", lambda t: t.where("key <> 'document_count'")), ("form", "semantic_metadata", lambda t: t.withColumn("value", F.lit("x"))),
+        ("gram", "ngrams", lambda t: t.withColumn("grams", F.array(F.lit("abcd")))), ("meta", "semantic_metadata", lambda t: t.where("key <> 'document_count'")), ("form", "semantic_metadata", lambda t: t.withColumn("value", F.lit("x"))),
     ):
         S.write(docs, str(tmp_path / name), BASE, "2024-01-01T00:00:00Z")
         _replace(spark, str(tmp_path / name), table, change)
@@ -57,3 +57,23 @@ def test_each_code_in_order(spark, docs, tmp_path):
     S.write(docs, str(tmp_path / "few"), BASE, "2024-01-01T00:00:00Z")
     _replace(spark, str(tmp_path / "few"), "documents", lambda t: t.where("id <> 'a'"))
     assert code("few", BASE | {"last_event": "EV-000008"}) == S.STALE and code("few") == S.CORRUPT  # what doesn't fit the documents comes after
+
+
+def test_pruned_ranking_equals_the_full_one_and_reads_less(spark, tmp_path, monkeypatch):
+    from quarrystone.operators import pruned
+
+    monkeypatch.setattr(pruned, "BLOCK", 8)
+    monkeypatch.setattr(pruned, "SLICE", 100)
+    monkeypatch.setattr(pruned, "FIRST", 3)
+    rows = [(f"d{k:04d}", " ".join(f"{w}{(k * 7 + j * j) % m}" for j, (w, m) in enumerate([("common", 2), ("topic", 9), ("rare", 150), ("word", 40)] * (1 + k % 5)))) for k in range(600)]
+    rows += [(f"e{k}", "rare7 topic3 rare7 word9 rare14") for k in range(5)] + [("x1", ""), ("x2", None), ("x3", "梯度下降 rare7")]
+    table = X.normalised(spark.createDataFrame(rows, "id string, text string")).select("id", "norm").repartition(3)
+    S.write(table, str(tmp_path / "p"), BASE, "2024-01-01T00:00:00Z")
+    index = S.open_index(spark, str(tmp_path / "p"), BASE)
+    asked = [(1, "rare7 topic3"), (2, "common1 common0 topic2 rare14 word9"), (3, "comon1 nothing here"), (4, "the of"), (5, "rare7 rare14 rare21 rare28"), (6, "梯度下降"), (7, "zzzz")]
+    asks = spark.createDataFrame(asked, "query_id long, text string")
+    for k in (1, 5, 20):
+        assert sorted(index.rank(asks, k).collect()) == sorted(semantic.rank(table, asks, k).collect())
+    read = {r["query_id"]: r for r in pruned.Search(index.tables, asks, 5).reading().collect()}
+    assert any(r["read"] and r["read"] < r["postings"] for r in read.values())
+    assert all(r["scored"] < 608 / 2 for r in read.values() if r["read"])
