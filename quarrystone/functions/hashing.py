@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 import hmac
 import json
-import math
 import struct
 import unicodedata
 from collections.abc import Iterator
@@ -160,12 +159,6 @@ class Stream:
         raise AssertionError
 
 
-@F.pandas_udf(T.DoubleType())
-def exact_sum(values: pd.Series) -> float:
-    """A group's sum, rounded once, whatever the order."""
-    return math.fsum(values.dropna())
-
-
 def table_lines(df: DataFrame, table: str, columns: list[str], keys: list[str]) -> DataFrame:
     """(table, key, line): each row as canonical JSON of fixed columns; doubles with six places, text in NFC. A missing column is an error."""
     from .text import nfc

@@ -85,6 +85,57 @@ def lineage(versions: DataFrame) -> DataFrame:
     return v.select("entity_id", "version_ref", F.when(~F.col("bad"), place).alias("place"), F.when(F.col("bad"), "AMBIGUOUS_VERSION").alias("condition"))
 
 
+def lineage_by_pointers(versions: DataFrame) -> DataFrame:
+    """entity_id, version_ref, place, condition: the chain that the pointers to previous versions give, whatever their numbers.
+
+    A version without a previous one among its entity's is a root. An entity with no root or several, a version that is previous to several or stands
+    twice, or versions on a cycle is AMBIGUOUS_VERSION and has no places. Lists are ranked by doubling: each round every pointer leaps as far
+    again, so the number of rounds is the logarithm of the longest chain.
+    """
+    v = kept(versions.select("entity_id", "version_ref", "previous"))
+    known = v.select(F.col("entity_id").alias("of"), F.col("version_ref").alias("up")).distinct()
+    up = v.join(known, (F.col("entity_id") == F.col("of")) & (F.col("previous") == F.col("up")), "left").select("entity_id", "version_ref", "up")
+    rows = up.groupBy("entity_id", "version_ref").agg(F.count("*").alias("times"), F.max("up").alias("up"))
+    forks = rows.where("up is not null").groupBy("entity_id", "up").count().where("count > 1").select("entity_id").distinct().withColumn("fork", F.lit(True))
+    per = rows.groupBy("entity_id").agg(F.count_if(F.col("up").isNull()).alias("roots"), F.max("times").alias("times"), F.count("*").alias("n"))
+    per = kept(per.join(forks, "entity_id", "left").withColumn("bad", (F.col("roots") != 1) | (F.col("times") > 1) | F.col("fork").isNotNull()))
+    links = kept(rows.join(per.where("not bad"), "entity_id", "left_semi").select("entity_id", "version_ref", "up", F.col("up").isNotNull().cast("long").alias("place")))
+    longest = per.where("not bad").agg(F.max("n")).first()[0] or 1
+    for _ in range(max(1, (longest - 1).bit_length())):
+        far = links.select("entity_id", F.col("version_ref").alias("up"), F.col("up").alias("up2"), F.col("place").alias("more"))
+        leapt = links.where("up is not null").join(far, ["entity_id", "up"])
+        leapt = leapt.select("entity_id", "version_ref", F.col("up2").alias("up"), (F.col("place") + F.col("more")).alias("place"))
+        links = kept(leapt.unionByName(links.where("up is null")))
+    cycles = links.where("up is not null").select("entity_id").distinct().withColumn("cycle", F.lit(True))  # none leads to the root
+    out = v.join(per.select("entity_id", "bad"), "entity_id").join(cycles, "entity_id", "left").join(links.select("entity_id", "version_ref", "place"), ["entity_id", "version_ref"], "left")
+    bad = F.col("bad") | F.col("cycle").isNotNull()
+    return out.select("entity_id", "version_ref", F.when(~bad, F.col("place")).alias("place"), F.when(bad, "AMBIGUOUS_VERSION").alias("condition"))
+
+
+def fingerprints(rows: DataFrame, by: list[str]) -> DataFrame:
+    """by, n and a fingerprint of each group's rows as a multiset: sums of two hashes of 60 bits a row, over all its other columns, in whatever order they come."""
+    others = sorted(c for c in rows.columns if c not in by)
+    text = F.md5(F.to_json(F.struct(*others), {"ignoreNullFields": "false"}))
+    part = lambda k: F.sum(F.conv(F.substring(text, k, 15), 16, 10).cast("decimal(20,0)"))
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.struct(part(1).alias("a"), part(17).alias("b")).alias("fingerprint"))
+
+
+def same_graphs(predicted: DataFrame, gold: DataFrame, by: list[str]) -> DataFrame:
+    """by, same, missing, extra: for each group of either table whether both hold the same rows equally often, and how many rows one has that the other lacks.
+
+    Groups are compared by their fingerprints, in one pass over either table; only those that differ are compared row by row, by counts.
+    """
+    a = fingerprints(predicted, by).withColumnRenamed("fingerprint", "_f").withColumnRenamed("n", "_nf")
+    b = fingerprints(gold.select(*predicted.columns), by).withColumnRenamed("fingerprint", "_g").withColumnRenamed("n", "_ng")
+    both = kept(a.join(b, by, "full").select(*by, (F.col("_f").eqNullSafe(F.col("_g")) & F.col("_nf").eqNullSafe(F.col("_ng"))).alias("same")))
+    others = [c for c in predicted.columns if c not in by]
+    odd = both.where("not same").select(*by)
+    signed = predicted.withColumn("_d", F.lit(-1)).unionByName(gold.select(*predicted.columns).withColumn("_d", F.lit(1))).join(odd, by, "left_semi")
+    surplus = signed.groupBy(*by, *others).agg(F.sum("_d").alias("d")).groupBy(*by)
+    surplus = surplus.agg(F.sum(F.greatest("d", F.lit(0))).alias("missing"), F.sum(F.greatest(-F.col("d"), F.lit(0))).alias("extra"))
+    return both.join(surplus, by, "left").select(*by, "same", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("missing", "extra")])
+
+
 def same_graph(a: DataFrame, b: DataFrame) -> bool:
     """Whether two tables hold the same rows equally often; no credit for parts."""
     b = b.select(*a.columns)

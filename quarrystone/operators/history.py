@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 RFC3339 = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(?:\.[0-9]+)?(?:Z|[+-][0-9]{2}:[0-9]{2})$"
 
+#: Spans of lifetimes are up to two to this many days long; they begin in 1600.
+LEVELS = 19
+
 
 def history_by_date_text(reports: DataFrame, as_of: str | None = None) -> DataFrame:
     """Reports in order of id; with a cutoff only frozen ones whose date as text is at or before its first ten characters (none: dropped)."""
@@ -57,6 +60,26 @@ def snapshot(objects: DataFrame, facts: DataFrame, relations: DataFrame, as_of:
     }
 
 
+def alive(lifetimes: DataFrame, times: DataFrame, start: str = "starts", end: str = "ends", time: str = "as_of") -> DataFrame:
+    """lifetimes joined with the times they hold at: start <= time < end, all dates; a null end never comes, a null start or time holds nowhere.
+
+    A join by equality: a lifetime is cut into aligned spans of 1, 2, 4.. days, two of each length at most, and a time belongs to one span of
+    each length. So a long lifetime has few rows, no row is looked at in vain, and each pair is met once.
+    Dates lie from 1600 on, up to 2**LEVELS days later; times outside hold nowhere.
+    """
+    last = 1 << LEVELS
+    day = lambda c: F.datediff(F.col(c), F.lit("1600-01-01")).cast("long")
+    spans = lifetimes.withColumn("_s", F.greatest(day(start), F.lit(0))).withColumn("_e", F.least(F.coalesce(day(end), F.lit(last)), F.lit(last)))
+    spans = spans.where(F.col(start).isNotNull() & (F.col("_s") < F.col("_e"))).withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS))))
+    size = F.pow(F.lit(2), F.col("_level")).cast("long")
+    a, b = F.ceil(F.col("_s") / size).cast("long"), F.floor(F.col("_e") / size).cast("long")
+    ends = F.array_compact(F.array(F.when((a < b) & (a % 2 == 1), a), F.when((a < b) & (b % 2 == 1), b - 1)))
+    spans = spans.withColumn("_span", F.explode(ends)).drop("_s", "_e")
+    asked = times.select(time).distinct().withColumn("_d", day(time)).where(F.col("_d").between(0, last - 1)).withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS))))
+    asked = asked.withColumn("_span", F.floor(F.col("_d") / F.pow(F.lit(2), F.col("_level"))).cast("long")).drop("_d")
+    return spans.join(asked, ["_level", "_span"]).drop("_level", "_span")
+
+
 def as_of_versions(facts: DataFrame, times: DataFrame) -> DataFrame:
     """(subject, predicate, as_of, value, occurred_at): the latest fact of each subject and predicate at or before each of its times.
 

@@ -14,6 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import text as X
 from ..functions.storage import kept
+from ..functions.sums import fixed
 
 COSINE, GRAMS, UNITS, LOW = 0.7, 0.3, 1_000_000_000, 200_000_000
 #: n-grams of queries that are sent to all tasks at once.
@@ -30,8 +31,8 @@ def frequencies(term_rows: DataFrame) -> DataFrame:
 
 
 def _sum(values: Column) -> Column:
-    """A group's sum to 18 places, the same in whatever order its rows come."""
-    return F.sum(values.cast("decimal(38,18)")).cast("double")
+    """A group's sum, exact and rounded once, the same in whatever order its rows come; products of weights lie within what fixed() holds."""
+    return fixed(values)
 
 
 def _idf(size: Column, df: Column) -> Column:

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from quarrystone.plans import operations, queries, rules  # noqa: F401
+from quarrystone.plans import many, operations, queries, rules  # noqa: F401
 
 ROOT = "/root/testdata/sf0.001"
 

