@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_batches, hold, widened
+from .vectors import INSIDE, clamped, finite, fit, from_bytes, products, to_bytes, to_integers
 
 K, SCALE = 10, 1024
 #: Pivots (a bounded sample of the data, by hash), vectors of a packed row, queries of a group.
@@ -21,45 +22,30 @@ BLOCK = 256
 AT_ONCE = 32
 
 _PACK = pa.schema([
-    ("pack", pa.int64()), ("dim", pa.int32()), ("ids", pa.binary()), ("cells", pa.binary()), ("vectors", pa.binary()),
+    ("pack", pa.int64()), ("dim", pa.int32()), ("wide", pa.bool_()), ("ids", pa.binary()), ("cells", pa.binary()), ("vectors", pa.binary()),
     ("stats", pa.list_(pa.struct([("cell", pa.int32()), ("n", pa.int64()), ("radius", pa.float64()), ("norm", pa.float64())]))),
 ])
-_PACK_SQL = "pack long, dim int, ids binary, cells binary, vectors binary, stats array<struct<cell:int,n:long,radius:double,norm:double>>"
-
-
-def to_integers(lists: pa.Array, scale: int = SCALE) -> list[np.ndarray | None]:
-    """floor(scale * x) of each vector as int64; None for a vector that is null or holds a null or non-finite component."""
-    out = []
-    for v in lists:
-        x = None if not v.is_valid else v.values
-        if x is None or x.null_count:
-            out.append(None)
-            continue
-        x = x.to_numpy(zero_copy_only=False).astype(np.float64)
-        out.append(np.floor(scale * x).astype(np.int64) if np.isfinite(x).all() else None)
-    return out
-
-
-def _fit(x: np.ndarray, dim: int) -> np.ndarray:
-    """Rows widened to dim by zeros: a vector of fewer components counts as zero in the others."""
-    return x if x.shape[1] == dim else np.pad(x, ((0, 0), (0, dim - x.shape[1])))
+_PACK_SQL = "pack long, dim int, wide boolean, ids binary, cells binary, vectors binary, stats array<struct<cell:int,n:long,radius:double,norm:double>>"
 
 
 def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     dim = max(x.shape[1], pivots.shape[1])
-    a, b = _fit(x, dim).astype(np.float64), _fit(pivots, dim).astype(np.float64)
+    a, b = fit(x, dim).astype(np.float64), fit(pivots, dim).astype(np.float64)
     return np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T, 0))
 
 
 def _pack(part: int, made: int, ids: np.ndarray, x: np.ndarray, pivots: np.ndarray) -> pa.RecordBatch:
-    """One row of vectors, sorted by id, with their cells and each cell's summary."""
+    """One row of vectors, sorted by id, with their cells and each cell's summary. Vectors beyond what a long's products hold have none: no bound stands on them."""
     order = np.argsort(ids, kind="stable")
     ids, x = ids[order], x[order]
+    if x.dtype == object:
+        cols = [[(part << 24) + made], [x.shape[1]], [True], [ids.astype("<i8").tobytes()], [b""], [to_bytes(x)], [[]]]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _PACK, strict=True)], schema=_PACK)
     far = _distances(x, pivots)
     cells = far.argmin(1).astype(np.int32)
     near, norms = far[np.arange(len(x)), cells], np.sqrt((x.astype(np.float64) ** 2).sum(1))
     stats = [{"cell": int(c), "n": int((cells == c).sum()), "radius": float(near[cells == c].max()), "norm": float(norms[cells == c].max())} for c in np.unique(cells)]
-    cols = [[(part << 24) + made], [x.shape[1]], [ids.astype("<i8").tobytes()], [cells.tobytes()], [x.astype("<i8").tobytes()], [stats]]
+    cols = [[(part << 24) + made], [x.shape[1]], [False], [ids.astype("<i8").tobytes()], [cells.tobytes()], [to_bytes(x)], [stats]]
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _PACK, strict=True)], schema=_PACK)
 
 
@@ -68,20 +54,21 @@ def _packer(pivots: np.ndarray, most: int, scale: int):
         from pyspark import TaskContext
 
         part, made = TaskContext.get().partitionId(), 0
-        held: dict[int, tuple[list, list]] = {}
+        held: dict[tuple[int, bool], tuple[list, list]] = {}
         for b in batches:
             for i, v in zip(b.column(0).to_pylist(), to_integers(b.column(1), scale), strict=True):
                 if v is None or i is None:
                     continue
-                ids, rows = held.setdefault(len(v), ([], []))
+                kind = len(v), v.dtype == object
+                ids, rows = held.setdefault(kind, ([], []))
                 ids.append(i)
                 rows.append(v)
                 if len(ids) == most:
-                    yield _pack(part, made, np.array(ids), np.array(rows), pivots)
+                    yield _pack(part, made, np.array(ids), np.array(rows, v.dtype).reshape(len(ids), -1), pivots)
                     made += 1
-                    del held[len(v)]
-        for ids, rows in held.values():
-            yield _pack(part, made, np.array(ids), np.array(rows).reshape(len(ids), -1), pivots)
+                    del held[kind]
+        for (_, wide), (ids, rows) in held.items():
+            yield _pack(part, made, np.array(ids), np.array(rows, object if wide else np.int64).reshape(len(ids), -1), pivots)
             made += 1
 
     return pack
@@ -92,7 +79,7 @@ def _assign(pivots: np.ndarray, scale: int, name: str):
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cells = [None if v is None else int(_distances(v[None], pivots).argmin()) for v in to_integers(b.column(1), scale)]
+            cells = [None if v is None else len(pivots) if v.dtype == object else int(_distances(v[None], pivots).argmin()) for v in to_integers(b.column(1), scale)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cells, pa.int32())], names=[*b.schema.names, name])
 
     return assign
@@ -123,52 +110,54 @@ def _bounds(query_stats: list, data_stats: list, pivots: np.ndarray, k: int) ->
     return out
 
 
+_SENT = "pack long, salt int, dim int, wide boolean, ids binary, vectors binary"
+
+
 def _replicate(bounds: dict, pivots: np.ndarray, salts: int):
-    """Of each packed row, for each query group, the vectors whose upper bound p_i.s + r_i |s| reaches a cell's least score, with a salt that deals packed rows out."""
+    """Of each packed row, for each query group, the vectors whose upper bound p_i.s + r_i |s| reaches a cell's least score, with a salt that deals packed rows out. Groups and rows without bounds need all."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in b.to_pylist():
                 ids = np.frombuffer(row["ids"], "<i8")
-                x = np.frombuffer(row["vectors"], "<i8").reshape(len(ids), row["dim"])
-                dim = max(row["dim"], pivots.shape[1])
-                f = _fit(x, dim).astype(np.float64)
-                inner, norm = f @ _fit(pivots, dim).T, np.sqrt((f * f).sum(1))
+                x = from_bytes(row["vectors"], len(ids), row["dim"], row["wide"])
+                if not row["wide"]:
+                    dim = max(row["dim"], pivots.shape[1])
+                    f = fit(x, dim).astype(np.float64)
+                    inner, norm = f @ fit(pivots, dim).T, np.sqrt((f * f).sum(1))
+                salt = zlib.crc32(row["pack"].to_bytes(8, "little")) % salts
                 for group, cells in bounds.items():
-                    i, reach, least = (np.array(c) for c in zip(*cells, strict=True))
-                    need = (inner[:, i] + reach[None] * norm[:, None] >= least[None]).any(1)
+                    need = np.full(len(ids), True)
+                    if cells and not row["wide"]:
+                        i, reach, least = (np.array(c) for c in zip(*cells, strict=True))
+                        need = (inner[:, i] + reach[None] * norm[:, None] >= least[None]).any(1)
                     if need.any():
-                        salt = zlib.crc32(row["pack"].to_bytes(8, "little")) % salts
-                        cols = [[group], [salt], [row["dim"]], [ids[need].tobytes()], [x[need].tobytes()]]
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["pack", "salt", "dim", "ids", "vectors"])
+                        cols = [[group], [salt], [row["dim"]], [row["wide"]], [ids[need].tobytes()], [to_bytes(x[need])]]
+                        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.binary())
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["pack", "salt", "dim", "wide", "ids", "vectors"])
 
     return each
 
 
-def _scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    dim = max(q.shape[1], x.shape[1])
-    q, x = _fit(q, dim), _fit(x, dim)
-    most = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(dim, 1)
-    if most < 2**53:  # exact in floating point
-        return (q.astype(np.float64) @ x.T.astype(np.float64)).astype(np.int64)
-    return q @ x.T
-
-
 def best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query id, id, score) of each query's k best rows of x; ids ascend, ties go to the smaller."""
     out = [[], [], []]
     for at in range(0, len(q), BLOCK):
-        s = _scores(q[at : at + BLOCK], x)
-        s[q_ids[at : at + BLOCK, None] == ids[None]] = np.iinfo(np.int64).min
-        line = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(s), np.iinfo(np.int64).min)
-        for r, t in enumerate(line):
-            above = np.flatnonzero(s[r] > t)
-            same = np.flatnonzero(s[r] == t)[: k - len(above)]
-            got = np.concatenate([above, same])
-            got = got[s[r, got] > np.iinfo(np.int64).min]
-            out[0].append(np.full(len(got), q_ids[at + r]))
-            out[1].append(ids[got])
-            out[2].append(s[r, got])
+        s = products(q[at : at + BLOCK], x)
+        for r, name in enumerate(q_ids[at : at + BLOCK]):
+            others = np.flatnonzero(ids != name)
+            own = s[r, others]
+            if s.dtype == object:
+                got = np.array(sorted(range(len(own)), key=lambda j: -own[j])[:k], np.int64)
+            elif len(own) > k:
+                line = np.partition(own, -k)[-k]
+                above = np.flatnonzero(own > line)
+                got = np.concatenate([above, np.flatnonzero(own == line)[: k - len(above)]])
+            else:
+                got = np.arange(len(own))
+            out[0].append(np.full(len(got), name))
+            out[1].append(ids[others[got]])
+            out[2].append(own[got])
     return tuple(np.concatenate([*o, np.zeros(0, np.int64)]) for o in out)
 
 
@@ -179,38 +168,41 @@ def top_k(data: DataFrame, queries: DataFrame, k: int = K, vec_id: str = "vec_id
     (rows, radius, norm) give each group of queries the score that its k-th best must reach, and a
     data row goes only to the groups where its own bound reaches that. Groups are solved packed row by
     packed row, a group in as many tasks as its packed rows need, so no cell is held whole and no group is a hot key, and each query's k best of the parts are ranked at the end.
-    vec_id is a key: rows with the query's own vec_id aren't its candidates, repeated query rows count once, other
-    repeated rows stand each for itself. A shorter vector counts as zero where it has no component.
-    Vectors null or with null or non-finite components, and null ids, take no part. Empty tables give no rows.
+    vec_id is a key: rows with the query's own vec_id aren't its candidates; a query id that stands several times counts once, by its least
+    vector, component by component; other repeated rows stand each for itself. A shorter vector counts as zero where it has no component.
+    Vectors null or with null or non-finite components, and null ids, take no part, on either side. Scores are exact whatever their size: those that
+    no long holds rank by their exact value and are given as the nearest long. Empty tables give no rows.
     """
     spark = data.sparkSession
     arrow_batches(spark)
-    data, queries = data.select(vec_id, embedding), queries.select(vec_id, embedding)
-    finite = f"`{embedding}` is not null and forall(`{embedding}`, x -> x is not null and not isnan(x) and abs(x) < double('inf'))"
-    sample = data.where(f"`{vec_id}` is not null and {finite}").orderBy(F.xxhash64(vec_id, embedding), vec_id).limit(pivots).collect()
+    sound = lambda df: df.select(vec_id, embedding).where(f"`{vec_id}` is not null and {finite(embedding)}")
+    data, queries = sound(data), sound(queries)
+    sample = data.orderBy(F.xxhash64(vec_id, embedding), vec_id).limit(pivots).collect()
     sample = list({r[0]: r for r in sample}.values())  # a row for an id, as a query's own rows don't count
-    chosen = [np.floor(scale * np.array(r[1], np.float64)).astype(np.int64) for r in sample] or [np.zeros(1, np.int64)]
+    chosen = [v for v in to_integers(pa.array([list(r[1]) for r in sample], pa.list_(pa.float64())), scale) if v.dtype != object] or [np.zeros(1, np.int64)]
     dim = max(map(len, chosen))
     points = np.array([np.pad(p, (0, dim - len(p))) for p in chosen])
     packed = hold(data.mapInArrow(_packer(points, PACK, scale), _PACK_SQL), "vectors")
-    once = queries.dropDuplicates([vec_id])
+    once = queries.groupBy(vec_id).agg(F.min(embedding).alias(embedding))
     placed = once.mapInArrow(_assign(points, scale, "__cell"), widened(once, __cell="int")).where("__cell is not null")
     placed = placed.repartitionByRange("__cell", vec_id).sortWithinPartitions("__cell", vec_id)  # a group of queries is one of neighbouring cells
     asked = hold(placed.select(vec_id, embedding).mapInArrow(_packer(points, QUERY_GROUP, scale), _PACK_SQL), "queries")
     stats = lambda df, *by: df.select("pack", F.inline("stats")).groupBy(*by).agg(F.sum("n").alias("n"), F.max("radius").alias("radius"), F.max("norm").alias("norm")).collect()
     own = data.join(queries.select(F.col(vec_id).alias("__q")).distinct(), F.col(vec_id) == F.col("__q"), "left_semi").groupBy(vec_id).count().agg(F.max("count")).first()[0] or 1
     bounds = _bounds(stats(asked, "pack", "cell"), stats(packed, "cell"), points, k + own - 1)  # a query's own rows are as many at most
+    bounds = {r["pack"]: bounds.get(r["pack"], []) for r in asked.select("pack").collect()}  # a row for each QUERY_GROUP queries
     salts = max(1, -(-packed.count() // AT_ONCE))
-    sent = packed.mapInArrow(_replicate(bounds, points, salts), "pack long, salt int, dim int, ids binary, vectors binary")
-    groups = asked.select("pack", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
+    sent = packed.mapInArrow(_replicate(bounds, points, salts), _SENT)
+    groups = asked.select("pack", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.col("dim").alias("q_dim"), F.col("wide").alias("q_wide"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in b.to_pylist():
                 q_ids, ids = np.frombuffer(row["q_ids"], "<i8"), np.frombuffer(row["ids"], "<i8")
-                q, x = (np.frombuffer(row[v], "<i8").reshape(-1, row[d]) for v, d in (("q_vectors", "q_dim"), ("vectors", "dim")))
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in best(q_ids, q, ids, x, k)], names=["query_id", "vec_id", "score"])
+                q, x = from_bytes(row["q_vectors"], len(q_ids), row["q_dim"], row["q_wide"]), from_bytes(row["vectors"], len(ids), row["dim"], row["wide"])
+                of, name, score = best(q_ids, q, ids, x, k)
+                yield pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), pa.array(name, pa.int64()), *[pa.array(c, t) for c, t in zip(clamped(score), (pa.int64(), pa.binary()), strict=True)]], names=["query_id", "vec_id", "score", "key"])
 
-    parts = sent.join(groups, ["pack", "salt"]).mapInArrow(solve, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    parts = sent.join(groups, ["pack", "salt"]).mapInArrow(solve, "query_id long, vec_id long, score long, key binary")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc(F.coalesce("key", F.lit(INSIDE))), "vec_id"))
     return parts.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -94,3 +94,24 @@ def test_keys_order_scores():
     assert pairs == sorted(pairs) and [vectors.from_key(a, k) for a, k in pairs] == big
     got = vectors.to_integers(pa.array([[1e300], [0.5, -0.5], None, [None], []]), 1024)
     assert got[0].tolist() == [int(1e300) * 1024] and got[1].tolist() == [512, -512] and got[2] is got[3] is None and len(got[4]) == 0
+
+
+def test_top_k_of_repeated_ids_and_of_scores_of_any_size(spark):
+    from quarrystone.llm import voronoi
+
+    rows = [(100, None), (100, [1.0, 2.0]), (1, [3.0, 1.0]), (2, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = voronoi.top_k(df, df.where("vec_id = 100")).collect()
+    assert [(r["vec_id"], r["score"]) for r in sorted(got, key=lambda r: r["rank"])] == [(1, 5 << 20), (2, 3 << 20)]
+    twice = spark.createDataFrame([(100, [5.0, 0.0]), (100, [1.0, 9.0]), (1, [3.0, 1.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<double>").repartition(3)
+    got = voronoi.top_k(twice, twice.where("vec_id = 100")).collect()
+    assert [(r["vec_id"], r["score"]) for r in sorted(got, key=lambda r: r["rank"])] == [(1, 12 << 20), (2, 10 << 20)]  # the least vector asks
+    rng = np.random.default_rng(6)
+    held = [(k, (rng.normal(size=4) * rng.choice([1.0, 1e10, 1e300])).tolist()) for k in range(150)] + [(200, [1e300] * 4), (201, [1e300] * 4), (300, [-1e10] * 4), (301, [1.0] * 4)]
+    got = voronoi.top_k(spark.createDataFrame(held, "vec_id long, embedding array<double>"), spark.createDataFrame([r for r in held if r[0] % 100 == 0], "vec_id long, embedding array<double>"), k=12, pivots=8)
+    want = []
+    for q, v in held:
+        if q % 100 == 0:
+            scores = sorted((-sum(a * b for a, b in zip(whole(v, 1024), whole(w, 1024), strict=True)), i) for i, w in held if i != q)[:12]
+            want += [(q, n + 1, i, min(max(-s, vectors.LEAST), vectors.MOST)) for n, (s, i) in enumerate(scores)]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
