@@ -26,9 +26,9 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _TITLE = "|".join(sorted((t.replace(".", r"\.") for t in MALE + FEMALE + EITHER), key=len, reverse=True))
 _NAME = r"(?:\p{Lu}\p{L}*+|\p{Lo}[\p{L}\p{M}]++)(?:['’-]\p{L}[\p{L}\p{M}]*+)*+"
 #: What each type looks like from a place on that no letter or digit precedes; the first that fits counts. Words are taken
-#: possessively, so that a text is searched in time that grows with its length.
+#: possessively and repeated groups are bounded or possessive, so that a text is searched in time that grows with its length, on a small stack.
 PATTERNS = {
-    "email": r"[\p{L}\p{N}][\p{L}\p{N}._%+-]*+@[\p{L}\p{N}][\p{L}\p{N}-]*(?:\.[\p{L}\p{N}][\p{L}\p{N}-]*)+",
+    "email": r"[\p{L}\p{N}][\p{L}\p{N}._%+-]{0,255}+@[\p{L}\p{N}][\p{L}\p{N}-]{0,62}+(?:\.[\p{L}\p{N}][\p{L}\p{N}-]{0,62}+){1,126}+",
     "phone": r"\+\d{1,3}(?:[ .-]?(?:\(\d{1,4}\)|\d{2,4})){2,5}(?!\d)",
     "secret": r"(?i:(?<=(?:token|secret|password|api_key) {0,2}[=:] {0,2}[\"']?)[0-9a-f]{32,64}(?![0-9a-z]))",
     "card": r"(?<!\.)(?:[2-6]\d{3}(?:\d{12}| \d{4} \d{4} \d{4}|-\d{4}-\d{4}-\d{4})|3[47]\d{2}(?:\d{11}| \d{6} \d{5}|-\d{6}-\d{5}))(?!\d)",
@@ -157,13 +157,13 @@ def _script(word: Column) -> Column:
 
 
 def _parts(kind: Column, surface: Column) -> Column:
-    """What a surface refers to: (type, canon), one for most types, two for an address (its name within its domain, and the domain) and for a full name."""
+    """What a surface refers to: (type, canon, and what a name's title says of the gender), one for most types, two for an address (its name within its domain, and the domain) and for a full name."""
     words = F.split(surface, " ")
     word = lambda k: F.lower(F.get(words, F.lit(k)))
     title = F.get(words, F.lit(0))
     gender = F.when(title.isin(*MALE), "male").when(title.isin(*FEMALE), "female").otherwise("any")
-    part = lambda t, c: F.struct(t.alias("type"), c.alias("canon"))
-    given = part(F.concat(F.lit("name "), gender, F.lit(" "), _script(word(1))), word(1))
+    part = lambda t, c, g=None: F.struct(t.alias("type"), c.alias("canon"), (F.lit("any") if g is None else g).alias("gender"))
+    given = part(F.concat(F.lit("name given "), _script(word(1))), word(1), gender)
     family = lambda k: part(F.concat(F.lit("name  "), _script(word(k))), word(k))
     address = F.split(F.lower(surface), "@")
     email = F.array(part(F.concat(F.lit("local "), F.get(address, F.lit(1))), F.get(address, F.lit(0))), part(F.lit("domain"), F.get(address, F.lit(1))))
@@ -172,6 +172,14 @@ def _parts(kind: Column, surface: Column) -> Column:
     return F.when(kind == "email", email).when(kind == "name", named).otherwise(F.array(part(kind, canon)))
 
 
+def _gendered(parts: DataFrame) -> DataFrame:
+    """(type, canon, form): entities of parts, a given name's form by the gender that its titles agree on; the entity is the same under any of them."""
+    of = parts.groupBy("type", "canon").agg(F.bool_or(F.col("gender") == "male").alias("m"), F.bool_or(F.col("gender") == "female").alias("f"))
+    gender = F.when(F.col("m") & ~F.col("f"), "male").when(F.col("f") & ~F.col("m"), "female").otherwise("any")
+    form = F.when(F.col("type").startswith("name given "), F.concat(F.lit("name "), gender, F.substring("type", 11, 1 << 20))).otherwise(F.col("type"))
+    return of.select("type", "canon", form.alias("form"))
+
+
 def _of(table: dict[str, list[str]], key: Column) -> Column:
     return F.element_at(F.create_map(*[x for k, row in table.items() for x in (F.lit(k), F.array(*[F.lit(v) for v in row]))]), key)
 
@@ -216,21 +224,22 @@ def _make(key: str, type_: Column, canon: Column, attempt: Column) -> Column:
 
 
 def assign(entities: DataFrame, key: str = KEY) -> DataFrame:
-    """(type, canon, surrogate) for distinct entities, no two of a type alike and none equal to a real entity of its type.
+    """(type, canon, surrogate) for distinct entities, no two of a type alike and none equal to a real entity of its type. form, if there is such a column, tells how one is made where types don't.
 
     Surrogates are keyed hashes, so equal entities always get equal ones. In each round those that clash with a real
     entity, with one settled before or, all but the first, with each other are made anew at the next attempt; the others are settled.
     Forms have more room at each attempt, so a few rounds do for any number of entities.
     """
-    now = hold(entities.select("type", "canon", F.lit(0).alias("attempt")), "entities")
+    form = F.col("form" if "form" in entities.columns else "type")
+    now = hold(entities.select("type", "canon", form.alias("form"), F.lit(0).alias("attempt")), "entities")
     taken = now.select("type", F.col("canon").alias("surrogate"))
     settled = []
     for _ in range(ROUNDS):
-        made = hold(now.withColumn("surrogate", _make(key, F.col("type"), F.col("canon"), F.col("attempt"))), "made")
+        made = hold(now.withColumn("surrogate", _make(key, F.col("form"), F.col("canon"), F.col("attempt"))), "made")
         firsts = made.groupBy("type", "surrogate").agg(F.min("canon").alias("canon"))
         settled.append(hold(firsts.join(taken, ["type", "surrogate"], "left_anti"), "settled").select("type", "canon", "surrogate"))
         taken = taken.unionByName(settled[-1].select("type", "surrogate"))
-        now = hold(made.join(settled[-1], ["type", "canon"], "left_anti").select("type", "canon", (F.col("attempt") + 1).alias("attempt")), "unsettled")
+        now = hold(made.join(settled[-1], ["type", "canon"], "left_anti").select("type", "canon", "form", (F.col("attempt") + 1).alias("attempt")), "unsettled")
         if now.isEmpty():
             return reduce(DataFrame.unionByName, settled)
     raise RuntimeError("surrogates still clash: a type's entities fill its format")
@@ -267,7 +276,7 @@ def replace(docs: DataFrame, key: str = KEY, doc_id: str = "doc_id", text: str =
     Emails, phones with their country's code, national lines, cards (with a valid check digit), social security numbers, secrets after their label, addresses and titled names are found by pattern.
     An entity has one surrogate wherever and however it is written, so mentions stay together, and different
     entities, and different domains of addresses, stay different. A surrogate keeps the type and format: case, script, signs, lengths, a card's network and check digit, a phone's country,
-    a name's gender, hyphens and apostrophes. Texts without entities pass by unshuffled; of the others, distinct mentions are
+    a name's hyphens and apostrophes, and its gender where its titles agree on one. An address has up to 256 signs before the @ and 127 parts of 63 behind it; what goes on beyond stays as text. Texts without entities pass by unshuffled; of the others, distinct mentions are
     joined with their surrogates and gathered by document. Null texts stay null; repeated rows stay; an empty table gives no rows.
     """
     named = [c for c in docs.columns if c.lower() != "n_replaced"]
@@ -279,7 +288,7 @@ def replace(docs: DataFrame, key: str = KEY, doc_id: str = "doc_id", text: str =
     mentions = hold(mentions.where("surface is not null"), "mentions")
     surfaces = mentions.select("surface").distinct().withColumn("kind", _kind(F.col("surface")))
     surfaces = hold(surfaces.where(_valid(F.col("kind"), F.col("surface"))).withColumn("parts", _parts(F.col("kind"), F.col("surface"))), "surfaces")
-    entities = surfaces.select(F.inline("parts")).distinct()
+    entities = hold(_gendered(surfaces.select(F.inline("parts"))), "gendered")
     made = assign(entities, key)
     parts = surfaces.select("surface", "kind", F.posexplode("parts").alias("nth", "part")).select("surface", "kind", "nth", F.col("part.type").alias("type"), F.col("part.canon").alias("canon"))
     dressed = parts.join(made, ["type", "canon"]).groupBy("surface", "kind").agg(F.array_sort(F.collect_list(F.struct("nth", "surrogate"))).alias("made"))

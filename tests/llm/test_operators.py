@@ -465,8 +465,7 @@ def test_surrogates_by_brute_force(spark):
         for a, b in zip(before, after, strict=True):
             if a[0].isalpha() and "@" not in a:  # names: the parts are the entities
                 assert a.split()[0] == b.split()[0]
-                gender = "either" if a.startswith("Dr") else a.split()[0]
-                seen.setdefault(("given", gender, a.split()[1]), set()).add(b.split()[1])
+                seen.setdefault(("given", a.split()[1]), set()).add(b.split()[1])
                 seen.setdefault(("family", a.split()[2]), set()).add(b.split()[2])
             elif "@" in a:
                 seen.setdefault(("email", a.lower()), set()).add(b.lower())
