@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyarrow import fs
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_batches
+from .common import arrow_batches, scratch_path
 
 #: Words of a window; an item of fewer words is one window.
 WINDOW = 10
-#: Benchmark text that is searched for in one pass; more goes in further passes over the same rows. Built, it takes about 20 times as much.
+#: Benchmark text that is searched for at once; more goes in further blocks, one after another. Built, it takes about 20 times as much.
 BLOCK_BYTES = 4 << 20
 #: A shard is indexed once it holds so many bytes of text.
 SHARD_BYTES = 64 << 20
@@ -96,8 +98,10 @@ class FMIndex:
         begins = np.zeros(n, bool)
         begins[0] = True
         begins[1:] = text[:-1] == 0
-        kept = begins | (np.arange(n) % SAMPLE == 0)
-        self.at = np.where(kept[order], order, -1)
+        kept = (begins | (np.arange(n) % SAMPLE == 0))[order]
+        self.kept = np.packbits(np.append(kept, np.zeros(-n % 64 + 64, bool)), bitorder="little").view(np.uint64)
+        self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(self.kept), dtype=np.int64)])
+        self.at = order[kept].astype(np.uint32 if n < 1 << 32 else np.int64)  # of the kept suffixes only
 
     def search(self, phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each row of phrases (all of one length), the range of suffixes that begin with it."""
@@ -116,9 +120,10 @@ class FMIndex:
         """The text positions of suffixes, by walking back to the next kept one."""
         out, live, steps = np.full(len(rows), -1, np.int64), np.arange(len(rows)), 0
         while len(live):
-            here = self.at[rows[live]]
-            done = here >= 0
-            out[live[done]] = here[done] + steps
+            word, bit = rows[live] >> 6, (rows[live] & 63).astype(np.uint64)
+            done = (self.kept[word] >> bit & np.uint64(1)).astype(bool)
+            ranks = self.before[word[done]] + np.bitwise_count(self.kept[word[done]] & ((np.uint64(1) << bit[done]) - np.uint64(1)))
+            out[live[done]] = self.at[ranks].astype(np.int64) + steps
             live = live[~done]
             c = self.bwt.access(rows[live])
             rows[live] = self.first[c] + self.bwt.rank(c, rows[live])
@@ -193,7 +198,7 @@ class Phrases:
             cut = np.flatnonzero((np.diff(hit) != 1) | (np.diff(doc_at[hit]) != 0)) + 1
             for a, b in zip(np.concatenate([[0], cut]), np.concatenate([cut, [len(hit)]]), strict=True):
                 spans[doc_at[hit[a]]].append((int(word_at[hit[a]]), int(word_at[hit[b - 1]]) + 1))
-        for pair in np.unique(np.concatenate(pairs)).tolist():
+        for pair in np.unique(np.concatenate([*pairs, np.zeros(0, np.int64)])).tolist():
             d, w = divmod(pair, len(self.first) - 1)
             items[d].update(self.names[i] for i in self.owners[self.first[w] : self.first[w + 1]])
         return sizes, spans, [sorted(x) for x in items]
@@ -202,14 +207,39 @@ class Phrases:
 _SPANS = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
 
 
-def _blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes: int) -> Iterator[tuple[bool, list[tuple[str, bytes]]]]:
-    """Whether it's the last block, and its items."""
+def _blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes: int) -> list[DataFrame]:
+    """The benchmark's items (i, t) in blocks of about so many bytes, by a hash."""
     rows = benchmark.where(F.col(item_id).isNotNull() & F.col(text).isNotNull()).select(F.col(item_id).cast("string").alias("i"), F.col(text).cast("binary").alias("t"))
     size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = max(1, -(-size // block_bytes))
-    for k in range(n):
-        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k)
-        yield k == n - 1, [(r["i"], bytes(r["t"])) for r in part.collect()]
+    return [rows if n == 1 else rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k) for k in range(n)]
+
+
+_LOADED: dict[str, Phrases] = {}
+
+
+def _load(path: str) -> Phrases:
+    """A block's windows from their file; a worker holds one block at a time."""
+    if path not in _LOADED:
+        _LOADED.clear()
+        store, name = fs.FileSystem.from_uri(path)
+        with store.open_input_stream(name) as f:
+            _LOADED[path] = pickle.loads(f.read())
+    return _LOADED[path]
+
+
+def _in_turn(files: list[str]) -> list[str]:
+    """The block at hand first."""
+    return sorted(files, key=lambda f: f not in _LOADED)
+
+
+def _save(spark: SparkSession, phrases: Phrases) -> str:
+    path = scratch_path(spark, "phrases")
+    store, name = fs.FileSystem.from_uri(path)
+    store.create_dir(name.rpartition("/")[0], recursive=True)
+    with store.open_output_stream(name) as f:
+        f.write(pickle.dumps(phrases))
+    return path
 
 
 def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, keep_text: bool = True) -> DataFrame:
@@ -217,56 +247,64 @@ def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
 
     Each task gathers its rows into shards, builds a shard's index over the runs of words that the
     items know (no window can touch another word), and searches all windows in it: nothing is
-    shuffled, and hot documents stay where they are. The benchmark is measured first and collected in
-    blocks of at most about block_bytes, one pass each. Null texts have no words; items without id or text take no part; an
+    shuffled, and hot documents stay where they are. The benchmark is measured first and taken in
+    blocks of at most about block_bytes. One block is broadcast; several lie as files in the shared folder, and a worker searches a shard
+    for one after another, so that it holds one shard and one block however many there are. Null texts have no words; items without id or text take no part; an
     id that stands twice is one item with the windows of both. An empty table of either gives no rows, or rows without hits.
     """
     spark = docs.sparkSession
     arrow_batches(spark)
     named = [c for c in docs.columns if c.lower() not in ("n_words", "spans", "items")]
     place = named.index(text)
-    out = docs.select(*named, F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<struct<`from`:bigint,`to`:bigint>>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"))
-    kind = out.schema
-    for last, block in _blocks(benchmark, item_id, item_text, block_bytes):
-        phrases = spark.sparkContext.broadcast(Phrases(block, window))
-        away = {place} if last and not keep_text else set()
-
-        def each(batches: Iterator[pa.RecordBatch], phrases=phrases, away=away) -> Iterator[pa.RecordBatch]:
-            held, texts, size = [], [], 0
-
-            def flush() -> Iterator[pa.RecordBatch]:
-                found = zip(*phrases.value.find(texts), strict=True)
-                for b in held:
-                    n, spans, items = zip(*[next(found) for _ in range(b.num_rows)], strict=True)
-                    spans = [_union(x, y) for x, y in zip(b.column(len(named) + 1).to_pylist(), spans, strict=True)]
-                    items = [sorted({*x, *y}) for x, y in zip(b.column(len(named) + 2).to_pylist(), items, strict=True)]
-                    made = [pa.array(n, pa.int64()), pa.array([[{"from": a, "to": z} for a, z in s] for s in spans], _SPANS), pa.array(items, pa.list_(pa.string()))]
-                    cols = [*b.columns[: len(named)], *made]
-                    yield pa.RecordBatch.from_arrays([c for k, c in enumerate(cols) if k not in away], names=[c for k, c in enumerate(b.schema.names) if k not in away])
-
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                raw = b.column(place)
-                held.append(b)
-                texts += (got := raw.cast(pa.large_binary() if pa.types.is_large_string(raw.type) else pa.binary()).to_pylist())
-                size += sum(len(x) for x in got if x)
-                if size >= SHARD_BYTES:
-                    yield from flush()
-                    held, texts, size = [], [], 0
-            if held:
+    kept = [k for k in range(len(named)) if keep_text or k != place]
+    kind = docs.select(*[named[k] for k in kept], F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<struct<`from`:bigint,`to`:bigint>>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items")).schema
+    blocks = _blocks(benchmark, item_id, item_text, block_bytes)
+    made = lambda block: Phrases([(r["i"], bytes(r["t"])) for r in block.collect()], window)
+    one = spark.sparkContext.broadcast(made(blocks[0])) if len(blocks) == 1 else None
+    files = [] if one else [_save(spark, made(block)) for block in blocks]
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, texts, size = [], [], 0
+
+        def search() -> tuple[list, list, list]:
+            if one:
+                return one.value.find(texts)
+            n, spans, items = [], [[] for _ in texts], [[] for _ in texts]
+            for f in _in_turn(files):
+                n, more, names = _load(f).find(texts)
+                spans = [_union(x, y) for x, y in zip(spans, more, strict=True)]
+                items = [sorted({*x, *y}) for x, y in zip(items, names, strict=True)]
+            return n, spans, items
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            found = zip(*search(), strict=True)
+            for b in held:
+                n, spans, items = zip(*[next(found) for _ in range(b.num_rows)], strict=True)
+                found_here = [pa.array(n, pa.int64()), pa.array([[{"from": a, "to": z} for a, z in s] for s in spans], _SPANS), pa.array(items, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays([*[b.column(k) for k in kept], *found_here], names=kind.names)
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            raw = b.column(place)
+            held.append(b)
+            texts += (got := raw.cast(pa.large_binary() if pa.types.is_large_string(raw.type) else pa.binary()).to_pylist())
+            size += sum(len(x) for x in got if x)
+            if size >= SHARD_BYTES:
                 yield from flush()
+                held, texts, size = [], [], 0
+        if held:
+            yield from flush()
 
-        out = out.mapInArrow(each, T.StructType([f for k, f in enumerate(kind) if k not in away]))
-    return out
+    return docs.select(*named).mapInArrow(each, kind)
 
 
-def _union(old: list[dict], new: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Spans of two passes, those that touch or overlap merged."""
+def _union(old: list[tuple[int, int]], new: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans of two blocks, those that touch or overlap merged."""
     if not old:
         return new
     out: list[list[int]] = []
-    for a, z in sorted([(s["from"], s["to"]) for s in old] + list(new)):
+    for a, z in sorted(list(old) + list(new)):
         if out and a <= out[-1][1]:
             out[-1][1] = max(out[-1][1], z)
         else:
