@@ -35,6 +35,19 @@ ANCHOR = rf"(?is)<a\s(?:[^>]*?\s)?href\s*=\s*{VALUE}[^>]*>(.*?)(?=</a\s*>|<a\s|\
 LANG = rf"(?i)<html\s(?:[^>]*?\s)?lang\s*=\s*{VALUE}"
 
 
+def _once(pattern: str, flags: str = "") -> str:
+    """A pattern of tags ending in [^>]*> that also takes, as its group 1, one that never closes, with all behind it: no other can close there, and none is looked at again."""
+    open_ = pattern.removeprefix(flags).removesuffix("[^>]*>")
+    return f"{flags}(?:{open_}[^>]*+>|({open_}[^>]*+\\z))"
+
+
+#: What is searched for, with alternatives that step over tags without what is asked, so that each sign of a page is looked at a few times only.
+_BREAKS, _TAG = _once(BREAKS, "(?i)"), _once(TAG)
+_LINKS, _PAGES = ANCHOR + r"|<a\s[^>]*+(?:>|\z)", LANG + r"|<html\s[^>]*+(?:>|\z)"
+_HREF = rf"(?is)^<a\s(?:[^>]*?\s)?href\s*=\s*{VALUE}[^>]*>"
+_TITLE = r"(?is)<title\b[^>]*+(?:>(.*?)(?:</title\s*>|\z)|\z)"
+
+
 def resolved(text: str) -> str:
     """text with all entities of HTML and numeric references resolved; a no-break space becomes a space."""
     return markup.unescape(_BLANK.sub(" ", text)) if "&" in text else text
@@ -55,7 +68,7 @@ def _shown(html: Column) -> Column:
 
 
 def _bare(shown: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(shown, BREAKS, "\n"), TAG, " ")
+    return F.regexp_replace(F.regexp_replace(shown, _BREAKS, "$1\n"), _TAG, "$1 ")
 
 
 def _joined(text: Column) -> Column:
@@ -107,13 +120,15 @@ def derivatives(answers: DataFrame) -> DataFrame:
     block is JSON: the envelope (refers-to, target, digest), the source's headers, title, declared language, and links
     (their texts, in the same order, as link_texts). The conversion block is the plain text. Each has the digest and the length of its own block. An
     empty payload gives an empty text and no links; a null uri stays null; repeated responses give repeated records. Pages are read
-    whole, however long; an unclosed script, style or comment ends with its page. An empty table gives no rows; other columns are ignored.
+    whole, in time that grows with their length; an unclosed script, style or comment ends with its page. An empty table gives no rows; other columns are ignored.
     """
     answers = answers.select("key", "record_id", "target_uri", "date", "headers", "payload", "payload_digest")
     parts = answers.withColumn("shown", _shown(F.col("payload")))  # no links, titles or languages of scripts and comments; searched once, used by all below
     shown = F.col("shown")
-    parts = parts.withColumns({"found": F.regexp_extract_all(shown, F.lit(ANCHOR), F.lit(0)), "text": _bare(shown), "lang": attribute(shown, LANG)})
-    parts = parts.withColumn("title", _bare(F.regexp_extract(shown, r"(?is)<title\b[^>]*>(.*?)(?:</title\s*>|\z)", 1))).drop("shown")
+    found = F.filter(F.regexp_extract_all(shown, F.lit(_LINKS), F.lit(0)), lambda m: m.rlike(_HREF))
+    tongue = F.get(F.filter(F.regexp_extract_all(shown, F.lit(_PAGES), F.lit(0)), lambda m: m.rlike(LANG.replace("<html", "^<html"))), F.lit(0))
+    parts = parts.withColumns({"found": found, "text": _bare(shown), "lang": attribute(F.coalesce(tongue, F.lit("")), LANG)})
+    parts = parts.withColumn("title", _bare(F.regexp_extract(shown, _TITLE, 1))).drop("shown")
     values, texts = F.transform("found", lambda m: attribute(m, ANCHOR)), F.transform("found", lambda m: _bare(F.regexp_extract(m, ANCHOR, 4)))
     parts = parts.withColumn("resolved", _all_resolved(F.concat(F.array("text", "title"), values, texts)))  # in one array: one way to Python and back
     n = F.size("found")
