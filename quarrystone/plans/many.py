@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import sums
 from ..functions.storage import scratch
 from ..operators import graph, history, substring
-from ..sources import git
+from ..sources import git, merkle
+from .operations import _engine
 from .queries import registered
 from .substrate import Substrate
 
@@ -144,3 +145,64 @@ def git_snapshots(t: Substrate) -> DataFrame:
     files = git.files(found, git.commits(found))
     pinned = git.snapshots(found, files.select(F.col("path").alias("ref_path"), "git_commit"))
     return files.join(pinned, ["git_commit", "path"]).select("path", "oid", "content_hash")
+
+# ---- a kept tree of digests
+
+_TREE = """with f as (select 'src' || (doc_id % 7) || '/' || (doc_id // 50) as folder, doc_id, coalesce(text, '') as text from documents),
+a as (select folder, doc_id, text from f where doc_id % 31 <> 5), b as (select folder, doc_id, case when doc_id % 97 = 3 then text || '!' else text end as text from f where doc_id % 83 <> 7),
+moved as (select coalesce(a.folder, b.folder) as folder, folder || '/' || doc_id as path, case when a.doc_id is null then 'added' when b.doc_id is null then 'removed' else 'changed' end as state
+  from a full join b using (folder, doc_id) where a.text is distinct from b.text),
+"""
+
+
+def _tree(t: Substrate, second: bool) -> DataFrame:
+    """Documents as files (path, size, mtime, digest), before and after: some new, some gone, some changed, and some only touched."""
+    d = t.table("documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    path = F.concat(F.lit("src"), F.col("doc_id") % 7, F.lit("/"), F.floor(F.col("doc_id") / 50), F.lit("/"), "doc_id")
+    d = d.where(F.col("doc_id") % 83 != 7) if second else d.where(F.col("doc_id") % 31 != 5)
+    text = F.when(F.lit(second) & (F.col("doc_id") % 97 == 3), F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    mtime = F.when(F.lit(second) & (F.col("doc_id") % 10 == 3), 2).otherwise(1).cast("long")
+    return d.select(path.alias("path"), F.octet_length(text).cast("long").alias("size"), mtime.alias("mtime"), F.sha2(text, 256).alias("digest"))
+
+
+@registered(
+    "",
+    _TREE
+    + """folders as (select folder as path, state, true as own from moved union all select split_part(folder, '/', 1), state, false from moved union all select '', state, false from moved),
+held as (select folder as path, count(*) filter (where x = 1) as before, count(*) filter (where x = 2) as after from (select folder, 1 as x from a union all select folder, 2 from b) group by folder),
+tops as (select split_part(path, '/', 1) as path, sum(before) as before, sum(after) as after from held group by 1 union all select '', 1, 1),
+states as (select distinct path from folders)
+select path, 'file' as kind, state from moved union all
+select s.path, 'folder', case when h.before = 0 then 'added' when h.after = 0 then 'removed' else 'changed' end from states s join (select * from held union all select * from tops) h using (path)""",
+)
+def tree_changes(t: Substrate) -> DataFrame:
+    """What a kept tree of digests finds changed after its update by a listing: files, and their folders up to the root."""
+    before, after = merkle.build(_tree(t, False)), _tree(t, True)
+    now = merkle.update(before, after.select("path", "size", "mtime"), lambda paths: after.join(paths, "path", "left_semi").select("path", "digest"))
+    return merkle.compare(before, now)
+
+
+@registered(
+    "",
+    """select 'unchanged' as tree, 'success' as answer, null::varchar as code, (select count(*) from nation where n_nationkey = 3) as n union all select 'touched', 'success', null, (select count(*) from nation where n_nationkey = 3)
+  union all select 'changed', case when exists (select 1 from documents where doc_id % 97 = 3 and doc_id % 10 = 3 and doc_id % 31 <> 5) then 'fail_closed' else 'success' end, case when exists (select 1 from documents where doc_id % 97 = 3 and doc_id % 10 = 3 and doc_id % 31 <> 5) then 'INDEX_STALE' end,
+  case when exists (select 1 from documents where doc_id % 97 = 3 and doc_id % 10 = 3 and doc_id % 31 <> 5) then 0 else (select count(*) from nation where n_nationkey = 3) end""",
+)
+def engine_behind_a_gate(t: Substrate) -> DataFrame:
+    """An operation asks the kept tree whether its index is fresh: it answers while the tree is the same or only touched, and gives nothing once it differs."""
+    files = _tree(t, False)
+    nodes = merkle.build(files)
+    touched = files.withColumn("mtime", F.when(F.col("path").endswith("3"), 2).otherwise(F.col("mtime")).cast("long"))
+    number = F.element_at(F.split("path", "/"), -1).cast("long")
+    changed = touched.withColumn("digest", F.when(number % 97 == 3, F.sha2("digest", 256)).otherwise(F.col("digest")))
+    out = None
+    for name, tree in (("unchanged", files), ("touched", touched), ("changed", changed)):
+
+        def code(tree=tree) -> str | None:
+            seen = merkle.gate(nodes, tree.select("path", "size", "mtime"), lambda paths: tree.join(paths, "path", "left_semi").select("path", "digest"))
+            return "INDEX_STALE" if seen["drift"] else None
+
+        answer = _engine(t, freshness=code).query_entity("nation:3")
+        row = answer.results.agg(F.count("*").alias("n")).select(F.lit(name).alias("tree"), F.lit(answer.status).alias("answer"), F.lit(answer.error_semantic).cast("string").alias("code"), "n")
+        out = row if out is None else out.unionByName(row)
+    return out
