@@ -126,10 +126,12 @@ def derivatives(answers: DataFrame) -> DataFrame:
     parts = answers.withColumn("shown", _shown(F.col("payload")))  # no links, titles or languages of scripts and comments; searched once, used by all below
     shown = F.col("shown")
     found = F.filter(F.regexp_extract_all(shown, F.lit(_LINKS), F.lit(0)), lambda m: m.rlike(_HREF))
-    tongue = F.get(F.filter(F.regexp_extract_all(shown, F.lit(_PAGES), F.lit(0)), lambda m: m.rlike(LANG.replace("<html", "^<html"))), F.lit(0))
+    tag = F.regexp_extract(shown, _PAGES, 0)  # seldom has the first one no language where another has
+    every = F.filter(F.regexp_extract_all(shown, F.lit(_PAGES), F.lit(0)), lambda m: m.rlike(LANG.replace("<html", "^<html")))
+    tongue = F.when((tag == "") | tag.rlike(LANG), tag).otherwise(F.get(every, F.lit(0)))
     parts = parts.withColumns({"found": found, "text": _bare(shown), "lang": attribute(F.coalesce(tongue, F.lit("")), LANG)})
     parts = parts.withColumn("title", _bare(F.regexp_extract(shown, _TITLE, 1))).drop("shown")
-    values, texts = F.transform("found", lambda m: attribute(m, ANCHOR)), F.transform("found", lambda m: _bare(F.regexp_extract(m, ANCHOR, 4)))
+    values, texts = F.transform("found", lambda m: F.regexp_replace(m, _HREF + r".*\z", "$1$2$3")), F.transform("found", lambda m: _bare(F.regexp_replace(m, _HREF, "")))
     parts = parts.withColumn("resolved", _all_resolved(F.concat(F.array("text", "title"), values, texts)))  # in one array: one way to Python and back
     n = F.size("found")
     parts = parts.withColumn("joined", F.transform(F.concat(F.slice("resolved", 1, 2), F.slice("resolved", n + 3, n)), _joined))
