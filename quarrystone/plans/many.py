@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sums
 from ..functions.storage import scratch
-from ..operators import graph, history, substring
+from ..operators import cycles, graph, history, substring
 from ..sources import git, merkle
 from .operations import _engine
 from .queries import registered
@@ -57,6 +57,26 @@ def lineage_by_pointers(t: Substrate) -> DataFrame:
     return graph.lineage_by_pointers(chains.select("entity_id", "version_ref", previous.alias("previous")))
 
 
+# ---- cycles
+
+
+@registered(
+    "",
+    """select 'v' || o_orderkey as ref, min('v' || o_orderkey) over (partition by o_custkey) as component from orders where o_custkey % 11 = 0""",
+)
+def cycle_components(t: Substrate) -> DataFrame:
+    """Orders in the order of their dates as paths, one a customer; some customers' paths close to a ring, some of these have a chord, and each path has an edge that leads to it."""
+    o = t.table("orders").select("o_custkey", F.concat(F.lit("v"), F.col("o_orderkey").cast("string")).alias("ref"), "o_orderdate", "o_orderkey")
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    o = o.select("o_custkey", "ref", F.lead("ref").over(w).alias("next"), F.first("ref").over(whole).alias("first"), F.row_number().over(w).alias("place"))
+    closing = F.when(F.col("next").isNull() & (F.col("o_custkey") % 11 == 0), F.col("first")).otherwise(F.col("next"))
+    edges = o.select(F.col("ref").alias("source_ref"), closing.alias("target_ref"))
+    chords = o.where((F.col("o_custkey") % 22 == 0) & (F.col("place") == 3)).select(F.col("ref").alias("source_ref"), F.col("first").alias("target_ref"))
+    tails = o.where("place = 1").select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("source_ref"), F.col("ref").alias("target_ref"))
+    return cycles.components(edges.unionByName(chords).unionByName(tails))
+
+
 # ---- many times
 
 
