@@ -42,9 +42,9 @@ def _compress(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         for _ in range(max(1, many.bit_length())):
             if pointers.where("not done").isEmpty():
                 break
-            far = pointers.select(F.col("node").alias("at"), F.col("at").alias("at2"), F.col("done").alias("done2"), F.col("least").alias("least2"))
-            leapt = pointers.where("not done").join(far, "at").select("node", F.col("at2").alias("at"), F.col("done2").alias("done"), F.least("least", "least2").alias("least"))
-            pointers = kept(leapt.unionByName(pointers.where("done")))
+            far = pointers.select(F.col("node").alias("k"), F.col("at").alias("at2"), F.col("done").alias("done2"), F.col("least").alias("least2"))
+            leapt = pointers.join(far, ~F.col("done") & (F.col("at") == F.col("k")), "left")  # no union, whose parts would double with each round
+            pointers = kept(leapt.select("node", F.coalesce("at2", "at").alias("at"), F.coalesce("done2", "done").alias("done"), F.least("least", "least2").alias("least")))
         ends.append(pointers)
     rings = ends[0].where("not done").select("node", F.col("least").alias("component"))
     chains = ends[0].where("done").select("node", F.col("at").alias("e")).join(ends[1].where("done").select("node", F.col("at").alias("p")), "node").select("node", "p", "e")

@@ -102,10 +102,9 @@ def lineage_by_pointers(versions: DataFrame) -> DataFrame:
     links = kept(rows.join(per.where("not bad"), "entity_id", "left_semi").select("entity_id", "version_ref", "up", F.col("up").isNotNull().cast("long").alias("place")))
     longest = per.where("not bad").agg(F.max("n")).first()[0] or 1
     for _ in range(max(1, (longest - 1).bit_length())):
-        far = links.select("entity_id", F.col("version_ref").alias("up"), F.col("up").alias("up2"), F.col("place").alias("more"))
-        leapt = links.where("up is not null").join(far, ["entity_id", "up"])
-        leapt = leapt.select("entity_id", "version_ref", F.col("up2").alias("up"), (F.col("place") + F.col("more")).alias("place"))
-        links = kept(leapt.unionByName(links.where("up is null")))
+        far = links.select(F.col("entity_id").alias("of"), F.col("version_ref").alias("k"), F.col("up").alias("up2"), F.col("place").alias("more"))
+        leapt = links.join(far, (F.col("entity_id") == F.col("of")) & (F.col("up") == F.col("k")), "left")
+        links = kept(leapt.select("entity_id", "version_ref", F.col("up2").alias("up"), (F.col("place") + F.coalesce("more", F.lit(0))).alias("place")))
     cycles = links.where("up is not null").select("entity_id").distinct().withColumn("cycle", F.lit(True))  # none leads to the root
     out = v.join(per.select("entity_id", "bad"), "entity_id").join(cycles, "entity_id", "left").join(links.select("entity_id", "version_ref", "place"), ["entity_id", "version_ref"], "left")
     bad = F.col("bad") | F.col("cycle").isNotNull()
