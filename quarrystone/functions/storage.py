@@ -33,3 +33,14 @@ def kept(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+def written(df: DataFrame, label: str = "round") -> DataFrame:
+    """df by way of a written table in the shared folder: what rounds need that join a table with itself.
+
+    A checkpoint passes its plan's estimated size on, and a join's estimate is the product of its sides', so over such rounds the estimate gains
+    twice the digits each time, until planning alone takes minutes and no side is ever small enough to broadcast. A table has the size of its files.
+    """
+    path = scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.storage import kept
+from ..functions.storage import written
 
 #: Rounds of raking between compressions, and the share of edges that a round of both must take away, else the core is coloured.
 RAKES, SHRINK = 2, 0.1
@@ -17,8 +17,8 @@ def _rake(edges: DataFrame) -> DataFrame:
     """Edges between nodes that have both an edge in and an edge out."""
     for _ in range(RAKES):
         edges = edges.join(edges.select(F.col("s").alias("k")).distinct(), F.col("t") == F.col("k"), "left_semi")
-        edges = kept(edges.join(edges.select(F.col("t").alias("k")).distinct(), F.col("s") == F.col("k"), "left_semi"))
-    return edges
+        edges = edges.join(edges.select(F.col("t").alias("k")).distinct(), F.col("s") == F.col("k"), "left_semi")
+    return written(edges)
 
 
 def _compress(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -29,29 +29,25 @@ def _compress(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """
     ins = edges.groupBy(F.col("t").alias("node")).agg(F.count("*").alias("i"), F.min("s").alias("p"))
     outs = edges.groupBy(F.col("s").alias("node")).agg(F.count("*").alias("o"), F.min("t").alias("next"))
-    links = kept(ins.join(outs, "node").where("i = 1 and o = 1 and node <> next").select("node", "p", "next"))
+    links = written(ins.join(outs, "node").where("i = 1 and o = 1 and node <> next").select("node", "p", "next"))
     many = links.count()
     nothing = links.select("node", F.col("p").alias("component")).limit(0)
     if not many:
         return edges, links.select("node", "p", F.col("next").alias("e")), nothing
     known = links.select(F.col("node").alias("k"))
-    ahead = links.select("node", F.col("next").alias("at"), F.col("node").alias("least")).join(known, F.col("at") == F.col("k"), "left").select("node", "at", F.col("k").isNull().alias("done"), "least")
-    behind = links.select("node", F.col("p").alias("at")).join(known, F.col("at") == F.col("k"), "left").select("node", "at", F.col("k").isNull().alias("done"), F.col("node").alias("least"))
-    ends = []
-    for pointers in (kept(ahead), kept(behind)):
-        for _ in range(max(1, many.bit_length())):
-            if pointers.where("not done").isEmpty():
-                break
-            far = pointers.select(F.col("node").alias("k"), F.col("at").alias("at2"), F.col("done").alias("done2"), F.col("least").alias("least2"))
-            leapt = pointers.join(far, ~F.col("done") & (F.col("at") == F.col("k")), "left")  # no union, whose parts would double with each round
-            pointers = kept(leapt.select("node", F.coalesce("at2", "at").alias("at"), F.coalesce("done2", "done").alias("done"), F.least("least", "least2").alias("least")))
-        ends.append(pointers)
-    rings = ends[0].where("not done").select("node", F.col("least").alias("component"))
-    chains = ends[0].where("done").select("node", F.col("at").alias("e")).join(ends[1].where("done").select("node", F.col("at").alias("p")), "node").select("node", "p", "e")
-    chains, rings = kept(chains), kept(rings)
+    both = links.select("node", F.inline(F.array(F.struct(F.lit(False).alias("back"), F.col("next").alias("at")), F.struct(F.lit(True).alias("back"), F.col("p").alias("at")))))
+    pointers = written(both.join(known, F.col("at") == F.col("k"), "left").select("node", "back", "at", F.col("k").isNull().alias("done"), F.col("node").alias("least"), F.lit(True).alias("moved")))
+    while not pointers.where("moved").isEmpty():  # a round that ends no pointer and finds no ring a lesser node is the last
+        far = pointers.select(F.col("node").alias("k"), F.col("back").alias("b"), F.col("at").alias("at2"), F.col("done").alias("done2"), F.col("least").alias("least2"))
+        leapt = pointers.join(far, ~F.col("done") & (F.col("at") == F.col("k")) & (F.col("back") == F.col("b")), "left")
+        end, least = F.coalesce("done2", "done"), F.least("least", "least2")
+        pointers = written(leapt.select("node", "back", F.coalesce("at2", "at").alias("at"), end.alias("done"), least.alias("least"), ((end != F.col("done")) | (~end & (least != F.col("least")))).alias("moved")))
+    rings = written(pointers.where("not done and not back").select("node", F.col("least").alias("component")))
+    ended = pointers.where("done").groupBy("node").agg(F.max(F.when(F.col("back"), F.col("at"))).alias("p"), F.max(F.when(~F.col("back"), F.col("at"))).alias("e"))
+    chains = written(ended)
     inner = links.select(F.col("node").alias("k"))
     rest = edges.join(inner, F.col("s") == F.col("k"), "left_anti").join(inner, F.col("t") == F.col("k"), "left_anti")
-    return kept(rest.unionByName(chains.select(F.col("p").alias("s"), F.col("e").alias("t"))).distinct()), chains, rings
+    return written(rest.unionByName(chains.select(F.col("p").alias("s"), F.col("e").alias("t"))).distinct()), chains, rings
 
 
 def _coloured(edges: DataFrame) -> DataFrame:
@@ -59,22 +55,22 @@ def _coloured(edges: DataFrame) -> DataFrame:
     out = []
     while not edges.isEmpty():
         nodes = edges.select(F.col("s").alias("node")).union(edges.select(F.col("t"))).distinct()
-        colour = kept(nodes.withColumn("c", F.col("node")))
+        colour = written(nodes.withColumn("c", F.col("node")))
         while True:
             came = edges.join(colour, F.col("s") == F.col("node")).groupBy(F.col("t").alias("node")).agg(F.max("c").alias("more"))
-            new = kept(colour.join(came, "node", "left").select("node", F.greatest("c", "more").alias("c"), (F.col("more") > F.col("c")).alias("moved")))
+            new = written(colour.join(came, "node", "left").select("node", F.greatest("c", "more").alias("c"), (F.col("more") > F.col("c")).alias("moved")))
             colour, moved = new.select("node", "c"), not new.where("moved").isEmpty()
             if not moved:
                 break
         a, b = colour.select(F.col("node").alias("s"), F.col("c").alias("cs")), colour.select(F.col("node").alias("t"), F.col("c").alias("ct"))
-        within = kept(edges.join(a, "s").join(b, "t").where("cs = ct").select("s", "t", F.col("cs").alias("c")))
-        found = frontier = kept(colour.where("node = c").select("node", "c"))
+        within = written(edges.join(a, "s").join(b, "t").where("cs = ct").select("s", "t", F.col("cs").alias("c")))
+        found = frontier = written(colour.where("node = c").select("node", "c"))
         while True:
             back = within.join(frontier.select(F.col("node").alias("t")), "t").select(F.col("s").alias("node"), "c").distinct()
-            frontier = kept(back.join(found, "node", "left_anti"))
+            frontier = written(back.join(found, "node", "left_anti"))
             if frontier.isEmpty():
                 break
-            found = kept(found.unionByName(frontier))
+            found = written(found.unionByName(frontier))
         out.append(found)
         gone = found.select(F.col("node").alias("k"))
         edges = _rake(edges.join(gone, F.col("s") == F.col("k"), "left_anti").join(gone, F.col("t") == F.col("k"), "left_anti"))
@@ -82,7 +78,7 @@ def _coloured(edges: DataFrame) -> DataFrame:
         return edges.select(F.col("s").alias("node"), F.col("t").alias("component"))
     every = reduce(DataFrame.unionByName, out)
     names = every.groupBy("c").agg(F.min("node").alias("component"))
-    return kept(every.join(names, "c").select("node", "component"))
+    return written(every.join(names, "c").select("node", "component"))
 
 
 def components(edges: DataFrame, source: str = "source_ref", target: str = "target_ref") -> DataFrame:
@@ -90,11 +86,11 @@ def components(edges: DataFrame, source: str = "source_ref", target: str = "targ
 
     Rounds: chains and trees take the logarithm of their length, as they are raked and compressed in turn; what is left, where cycles cross, takes as many as its own diameter.
     """
-    edges = kept(edges.select(F.col(source).alias("s"), F.col(target).alias("t")).where("s is not null and t is not null").distinct())
+    edges = written(edges.select(F.col(source).alias("s"), F.col(target).alias("t")).where("s is not null and t is not null").distinct())
     loops, rings, chains = [], [], []
     many = edges.count()
     while True:
-        loops.append(kept(edges.where("s = t").select(F.col("s").alias("node")).distinct()))
+        loops.append(written(edges.where("s = t").select(F.col("s").alias("node")).distinct()))
         edges = _rake(edges.where("s <> t"))
         edges, chain, ring = _compress(edges)
         chains.append(chain)
@@ -102,15 +98,15 @@ def components(edges: DataFrame, source: str = "source_ref", target: str = "targ
         before, many = many, edges.count()
         if not many or many > (1 - SHRINK) * before:
             break
-    loops.append(kept(edges.where("s = t").select(F.col("s").alias("node")).distinct()))
+    loops.append(written(edges.where("s = t").select(F.col("s").alias("node")).distinct()))
     found = _coloured(_rake(edges.where("s <> t"))).select("node", "component")
     looped = reduce(DataFrame.unionByName, loops).distinct()
-    known = kept(found.unionByName(reduce(DataFrame.unionByName, rings)))
+    known = written(found.unionByName(reduce(DataFrame.unionByName, rings)))
     for chain in reversed(chains):  # a link is of its ends' component, if they are of one
         alone = looped.join(known, "node", "left_anti").select("node", F.col("node").alias("component"))
         full = known.unionByName(alone)
         of = chain.join(full.select(F.col("node").alias("p"), F.col("component").alias("cp")), "p").join(full.select(F.col("node").alias("e"), F.col("component").alias("ce")), "e")
-        known = kept(known.unionByName(of.where("cp = ce").select("node", F.col("cp").alias("component"))))
+        known = written(known.unionByName(of.where("cp = ce").select("node", F.col("cp").alias("component"))))
     alone = looped.join(known, "node", "left_anti").select("node", F.col("node").alias("component"))
     every = known.unionByName(alone).distinct()
     names = every.groupBy("component").agg(F.min("node").alias("least"))

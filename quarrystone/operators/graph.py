@@ -7,7 +7,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.storage import kept
+from ..functions.storage import kept, written
 
 #: Rounds between writes of what has been reached.
 CUT_EVERY = 4
@@ -104,7 +104,7 @@ def lineage_by_pointers(versions: DataFrame) -> DataFrame:
     for _ in range(max(1, (longest - 1).bit_length())):
         far = links.select(F.col("entity_id").alias("of"), F.col("version_ref").alias("k"), F.col("up").alias("up2"), F.col("place").alias("more"))
         leapt = links.join(far, (F.col("entity_id") == F.col("of")) & (F.col("up") == F.col("k")), "left")
-        links = kept(leapt.select("entity_id", "version_ref", F.col("up2").alias("up"), (F.col("place") + F.coalesce("more", F.lit(0))).alias("place")))
+        links = written(leapt.select("entity_id", "version_ref", F.col("up2").alias("up"), (F.col("place") + F.coalesce("more", F.lit(0))).alias("place")))
     cycles = links.where("up is not null").select("entity_id").distinct().withColumn("cycle", F.lit(True))  # none leads to the root
     out = v.join(per.select("entity_id", "bad"), "entity_id").join(cycles, "entity_id", "left").join(links.select("entity_id", "version_ref", "place"), ["entity_id", "version_ref"], "left")
     bad = F.col("bad") | F.col("cycle").isNotNull()

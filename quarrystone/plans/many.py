@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sums
 from ..functions.storage import scratch
-from ..operators import graph, history, substring
+from ..operators import cycles, graph, history, substring
 from ..sources import git, merkle
 from .operations import _engine
 from .queries import registered
@@ -57,6 +57,39 @@ def lineage_by_pointers(t: Substrate) -> DataFrame:
     return graph.lineage_by_pointers(chains.select("entity_id", "version_ref", previous.alias("previous")))
 
 
+# ---- cycles
+
+
+def _ring(t: Substrate) -> DataFrame:
+    """Each event with the next, the last with the first."""
+    low, high = t.table("events").agg(F.min("event_id"), F.max("event_id")).first()
+    k, named = F.col("event_id"), lambda n: F.concat(F.lit("d"), n.cast("string"))
+    return t.table("events").select(named(k).alias("source_ref"), named(F.when(k == high, F.lit(low)).otherwise(k + 1)).alias("target_ref"))
+
+
+@registered(
+    "",
+    """with o as (select *, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as place, count(*) over (partition by o_custkey) as n from orders where o_custkey % 11 = 0 or o_custkey % 13 = 0)
+select 'v' || o_orderkey as ref, min('v' || o_orderkey) over (partition by o_custkey) as component from o where o_custkey % 11 = 0 or place <= 3 and n >= 3
+union all select 'd' || event_id, 'd' || (select min(event_id::varchar) from events) from events""",
+)
+def cycle_components(t: Substrate) -> DataFrame:
+    """Orders in the order of their dates as paths, one a customer, with an edge that leads to each.
+
+    Some paths close to a ring, some rings have a chord, some paths have a way back early on; all events form one long ring, and all orders one long path.
+    """
+    o = t.table("orders").select("o_custkey", F.concat(F.lit("v"), F.col("o_orderkey").cast("string")).alias("ref"), "o_orderdate", "o_orderkey")
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    c, edge = F.col("o_custkey"), lambda s, e: (s.alias("source_ref"), e.alias("target_ref"))
+    o = o.select("o_custkey", "ref", "o_orderkey", F.lead("ref").over(w).alias("next"), F.first("ref").over(whole).alias("first"), F.row_number().over(w).alias("place"))
+    paths = o.select(*edge(F.col("ref"), F.when(F.col("next").isNull() & (c % 11 == 0), F.col("first")).otherwise(F.col("next"))))
+    back = o.where(((c % 22 == 0) | ((c % 13 == 0) & (c % 11 != 0))) & (F.col("place") == 3)).select(*edge(F.col("ref"), F.col("first")))
+    tails = o.where("place = 1").select(*edge(F.concat(F.lit("c"), c.cast("string")), F.col("ref")))
+    named = lambda kind, n: F.concat(F.lit(kind), n.cast("string"))
+    return cycles.components(paths.unionByName(back).unionByName(tails).unionByName(_ring(t)).unionByName(o.select(*edge(named("p", F.col("o_orderkey")), named("p", F.col("o_orderkey") + 1)))))
+
+
 # ---- many times
 
 
