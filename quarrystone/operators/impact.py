@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import json
+from functools import reduce
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from ..functions.storage import kept
 from .graph import closure
 
 # Change types in canonical order with the reason each gives (fixed values).
@@ -28,27 +27,26 @@ CONTAINERS = ("dependencies", "relations", "provenance")
 OVERRIDE = "active_result_bundle"
 
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("relation", T.StringType()), T.StructField("ref", T.StringType())])))
-def declared(body: pd.Series) -> pd.Series:
-    """Version references that a JSON document declares under the dependency keys, at its top or in a container: at least three characters, with an @."""
+def declared(body: Column | str) -> Column:
+    """(relation, ref) of the version references that a JSON document declares under the dependency keys, at its top or in a container: at least three characters, with an @.
 
-    def found(v, relation):
-        for x in v if isinstance(v, list) else [v]:
-            if isinstance(x, dict):
-                x = x.get("ref")
-            if isinstance(x, str) and "@" in x and len(x) >= 3:
-                yield {"relation": relation, "ref": x}
+    A value is a text, a document with a text under ref, or a list of these. What isn't JSON, a null, or a document that names a key twice declares nothing.
+    """
+    doc = F.try_parse_json(body)
+    is_text = lambda v: F.schema_of_variant(v) == "STRING"
 
-    def one(text):
-        try:
-            doc = json.loads(text) if text else {}
-        except ValueError:
-            return []
-        places = [doc] if isinstance(doc, dict) else []
-        places += [doc[c] for c in CONTAINERS if places and isinstance(doc.get(c), dict)]
-        return [r for p in places for k in RELATIONS if k in p for r in found(p[k], k)]
+    def text(v: Column) -> Column:
+        ref = F.try_variant_get(v, "$.ref", "variant")
+        said = F.when(is_text(v), F.try_variant_get(v, "$", "string")).when(is_text(ref), F.try_variant_get(ref, "$", "string"))
+        return F.when(F.contains(said, F.lit("@")) & (F.length(said) >= 3), said)
 
-    return body.map(one)
+    def found(place: str, relation: str) -> Column:
+        v = F.try_variant_get(doc, f"{place}.{relation}", "variant")
+        many = F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array(v))
+        refs = F.filter(F.transform(many, text), lambda r: r.isNotNull())
+        return F.transform(refs, lambda r: F.struct(F.lit(relation).alias("relation"), r.alias("ref")))
+
+    return F.concat(*[found(p, k) for p in ("$", *(f"$.{c}" for c in CONTAINERS)) for k in RELATIONS])
 
 
 def affected(edges: DataFrame, roots: DataFrame) -> DataFrame:
@@ -81,34 +79,33 @@ def reasons(classified: DataFrame, change_types: list[str]) -> DataFrame:
     return classified.withColumn("reasons", F.array_distinct(F.flatten(pair)))
 
 
-@F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
-def field_paths(body: pd.Series) -> pd.Series:
-    """Field path -> value as JSON, of a JSON document; lists and empty maps are leaves."""
-
-    def walk(v, prefix):
-        for k, x in v.items():
-            path = f"{prefix}.{k}" if prefix else k
-            if isinstance(x, dict) and x:
-                yield from walk(x, path)
-            else:
-                yield path, json.dumps(x, sort_keys=True, ensure_ascii=False)
-
-    def one(text):
-        try:
-            doc = json.loads(text) if text else {}
-        except ValueError:
-            return {}
-        return dict(walk(doc, "")) if isinstance(doc, dict) else {}
+def fields(bodies: DataFrame, by: list[str], body: str) -> DataFrame:
+    """by, path and value (a VARIANT) of each field of JSON documents; lists, empty documents and nulls are leaves. Level by level, so rounds are as many as the deepest document's levels.
 
-    return body.map(one)
+    What isn't a JSON document, or names a key twice, has no fields. A key with a dot in it gives the path of a nested one, and both are given.
+    """
+    level = bodies.select(*by, F.lit(None).cast("string").alias("path"), F.try_parse_json(body).alias("value"))
+    leaves = []
+    while True:
+        inner = level.select(*by, F.col("path").alias("above"), F.explode(F.try_variant_get("value", "$", "map<string,variant>")).alias("key", "value"))
+        kind = F.schema_of_variant("value")
+        inner = kept(inner.select(*by, F.concat_ws(".", "above", "key").alias("path"), "value", (F.startswith(kind, F.lit("OBJECT<")) & (kind != "OBJECT<>")).alias("deeper")))
+        leaves.append(inner.where("not deeper").drop("deeper"))
+        level = inner.where("deeper").drop("deeper")
+        if level.isEmpty():
+            return reduce(DataFrame.unionByName, leaves)
 
 
 def structural_diff(pairs: DataFrame, before: str, after: str) -> DataFrame:
-    """pairs with changed: sorted paths that only one of two bodies has, or that differ."""
-    out = pairs.withColumns({"_a": field_paths(F.col(before)), "_b": field_paths(F.col(after))})
-    keys = F.array_union(F.map_keys("_a"), F.map_keys("_b"))
-    changed = F.array_sort(F.filter(keys, lambda k: ~F.element_at("_a", k).eqNullSafe(F.element_at("_b", k))))
-    return out.withColumn("changed", changed).drop("_a", "_b")
+    """pairs with changed: sorted paths that only one of two bodies has, or that differ. Numbers are compared by value, documents within lists whatever the order of their keys."""
+    rows = kept(pairs.withColumn("_row", F.monotonically_increasing_id()))  # written, so that rows keep their numbers
+    both = rows.select("_row", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col(before).alias("body")), F.struct(F.lit(1).alias("side"), F.col(after).alias("body")))).alias("b")).select("_row", "b.*")
+    found = fields(both, ["_row", "side"], "body").withColumn("digest", F.sha2(F.to_json("value"), 256))
+    of = lambda side: F.array_sort(F.collect_list(F.when(F.col("side") == side, F.col("digest"))))
+    differ = found.groupBy("_row", "path").agg(of(0).alias("a"), of(1).alias("b")).where("a <> b")
+    changed = differ.groupBy("_row").agg(F.array_sort(F.collect_list("path")).alias("changed"))
+    out = rows.join(changed, "_row", "left")
+    return out.withColumn("changed", F.coalesce("changed", F.array().cast("array<string>"))).drop("_row")
 
 
 def merge(definitions: DataFrame, physical: DataFrame) -> DataFrame:

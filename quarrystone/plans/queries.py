@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import hashing
@@ -34,6 +34,10 @@ def _norm(docs: DataFrame) -> DataFrame:
     return X.normalised(docs)
 
 
+def _join(*parts) -> Column:
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+
+
 # ---- lookups and filters
 
 
@@ -542,6 +546,45 @@ def structural_diff(t: Substrate) -> DataFrame:
     return impact.structural_diff(pairs.select("event_id", "before", "body"), "before", "body").select("event_id", F.array_join("changed", ",").alias("changed"))
 
 
+_NESTED = """with p as (select *, row_number() over (partition by user_id order by ts, event_id) as n, props::json->>'k' as k, md5(event_type) as h from events),
+q as (select b.event_id as i, a.event_type as t0, b.event_type as t1, a.h as h0, b.h as h1, a.k as k0, b.k as k1, a.value as v0, b.value as v1, a.event_id as e0, b.event_id as e1 from p a join p b on a.user_id = b.user_id and b.n = a.n + 1)
+"""
+
+
+@registered(
+    "",
+    _NESTED
+    + """, c as (select i, unnest([case when t0 <> t1 then 'body.type' end, case when k0 is distinct from k1 then 'body.deep.er.k' end, case when k0 is distinct from k1 or t0 <> t1 then 'body.list' end,
+  case when e0 % 3 = 0 and e1 % 3 <> 0 or e0 % 3 <> 0 and e1 % 3 = 0 then 'body.maybe' end, case when e0 % 5 = 0 and e1 % 5 <> 0 or e0 % 5 <> 0 and e1 % 5 = 0 then 'body.deep.only' end]) as path from q)
+select i as event_id, path from c where path is not null""",
+)
+def structural_fields(t: Substrate) -> DataFrame:
+    """Each event with its user's last: bodies with four levels, a quote and a backslash in texts, lists of documents in either order of keys, a null in every third and a field that every fifth has."""
+    from pyspark.sql import Window
+
+    k, i, kind = F.get_json_object("props", "$.k"), F.col("event_id"), F.col("event_type")
+    odd = i % 2 == 1
+    item = F.when(odd, _join('{"t":"', kind, '","k":', k, "}")).otherwise(_join('{"k":', k, ', "t":"', kind, '"}'))
+    only = F.when(i % 5 == 0, F.lit(',"only":{}')).otherwise(F.lit(""))
+    maybe = F.when(i % 3 == 0, F.lit("null")).otherwise(F.lit('"\\u00e9"'))
+    body = _join('{"body":{"type":"\\"', kind, '\\\\","deep":{"er":{"k":', k, "}", only, '},"list":[1,', item, '],"maybe":', maybe, ',"none":{},"same":', F.when(odd, F.lit("1.0")).otherwise(F.lit("1")), "}}")
+    e = t.table("events").withColumn("body", body)
+    pairs = e.withColumn("before", F.lag("body").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))).where("before is not null")
+    return impact.structural_diff(pairs.select("event_id", "before", "body"), "before", "body").select("event_id", F.explode("changed").alias("path"))
+
+
+@registered(
+    "",
+    """select event_id, unnest(['based_on', 'uses', 'references', 'references', 'caused_by']) as relation, unnest(['e:' || event_type || '@v1', 'u:"' || user_id || '"@v2', 'p@' || event_id, 'q@' || event_type, 'x\y@' || user_id]) as ref from events where event_id % 4 <> 0""",
+)
+def declared_in_documents(t: Substrate) -> DataFrame:
+    """What events' documents declare: a text, a document with a ref, lists that mix both with nulls, numbers and texts without an @, in the top and in containers; every fourth is no JSON."""
+    kind, user, i = F.col("event_type"), F.col("user_id").cast("string"), F.col("event_id").cast("string")
+    body = _join('{"based_on":"e:', kind, '@v1","uses":[null,7,"none",{"ref":"u:\\"', user, '\\"@v2","more":"a@b"}],"other":{"uses":"x@y"},"dependencies":{"references":["p@', i, '",["n@m"],{"ref":"q@', kind, '"},{"ref":9}],"uses":{"ref":null}},"provenance":{"caused_by":{"ref":"x\\\\y@', user, '"}},"relations":["uses"]}')
+    body = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("{"), body)).otherwise(body)
+    return t.table("events").select("event_id", F.explode(impact.declared(body)).alias("d")).select("event_id", "d.relation", "d.ref")
+
+
 # ---- navigation
 
 

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from quarrystone.operators import graph, impact
 
 
@@ -43,3 +45,24 @@ def test_declared_references(spark):
 def test_structural_diff(spark):
     df = spark.createDataFrame([('{"a":{"b":1,"c":[1]},"d":2}', '{"a":{"b":1,"c":[2]},"e":{}}')], "x string, y string")
     assert impact.structural_diff(df, "x", "y").first()["changed"] == ["a.c", "d", "e"]
+
+
+def test_fields_of_what_json_allows(spark):
+    deep = '{"a":' * 12 + "1" + "}" * 12
+    rows = [(deep, '{"a":{}}'), (None, '{"a":1}'), ("[1]", "{}"), ('{"a":1,"a":2}', '{"a":2}'), ('{"x.y":1}', '{"x":{"y":1}}'), ('{"n":null,"l":[{"p":1,"q":"\\u00e9"}]}', '{"l":[{"q":"é","p":1.0}]}'), ('{"n":1.50,"t":"1"}', '{"n":1.5,"t":1}'), ("{", "{")]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows * 2)], "side int, x string, y string")
+    out = impact.structural_diff(df, "x", "y")
+    got = {r["side"]: r["changed"] for r in out.collect()}
+    want = [["a", ".".join("a" * 12)], ["a"], [], ["a"], [], ["n"], ["t"], []]
+    assert [got[k] for k in sorted(got)] == want * 2
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+    assert impact.structural_diff(df.limit(0), "x", "y").count() == 0
+
+
+def test_estimates_of_rounds_stay_small(spark):
+    from quarrystone.functions.storage import written
+
+    t = written(spark.range(20).selectExpr("id as a", "id + 1 as b"))
+    for _ in range(8):
+        t = written(t.join(t.selectExpr("a as k", "b as c"), t["b"] == F.col("k"), "left").selectExpr("a", "coalesce(c, b) as b"))
+    assert t.count() == 20 and int(str(t._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 1 << 40
