@@ -35,6 +35,19 @@ _NULL, _WIDE = 1, 2
 #: Words of ASCII and the letters of Latin-1 are composed, and lower-case one sign to one; this is how the tokenizer splits them then.
 _LATIN = re.compile("[\x00-\x7f\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
 _SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z0-9\xdf-\xf6\xf8-\xff]+")
+#: The rules that the short way above was written for: how a tokenizer file normalises, and the pattern that it splits by (fixed values).
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PATTERN = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+
+
+def splits_at_spaces(path: str) -> bool:
+    """Whether a tokenizer file normalises and splits by the rules above, so that a text's ids are those of its words in turn. Its added tokens must begin with <| and hold no space."""
+    with open(path, encoding="utf-8") as f:
+        file = json.load(f)
+    rules = file.get("normalizer") == _NORMALIZER and file.get("pre_tokenizer") == {"type": "Sequence", "pretokenizers": [_PATTERN, _BYTES]}
+    added = file.get("added_tokens") or []
+    return rules and all(t["content"].startswith("<|") and len(t["content"].split()) == 1 and not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]) for t in added)
 
 
 def masked(data: bytes) -> int:
@@ -64,7 +77,7 @@ class Coder:
     The tokenizer composes letters, lower-cases and splits at white space before it joins pieces, so nothing reaches
     across ASCII white space, and a text's ids are those of its words in turn. Words go to the tokenizer whole and as
     they stand; only those of ASCII and Latin-1 letters, where its rule has few cases, are lower-cased and split here.
-    Short words are remembered.
+    Short words are remembered. Texts for a tokenizer file of any other rules go to it whole.
     """
 
     def __init__(self, path: str):
@@ -75,6 +88,8 @@ class Coder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.by_words = splits_at_spaces(path)
         self.wide = self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16
         self.kind = np.dtype("<u4" if self.wide else "<u2")
         self.known: dict[bytes, bytes] = {}
@@ -108,6 +123,8 @@ class Coder:
         self._keep(more, [b"".join([self.known[p] for p in parts[w]]) for w in more])
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
+        if not self.by_words:
+            return self._plain([t or b"" for t in texts])
         out: list[bytes] = []
         for t in texts:
             t = t or b""

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import public_tokenizers
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -221,6 +222,20 @@ def test_texts_of_any_letters_are_encoded_as_the_library_does():
         assert np.frombuffer(ids, "<u2").tolist() == want.ids, ascii(t)
 
 
+def test_files_of_other_rules_get_whole_texts(tmp_path):
+    path, texts = public_tokenizers.path("byte_bpe_50k.json"), ["The Cat, it's HERE  now\n\n x", "", None, "e\u0301 <|endoftext|>a b", "x" * 3000 + " y"]
+    file = json.loads(open(queries.TOKENIZER, encoding="utf-8").read())
+    cased = tmp_path / "cased.json"
+    cased.write_text(json.dumps(file | {"normalizer": {"type": "NFC"}}), encoding="utf-8")
+    spaced = tmp_path / "spaced.json"
+    spaced.write_text(json.dumps(file | {"added_tokens": [*file["added_tokens"], {**file["added_tokens"][0], "content": "<|a b|>", "id": 49408}]}), encoding="utf-8")
+    assert records.splits_at_spaces(queries.TOKENIZER) and not any(map(records.splits_at_spaces, (path, str(cased), str(spaced))))
+    for other in (path, str(cased), str(spaced)):
+        code, plain = records.Coder(other), Tokenizer.from_file(other)
+        for t, ids in zip(texts, code.encode([t and t.encode() for t in texts]), strict=True):
+            assert np.frombuffer(ids, code.kind).tolist() == plain.encode(t or "", add_special_tokens=False).ids, (other, t)
+
+
 def test_forgetting_words_changes_nothing(monkeypatch):
     monkeypatch.setattr(records, "REMEMBERED", 500)
     monkeypatch.setattr(records, "LONG", 6)
