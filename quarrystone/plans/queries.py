@@ -729,12 +729,35 @@ def variation_rates(t: Substrate) -> DataFrame:
     return scoring.variation(_passes(t)).select("participant", F.round("pass_rate", 9).alias("pass_rate"), F.round("prediction_rate", 9).alias("prediction_rate"))
 
 
-@registered()
+_SEED = "f25bf832810e022df4c1a9ff893497c3e4fc83f844efeb0bee3221f7c03a96cf"
+
+
+def _padded(byte: int) -> str:
+    """The seed as a keyed digest's padded block, in hexadecimal digits."""
+    return bytes(b ^ byte for b in bytes.fromhex(_SEED).ljust(64, b"\0")).hex()
+
+
+# a keyed digest is a digest of the key's outer block and of the digest of its inner block and the message; words below the last whole multiple of the size count
+_DRAWS = f"""with s as (select o_orderstatus as participant, 'F' || (o_custkey % 4) as family, (o_custkey % 100) // 4 as instance, avg((o_totalprice > 150000)::int::double) as score from orders group by all),
+r as (select *, row_number() over (partition by participant, family order by instance) - 1 as k from s),
+z as (select family, count(distinct k) as size from r group by family),
+c as (select family, size, unnest(range(10000)) as replicate from z), d as (select *, unnest(range(size)) as draw from c),
+m as (select *, '{hashing.frame("replicate", b"0000")[:-4].hex()}' || printf('%08x', replicate) || '{hashing.frame("family_id", b"F0")[:-2].hex()}' || hex(encode(family)) || '{hashing.frame("draw_index", b"0000")[:-4].hex()}' || printf('%08x', draw) as message from d),
+k as (select *, sha256(unhex('{_padded(0x5C)}' || sha256(unhex('{_padded(0x36)}' || message)))) as key from m),
+i as (select *, sha256(unhex(hex(xor(unhex(key)::bit, unhex(repeat('36', 32))::bit)::blob) || repeat('36', 32) || '{hashing.frame("counter", bytes(8)).hex()}')) as inside from k),
+w as (select *, sha256(unhex(hex(xor(unhex(key)::bit, unhex(repeat('5c', 32))::bit)::blob) || repeat('5c', 32) || inside)) as words from i),
+n as (select family, size, replicate, list_filter(list_transform(range(8), lambda x: ('0x' || words[8 * x + 1:8 * x + 8])::bigint), lambda v: v < 4294967296 // size * size)[1] % size as k from w),
+f as (select participant, replicate, family, avg(score) as f from n join r using (family, k) group by all), e as (select participant, replicate, avg(f) as estimate from f group by all),
+p as (select *, row_number() over (partition by participant order by estimate) as nth from e)
+select participant, round(max(estimate) filter (where nth = 250), 9) as low, round(max(estimate) filter (where nth = 9750), 9) as high from p group by participant"""
+
+
+@registered("", _DRAWS)
 def bootstrap_ci(t: Substrate) -> DataFrame:
     k = F.col("o_custkey")
     o = t.table("orders").groupBy(F.col("o_orderstatus").alias("participant"), F.concat(F.lit("F"), (k % 4).cast("string")).alias("family"), F.floor((k % 100) / 4).cast("long").alias("instance"))
     o = o.agg(F.avg((F.col("o_totalprice") > 150000).cast("double")).alias("score"))
-    return scoring.interval(scoring.bootstrap(o, "f25bf832810e022df4c1a9ff893497c3e4fc83f844efeb0bee3221f7c03a96cf"))
+    return scoring.interval(scoring.bootstrap(o, _SEED)).select("participant", F.round("low", 9).alias("low"), F.round("high", 9).alias("high"))
 
 
 # ---- transactions
