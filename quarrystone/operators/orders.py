@@ -2,23 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.storage import written
+
+
+# the orders by name; columns need a session, so each is made when it is asked for
+EDGES = lambda: [F.col(c) for c in ("source_ref", "relation", "target_ref")]
+IMPACT = lambda: [F.col("entity_id"), F.coalesce("version_ref", F.lit(""))]
+SEMANTIC = lambda: [F.desc("score_q"), F.col("entity_id"), F.coalesce("versioned_ref", F.lit("")), F.col("path")]
+
 
 def edges(rows: DataFrame) -> DataFrame:
     """Edges by source, relation and target, in the order of their bytes."""
-    return rows.orderBy("source_ref", "relation", "target_ref")
+    return rows.orderBy(*EDGES())
 
 
 def impact(rows: DataFrame) -> DataFrame:
     """Affected rows by entity and version, those without a version first."""
-    return rows.orderBy("entity_id", F.coalesce("version_ref", F.lit("")))
+    return rows.orderBy(*IMPACT())
 
 
 def semantic(rows: DataFrame) -> DataFrame:
     """Ranked rows by score, best first, then entity, version and path; a missing version counts as empty."""
-    return rows.orderBy(F.desc("score_q"), "entity_id", F.coalesce("versioned_ref", F.lit("")), "path")
+    return rows.orderBy(*SEMANTIC())
+
+
+def placed(rows: DataFrame, keys: list[Column]) -> DataFrame:
+    """rows with place: their number in the order of the keys, from 1, over the whole table. Rows that no key tells apart get places of their own, in any order.
+
+    Rows are dealt out by ranges of the keys and written; each range is numbered by itself and set off by the sizes of those before it, so no task sorts the table.
+    """
+    dealt = written(rows.repartitionByRange(*keys).withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_n"))  # a row a range
+    before = sizes.select(F.col("_range").alias("_r"), F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    within = dealt.withColumn("place", F.row_number().over(Window.partitionBy("_range").orderBy(*keys)))
+    return within.join(before, F.col("_range") == F.col("_r")).withColumn("place", F.col("place") + F.col("_before")).drop("_range", "_r", "_before")
 
 
 def value_key(json: Column) -> Column:

@@ -41,6 +41,8 @@ class State:
     rebuild: Callable[[], dict] | None = None
     #: Recovers interrupted transactions and returns the issues (check, subject, code) that are left.
     transactions: Callable[[], DataFrame] | None = None
+    #: Holds the index's tables against the tree and returns the issues (code, subject).
+    issues: Callable[[], DataFrame] | None = None
 
 
 class Engine:
@@ -172,7 +174,10 @@ class Engine:
         issues += [("HASH_MISMATCH", r) for r in sorted(s.mismatched)] + [("SOURCE_MISSING", r) for r in sorted(s.missing)]
         issues += [("CANONICAL_SEMANTIC_DRIFT", r) for r in sorted(s.tampered)] + [("ORPHAN", r) for r in sorted(s.orphans)]
         rows = s.objects.sparkSession.createDataFrame(issues, "code string, subject string")
-        return Envelope("reconcile_integrity", rows, warnings=[c for c, _ in issues])
+        if s.issues is None:
+            return Envelope("reconcile_integrity", rows, warnings=[c for c, _ in issues])
+        rows = rows.unionByName(s.issues().select("code", "subject"))
+        return Envelope("reconcile_integrity", rows, warnings=sorted({r["code"] for r in rows.select("code").distinct().collect()}))  # a row a code
 
     def tx_reconcile(self) -> Envelope:
         """What is left to a person after recovery; without transactions to look at, what the log repeats."""

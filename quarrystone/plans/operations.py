@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import integrity
 from .engine import Engine, State
-from .queries import registered
+from .queries import ORACLE, registered
 from .rules import _text
 from .substrate import Substrate
 
@@ -163,6 +164,13 @@ def engine_reconcile_integrity(t: Substrate) -> DataFrame:
     return _only(_engine(t, index_state="stale", **{k: frozenset([v]) for k, v in known.items()}).reconcile_integrity(), "code", "subject")
 
 
+@registered("", f"select code, subject, 'warning' as answer from ({ORACLE['reconcile_issues']}) union all select 'DRIFT_DETECTED', 'index', 'warning'")
+def engine_reconcile_tables(t: Substrate) -> DataFrame:
+    """Every issue of the index's tables against the tree, as the engine answers them, with a stale index."""
+    found = lambda: integrity.reconcile(t.documents, t.source_refs, t.live, t.snapshots)
+    return _only(_engine(t, index_state="stale", issues=found).reconcile_integrity(), "code", "subject")
+
+
 @registered("", "select 'log' as \"check\", user_id::varchar as subject, 'DUPLICATE_ID' as code, 'warning' as answer from events group by user_id having count(*) > 1")
 def engine_tx_reconcile(t: Substrate) -> DataFrame:
     """A log in which users stand for events, so that ids repeat."""

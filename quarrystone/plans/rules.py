@@ -743,3 +743,66 @@ select "table", count(*) as n, 'sha256:' || sha256(string_agg(line, chr(10) orde
 def logical_dump(t: Substrate) -> DataFrame:
     lines = hashing.table_lines(t.table("nation"), "nation", ["n_nationkey", "n_name", "n_regionkey"], ["n_nationkey"])
     return hashing.dump_digest(lines.unionByName(hashing.table_lines(t.table("supplier"), "supplier", ["s_suppkey", "s_name", "s_acctbal"], ["s_suppkey"])))
+
+
+# residue of an order's number, the rule that its rows break, and how the key of the row begins
+_PLANTED = [
+    (1, "object_kind", "o"), (2, "object_entity", "o"), (3, "object_status", "o"), (4, "object_time", "o"), (5, "object_unique", "o"), (6, "fact_subject", "f"), (7, "fact_time", "f"), (8, "fact_unique", "f"),
+    (9, "fact_event", "g"), (10, "fact_external", "h"), (11, "fact_version", "i"), (12, "fact_lifecycle", "j"), (13, "relation_source", "?"), (14, "relation_target", "!"), (15, "atom_artifact", "a"), (16, "atom_kind", "a"),
+    (17, "atom_unique", "a"), (18, "query_semantic_target", "q"), (19, "query_locator", "q"), (20, "query_time", "q"), (21, "query_unique", "q"), (22, "external_digest", "x"), (23, "external_unique", "x"),
+]
+
+
+@registered("", f"select rule, prefix || o_orderkey as key from orders join (values {', '.join(map(str, _PLANTED))}) as p(r, rule, prefix) on o_orderkey % 97 = r")
+def manifest_every_rule(t: Substrate) -> DataFrame:
+    """A sealed manifest over all orders in which each of its 23 rules is broken by some, next to values that look like breaches and are none: the same instant in another zone, every alias as a locator, queries without a time."""
+    o = t.table("orders").select(F.col("o_orderkey").alias("k"), (F.col("o_orderkey") % 97).alias("r"))
+    named = lambda prefix: _text(prefix, F.col("k"))
+    time, none = F.lit("2024-01-01T00:00:00Z"), F.lit("none")
+
+    def broken(r: int, no: Column, yes: Column) -> Column:
+        return F.when(F.col("r") == r, no).otherwise(yes)
+
+    def twice(df: DataFrame, r: int) -> DataFrame:
+        return df.unionByName(df.where(F.col("r") == r))
+
+    entity = broken(2, F.lit(""), named("E"))
+    objects = twice(o.select("r", named("o").alias("ref"), broken(1, F.lit(""), F.lit("run")).alias("kind"), entity.alias("entity_id"), named("V").alias("version_ref"), named("p/").alias("path"), broken(3, F.lit(""), F.lit("valid")).alias("status"), broken(4, F.lit("2024-01-01"), time).alias("lifecycle_start")), 5)
+    fact = lambda prefix, predicate, value, subject=named("o"), at=time: o.select("r", named(prefix).alias("fact_id"), subject.alias("subject"), F.lit(predicate).alias("predicate"), value.alias("value"), at.alias("occurred_at"))
+    facts = twice(fact("f", "content", F.lit("v"), broken(6, none, named("o")), broken(7, F.lit("soon"), time)), 8)
+    facts = facts.unionByName(fact("g", "introduced_event", broken(9, none, named("ev")))).unionByName(fact("h", "authority_source", broken(10, none, named("x")))).unionByName(fact("i", "bound_version", broken(11, none, named("V"))))
+    facts = facts.unionByName(fact("j", "lifecycle_start", broken(12, F.lit("2025-01-01T00:00:00Z"), F.lit("2024-01-01T01:00:00+01:00"))).where("r <> 4"))
+    relations = o.select(broken(13, named("?"), named("o")).alias("source_ref"), F.lit("uses").alias("relation"), broken(14, named("!"), named("o")).alias("target_ref"))
+    atoms = twice(o.select("r", named("a").alias("atom_id"), broken(15, none, named("o")).alias("artifact_ref"), broken(16, F.lit("song"), F.when(F.col("k") % 2 == 0, "command").otherwise("metric_cell")).alias("kind")), 17)
+    alias = F.when(F.col("k") % 4 == 0, named("o")).when(F.col("k") % 4 == 1, entity).when(F.col("k") % 4 == 2, named("V")).otherwise(named("p/"))
+    asked = broken(20, F.lit("yesterday"), F.when(F.col("k") % 3 != 0, time))
+    queries = twice(o.select("r", named("q").alias("query_id"), broken(18, F.lit("query_text_semantic"), F.lit("query_state")).alias("operation"), named("o").alias("target_ref"), broken(19, none, alias).alias("participant_locator"), asked.alias("as_of")), 21)
+    externals = twice(o.select("r", named("x").alias("ref"), broken(22, F.lit("md5:1"), _text("sha256:", F.sha2(named("x"), 256))).alias("pinned_content_hash")), 23)
+    return manifest.breaches(objects, facts, relations, atoms, queries, externals, o.select(named("ev").alias("event_id")))
+
+
+# ---- places in orders
+
+
+@registered("relations", " select source_ref, relation, target_ref, row_number() over (order by source_ref, relation, target_ref) as place from relations")
+def edge_order(t: Substrate) -> DataFrame:
+    return orders.placed(t.relations.select("source_ref", "relation", "target_ref"), orders.EDGES())
+
+
+@registered("", "select 'e' || user_id as entity_id, case when event_id % 4 > 0 then event_type || event_id end as version_ref, event_id, row_number() over (order by 'e' || user_id, case when event_id % 4 > 0 then event_type || event_id else '' end, event_id) as place from events")
+def impact_order(t: Substrate) -> DataFrame:
+    """Events as affected versions of users; every fourth has no version, and those stand first, in the order of their numbers."""
+    e = t.table("events").select(_text("e", F.col("user_id")).alias("entity_id"), F.when(F.col("event_id") % 4 > 0, _text(F.col("event_type"), F.col("event_id"))).alias("version_ref"), "event_id")
+    return orders.placed(e, [*orders.IMPACT(), F.col("event_id")])
+
+
+@registered(
+    "",
+    """with r as (select (l_quantity::bigint % 5) as score_q, 'e' || (l_suppkey % 7) as entity_id, case when l_linenumber > 2 then 'v' || l_linenumber end as versioned_ref, 'p' || l_orderkey || '.' || l_linenumber as path from lineitem)
+select *, row_number() over (order by score_q desc, entity_id, coalesce(versioned_ref, ''), path) as place from r""",
+)
+def semantic_order(t: Substrate) -> DataFrame:
+    """Lines as ranked rows that tie by score, by entity and by version."""
+    n = F.col("l_linenumber")
+    rows = t.table("lineitem").select((F.col("l_quantity").cast("long") % 5).alias("score_q"), _text("e", F.col("l_suppkey") % 7).alias("entity_id"), F.when(n > 2, _text("v", n)).alias("versioned_ref"), _text("p", F.col("l_orderkey"), ".", n).alias("path"))
+    return orders.placed(rows, orders.SEMANTIC())
