@@ -575,7 +575,7 @@ def structural_fields(t: Substrate) -> DataFrame:
 
 @registered(
     "",
-    """select event_id, unnest(['based_on', 'uses', 'references', 'references', 'caused_by']) as relation, unnest(['e:' || event_type || '@v1', 'u:"' || user_id || '"@v2', 'p@' || event_id, 'q@' || event_type, 'x\y@' || user_id]) as ref from events where event_id % 4 <> 0""",
+    """select event_id, unnest(['based_on', 'uses', 'references', 'references', 'caused_by']) as relation, unnest(['e:' || event_type || '@v1', 'u:"' || user_id || '"@v2', 'p@' || event_id, 'q@' || event_type, 'x\\y@' || user_id]) as ref from events where event_id % 4 <> 0""",
 )
 def declared_in_documents(t: Substrate) -> DataFrame:
     """What events' documents declare: a text, a document with a ref, lists that mix both with nulls, numbers and texts without an @, in the top and in containers; every fourth is no JSON."""
