@@ -98,3 +98,14 @@ def test_no_documents(spark, n):
     docs = spark.createDataFrame([], "id string, path string, text string")
     index = substring.build(docs, ["id", "text"])
     assert substring.search(docs, spark.createDataFrame([("a",), ("",), ("abc",)], "needle string"), index, {"id": "id", "text": "content"}).count() == 0
+
+
+def test_fixed_sums_of_any_number_of_rows(spark):
+    rng = random.Random(4)
+    half = [2.0**39] * 64 + [2.0**-20, 2.0**-28]  # the last bits lie beside a half
+    groups = {"much": [2.0**39 + rng.randrange(1 << 20) for _ in range(3000)], "less": [-(2.0**39) - rng.random() for _ in range(3000)], "half": half, "under": [-x for x in half], "ties": [2.0**39] * 65 + [2.0**-28] * 3}
+    groups |= {f"r{k}": [rng.choice([1, -1]) * rng.uniform(1, 2) * 2.0 ** rng.randrange(20, 39) for _ in range(200)] for k in range(20)}
+    groups |= {f"s{k}": [2.0**39] * 128 + [2.0 ** -(8 + k), 2.0**-28, -(2.0**-27)] for k in range(10)}
+    rows = [(g, x) for g, xs in groups.items() for x in xs]
+    got = {r["g"]: r["t"] for r in spark.createDataFrame(rows, "g string, x double").repartition(3).groupBy("g").agg(sums.fixed(F.col("x")).alias("t")).collect()}
+    assert got == {g: math.fsum(xs) for g, xs in groups.items()}
