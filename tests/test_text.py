@@ -65,3 +65,31 @@ def test_best_of_many_rows_with_ties():
     for c in range(7):
         want = sorted(((-int(s), k) for s, k in zip(scores[:, c], keys, strict=True)))[:20]
         assert [(-int(best.scores[r, c]), best.keys[best.at[r, c]]) for r in range(20)] == want
+
+
+def test_counts_are_those_of_tokens(spark):
+    import random
+    from collections import Counter
+
+    from quarrystone.operators import semantic
+
+    rng = random.Random(5)
+    signs = "aAbz09_ .-\n\tÄßİK中文上一个了一é😀\x00"
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(60))) for _ in range(400)] + ["", "the The a", "上一个 一个 了", "x" * 70_000, " ".join(f"w{k}" for k in range(90_000))]
+    docs = spark.createDataFrame([(f"d{k}", t) for k, t in enumerate(texts)] + [("none", None)], "id string, norm string")
+    want = sorted((r["id"], w, n) for r in docs.where("norm is not null").select("id", X.tokens(F.col("norm")).alias("t")).collect() for w, n in Counter(r["t"]).items())
+    found = semantic.terms(docs)
+    assert sorted(map(tuple, found.collect())) == want and "Exchange" not in found._jdf.queryExecution().toString()  # before, all tokens were shuffled
+    twice = docs.unionByName(docs.limit(10)).unionByName(spark.createDataFrame([(None, "ab cd"), (None, "ab")], "id string, norm string"))
+    got = {(r["id"], r["term"]): r["n"] for r in semantic.terms(twice).collect()}
+    assert got[None, "ab"] == 2 and got[None, "cd"] == 1 and len(got) == len(want) + 2
+    assert semantic.rank(docs, spark.createDataFrame([(1, "the a - x")], "query_id long, text string")).collect() == []
+
+
+def test_normalising_leaves_no_pattern_over_whole_texts(spark):
+    import unicodedata
+
+    texts = ["é" * 200_000, "straße ﬁ Ｈｉ", "Kelvin K ①", "plain", "", "中文" * 50_000, "ŉ ĳ ŀ ſ “ ”"] * 8
+    df = X.normalised(spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(-1, None)], "id int, text string"))
+    assert {r["id"]: r["norm"] for r in df.select("id", "norm").collect()} == {-1: None} | {k: unicodedata.normalize("NFKC", t) for k, t in enumerate(texts)}
+    assert "RLIKE" not in df._jdf.queryExecution().toString()  # before, a pattern went over every sign of every text, at seconds a MB
