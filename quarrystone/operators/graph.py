@@ -19,17 +19,17 @@ def closure(edges: DataFrame, roots: DataFrame, source: str = "source_ref", targ
     Each round joins the frontier with the edges and drops what was reached before, so cycles end; it stops
     when nothing new is found. Reverse closures swap source and target.
     """
-    steps = kept(edges.select(F.col(source).alias("_s"), F.col(target).alias("_t")).where("_t is not null"))  # read in each round
+    steps = written(edges.select(F.col(source).alias("_s"), F.col(target).alias("_t")).where("_t is not null"))  # read in each round
     reached = roots.select(F.col("ref").alias("root"), "ref", F.lit(0).alias("depth")).distinct()
     frontier = reached
     for depth in count(1):
         new = frontier.join(steps, frontier["ref"] == steps["_s"]).select("root", F.col("_t").alias("ref")).distinct()
-        new = kept(new.join(reached.select("root", "ref"), ["root", "ref"], "left_anti").withColumn("depth", F.lit(depth)))
+        new = written(new.join(reached.select("root", "ref"), ["root", "ref"], "left_anti").withColumn("depth", F.lit(depth)))
         if new.isEmpty():
             break
         reached = reached.unionByName(new)
         if depth % CUT_EVERY == 0:
-            reached = kept(reached)
+            reached = written(reached)
         frontier = new
     return reached
 

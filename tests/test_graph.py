@@ -66,3 +66,12 @@ def test_estimates_of_rounds_stay_small(spark):
     for _ in range(8):
         t = written(t.join(t.selectExpr("a as k", "b as c"), t["b"] == F.col("k"), "left").selectExpr("a", "coalesce(c, b) as b"))
     assert t.count() == 20 and int(str(t._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 1 << 40
+
+
+def test_closures_join_small_frontiers_without_a_shuffle_of_all_edges(spark):
+    edges = spark.range(200_000).selectExpr("concat('n', id) as source_ref", "case when id % 5 > 0 then concat('n', id - 1) end as target_ref")
+    from quarrystone.operators import graph
+
+    got = graph.closure(edges, spark.createDataFrame([("n4",), ("n9",)], "ref string"))
+    assert {(r["root"], r["ref"], r["depth"]) for r in got.collect()} == {(f"n{k}", f"n{k - d}", d) for k in (4, 9) for d in range(5)}
+    assert "Scan ExistingRDD" not in got._jdf.queryExecution().sparkPlan().toString()  # before, rounds were checkpoints, whose estimated size no join could rely on
