@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.storage import written
+from . import lists
 
 #: Rounds of raking between compressions, and the share of edges that a round of both must take away, else the core is coloured.
 RAKES, SHRINK = 2, 0.1
@@ -22,32 +23,38 @@ def _rake(edges: DataFrame) -> DataFrame:
 
 
 def _compress(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(edges with each chain as one edge, chain members: node, p, e, rings: node, component).
+    """(edges with each chain as one edge, chain members: node, p, e, rings: node, component) of edges without loops, repeated or not.
 
-    A node with one edge in and one out is a link; links in a row are ranked by doubling, so a chain of any length takes the logarithm of it in rounds.
-    Links that lead to no end go round: a ring is a component, named by its least node.
+    A node with at most one neighbour before and one behind is a link. Links are spliced out until few are left, and those are ranked by doubling. A chain that
+    begins or ends nowhere lies on no cycle and is left out. Links that lead to no end go round: a ring is a component, named by its least node.
     """
-    ins = edges.groupBy(F.col("t").alias("node")).agg(F.count("*").alias("i"), F.min("s").alias("p"))
-    outs = edges.groupBy(F.col("s").alias("node")).agg(F.count("*").alias("o"), F.min("t").alias("next"))
-    links = written(ins.join(outs, "node").where("i = 1 and o = 1 and node <> next").select("node", "p", "next"))
-    many = links.count()
-    nothing = links.select("node", F.col("p").alias("component")).limit(0)
-    if not many:
-        return edges, links.select("node", "p", F.col("next").alias("e")), nothing
-    known = links.select(F.col("node").alias("k"))
-    both = links.select("node", F.inline(F.array(F.struct(F.lit(False).alias("back"), F.col("next").alias("at")), F.struct(F.lit(True).alias("back"), F.col("p").alias("at")))))
-    pointers = written(both.join(known, F.col("at") == F.col("k"), "left").select("node", "back", "at", F.col("k").isNull().alias("done"), F.col("node").alias("least"), F.lit(True).alias("moved")))
+    c, none = F.col, F.lit(None).cast("string")
+    sides = edges.select(F.inline(F.array(F.struct(c("s").alias("node"), none.alias("i"), c("t").alias("o")), F.struct(c("t").alias("node"), c("s").alias("i"), none.alias("o")))))
+    ends = sides.repartition("node").groupBy("node").agg(F.min("i").alias("p"), F.max("i").alias("p2"), F.min("o").alias("next"), F.max("o").alias("next2"))
+    nodes = written(ends.select("node", "p", "next", (F.coalesce(c("p") != c("p2"), F.lit(False)) | F.coalesce(c("next") != c("next2"), F.lit(False))).alias("crossing")))
+    crossing = written(nodes.where("crossing").select(c("node").alias("k")))  # its own files tell how few they are
+    links = nodes.where("not crossing").join(crossing.withColumnRenamed("k", "kp"), c("p") == c("kp"), "left").join(crossing.withColumnRenamed("k", "kn"), c("next") == c("kn"), "left")
+    within = lambda x, k: c(x).isNotNull() & c(k).isNull()
+    links = written(links.select("node", c("p").alias("up"), c("next").alias("down"), within("p", "kp").alias("up_in"), within("next", "kn").alias("down_in"), F.lit(0).cast("long").alias("w")))
+    left, gone = lists.shorten(links, [])
+    both = left.select("node", F.inline(F.array(F.struct(F.lit(False).alias("back"), c("down").alias("at"), (~c("down_in")).alias("done")), F.struct(F.lit(True).alias("back"), c("up").alias("at"), (~c("up_in")).alias("done")))))
+    pointers = written(both.withColumns({"least": c("node"), "moved": F.lit(True)}))
     while not pointers.where("moved").isEmpty():  # a round that ends no pointer and finds no ring a lesser node is the last
         far = pointers.select(F.col("node").alias("k"), F.col("back").alias("b"), F.col("at").alias("at2"), F.col("done").alias("done2"), F.col("least").alias("least2"))
         leapt = pointers.join(far, ~F.col("done") & (F.col("at") == F.col("k")) & (F.col("back") == F.col("b")), "left")
         end, least = F.coalesce("done2", "done"), F.least("least", "least2")
-        pointers = written(leapt.select("node", "back", F.coalesce("at2", "at").alias("at"), end.alias("done"), least.alias("least"), ((end != F.col("done")) | (~end & (least != F.col("least")))).alias("moved")))
-    rings = written(pointers.where("not done and not back").select("node", F.col("least").alias("component")))
+        at = F.when(F.col("k").isNull(), F.col("at")).otherwise(F.col("at2"))
+        pointers = written(leapt.select("node", "back", at.alias("at"), end.alias("done"), least.alias("least"), ((end != F.col("done")) | (~end & (least != F.col("least")))).alias("moved")))
+    round_ = pointers.where("not done and not back").select("node", none.alias("p"), none.alias("e"), F.col("least").alias("ring"))
     ended = pointers.where("done").groupBy("node").agg(F.max(F.when(F.col("back"), F.col("at"))).alias("p"), F.max(F.when(~F.col("back"), F.col("at"))).alias("e"))
-    chains = written(ended)
-    inner = links.select(F.col("node").alias("k"))
-    rest = edges.join(inner, F.col("s") == F.col("k"), "left_anti").join(inner, F.col("t") == F.col("k"), "left_anti")
-    return written(rest.unionByName(chains.select(F.col("p").alias("s"), F.col("e").alias("t"))).distinct()), chains, rings
+    known = written(round_.unionByName(ended.where("p is not null and e is not null").withColumn("ring", none)))
+    own = F.when(F.col("up_in"), F.col("node"))
+    first = lambda rows: rows.where("up is not null and down is not null").select("node", F.when(own.isNull(), F.col("up")).alias("p"), F.when(own.isNull(), F.col("down")).alias("e"), own.alias("ring"))
+    known = lists.answer(known, gone, [], first, lambda rows: rows.select("node", "p", "e", "ring"), down=True)
+    chains, rings = known.where("ring is null").select("node", "p", "e"), known.where("ring is not null").select("node", "ring")
+    names = rings.groupBy("ring").agg(F.min("node").alias("component"))
+    rest = edges.join(crossing, F.col("s") == F.col("k"), "left_semi").join(crossing, F.col("t") == F.col("k"), "left_semi")
+    return written(rest.unionByName(chains.select(F.col("p").alias("s"), F.col("e").alias("t"))).distinct()), chains, rings.join(names, "ring").select("node", "component")
 
 
 def _coloured(edges: DataFrame) -> DataFrame:
@@ -77,37 +84,42 @@ def _coloured(edges: DataFrame) -> DataFrame:
     if not out:
         return edges.select(F.col("s").alias("node"), F.col("t").alias("component"))
     every = reduce(DataFrame.unionByName, out)
-    names = every.groupBy("c").agg(F.min("node").alias("component"))
+    names = every.groupBy("c").agg(F.min("node").alias("component"), F.count("*").alias("n")).where("n > 1")  # a node alone lies between cycles, on none
     return written(every.join(names, "c").select("node", "component"))
 
 
 def components(edges: DataFrame, source: str = "source_ref", target: str = "target_ref") -> DataFrame:
     """(ref, component): just the nodes that lie on a cycle, with the least node of their strongly connected component. Nulls are no nodes; repeated edges count once.
 
-    Rounds: chains and trees take the logarithm of their length, as they are raked and compressed in turn; what is left, where cycles cross, takes as many as its own diameter.
+    Rounds: chains and trees take the logarithm of their length, as they are compressed and raked in turn, and a chain's rounds shrink by a third; what is left, where cycles cross, takes as many as its own diameter.
     """
-    edges = written(edges.select(F.col(source).alias("s"), F.col(target).alias("t")).where("s is not null and t is not null").distinct())
+    edges = written(edges.select(F.col(source).alias("s"), F.col(target).alias("t")).where("s is not null and t is not null"))
     loops, rings, chains = [], [], []
     many = edges.count()
     while True:
-        loops.append(written(edges.where("s = t").select(F.col("s").alias("node")).distinct()))
+        loops.append(edges.where("s = t").select(F.col("s").alias("node")))
+        edges, chain, ring = _compress(edges.where("s <> t"))
+        loops.append(edges.where("s = t").select(F.col("s").alias("node")))
         edges = _rake(edges.where("s <> t"))
-        edges, chain, ring = _compress(edges)
         chains.append(chain)
         rings.append(ring)
         before, many = many, edges.count()
         if not many or many > (1 - SHRINK) * before:
             break
-    loops.append(written(edges.where("s = t").select(F.col("s").alias("node")).distinct()))
-    found = _coloured(_rake(edges.where("s <> t"))).select("node", "component")
-    looped = reduce(DataFrame.unionByName, loops).distinct()
+    found = _coloured(edges).select("node", "component")
+    looped = written(reduce(DataFrame.unionByName, loops).distinct())
     known = written(found.unionByName(reduce(DataFrame.unionByName, rings)))
+
+    def alone() -> DataFrame:
+        met = known.join(looped.select(F.col("node").alias("k")), F.col("node") == F.col("k"), "left_semi").select("node")
+        return looped.join(met, "node", "left_anti").select("node", F.col("node").alias("component"))
+
     for chain in reversed(chains):  # a link is of its ends' component, if they are of one
-        alone = looped.join(known, "node", "left_anti").select("node", F.col("node").alias("component"))
-        full = known.unionByName(alone)
-        of = chain.join(full.select(F.col("node").alias("p"), F.col("component").alias("cp")), "p").join(full.select(F.col("node").alias("e"), F.col("component").alias("ce")), "e")
-        known = written(known.unionByName(of.where("cp = ce").select("node", F.col("cp").alias("component"))))
-    alone = looped.join(known, "node", "left_anti").select("node", F.col("node").alias("component"))
-    every = known.unionByName(alone).distinct()
+        pairs = written(chain.select("p", "e").distinct())
+        full = known.unionByName(alone())
+        of = full.select(F.col("node").alias("p"), F.col("component").alias("cp")).join(pairs, "p")
+        of = written(full.select(F.col("node").alias("e"), F.col("component").alias("ce")).join(of, "e").where("cp = ce").select("p", "e", F.col("cp").alias("component")))
+        known = known.unionByName(written(chain.join(of, ["p", "e"]).select("node", "component")))
+    every = known.unionByName(alone())
     names = every.groupBy("component").agg(F.min("node").alias("least"))
     return every.join(names, "component").select(F.col("node").alias("ref"), F.col("least").alias("component"))
