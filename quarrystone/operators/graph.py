@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.storage import kept, written
+from . import lists
 
 #: Rounds between writes of what has been reached.
 CUT_EVERY = 4
@@ -89,25 +90,33 @@ def lineage_by_pointers(versions: DataFrame) -> DataFrame:
     """entity_id, version_ref, place, condition: the chain that the pointers to previous versions give, whatever their numbers.
 
     A version without a previous one among its entity's is a root. An entity with no root or several, a version that is previous to several or stands
-    twice, or versions on a cycle is AMBIGUOUS_VERSION and has no places. Lists are ranked by doubling: each round every pointer leaps as far
-    again, so the number of rounds is the logarithm of the longest chain.
+    twice, or versions on a cycle is AMBIGUOUS_VERSION and has no places. Long lists are shortened first (lists), and what is left is ranked
+    by doubling: each round every pointer leaps as far again, so the number of rounds is the logarithm of the longest chain.
     """
     v = kept(versions.select("entity_id", "version_ref", "previous"))
     known = v.select(F.col("entity_id").alias("of"), F.col("version_ref").alias("up")).distinct()
     up = v.join(known, (F.col("entity_id") == F.col("of")) & (F.col("previous") == F.col("up")), "left").select("entity_id", "version_ref", "up")
     rows = up.groupBy("entity_id", "version_ref").agg(F.count("*").alias("times"), F.max("up").alias("up"))
     forks = rows.where("up is not null").groupBy("entity_id", "up").count().where("count > 1").select("entity_id").distinct().withColumn("fork", F.lit(True))
-    per = rows.groupBy("entity_id").agg(F.count_if(F.col("up").isNull()).alias("roots"), F.max("times").alias("times"), F.count("*").alias("n"))
+    per = rows.groupBy("entity_id").agg(F.count_if(F.col("up").isNull()).alias("roots"), F.max("times").alias("times"), F.count("version_ref").alias("n"))
     per = kept(per.join(forks, "entity_id", "left").withColumn("bad", (F.col("roots") != 1) | (F.col("times") > 1) | F.col("fork").isNotNull()))
-    links = kept(rows.join(per.where("not bad"), "entity_id", "left_semi").select("entity_id", "version_ref", "up", F.col("up").isNotNull().cast("long").alias("place")))
-    longest = per.where("not bad").agg(F.max("n")).first()[0] or 1
+    good = rows.join(per.where("not bad"), "entity_id", "left_semi").select("entity_id", "version_ref", "up")
+    sides = good.select("entity_id", F.inline(F.array(F.struct(F.col("version_ref").alias("node"), F.struct("up").alias("u"), F.lit(None).cast("string").alias("down")), F.struct(F.col("up").alias("node"), F.lit(None).cast("struct<up:string>").alias("u"), F.col("version_ref").alias("down"))))).where("node is not null")
+    met = sides.repartition("entity_id", "node").groupBy("entity_id", "node").agg(F.max("u")["up"].alias("up"), F.max("down").alias("down"))  # no version of these is previous to two
+    left, gone = lists.shorten(written(met.withColumns({"up_in": F.col("up").isNotNull(), "down_in": F.col("down").isNotNull(), "w": F.col("up").isNotNull().cast("long")})), ["entity_id"])
+    links = left.select("entity_id", F.col("node").alias("version_ref"), "up", F.col("w").alias("place"))
+    longest = links.groupBy("entity_id").count().agg(F.max("count")).first()[0] or 1
     for _ in range(max(1, (longest - 1).bit_length())):
         far = links.select(F.col("entity_id").alias("of"), F.col("version_ref").alias("k"), F.col("up").alias("up2"), F.col("place").alias("more"))
         leapt = links.join(far, (F.col("entity_id") == F.col("of")) & (F.col("up") == F.col("k")), "left")
         links = written(leapt.select("entity_id", "version_ref", F.col("up2").alias("up"), (F.col("place") + F.coalesce("more", F.lit(0))).alias("place")))
-    cycles = links.where("up is not null").select("entity_id").distinct().withColumn("cycle", F.lit(True))  # none leads to the root
-    out = v.join(per.select("entity_id", "bad"), "entity_id").join(cycles, "entity_id", "left").join(links.select("entity_id", "version_ref", "place"), ["entity_id", "version_ref"], "left")
-    bad = F.col("bad") | F.col("cycle").isNotNull()
+    placed = links.where("up is null").select("entity_id", F.col("version_ref").alias("node"), "place")  # what is on a cycle never comes to a root
+    first = lambda x: x.where("not up_in").select("entity_id", "node", F.col("w").alias("place"))
+    placed = lists.answer(placed, gone, ["entity_id"], first, lambda x: x.select("entity_id", "node", (F.col("place") + F.col("w")).alias("place")))
+    whole = placed.groupBy("entity_id").agg(F.count("*").alias("m"))
+    per = per.join(whole, "entity_id", "left").select("entity_id", (F.col("bad") | (F.col("n") != F.coalesce("m", F.lit(0)))).alias("bad"))
+    out = v.join(per, "entity_id").join(placed.select("entity_id", F.col("node").alias("version_ref"), "place"), ["entity_id", "version_ref"], "left")
+    bad = F.col("bad")
     return out.select("entity_id", "version_ref", F.when(~bad, F.col("place")).alias("place"), F.when(bad, "AMBIGUOUS_VERSION").alias("condition"))
 
 

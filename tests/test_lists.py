@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quarrystone.operators import lists
+from quarrystone.operators import graph, lists
 
 from .test_cycles import brute, found
 
@@ -39,3 +39,17 @@ def test_a_node_between_cycles_is_on_none(spark):
     four = [(f"{g}{a}", f"{g}{b}") for g in "ac" for a in range(4) for b in range(4) if a != b]
     edges = four + [("a0", "z"), ("a1", "z"), ("z", "c0"), ("z", "c1")]
     assert found(spark, edges) == brute(edges)
+
+
+def test_spliced_lineage(spark, few, monkeypatch):
+    spliced, real = [], lists.shorten
+    monkeypatch.setattr(lists, "shorten", lambda rows, by: spliced.append(real(rows, by)) or spliced[-1])
+    order = list(range(300))
+    random.Random(3).shuffle(order)
+    rows = [("long", f"x{order[k]}", f"x{order[k - 1]}" if k else None) for k in range(300)]
+    rows += [("both", "r", None), ("both", "s", "r"), ("two", "a", None), ("two", "b", None)] + [("both", f"x{k}", f"x{(k + 1) % 9}") for k in range(9)]
+    got = graph.lineage_by_pointers(spark.createDataFrame(rows, "entity_id string, version_ref string, previous string")).collect()
+    place = {(r["entity_id"], r["version_ref"]): (r["place"], r["condition"]) for r in got}
+    assert len(got) == len(rows) and all(place["long", f"x{order[k]}"] == (k, None) for k in range(300))
+    assert all(v == (None, "AMBIGUOUS_VERSION") for (e, _), v in place.items() if e != "long")
+    assert len(spliced[0][1]) > 3  # before, all were doubled
