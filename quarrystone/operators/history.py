@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.storage import written
+
 RFC3339 = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(?:\.[0-9]+)?(?:Z|[+-][0-9]{2}:[0-9]{2})$"
 
 #: Spans of lifetimes are up to two to this many days long; they begin in 1600.
@@ -64,7 +66,8 @@ def alive(lifetimes: DataFrame, times: DataFrame, start: str = "starts", end: st
     """lifetimes joined with the times they hold at: start <= time < end, all dates; a null end never comes, a null start or time holds nowhere.
 
     A join by equality: a lifetime is cut into aligned spans of 1, 2, 4.. days, two of each length at most, and a time belongs to one span of
-    each length. So a long lifetime has few rows, no row is looked at in vain, and each pair is met once.
+    each length. So a long lifetime has few rows, no row is looked at in vain, and each pair is met once. The times are written first, LEVELS rows a day at most,
+    so that their files tell whether they are few enough to be sent to the spans, which are many.
     Dates lie from 1600 on, up to 2**LEVELS days later; times outside hold nowhere.
     """
     last = 1 << LEVELS
@@ -77,7 +80,7 @@ def alive(lifetimes: DataFrame, times: DataFrame, start: str = "starts", end: st
     spans = spans.withColumn("_span", F.explode(ends)).drop("_s", "_e")
     asked = times.select(time).distinct().withColumn("_d", day(time)).where(F.col("_d").between(0, last - 1)).withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS))))
     asked = asked.withColumn("_span", F.floor(F.col("_d") / F.pow(F.lit(2), F.col("_level"))).cast("long")).drop("_d")
-    return spans.join(asked, ["_level", "_span"]).drop("_level", "_span")
+    return spans.join(written(asked), ["_level", "_span"]).drop("_level", "_span")
 
 
 def as_of_versions(facts: DataFrame, times: DataFrame) -> DataFrame:

@@ -109,3 +109,12 @@ def test_fixed_sums_of_any_number_of_rows(spark):
     rows = [(g, x) for g, xs in groups.items() for x in xs]
     got = {r["g"]: r["t"] for r in spark.createDataFrame(rows, "g string, x double").repartition(3).groupBy("g").agg(sums.fixed(F.col("x")).alias("t")).collect()}
     assert got == {g: math.fsum(xs) for g, xs in groups.items()}
+
+
+def test_lifetimes_are_not_shuffled_for_few_times(spark):
+    spans = spark.range(3_000_000).where("id < 1000").selectExpr("id as k", "date_add(date'2000-01-01', cast(id as int)) as starts", "date_add(date'2000-01-01', cast(id * 2 as int)) as ends")
+    times = spark.range(3_000_000).selectExpr("date_add(date'2000-02-01', cast(id % 40 as int)) as as_of")
+    out = history.alive(spans, times)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan  # before, times had the estimate of the table they came from, and so many spans as a lifetime has were shuffled
+    assert out.count() == sum(k <= d + 31 < 2 * k for k in range(1000) for d in range(40))
