@@ -72,3 +72,11 @@ def test_gold_tokens_are_matched_whole(spark, tmp_path):
         shutil.copyfile(f"{tmp_path}/{some}.parquet", f"{root}/documents.parquet")
         found[some] = queries.queries()["gold_token_match"](spark, str(root)).count()
     assert found[True] and not found[False]
+
+
+def test_relations_are_made_distinct_by_their_keys(spark):
+    from quarrystone.plans.substrate import Substrate
+
+    plan = Substrate(spark, ROOT).relations._jdf.queryExecution().optimizedPlan().toString()
+    lines = [line for line in plan.splitlines() if "Aggregate" in line]
+    assert len(lines) == 2 and all("Aggregate [l_orderkey" in line for line in lines)  # before, by references, texts made of them
