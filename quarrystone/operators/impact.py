@@ -32,7 +32,6 @@ def declared(body: Column | str) -> Column:
 
     A value is a text, a document with a text under ref, or a list of these. What isn't JSON, a null, or a document that names a key twice declares nothing.
     """
-    doc = F.try_parse_json(body)
     is_text = lambda v: F.schema_of_variant(v) == "STRING"
 
     def text(v: Column) -> Column:
@@ -40,13 +39,14 @@ def declared(body: Column | str) -> Column:
         said = F.when(is_text(v), F.try_variant_get(v, "$", "string")).when(is_text(ref), F.try_variant_get(ref, "$", "string"))
         return F.when(F.contains(said, F.lit("@")) & (F.length(said) >= 3), said)
 
-    def found(place: str, relation: str) -> Column:
+    def found(doc: Column, place: str, relation: str) -> Column:
         v = F.try_variant_get(doc, f"{place}.{relation}", "variant")
         many = F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array(v))
         refs = F.filter(F.transform(many, text), lambda r: r.isNotNull())
         return F.transform(refs, lambda r: F.struct(F.lit(relation).alias("relation"), r.alias("ref")))
 
-    return F.concat(*[found(p, k) for p in ("$", *(f"$.{c}" for c in CONTAINERS)) for k in RELATIONS])
+    every = lambda doc: F.concat(*[found(doc, p, k) for p in ("$", *(f"$.{c}" for c in CONTAINERS)) for k in RELATIONS])
+    return F.flatten(F.transform(F.array(F.try_parse_json(body)), every))  # a lambda's variable is one value, so a document is parsed once
 
 
 def affected(edges: DataFrame, roots: DataFrame) -> DataFrame:

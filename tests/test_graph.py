@@ -42,6 +42,12 @@ def test_declared_references(spark):
     assert got == [[("based_on", "H1@v1"), ("uses", "A@v2"), ("uses", "B@v1")], [], []]
 
 
+def test_documents_are_parsed_once(spark):
+    df = spark.range(3).selectExpr("concat('{\"uses\":\"a@', id, '\"}') as body").select(F.explode(impact.declared("body")).alias("d"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1  # before, 32 times
+    assert [r["d"]["ref"] for r in df.collect()] == ["a@0", "a@1", "a@2"]
+
+
 def test_structural_diff(spark):
     df = spark.createDataFrame([('{"a":{"b":1,"c":[1]},"d":2}', '{"a":{"b":1,"c":[2]},"e":{}}')], "x string, y string")
     assert impact.structural_diff(df, "x", "y").first()["changed"] == ["a.c", "d", "e"]
