@@ -77,3 +77,46 @@ def test_pruned_ranking_equals_the_full_one_and_reads_less(spark, tmp_path, monk
     read = {r["query_id"]: r for r in pruned.Search(index.tables, asks, 5).reading().collect()}
     assert any(r["read"] and r["read"] < r["postings"] for r in read.values())
     assert all(r["scored"] < 608 / 2 for r in read.values() if r["read"])
+
+
+def test_repeated_terms_are_found_wherever_their_rows_lie(spark, monkeypatch):
+    rows = [(f"d{k // 40}", f"t{k % 40}", 1.0) for k in range(4000)] + [("d7", "t3", 1.0), ("x", "t", 1.0), ("x", "t", 1.0), (None, "t", 1.0), (None, "t", 1.0)]
+    table = spark.createDataFrame(rows, "id string, term string, tf double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for t in (table.coalesce(1), table.repartition(5)):
+            assert semantic._repeated(t, "id").first()["n"] == 3  # one far from its like, one next to it, one without a document
+        monkeypatch.setattr(semantic, "HELD", 10)
+        assert semantic._repeated(table.coalesce(1), "id").first()["n"] == 3
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_frequencies_reach_all_terms_whatever_is_sent(spark, monkeypatch):
+    rows = [(f"d{k}", f"t{j}", 1) for k in range(30) for j in range(0, 60, 1 + k)]
+    table = spark.createDataFrame(rows, "id string, term string, n int")
+    df = semantic.frequencies(table)
+    want = {(r["id"], r["term"], r["df"]) for r in table.join(df, "term").collect()}
+    for sent in (1, 8, 1000):
+        monkeypatch.setattr(semantic, "SENT", sent)
+        got = semantic.with_df(table, df).collect()
+        assert len(got) == len(rows) and {(r["id"], r["term"], r["df"]) for r in got} == want
+
+
+def test_a_written_index_moves_little(spark, tmp_path):
+    """Terms are checked where they lie, and a search moves the terms, postings and n-grams of its queries only."""
+    from quarrystone.operators import pruned
+
+    def shuffled():
+        sc = spark.sparkContext
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    rows = [(f"d{k:05d}", " ".join(f"w{(k * 31 + j * 17) % 5003}" for j in range(100))) for k in range(2000)]
+    table = X.normalised(spark.createDataFrame(rows, "id string, text string")).select("id", "norm")
+    S.write(table, str(tmp_path / "m"), BASE, "2024-01-01T00:00:00Z")
+    before = shuffled()
+    index = S.open_index(spark, str(tmp_path / "m"), BASE)
+    pruned.Search(index.tables, spark.createDataFrame([(1, "w7 w8"), (2, "w5000 x")], "query_id long, text string"), 5).rank().collect()
+    assert shuffled() - before < 100_000  # there are 200,000 rows of terms
