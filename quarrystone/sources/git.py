@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import struct
+import uuid
 import zlib
 from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
+from itertools import accumulate
 
 import pyarrow as pa
 from pyarrow import fs
@@ -16,12 +18,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..functions.storage import kept
+from ..functions.storage import kept, written
 
 KINDS = {1: "commit", 2: "tree", 3: "blob", 4: "tag"}
 OFFSET_DELTA, NAME_DELTA = 6, 7
 #: Objects of a pack that a task reads, folders of loose objects that it reads, and bytes of delta bases that it keeps.
 PACKED, LOOSE, KEPT = 4096, 16, 32 << 20
+#: Compressed bytes of a pack that is written, but for the one object that may be larger.
+ROOM = 64 << 20
 SCHEMA = "oid string, kind string, size long, content binary"
 
 
@@ -196,10 +200,22 @@ class GitObjects(DataSource):
         return Reader(self.options["path"])
 
 
+def stored(spark: SparkSession, root: str) -> DataFrame:
+    """oid, kind, size, content of every object, as often as it is stored."""
+    spark.dataSource.register(GitObjects)
+    return spark.read.format("git_objects").load(root)
+
+
 def objects(spark: SparkSession, root: str) -> DataFrame:
     """oid, kind, size, content, once for each object, though it may be loose and packed."""
-    spark.dataSource.register(GitObjects)
-    return spark.read.format("git_objects").load(root).dropDuplicates(["oid"])
+    return stored(spark, root).dropDuplicates(["oid"])
+
+
+def digested(spark: SparkSession, root: str) -> DataFrame:
+    """objects() with the content_hash of blobs in place of their content, as a written table: a repository is read once, and no blob is moved."""
+    blob = F.col("kind") == "blob"
+    found = stored(spark, root).select("oid", "kind", "size", F.when(~blob, F.col("content")).alias("content"), F.when(blob, F.concat(F.lit("sha256:"), F.sha2("content", 256))).alias("content_hash"))
+    return written(found.dropDuplicates(["oid"]), "objects")
 
 
 def commits(found: DataFrame) -> DataFrame:
@@ -248,7 +264,8 @@ def snapshots(found: DataFrame, refs: DataFrame) -> DataFrame:
     """path, git_commit, content_hash: the files that historical references (ref_path, git_commit) name and that exist, as integrity.verify() takes them."""
     wanted = refs.where("git_commit is not null").select(F.col("ref_path").alias("path"), "git_commit").distinct()
     named = files(found, wanted).join(wanted, ["git_commit", "path"]).select("path", "git_commit", "oid")
-    blobs = found.where("kind = 'blob'").select("oid", F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("content_hash"))
+    digest = F.col("content_hash") if "content_hash" in found.columns else F.concat(F.lit("sha256:"), F.sha2("content", 256))
+    blobs = found.where("kind = 'blob'").select("oid", digest.alias("content_hash"))
     return named.join(blobs, "oid").select("path", "git_commit", "content_hash")
 
 
@@ -273,3 +290,64 @@ def write_loose(made: DataFrame, root: str) -> None:
         yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
 
     made.select("kind", "content").mapInArrow(put, "n long").agg(F.sum("n")).collect()
+
+
+def write_packs(made: DataFrame, root: str) -> None:
+    """Writes objects (kind, content) as packs of PACKED objects at most under root/objects/pack, with their indexes: few files, where write_loose() makes one for each object.
+
+    An object that comes again in a task is left out of its pack; two packs may hold the same.
+    """
+    codes = {name: code for code, name in KINDS.items()}
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = fs.FileSystem.from_uri(root)
+        folder, n, held = f"{base}/objects/pack", 0, {}
+        store.create_dir(folder, recursive=True)
+
+        def flush() -> None:
+            out, at, places = [b"PACK" + struct.pack(">II", 2, len(held))], 12, {}
+            for oid, (head, data) in held.items():
+                places[oid] = at, zlib.crc32(data, zlib.crc32(head))
+                out += [head, data]
+                at += len(head) + len(data)
+            body = b"".join(out)
+            end, names = hashlib.sha1(body).digest(), sorted(held)
+            first = [0] * 256
+            for oid in names:
+                first[oid[0]] += 1
+            index = [b"\xfftOc\x00\x00\x00\x02", struct.pack(">256I", *accumulate(first)), *names]
+            index += [struct.pack(">I", places[oid][1]) for oid in names] + [struct.pack(">I", places[oid][0]) for oid in names] + [end]  # under 2**31, by ROOM
+            index = b"".join(index)
+            name = f"{folder}/pack-{hashlib.sha1(b''.join(names)).hexdigest()}-{uuid.uuid4().hex}"
+            for suffix, data in ((".idx", index + hashlib.sha1(index).digest()), (".pack", body + end)):  # a pack is there once its index is
+                with store.open_output_stream(f"{name}{suffix}.part") as f:
+                    f.write(data)
+                store.move(f"{name}{suffix}.part", name + suffix)
+            held.clear()
+
+        room = 0
+        for b in batches:
+            for kind, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                n += 1
+                oid = hashlib.sha1(f"{kind} {len(content)}\0".encode() + content).digest()
+                if oid in held:
+                    continue
+                size, head = len(content) >> 4, [codes[kind] << 4 | len(content) & 15]
+                while size:
+                    head[-1] |= 128
+                    head.append(size & 127)
+                    size >>= 7
+                data = zlib.compress(content, 1)
+                if held and room + len(data) > ROOM:
+                    flush()
+                    room = 0
+                held[oid] = bytes(head), data
+                room += len(data)
+                if len(held) == PACKED:
+                    flush()
+                    room = 0
+        if held:
+            flush()
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+    made.select("kind", "content").mapInArrow(put, "n long").agg(F.sum("n")).collect()

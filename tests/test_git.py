@@ -73,3 +73,29 @@ def test_written_objects_are_gits(spark, tmp_path):
     git.write_loose(made, str(tmp_path))
     assert sorted(r["oid"] for r in git.objects(spark, str(tmp_path)).collect()) == sorted(run(tmp_path, "hash-object", "--stdin-paths", "-t", "blob").decode().split() or ["b6fc4c620b67d95f953a5c1c1230aaab5db5a1b0", "e69de29bb2d1d6434b8b29ae775ad8c2e48c5391"])
     assert git.objects(spark, str(tmp_path)).where(F.col("kind") == "blob").count() == 2
+
+
+@pytest.mark.parametrize("packed, room", [(4096, 64 << 20), (7, 64 << 20), (4096, 300)])
+def test_written_packs_are_gits(spark, tmp_path, monkeypatch, packed, room):
+    monkeypatch.setattr(git, "PACKED", packed)
+    monkeypatch.setattr(git, "ROOM", room)
+    run(tmp_path, "init", "-q", "--bare")
+    contents = [b"", b"hello", bytes(range(256)) * 400, *[f"text {k}".encode() * k for k in range(40)], b"x" * 15, b"x" * 16, b"x" * 2047, b"x" * 2048]
+    made = spark.createDataFrame([("blob", bytearray(c)) for c in contents * 2], "kind string, content binary").repartition(3)
+    git.write_packs(made, str(tmp_path))
+    want = {hashlib.sha1(f"blob {len(c)}\0".encode() + c).hexdigest(): c for c in contents}
+    assert not [p for p in (tmp_path / "objects").iterdir() if len(p.name) == 2]  # no file for each object
+    for pack in (tmp_path / "objects" / "pack").glob("*.pack"):
+        run(tmp_path, "index-pack", "--strict", "-o", str(tmp_path / f"again-{pack.stem}.idx"), str(pack))
+        assert (tmp_path / f"again-{pack.stem}.idx").read_bytes() == pack.with_suffix(".idx").read_bytes()  # git makes the same index
+    assert {r["oid"]: bytes(r["content"]) for r in git.objects(spark, str(tmp_path)).collect()} == want
+    got = git.digested(spark, str(tmp_path)).collect()
+    assert {(r["oid"], r["content_hash"]) for r in got} == {(o, "sha256:" + hashlib.sha256(c).hexdigest()) for o, c in want.items()} and len(got) == len(want)
+
+
+def test_digested_objects_give_the_same_files(spark, repository):
+    root, commits = repository
+    asked = spark.createDataFrame([(c,) for c in commits], "git_commit string")
+    whole, short = git.objects(spark, str(root)), git.digested(spark, str(root))
+    refs = git.files(whole, asked).select(F.col("path").alias("ref_path"), "git_commit")
+    assert sorted(git.snapshots(short, refs).collect()) == sorted(git.snapshots(whole, refs).collect())
