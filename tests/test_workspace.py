@@ -122,3 +122,14 @@ def test_yaml_faults():
     for text in ("a: 1\n  b: 2", "a: 1\nplain", "- 1\n    - 2"):
         with pytest.raises(yaml.YamlError):
             yaml.loads(text)
+
+
+def test_manifest_rules_are_dealt_by_rows(spark, monkeypatch):
+    objects = spark.createDataFrame([(f"o{k}", "run", f"E{k}", f"V{k}", f"p{k}", "valid", "2024-01-01T00:00:00Z") for k in range(1000)], "ref string, kind string, entity_id string, version_ref string, path string, status string, lifecycle_start string")
+    facts = spark.createDataFrame([("f1", "o1", "content", "v", "2024-01-01T00:00:00Z"), ("f2", "nobody", "content", "v", "2024-01-01T00:00:00Z")], "fact_id string, subject string, predicate string, value string, occurred_at string")
+    none = lambda kind: spark.createDataFrame([], kind)
+    rest = [none("source_ref string, target_ref string"), none("atom_id string, artifact_ref string, kind string"), none("query_id string, operation string, target_ref string, participant_locator string, as_of string"), none("ref string, pinned_content_hash string"), none("event_id string")]
+    monkeypatch.setattr(manifest, "ROWS", 64)
+    found = manifest.breaches(objects, facts, *rest)
+    assert "hashpartitioning(known" in (plan := found._jdf.queryExecution().executedPlan().toString()) and ", 16), REPARTITION_BY_NUM" in plan  # 1000 rows, 64 a task, however few their bytes
+    assert [tuple(r) for r in found.collect()] == [("fact_subject", "f2")]
