@@ -54,6 +54,10 @@ def parsed(text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([one(t) for t in text], columns=_META.names)
 
 
+# a filter on the fields, as explode() brings one, would else go below them with a parse of its own, so that each text is read twice
+parsed = parsed.asNondeterministic()
+
+
 def scan(spark: SparkSession, root: str, skipped: tuple[str, ...] = SKIPPED) -> DataFrame:
     """(path, content, content_hash, size) of the files under root, by Spark's reader; path is relative."""
     base = re.sub(r"/+$", "", root)
@@ -78,6 +82,11 @@ def front_matter(text: Column) -> Column:
     return F.regexp_extract(text, r"(?s)\A---\n(.*?)\n---\n", 1)
 
 
+def file_name(path: Column | str) -> Column:
+    """What follows a path's last slash. A pattern for it tries each folder before."""
+    return F.substring_index(path, "/", -1)
+
+
 def corpus(documents: DataFrame, files: DataFrame) -> DataFrame:
     """(id, text): documents whose file has a text suffix and is strict UTF-8."""
     j = documents.join(files.select("path", "content"), "path").where(F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).isin(*CORPUS))
@@ -117,6 +126,11 @@ class Index:
     def _at(self, pattern: str) -> DataFrame:
         return self.texts.where(F.col("path").rlike(pattern))
 
+    def _read(self, df: DataFrame, key: str) -> DataFrame:
+        """df with the fields of its texts. A file of few megabytes may stand for a million of them, so they are dealt to a number of tasks that Spark doesn't reduce by their bytes."""
+        tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return df.repartition(tasks, key).withColumn("meta", parsed(F.col("text")))
+
     def _row(self, df: DataFrame, id_: Column, doc_type: str, status: Column | str, version: Column | None = None) -> DataFrame:
         status = F.lit(status) if isinstance(status, str) else status
         version = F.lit(None).cast("string") if version is None else version
@@ -125,20 +139,19 @@ class Index:
     @property
     def organized(self) -> DataFrame:
         o = self._at(r"^organized/.*\.md$").withColumn("meta", parsed(front_matter(F.col("text"))))
-        return o.withColumn("id", F.coalesce("meta.id", F.regexp_replace(F.regexp_extract("path", r"([^/]+)$", 1), r"\.md$", "")))
+        return o.withColumn("id", F.coalesce("meta.id", F.regexp_replace(file_name("path"), r"\.md$", "")))
 
     @property
     def manifests(self) -> DataFrame:
-        m = self._at(r"^runs/[^/]+/manifest\.yaml$").withColumn("meta", parsed(F.col("text")))
+        m = self._read(self._at(r"^runs/[^/]+/manifest\.yaml$"), "path")
         return m.withColumn("id", F.split("path", "/")[1])
 
     @property
     def sidecars(self) -> DataFrame:
-        s = self._at(r"^reports/(CURRENT|history/[^/]+)\.sources\.yaml$").withColumn("meta", parsed(F.col("text")))
         report = F.regexp_replace("path", r"\.sources\.yaml$", ".md")
-        return s.select(F.regexp_replace(F.regexp_extract(report, r"([^/]+)$", 1), r"\.md$", "").alias("owner"), report.alias("owner_path"), F.explode("meta.sources").alias("s")).join(
-            self.files.select(F.col("path").alias("report")), F.col("owner_path") == F.col("report"), "left_semi"
-        )
+        s = self._at(r"^reports/(CURRENT|history/[^/]+)\.sources\.yaml$").select(report.alias("owner_path"), "text")
+        reports = self.files.where(F.col("path").rlike(r"^reports/(CURRENT|history/[^/]+)\.md$")).select(F.col("path").alias("report"))  # no other file can be an owner
+        return self._read(s, "owner_path").select(F.regexp_replace(file_name("owner_path"), r"\.md$", "").alias("owner"), "owner_path", F.explode("meta.sources").alias("s")).join(reports, F.col("owner_path") == F.col("report"), "left_semi")
 
     @property
     def raw(self) -> DataFrame:
@@ -150,7 +163,7 @@ class Index:
     @property
     def documents(self) -> DataFrame:
         """id, doc_type, path, version, content_hash, git_commit, status. A run's status is its manifest's."""
-        name = F.regexp_replace(F.regexp_extract("path", r"([^/]+)$", 1), r"\.md$", "")
+        name = F.regexp_replace(file_name("path"), r"\.md$", "")
         return (
             self._row(self._at(r"^reports/CURRENT\.md$"), F.lit("CURRENT"), "report_current", "fresh")
             .unionByName(self._row(self._at(r"^reports/history/[^/]+\.md$"), name, "report_historical", "frozen"))

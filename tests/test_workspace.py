@@ -1,5 +1,6 @@
 import hashlib
 import json
+import re
 
 import pytest
 
@@ -133,3 +134,20 @@ def test_manifest_rules_are_dealt_by_rows(spark, monkeypatch):
     found = manifest.breaches(objects, facts, *rest)
     assert "hashpartitioning(known" in (plan := found._jdf.queryExecution().executedPlan().toString()) and ", 16), REPARTITION_BY_NUM" in plan  # 1000 rows, 64 a task, however few their bytes
     assert [tuple(r) for r in found.collect()] == [("fact_subject", "f2")]
+
+
+def test_each_text_is_parsed_once_in_dealt_tasks(spark, tree):
+    ix = workspace.Index(workspace.scan(spark, str(tree)))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    relations = plan(ix.relations)
+    assert relations.count("ArrowEvalPython [") == 3  # notes, runs, sidecars; filters on their fields parsed each text again
+    assert plan(ix.source_refs).count("ArrowEvalPython [") == 3 and plan(ix.runs.where("raw_ref_path <> ''")).count("ArrowEvalPython [") == 1
+    assert relations.count("REPARTITION_BY_NUM") == 2  # runs and sidecars, which tables of few bytes may stand for
+
+
+@pytest.mark.parametrize("line", ["a: b", "  - path: raw/E/R1", "_k9:", "a: b c  d", "a:  b", "a: b: c", "a: b:", "a: b #c", "a: b#c", "a: http://x:1/y", "a: -", "a: - b", "- - a: b", "a: 'b'", "a: it's", "é: b", "aé: ü", "a: b ", "a:b", "a :b", "a: [", "a\t: b", "a:  b", "- a:"])
+def test_usual_lines_have_the_marks_of_the_grammar(monkeypatch, line):
+    marks = lambda: [(at if kind != "value" else None, kind, token) for at, kind, token in yaml._tokens(line)]
+    usual = marks()
+    monkeypatch.setattr(yaml, "_LINE", re.compile(r"(?!)"))
+    assert usual == marks()
